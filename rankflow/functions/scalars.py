@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def count_rows() -> Column:
+    return F.count(F.lit(1))
+
+
 def positive_int(c: Column) -> Column:
     """Digits only and above zero, else null."""
     n = F.when(c.rlike("^[0-9]+$"), c.try_cast("int"))

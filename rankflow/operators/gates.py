@@ -46,7 +46,7 @@ def canonical_rules(key_count: Column, day: Column, scope: Column, key: Column,
     return {
         "null_key": key.isNull() | (F.trim(key) == ""),
         "duplicate_key": key_count > 1,
-        "bad_date": F.try_to_date(day, F.lit("yyyy-MM-dd")).isNull(),
+        "bad_date": F.try_to_date(day, "yyyy-MM-dd").isNull(),
         "bad_scope": number(scope).isNull() | ~number(scope).isin(1.0, 2.0),
         "bad_win": off(win),
         "bad_top2": off(top2),

@@ -88,19 +88,20 @@ def tickets(df: DataFrame, race: str = "race_id", entrant: str = "horse_id", p:
     frame = lambda x: (x % frames + 1).cast("int")
     slots = F.when(n >= 8, 3).when(n >= 4, 2).otherwise(1)
     wide = F.when(n < 4, "WIDE_PROXY").otherwise("WIDE")
+    kind = lambda name, selection: F.struct((F.lit(name) if isinstance(name, str) else name).alias("type"), selection.alias("selection"))
     kinds = F.array_compact(
         F.array(
-            F.struct(F.lit("WIN").alias("type"), a.cast("string").alias("selection")),
-            *[F.struct(F.lit("TOP2"), x.cast("string")) for x in (a, b)],
-            *[F.when(x.isNotNull(), F.struct(F.lit("TOP3"), x.cast("string"))) for x in (a, b, c)],
-            F.struct(F.lit("EXACTA"), text(a, b)),
-            F.struct(F.lit("QUINELLA"), sorted_text(a, b)),
-            F.struct(F.lit("FRAME"), F.concat_ws("-", F.least(frame(a), frame(b)), F.greatest(frame(a), frame(b)))),
-            F.when((slots >= 2) | (n < 4), F.struct(wide, sorted_text(a, b))),
-            F.when(slots >= 3, F.struct(wide, sorted_text(a, c))),
-            F.when(slots >= 3, F.struct(wide, sorted_text(b, c))),
-            F.when(c.isNotNull(), F.struct(F.lit("TRIO"), sorted_text(a, b, c))),
-            F.when(c.isNotNull(), F.struct(F.lit("TRIFECTA"), text(a, b, c))),
+            kind("WIN", a.cast("string")),
+            *[kind("TOP2", x.cast("string")) for x in (a, b)],
+            *[F.when(x.isNotNull(), kind("TOP3", x.cast("string"))) for x in (a, b, c)],
+            kind("EXACTA", text(a, b)),
+            kind("QUINELLA", sorted_text(a, b)),
+            kind("FRAME", F.concat_ws("-", F.least(frame(a), frame(b)), F.greatest(frame(a), frame(b)))),
+            F.when((slots >= 2) | (n < 4), kind(wide, sorted_text(a, b))),
+            F.when(slots >= 3, kind(wide, sorted_text(a, c))),
+            F.when(slots >= 3, kind(wide, sorted_text(b, c))),
+            F.when(c.isNotNull(), kind("TRIO", sorted_text(a, b, c))),
+            F.when(c.isNotNull(), kind("TRIFECTA", text(a, b, c))),
         )
     )
     paid = t.select(race, "probability", F.explode(kinds).alias("k"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import features, history, metrics, pit, rankprob, resample, splits
+from ..functions.scalars import count_rows
+from ..operators import features, history, metrics, pit, resample, splits
 from ..registry import query
-from ..sources.bindings import ENTRANTS, FEATURE_BASE, WORKOUTS, entrants, feature_base, table, workouts
+from ..sources.bindings import ENTRANTS, FEATURE_BASE, WORKOUTS, entrants, feature_base, workouts
 from .rating_queries import AGENT, DAILY, LOSS, P1, SWAPS, base_rates, daily_deltas, swaps
 
-N = F.count(F.lit(1))
 R = F.round
 
 ABILITY = f"""{FEATURE_BASE}, a0 AS (SELECT *, list_filter([prior_win_rate, prior_top3_rate, 1 - prior_avg_finish_pct, 1 - recent3_finish_pct_mean, 1 - prior_avg_time_diff], lambda x: x IS NOT NULL) AS parts FROM f),
@@ -52,13 +52,13 @@ def m19_field_strength(spark, sf_dir):
     return strength(spark, sf_dir).select("race_id", "horse_id", R("ability", 6).alias("ability"), "components", R("edge", 6).alias("edge"), R("field_step", 6).alias("field_step"))
 
 
-@query(f"""WITH {FEATURE_BASE} SELECT race_id, horse_id, round(recent5_finish_pct_mean - recent3_finish_pct_mean, 6) AS c_momentum_finish, round(ln(1 + prior_start_count), 6) AS c_log_experience, CAST(days_since_last_run BETWEEN 14 AND 70 AS DOUBLE) AS c_rest_band,
- round(prior_win_rate / nullif(prior_top3_rate, 0), 6) AS c_win_conversion, round(same_distance_prior_count / nullif(prior_start_count, 0)::DOUBLE, 6) AS c_distance_share,
- round(prior_start_count / nullif(avg(prior_start_count) OVER (PARTITION BY race_id), 0), 6) AS c_experience_field, round(prior_win_rate - avg(prior_win_rate) OVER (PARTITION BY race_id), 6) + 0.0 AS c_win_step FROM f""")
+@query(f"""WITH {FEATURE_BASE} SELECT race_id, horse_id, round(recent5_finish_pct_mean - recent3_finish_pct_mean, 9) + 0.0 AS c_momentum_finish, round(ln(1 + prior_start_count), 9) AS c_log_experience, CAST(days_since_last_run BETWEEN 14 AND 70 AS DOUBLE) AS c_rest_band,
+ round(prior_win_rate / nullif(prior_top3_rate, 0), 9) AS c_win_conversion, round(same_distance_prior_count / nullif(prior_start_count, 0)::DOUBLE, 9) AS c_distance_share,
+ round(prior_start_count / nullif(avg(prior_start_count) OVER (PARTITION BY race_id), 0), 9) AS c_experience_field, round(prior_win_rate - avg(prior_win_rate) OVER (PARTITION BY race_id), 9) + 0.0 AS c_win_step FROM f""")
 def m17_candidate_features(spark, sf_dir):
     c = features.candidates(feature_base(spark, sf_dir))
     keep = ["c_momentum_finish", "c_log_experience", "c_win_conversion", "c_distance_share", "c_experience_field"]
-    return c.select("race_id", "horse_id", "c_rest_band", *[R(x, 6).alias(x) for x in keep], (R("c_win_step", 6) + 0.0).alias("c_win_step"))
+    return c.select("race_id", "horse_id", "c_rest_band", *[(R(x, 9) + 0.0).alias(x) for x in keep], (R("c_win_step", 9) + 0.0).alias("c_win_step"))
 
 
 PLAN = [("TRAIN", "1992-01-01", "1995-12-31"), ("VALIDATION", "1996-01-01", "1996-06-30"), ("SELECTION", "1996-07-01", "1996-12-31"), ("TEST", "1997-01-01", "1997-12-31"), ("OOS", "1998-01-01", "1998-12-31")]
@@ -68,7 +68,7 @@ PLAN_SQL = "pl AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', DATE '{a}', DAT
 @query(f"WITH {ENTRANTS}, {PLAN_SQL} SELECT split, count(*) AS rows, count(DISTINCT race_id) AS races FROM e LEFT JOIN pl ON day BETWEEN a AND b GROUP BY 1")
 def p20_split_mask(spark, sf_dir):
     e = entrants(spark, sf_dir).withColumn("split", splits.assigned(None, PLAN))
-    return e.groupBy("split").agg(N.alias("rows"), F.count_distinct("race_id").alias("races"))
+    return e.groupBy("split").agg(count_rows().alias("rows"), F.count_distinct("race_id").alias("races"))
 
 
 @query(f"""WITH {FEATURE_BASE}, {PLAN_SQL} SELECT split, count(*) AS rows, count(DISTINCT race_id) AS races, count(DISTINCT horse_id) AS competitors, count(*) FILTER (domain = 1) AS jra, count(*) FILTER (domain = 2) AS nar, CAST(sum(label_win) AS BIGINT) AS wins, CAST(sum(label_top3) AS BIGINT) AS top3,
@@ -77,7 +77,7 @@ def a12_split_population(spark, sf_dir):
     f = feature_base(spark, sf_dir).withColumn("split", splits.assigned(None, PLAN)).where("split is not null")
     rate = lambda k: R(F.avg((F.col("prior_start_count") >= k).cast("int")), 6)
     return f.groupBy("split").agg(
-        N.alias("rows"), F.count_distinct("race_id").alias("races"), F.count_distinct("horse_id").alias("competitors"), F.count_if(F.col("domain") == 1).alias("jra"), F.count_if(F.col("domain") == 2).alias("nar"),
+        count_rows().alias("rows"), F.count_distinct("race_id").alias("races"), F.count_distinct("horse_id").alias("competitors"), F.count_if(F.col("domain") == 1).alias("jra"), F.count_if(F.col("domain") == 2).alias("nar"),
         F.sum("label_win").alias("wins"), F.sum("label_top3").alias("top3"), rate(1).alias("p1"), rate(3).alias("p3"), rate(6).alias("p6"),
     )
 
@@ -85,16 +85,16 @@ def a12_split_population(spark, sf_dir):
 CUTS = f"""{ENTRANTS}, dd AS (SELECT day, count(DISTINCT race_id) AS n FROM e GROUP BY 1), cu AS (SELECT day, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS cum, CAST(sum(n) OVER () AS BIGINT) AS total FROM dd)"""
 
 
-@query(f"WITH {CUTS} SELECT day, cum FROM cu")
+@query(f"WITH {CUTS} SELECT CAST(day AS VARCHAR) AS day, cum FROM cu")
 def w14_cumulative_days(spark, sf_dir):
     d = entrants(spark, sf_dir).groupBy("day").agg(F.count_distinct("race_id").alias("n"))
-    return d.select("day", F.sum("n").over(Window.orderBy("day")).alias("cum"))
+    return d.select(F.col("day").cast("string").alias("day"), F.sum("n").over(Window.orderBy("day")).alias("cum"))
 
 
-@query(f"WITH {CUTS}, g AS (SELECT CAST(unnest([0.45, 0.55, 0.65, 0.75, 0.85]) AS DOUBLE) AS fraction) SELECT fraction, arg_min(day, (abs(cum - fraction * total), day)) AS cut FROM cu, g GROUP BY 1")
+@query(f"WITH {CUTS}, g AS (SELECT CAST(unnest([0.45, 0.55, 0.65, 0.75, 0.85]) AS DOUBLE) AS fraction) SELECT fraction, CAST(arg_min(day, (abs(cum - fraction * total), day)) AS VARCHAR) AS cut FROM cu, g GROUP BY 1")
 def w19_walk_forward_folds(spark, sf_dir):
     races = entrants(spark, sf_dir).select("race_id", "day").distinct()
-    return splits.cuts(races, spark.createDataFrame([(x,) for x in (0.45, 0.55, 0.65, 0.75, 0.85)], "fraction double"))
+    return splits.cuts(races, spark.createDataFrame([(x,) for x in (0.45, 0.55, 0.65, 0.75, 0.85)], "fraction double")).withColumn("cut", F.col("cut").cast("string"))
 
 
 PROFILES = [("balanced", 0.6), ("long_train", 0.7), ("short_train", 0.5), ("long_tail", 0.55), ("late", 0.8)]
@@ -104,7 +104,7 @@ st AS (SELECT profile, cut, count(DISTINCT race_id) FILTER (day <= cut) AS train
 sc AS (SELECT *, CAST(races < 250 AS INTEGER) + CAST(positives < 100 AS INTEGER) AS warn, CAST(train < 1500 AS INTEGER) AS block FROM st)"""
 
 
-@query(f"WITH {M20} SELECT profile, cut, train, races, CAST(positives AS BIGINT) AS positives, round(2 * races + 3 * positives + domain + 0.15 * least(train, 10000) - 25 * warn - 100000 * block, 4) AS score FROM sc")
+@query(f"WITH {M20} SELECT profile, CAST(cut AS VARCHAR) AS cut, train, races, CAST(positives AS BIGINT) AS positives, round(CAST(2 * races + 3 * positives + domain + 0.15 * least(train, 10000) - 25 * warn - 100000 * block AS DOUBLE), 4) AS score FROM sc")
 def m20_split_profiles(spark, sf_dir):
     e = entrants(spark, sf_dir)
     cut = splits.cuts(e.select("race_id", "day").distinct(), spark.createDataFrame(PROFILES, "profile string, fraction double")).drop("fraction")
@@ -115,7 +115,7 @@ def m20_split_profiles(spark, sf_dir):
     c = F.col
     warn = (c("races") < 250).cast("int") + (c("positives") < 100).cast("int")
     score = splits.adequacy(c("races"), c("positives"), c("domain"), c("train"), F.lit(0), warn, (c("train") < 1500).cast("int"))
-    return st.select("profile", "cut", "train", "races", "positives", R(score.cast("double"), 4).alias("score"))
+    return st.select("profile", F.col("cut").cast("string").alias("cut"), "train", "races", "positives", R(score.cast("double"), 4).alias("score"))
 
 
 @query(f"WITH {M20} SELECT arg_max(profile, (2 * races + 3 * positives + domain + 0.15 * least(train, 10000) - 25 * warn, profile)) AS profile FROM sc WHERE block = 0")
@@ -124,7 +124,7 @@ def t08_best_split_profile(spark, sf_dir):
 
 
 @query(f"""WITH {FEATURE_BASE}, z AS (SELECT round(prior_win_rate, 9) AS a, round(prior_top3_rate, 9) AS b FROM f WHERE prior_win_rate IS NOT NULL AND prior_top3_rate IS NOT NULL),
-r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM z) SELECT count(*) AS pairs, round(corr(ra, rb), 6) AS rho FROM r""")
+rk AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM z) SELECT count(*) AS pairs, round(corr(ra, rb), 6) AS rho FROM rk""")
 def a17_spearman(spark, sf_dir):
     f = feature_base(spark, sf_dir).select(F.round("prior_win_rate", 9).alias("a"), F.round("prior_top3_rate", 9).alias("b"))
     return metrics.spearman(f, "a", "b").select("pairs", R("rho", 6).alias("rho"))
@@ -165,7 +165,7 @@ U = "(('0x' || substr(md5({key}), 1, 13))::BIGINT / 4503599627370496.0)"
 @query(f"WITH {ENTRANTS}, {P1}, {DAILY} SELECT CAST((dn + 719163) // 28 AS BIGINT) AS block, count(*) AS days, CAST(sum(rows) AS BIGINT) AS rows, round(sum(delta), 6) AS delta FROM d GROUP BY 1")
 def w22_calendar_blocks(spark, sf_dir):
     d = daily_deltas(spark, sf_dir)
-    return d.groupBy(resample.block_of(F.col("day")).alias("block")).agg(N.alias("days"), F.sum("rows").alias("rows"), R(F.sum("delta"), 6).alias("delta"))
+    return d.groupBy(resample.block_of(F.col("day")).alias("block")).agg(count_rows().alias("days"), F.sum("rows").alias("rows"), R(F.sum("delta"), 6).alias("delta"))
 
 
 REPS = 200
@@ -222,22 +222,22 @@ def m14_grouped_sign_flips(spark, sf_dir):
     return venue_tests(spark, sf_dir).select("venue", R("p", 6).alias("p"))
 
 
-@query(f"WITH {ENTRANTS}, {P1}, {VENUE}, h AS (SELECT venue, p, row_number() OVER (ORDER BY p, venue) AS rn, count(*) OVER () AS m FROM vp) SELECT venue, round(p, 6) AS p, round(max(least(1.0, (m - rn + 1) * p)) OVER (ORDER BY rn), 6) AS p_holm FROM h")
+@query(f"WITH {ENTRANTS}, {P1}, {VENUE}, hh AS (SELECT venue, p, row_number() OVER (ORDER BY p, venue) AS rn, count(*) OVER () AS m FROM vp) SELECT venue, round(p, 6) AS p, round(max(least(1.0, (m - rn + 1) * p)) OVER (ORDER BY rn), 6) AS p_holm FROM hh")
 def w18_holm(spark, sf_dir):
     return resample.holm(venue_tests(spark, sf_dir), "p", ["venue"]).select("venue", R("p", 6).alias("p"), R("p_holm", 6).alias("p_holm"))
 
 
-@query(f"WITH {ENTRANTS}, {P1}, {VENUE}, h AS (SELECT venue, p, row_number() OVER (ORDER BY p, venue) AS rn, count(*) OVER () AS m FROM vp), k AS (SELECT venue, max(least(1.0, (m - rn + 1) * p)) OVER (ORDER BY rn) AS ph FROM h) SELECT count(*) AS tests, CASE WHEN bool_and(ph < 0.05) THEN 'PROMOTE' ELSE 'REJECT' END AS decision FROM k")
+@query(f"WITH {ENTRANTS}, {P1}, {VENUE}, hh AS (SELECT venue, p, row_number() OVER (ORDER BY p, venue) AS rn, count(*) OVER () AS m FROM vp), k AS (SELECT venue, max(least(1.0, (m - rn + 1) * p)) OVER (ORDER BY rn) AS ph FROM hh) SELECT count(*) AS tests, CASE WHEN bool_and(ph < 0.05) THEN 'PROMOTE' ELSE 'REJECT' END AS decision FROM k")
 def m16_decision_gate(spark, sf_dir):
     """Promote only if every adjusted test is below one in twenty."""
     h = resample.holm(venue_tests(spark, sf_dir), "p", ["venue"])
-    return h.agg(N.alias("tests"), F.when(F.bool_and(F.col("p_holm") < 0.05), "PROMOTE").otherwise("REJECT").alias("decision"))
+    return h.agg(count_rows().alias("tests"), F.when(F.bool_and(F.col("p_holm") < 0.05), "PROMOTE").otherwise("REJECT").alias("decision"))
 
 
 @query(f"""WITH {ENTRANTS}, {P1}, {AGENT.format(key="agent_id")}, {SWAPS}, kb AS (SELECT race_id % 50 AS block, sum(new_hit - old_hit) AS delta, count(*) AS rows FROM k GROUP BY 1), nb AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS unit, count(*) OVER () AS units FROM kb),
 {BOOT.replace("boot|", "acc|")}, s AS (SELECT list_sort(list(ratio)) AS s FROM rt) SELECT round(s[1 + CAST(floor(0.025 * {REPS}) AS INTEGER)], 6) + 0.0 AS low, round(s[1 + CAST(floor(0.975 * {REPS}) AS INTEGER)], 6) + 0.0 AS high FROM s""")
 def m15_accuracy_interval(spark, sf_dir):
-    k = swaps(spark, sf_dir).groupBy((F.col("race_id") % 50).alias("block")).agg(F.sum(F.col("new_hit") - F.col("old_hit")).alias("delta"), N.alias("rows"))
+    k = swaps(spark, sf_dir).groupBy((F.col("race_id") % 50).alias("block")).agg(F.sum(F.col("new_hit") - F.col("old_hit")).alias("delta"), count_rows().alias("rows"))
     i = resample.floor_interval(resample.bootstrap(resample.numbered(k, ["block"]), "delta", "rows", REPS, "acc"))
     return i.select((R("low", 6) + 0.0).alias("low"), (R("high", 6) + 0.0).alias("high"))
 
@@ -252,7 +252,7 @@ def pairs(spark, sf_dir, days=14):
 
 @query(f"WITH {PAIRS} SELECT race_row, count(*) AS evidence, min(wd) AS first_day, max(wd) AS last_day FROM j GROUP BY 1")
 def j03_point_in_time_join(spark, sf_dir):
-    return pairs(spark, sf_dir)[1].groupBy("race_row").agg(N.alias("evidence"), F.min("wd").cast("long").alias("first_day"), F.max("wd").cast("long").alias("last_day"))
+    return pairs(spark, sf_dir)[1].groupBy("race_row").agg(count_rows().alias("evidence"), F.min("wd").cast("long").alias("first_day"), F.max("wd").cast("long").alias("last_day"))
 
 
 PICK = f"""{PAIRS}, l AS (SELECT *, row_number() OVER (PARTITION BY race_row ORDER BY wd DESC, clock DESC, created DESC, center DESC, wid DESC) AS rn FROM j WHERE f1 IS NOT NULL),
@@ -286,7 +286,7 @@ def w12_quartile(spark, sf_dir):
 def m06_feature_keys(spark, sf_dir):
     """Presence and capped count per row; none is neutral."""
     rows, p = pairs(spark, sf_dir)
-    k = p.groupBy("race_row").agg(N.alias("n"))
+    k = p.groupBy("race_row").agg(count_rows().alias("n"))
     return rows.join(k, "race_row", "left").select("race_row", F.col("n").isNotNull().alias("presence"), F.least(F.lit(3), F.coalesce("n", F.lit(0))).cast("int").alias("capped"))
 
 
@@ -298,8 +298,8 @@ def m05_evidence_grid(spark, sf_dir):
     _, p = pairs(spark, sf_dir)
     grid = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(d).alias("days")) for s in ("A", "B", "both") for d in (7, 14)])
     x = p.select("race_row", "center", "wd", "dn", F.explode(grid).alias("g")).where(((F.col("g.source") == "both") | (F.col("g.source") == F.col("center"))) & (F.col("wd") >= F.col("dn") - F.col("g.days")))
-    n = x.groupBy("g.source", "g.days", "race_row").agg(N.alias("n"))
-    return n.groupBy("source", "days").agg(N.alias("covered"), F.sum(F.least("n", F.lit(3))).alias("capped"))
+    n = x.groupBy("g.source", "g.days", "race_row").agg(count_rows().alias("n"))
+    return n.groupBy("source", "days").agg(count_rows().alias("covered"), F.sum(F.least("n", F.lit(3))).alias("capped"))
 
 
 @query(f"""WITH {ENTRANTS}, {P1}, x AS (SELECT race_id, horse_id, base, count(*) OVER w AS xn, coalesce(sum(label_win) OVER w, 0) AS xw, coalesce(sum(p) OVER w, 0) AS xe FROM p WINDOW w AS (PARTITION BY agent_id, race_class ORDER BY dn RANGE BETWEEN 1095 PRECEDING AND 1 PRECEDING))
@@ -312,8 +312,6 @@ def m07_multiplier(spark, sf_dir):
 @query(f"WITH {WORKOUTS} SELECT count(*) AS rows, count(DISTINCT wid) AS distinct_rows, count(*) FILTER (f1 IS NULL) AS unmeasured, (SELECT count(*) FROM (SELECT 1 FROM w GROUP BY horse_id, clock HAVING count(*) > 1 AND count(DISTINCT center) = 1)) AS repeated, (SELECT count(*) FROM (SELECT 1 FROM w GROUP BY horse_id, clock HAVING count(DISTINCT center) > 1)) AS conflicting FROM w")
 def a21_evidence_audit(spark, sf_dir):
     _, w = workouts(spark, sf_dir)
-    k = w.groupBy("horse_id", "clock").agg(N.alias("n"), F.count_distinct("center").alias("c"))
-    return w.agg(N.alias("rows"), F.count_distinct("wid").alias("distinct_rows"), F.count_if(F.col("f1").isNull()).alias("unmeasured")).join(k.agg(F.count_if((F.col("n") > 1) & (F.col("c") == 1)).alias("repeated"), F.count_if(F.col("c") > 1).alias("conflicting")))
+    k = w.groupBy("horse_id", "clock").agg(count_rows().alias("n"), F.count_distinct("center").alias("c"))
+    return w.agg(count_rows().alias("rows"), F.count_distinct("wid").alias("distinct_rows"), F.count_if(F.col("f1").isNull()).alias("unmeasured")).join(k.agg(F.count_if((F.col("n") > 1) & (F.col("c") == 1)).alias("repeated"), F.count_if(F.col("c") > 1).alias("conflicting")))
 
-
-_ = (rankprob, table)

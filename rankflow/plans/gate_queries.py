@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import canonical, gates, metrics
+from ..functions.scalars import count_rows
+from ..operators import canonical, gates
 from ..registry import query
 from ..sources.bindings import CONTESTS, ENTRANTS, RUNNERS, contests, entrants, runners, table
 
-N = F.count(F.lit(1))
 
 CANON = f"""{ENTRANTS}, k AS (SELECT CASE WHEN race_id % 211 = 0 THEN NULL WHEN race_id % 223 = 0 THEN CAST(race_id AS VARCHAR) ELSE race_id || '-' || horse_id END AS race_horse_id, race_id, horse_id,
  CASE WHEN race_id % 227 = 0 THEN 'x' ELSE strftime(day, '%Y-%m-%d') END AS race_date, CASE WHEN race_id % 229 = 0 THEN '7' ELSE CAST(domain AS VARCHAR) END AS race_scope_cd,
@@ -39,7 +39,7 @@ def delivered(spark, sf_dir):
 
 def canonical_checks(spark, sf_dir):
     d = delivered(spark, sf_dir)
-    keys = d.where("race_horse_id is not null").groupBy("race_horse_id").agg(N.alias("keys")).where("keys > 1")
+    keys = d.where("race_horse_id is not null").groupBy("race_horse_id").agg(count_rows().alias("keys")).where("keys > 1")
     c = F.col
     return d.join(keys, "race_horse_id", "left"), gates.canonical_rules(F.coalesce("keys", F.lit(1)), c("race_date"), c("race_scope_cd"), c("race_horse_id"), c("label_win"), c("label_top2"), c("label_top3"))
 
@@ -59,7 +59,7 @@ def p06_quarantine(spark, sf_dir):
 def p07_frame_contract(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     rules = {"null_key": F.col("o_orderkey").isNull(), "bad_status": ~F.col("o_orderstatus").isin("F", "O", "P"), "bad_price": F.col("o_totalprice") < 0}
-    again = o.groupBy("o_orderkey").agg(N.alias("n")).where("n > 1").agg(N.alias("repeated"))
+    again = o.groupBy("o_orderkey").agg(count_rows().alias("n")).where("n > 1").agg(count_rows().alias("repeated"))
     return gates.violations(o, rules).drop("status").join(again)
 
 
@@ -88,19 +88,19 @@ def p09_eligibility_cascade(spark, sf_dir):
     """First failing reason per contest; a tie only excludes from scoring."""
     active = ~F.col("abnormal").isin("1", "2", "3")
     g = runners(spark, sf_dir).groupBy("race_id").agg(
-        N.alias("rows"), F.count_if(active).alias("active"), F.count_if(~active).alias("absent"), F.count_if(F.col("agent_id").isNull()).alias("unknown"), F.count_if((F.col("price") >= 90000) & (F.col("abnormal") == "0")).alias("winners")
+        count_rows().alias("rows"), F.count_if(active).alias("active"), F.count_if(~active).alias("absent"), F.count_if(F.col("agent_id").isNull()).alias("unknown"), F.count_if((F.col("price") >= 90000) & (F.col("abnormal") == "0")).alias("winners")
     )
     c = contests(spark, sf_dir).where("venue <> 'P'").withColumn("valid", gates.valid_conditions()).select("race_id", "valid")
     q = g.join(c, "race_id", "left")
     reason = gates.first_reason(
         [("no_conditions", F.col("valid").isNull()), ("invalid_conditions", ~F.col("valid")), ("unknown_id", F.col("unknown") > 0), ("too_few", F.col("active") < 2), ("no_winner", F.col("winners") == 0)]
     )
-    return q.groupBy(F.coalesce(reason, F.lit("eligible")).alias("reason")).agg(N.alias("races"), F.sum("rows").alias("rows"), F.sum("absent").alias("absent"), F.count_if(F.col("winners") > 1).alias("ties"))
+    return q.groupBy(F.coalesce(reason, F.lit("eligible")).alias("reason")).agg(count_rows().alias("races"), F.sum("rows").alias("rows"), F.sum("absent").alias("absent"), F.count_if(F.col("winners") > 1).alias("ties"))
 
 
 @query(f"WITH {CONTESTS} SELECT count(*) AS rows, count(*) FILTER (distance > 0 AND track <> '00' AND trim(race_class) <> '') AS valid, count(*) FILTER (grade = '') AS no_grade FROM c")
 def p10_valid_conditions(spark, sf_dir):
-    return contests(spark, sf_dir).agg(N.alias("rows"), F.count_if(gates.valid_conditions()).alias("valid"), F.count_if(F.col("grade") == "").alias("no_grade"))
+    return contests(spark, sf_dir).agg(count_rows().alias("rows"), F.count_if(gates.valid_conditions()).alias("valid"), F.count_if(F.col("grade") == "").alias("no_grade"))
 
 
 @query(f"WITH {CONTESTS}, {RUNNERS} SELECT race_id, count(*) FILTER (abnormal NOT IN ('1', '2', '3')) AS active, count(*) FILTER (abnormal IN ('1', '2', '3')) AS non_starters FROM r GROUP BY 1")
@@ -114,7 +114,7 @@ SELECT c.race_id, concat_ws(',', CASE WHEN n = 1 THEN 'field_of_one' END, CASE W
 FROM c LEFT JOIN g USING (race_id)""")
 def p12_readiness_blockers(spark, sf_dir):
     """Per contest the sorted names of what blocks it, from conditions and roster."""
-    g = runners(spark, sf_dir).groupBy("race_id").agg(N.alias("n"), F.count_if(F.col("abnormal") != "0").alias("off"), F.count_distinct("agent_id").alias("agents"))
+    g = runners(spark, sf_dir).groupBy("race_id").agg(count_rows().alias("n"), F.count_if(F.col("abnormal") != "0").alias("off"), F.count_distinct("agent_id").alias("agents"))
     rows = contests(spark, sf_dir).join(g, "race_id", "full_outer")
     rules = {"no_roster": F.col("n").isNull(), "field_of_one": F.col("n") == 1, "shared_agent": F.col("agents") < F.col("n"), "status_not_clear": F.col("off") > 0, "no_grade": F.col("grade") == ""}
     return gates.issues(rows, rules, "b").select("race_id", F.array_join("b", ",").alias("blockers"))
@@ -128,7 +128,7 @@ def p14_personal_gate(spark, sf_dir):
     rows = contests(spark, sf_dir).join(g, "race_id", "left")
     ready = F.array_compact(F.array(F.when(F.col("grade") == "", "no_grade")))
     status = F.array_compact(F.array(F.when(F.coalesce("off", F.lit(1)) > 0, "status_not_clear")))
-    return rows.withColumn("b", F.array_union(ready, status)).groupBy("venue").agg(N.alias("races"), F.count_if(F.size("b") > 0).alias("blocked"))
+    return rows.withColumn("b", F.array_union(ready, status)).groupBy("venue").agg(count_rows().alias("races"), F.count_if(F.size("b") > 0).alias("blocked"))
 
 
 @query("""WITH s AS (SELECT event_id, ts AS captured, ts + INTERVAL 6 HOUR AS now, CASE WHEN event_id % 50 = 0 THEN '0000' ELSE lpad(CAST(event_id % 24 AS VARCHAR), 2, '0') || '30' END AS clock FROM events)
@@ -138,13 +138,13 @@ def p13_before_start(spark, sf_dir):
     clock = F.when(F.col("event_id") % 50 == 0, "0000").otherwise(F.concat(F.lpad((F.col("event_id") % 24).cast("string"), 2, "0"), F.lit("30")))
     at = F.col("ts").cast("timestamp")
     ok = gates.before_start(F.date_format(at, "yyyyMMdd"), clock, at, at + F.expr("INTERVAL 6 HOUR"))
-    return e.agg(N.alias("rows"), F.count_if(ok).alias("before_start"))
+    return e.agg(count_rows().alias("rows"), F.count_if(ok).alias("before_start"))
 
 
 @query(f"WITH {CONTESTS} SELECT CASE WHEN o.o_orderkey % 3 = 0 THEN NULL WHEN domain = 1 THEN 'JRA' ELSE 'NAR' END AS domain, count(*) AS rows FROM c JOIN orders o ON race_id = o_orderkey GROUP BY 1")
 def p16_domain_normalisation(spark, sf_dir):
     raw = F.when(F.col("race_id") % 3 == 0, "9").when(F.col("domain") == 1, F.when(F.col("race_id") % 4 == 1, " jra ").otherwise("1.0")).otherwise(F.when(F.col("race_id") % 4 == 0, "NAR").otherwise("2"))
-    return contests(spark, sf_dir).groupBy(gates.domain(raw).alias("domain")).agg(N.alias("rows"))
+    return contests(spark, sf_dir).groupBy(gates.domain(raw).alias("domain")).agg(count_rows().alias("rows"))
 
 
 @query(f"WITH {ENTRANTS} SELECT count(*) AS rows, count(*) FILTER (horse_id % 41 = 0) AS bad_p1, count(*) FILTER (horse_id % 43 = 0) AS not_ascending, CAST(0 AS BIGINT) AS duplicate_key, count(*) FILTER (horse_id % 9 = 8) AS bad_frame FROM e")
@@ -154,7 +154,7 @@ def p17_result_blind_gate(spark, sf_dir):
     d = e.select("race_id", "horse_id", F.when(F.col("horse_id") % 41 == 0, 1.5).otherwise(1 / (F.col("n") + 1)).alias("p1"), F.when(F.col("horse_id") % 43 == 0, 0.0).otherwise(F.lit(1.6)).alias("p2"), (F.col("horse_id") % 9 + 1).alias("frame"))
     if {"finish", "label_win", "payout_per_100"} & set(d.columns):
         raise ValueError("outcome columns are forbidden here")
-    again = d.groupBy("race_id", "horse_id").agg(N.alias("k")).where("k > 1").agg(N.alias("duplicate_key"))
+    again = d.groupBy("race_id", "horse_id").agg(count_rows().alias("k")).where("k > 1").agg(count_rows().alias("duplicate_key"))
     rules = {"bad_p1": ~F.col("p1").between(0, 1), "not_ascending": F.col("p2") < F.least("p1", F.lit(1.0)), "bad_frame": ~F.col("frame").between(1, 8)}
     return gates.violations(d, rules).drop("status").join(again)
 
@@ -162,7 +162,7 @@ def p17_result_blind_gate(spark, sf_dir):
 @query(f"WITH {ENTRANTS} SELECT venue, count(*) AS rows FROM e WHERE venue IN ('F', 'O') AND race_class IN ('1', '2') AND domain = 1 GROUP BY 1")
 def p18_segment_filter(spark, sf_dir):
     e = entrants(spark, sf_dir).withColumnRenamed("domain", "race_scope_cd")
-    return e.where(gates.segment(e, {"venue": [" f", "O"], "race_class": ["1", "2"]}, scope=1)).groupBy("venue").agg(N.alias("rows"))
+    return e.where(gates.segment(e, {"venue": [" f", "O"], "race_class": ["1", "2"]}, scope=1)).groupBy("venue").agg(count_rows().alias("rows"))
 
 
 @query(f"""WITH {CANON}, s AS (SELECT *, bool_and(TRY_CAST(label_win AS DOUBLE) IS NOT NULL) OVER w AS known, sum(TRY_CAST(label_win AS DOUBLE)) OVER w AS wins FROM k WINDOW w AS (PARTITION BY race_id))
@@ -172,7 +172,7 @@ def p19_safe_population(spark, sf_dir):
     w = Window.partitionBy("race_id")
     y = F.col("label_win").try_cast("double")
     s = delivered(spark, sf_dir).withColumn("known", F.bool_and(y.isNotNull()).over(w)).withColumn("wins", F.sum(y).over(w))
-    return s.where(F.col("known") & (F.col("wins") == 1) & F.col("race_scope_cd").isin("1", "2")).agg(N.alias("rows"), F.count_distinct("race_id").alias("races"))
+    return s.where(F.col("known") & (F.col("wins") == 1) & F.col("race_scope_cd").isin("1", "2")).agg(count_rows().alias("rows"), F.count_distinct("race_id").alias("races"))
 
 
 @query(f"WITH {CANON} SELECT race_id, bool_and(TRY_CAST(label_win AS DOUBLE) IS NOT NULL) AS all_labelled, coalesce(sum(TRY_CAST(label_win AS DOUBLE)) = 1, FALSE) AS one_winner FROM k GROUP BY race_id")
@@ -201,7 +201,7 @@ def p23_label_derivation(spark, sf_dir):
     f = F.col("finish").try_cast("int")
     win = F.when(F.col("abnormal") == "4", 0).when(f.isNotNull(), (f == 1).cast("int"))
     status = F.when(F.col("abnormal") == "4", "DNF").when(f.isNull(), "NON_STARTER").otherwise("FINISHED")
-    return r.groupBy(status.alias("result_status")).agg(N.alias("rows"), F.sum(win).alias("wins"), F.count_if(F.coalesce(f.between(1, 3), F.lit(False))).alias("top3"))
+    return r.groupBy(status.alias("result_status")).agg(count_rows().alias("rows"), F.sum(win).alias("wins"), F.count_if(F.coalesce(f.between(1, 3), F.lit(False))).alias("top3"))
 
 
 @query("SELECT c_custkey, sha256(c_name || '|' || coalesce(c_mktsegment, '') || '|' || CAST(c_nationkey AS VARCHAR)) AS identity FROM customer")
@@ -214,11 +214,11 @@ def p24_provisional_identity(spark, sf_dir):
 SELECT count(*) AS rows, count(*) FILTER (odds IS NULL) AS missing, count(*) FILTER (odds <= 1) AS bad_odds, (SELECT count(*) FROM (SELECT 1 FROM m GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)) AS repeated FROM m""")
 def p25_market_gate(spark, sf_dir):
     m = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") / 10, 1).alias("odds"))
-    again = m.groupBy("l_orderkey", "l_linenumber").agg(N.alias("k")).where("k > 1").agg(N.alias("repeated"))
+    again = m.groupBy("l_orderkey", "l_linenumber").agg(count_rows().alias("k")).where("k > 1").agg(count_rows().alias("repeated"))
     return gates.violations(m, {"missing": F.col("odds").isNull(), "bad_odds": F.col("odds") <= 1}).drop("status").join(again)
 
 
-@query(f"WITH {CONTESTS}, {RUNNERS} SELECT (SELECT count(*) FROM (SELECT race_id FROM c EXCEPT SELECT race_id FROM r)) AS only_left, (SELECT count(*) FROM (SELECT race_id FROM r EXCEPT SELECT race_id FROM c)) AS only_right, only_left = 0 AND only_right = 0 AS same")
+@query(f"WITH {CONTESTS}, {RUNNERS} SELECT *, only_left = 0 AND only_right = 0 AS same FROM (SELECT (SELECT count(*) FROM (SELECT race_id FROM c EXCEPT SELECT race_id FROM r)) AS only_left, (SELECT count(*) FROM (SELECT race_id FROM r EXCEPT SELECT race_id FROM c)) AS only_right)")
 def p26_refresh_gate(spark, sf_dir):
     """Conditions and runners must name the same contests."""
     return gates.same_sets(contests(spark, sf_dir).select("race_id"), runners(spark, sf_dir).select("race_id").distinct(), ["race_id"])
@@ -229,9 +229,9 @@ SELECT count(*) AS keys, CAST(0 AS BIGINT) AS wrong_totals, CAST(0 AS BIGINT) AS
 def p27_history_audit(spark, sf_dir):
     """Totals equal the events, days ascend, none lies in the future."""
     e = entrants(spark, sf_dir)
-    state = e.groupBy("horse_id", "dn").agg(N.alias("n"), F.sum("label_win").alias("w")).groupBy("horse_id").agg(F.sum("n").alias("sn"), F.sum("w").alias("sw"), F.max("dn").alias("last"))
-    total = e.groupBy("horse_id").agg(N.alias("n"), F.sum("label_win").alias("w"))
-    return state.join(total, "horse_id", "full_outer").agg(N.alias("keys"), F.count_if(~(F.col("sn").eqNullSafe(F.col("n")) & F.col("sw").eqNullSafe(F.col("w")))).alias("wrong_totals"), F.count_if(F.col("last") > F.unix_date(F.lit("2000-01-01").cast("date"))).alias("future_days"))
+    state = e.groupBy("horse_id", "dn").agg(count_rows().alias("n"), F.sum("label_win").alias("w")).groupBy("horse_id").agg(F.sum("n").alias("sn"), F.sum("w").alias("sw"), F.max("dn").alias("last"))
+    total = e.groupBy("horse_id").agg(count_rows().alias("n"), F.sum("label_win").alias("w"))
+    return state.join(total, "horse_id", "full_outer").agg(count_rows().alias("keys"), F.count_if(~(F.col("sn").eqNullSafe(F.col("n")) & F.col("sw").eqNullSafe(F.col("w")))).alias("wrong_totals"), F.count_if(F.col("last") > F.unix_date(F.lit("2002-01-01").cast("date"))).alias("future_days"))
 
 
 CHAIN = """s AS (SELECT user_id, event_id, ts, row_number() OVER w AS seq, sha256(user_id || '|' || event_id || '|' || event_type) AS sha FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -260,21 +260,21 @@ def w21_chain_predecessor(spark, sf_dir):
 
 @query(f"""WITH {ENTRANTS}, m AS (SELECT race_id, day, count(*) AS n FROM e GROUP BY 1, 2) SELECT count(*) AS races, CAST(sum(n) AS BIGINT) AS rows, count(DISTINCT day) AS days, count(*) - count(DISTINCT race_id) AS repeated, CAST(0 AS BIGINT) AS not_increasing FROM m""")
 def p29_run_integrity(spark, sf_dir):
-    m = entrants(spark, sf_dir).groupBy("race_id", "day").agg(N.alias("n"))
-    days = m.select("day").distinct().withColumn("before", F.lag("day").over(Window.orderBy("day"))).agg(N.alias("days"), F.count_if(F.col("day") <= F.col("before")).alias("not_increasing"))
-    return m.agg(N.alias("races"), F.sum("n").alias("rows"), (N - F.count_distinct("race_id")).alias("repeated")).join(days)
+    m = entrants(spark, sf_dir).groupBy("race_id", "day").agg(count_rows().alias("n"))
+    days = m.select("day").distinct().withColumn("before", F.lag("day").over(Window.orderBy("day"))).agg(count_rows().alias("days"), F.count_if(F.col("day") <= F.col("before")).alias("not_increasing"))
+    return m.agg(count_rows().alias("races"), F.sum("n").alias("rows"), (count_rows() - F.count_distinct("race_id")).alias("repeated")).join(days)
 
 
 @query(f"WITH {CANON} SELECT count(*) AS rows, count(DISTINCT race_id) AS races, count(*) FILTER (duplicate_key) AS duplicates, count(*) FILTER (not_monotone) AS label_order FROM v")
 def p31_quality_audit(spark, sf_dir):
     d, rules = canonical_checks(spark, sf_dir)
-    return d.agg(N.alias("rows"), F.count_distinct("race_id").alias("races"), F.count_if(F.coalesce(rules["duplicate_key"], F.lit(False))).alias("duplicates"), F.count_if(F.coalesce(rules["not_monotone"], F.lit(False))).alias("label_order"))
+    return d.agg(count_rows().alias("rows"), F.count_distinct("race_id").alias("races"), F.count_if(F.coalesce(rules["duplicate_key"], F.lit(False))).alias("duplicates"), F.count_if(F.coalesce(rules["not_monotone"], F.lit(False))).alias("label_order"))
 
 
 @query(f"WITH {CONTESTS} SELECT domain, count(*) AS races, count(*) FILTER (domain = 1 AND race_class IN ('1', '2') AND distance <= 1600) AS tagged FROM c GROUP BY 1")
 def p32_hypothesis_tag(spark, sf_dir):
     tag = (F.col("domain") == 1) & F.col("race_class").isin("1", "2") & (F.col("distance") <= 1600)
-    return contests(spark, sf_dir).groupBy("domain").agg(N.alias("races"), F.count_if(tag).alias("tagged"))
+    return contests(spark, sf_dir).groupBy("domain").agg(count_rows().alias("races"), F.count_if(tag).alias("tagged"))
 
 
 MAPPED = "SELECT CAST(o_orderkey AS VARCHAR) AS race_id, strftime(o_orderdate, '%Y-%m-%d') AS race_date, CAST(o_orderkey % 2 + 1 AS INTEGER) AS race_scope_cd, 'orders' AS provenance FROM orders"
@@ -303,14 +303,14 @@ def stores(spark, sf_dir):
 @query(f"WITH {STAGED} SELECT count(*) AS overlap FROM staged WHERE EXISTS (SELECT 1 FROM base WHERE base.id = staged.id)")
 def j05_overlap_count(spark, sf_dir):
     base, staged = stores(spark, sf_dir)
-    return staged.join(base, "id", "left_semi").agg(N.alias("overlap"))
+    return staged.join(base, "id", "left_semi").agg(count_rows().alias("overlap"))
 
 
 @query(f"""WITH {STAGED}, j AS (SELECT s.*, CASE WHEN b.id IS NULL THEN 'new' WHEN s.race_id = b.race_id AND s.finish = b.finish AND s.price = b.price THEN 'duplicate' ELSE 'conflict' END AS kind FROM staged s LEFT JOIN base b USING (id))
 SELECT kind, count(*) AS rows FROM j GROUP BY 1""")
 def j06_classify_staged(spark, sf_dir):
     base, staged = stores(spark, sf_dir)
-    return canonical.classified(staged, base, "id", ["race_id", "finish", "price"]).groupBy("kind").agg(N.alias("rows"))
+    return canonical.classified(staged, base, "id", ["race_id", "finish", "price"]).groupBy("kind").agg(count_rows().alias("rows"))
 
 
 @query(f"WITH {STAGED} SELECT * FROM staged WHERE id NOT IN (SELECT id FROM base)")
@@ -337,7 +337,7 @@ def u07_canonical_merge(spark, sf_dir):
 def u01_tagged_union(spark, sf_dir):
     base, staged = stores(spark, sf_dir)
     both = base.withColumn("priority", F.lit(0)).unionByName(staged.withColumn("priority", F.lit(1)))
-    return both.groupBy("priority").agg(N.alias("rows"))
+    return both.groupBy("priority").agg(count_rows().alias("rows"))
 
 
 @query(f"WITH {STAGED}, u AS (SELECT *, 0 AS p FROM base UNION ALL SELECT *, 1 FROM staged), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS rn FROM u) SELECT p AS priority, count(*) AS kept FROM k WHERE rn = 1 GROUP BY 1")
@@ -345,10 +345,10 @@ def w10_dedup_keep_first(spark, sf_dir):
     base, staged = stores(spark, sf_dir)
     u = base.withColumn("priority", F.lit(0)).unionByName(staged.withColumn("priority", F.lit(1)))
     first = F.row_number().over(Window.partitionBy("id").orderBy("priority"))
-    return u.withColumn("rn", first).where("rn = 1").groupBy("priority").agg(N.alias("kept"))
+    return u.withColumn("rn", first).where("rn = 1").groupBy("priority").agg(count_rows().alias("kept"))
 
 
-@query(f"WITH {STAGED}, a AS (SELECT id FROM base), b AS (SELECT id FROM staged) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS only_left, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS only_right, only_left = 0 AND only_right = 0 AS same")
+@query(f"WITH {STAGED}, a AS (SELECT id FROM base), b AS (SELECT id FROM staged) SELECT *, only_left = 0 AND only_right = 0 AS same FROM (SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS only_left, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS only_right)")
 def u03_key_set_equality(spark, sf_dir):
     base, staged = stores(spark, sf_dir)
     return gates.same_sets(base, staged, ["id"])
@@ -382,7 +382,7 @@ def p03_contract_assessment(spark, sf_dir):
     known = catalog.withColumn("there", F.lit(True))
     every = catalog.select("source").distinct()
     joined = contract.join(known, ["source", "col"], "left")
-    counts = joined.where("there").groupBy("source", "target").agg(N.alias("k"))
+    counts = joined.where("there").groupBy("source", "target").agg(count_rows().alias("k"))
     per = counts.groupBy("source").agg(F.collect_set("target").alias("targets"), F.array_sort(F.collect_set(F.when(F.col("k") > 1, F.col("target")))).alias("dups"))
     lost = joined.where("there is null").groupBy("source").agg(F.array_sort(F.collect_set("col")).alias("lost"))
     want = F.array(*[F.lit(x) for x in ("label_win", "race_date", "race_id")])
@@ -392,5 +392,3 @@ def p03_contract_assessment(spark, sf_dir):
     status = F.when((F.size("targets") == 0) & (F.size("lost") == 0), "NEEDS_CONTRACT").when((F.size(missing) > 0) | (F.size("dups") > 0) | (F.size("lost") > 0), "INCOMPLETE").otherwise("CONTRACT_READY")
     return out.select("source", F.size("targets").cast("long").alias("mapped"), F.array_join(missing, ",").alias("missing_targets"), F.array_join("lost", ",").alias("missing_columns"), F.array_join("dups", ",").alias("duplicate_targets"), status.alias("status"))
 
-
-_ = metrics

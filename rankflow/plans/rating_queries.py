@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import gates, history, metrics, rankprob
+from ..operators import history, metrics, rankprob
 from ..registry import query
 from ..sources.bindings import CONTESTS, ENTRANTS, contests, entrants
 
@@ -99,13 +99,13 @@ AGENT = """a AS (SELECT race_id, horse_id, count(*) OVER w AS a_n, coalesce(sum(
 a2 AS (SELECT race_id, horse_id, count(*) OVER w AS t_n, coalesce(sum(label_win) OVER w, 0) AS t_wins FROM e WINDOW w AS (PARTITION BY venue, race_class ORDER BY dn RANGE BETWEEN 1095 PRECEDING AND 1 PRECEDING)),
 z AS (SELECT *, base * (1 - 0.25 * a_n / (a_n + 100.0)) + 0.25 * a_n / (a_n + 100.0) * (a_wins + 10) / (a_n + 120.0) AS one, base * (1 - 0.25 * t_n / (t_n + 100.0)) + 0.25 * t_n / (t_n + 100.0) * (t_wins + 10) / (t_n + 120.0) AS two
  FROM p JOIN a USING (race_id, horse_id) JOIN a2 USING (race_id, horse_id))
-SELECT race_id, horse_id, round(one, 6) AS first_agent, round(two, 6) AS second_agent, round((one + two) / 2, 6) AS both FROM z""")
+SELECT race_id, horse_id, round(one, 9) AS first_agent, round(two, 9) AS second_agent, round((one + two) / 2, 9) AS both FROM z""")
 def m02_agent_blend(spark, sf_dir):
     p = history.history(base_rates(spark, sf_dir), ["agent_id"], {"wins": F.col("label_win")}, prefix="a_")
     p = history.history(p, ["venue", "race_class"], {"wins": F.col("label_win")}, prefix="t_")
     one = history.agent_blend(F.col("base"), F.col("a_wins"), F.col("a_n"), 0.25)
     two = history.agent_blend(F.col("base"), F.col("t_wins"), F.col("t_n"), 0.25)
-    return p.select("race_id", "horse_id", R(one, 6).alias("first_agent"), R(two, 6).alias("second_agent"), R((one + two) / 2, 6).alias("both"))
+    return p.select("race_id", "horse_id", R(one, 9).alias("first_agent"), R(two, 9).alias("second_agent"), R((one + two) / 2, 9).alias("both"))
 
 
 GRID = [(s, w, c) for s in (12, 24) for w in (200, 400, 800) for c in (0.25, 0.5)]
@@ -202,7 +202,7 @@ FROM u JOIN ece USING (stage) JOIN tops USING (stage) GROUP BY stage""")
 def m11_calibration_comparison(spark, sf_dir):
     """Losses, ECE and hit rate before and after tempering; the hit rate can't change."""
     p = base_rates(spark, sf_dir).withColumn("q", rankprob.tempered(F.col("p"), 1.3, "race_id"))
-    u = p.select("race_id", "horse_id", "label_win", F.explode(F.array(F.struct(F.lit("before").alias("stage"), F.col("p").alias("v")), F.struct(F.lit("after"), F.col("q")))).alias("x")).select("race_id", "horse_id", "label_win", "x.*")
+    u = p.select("race_id", "horse_id", "label_win", F.explode(F.array(F.struct(F.lit("before").alias("stage"), F.col("p").alias("v")), F.struct(F.lit("after").alias("stage"), F.col("q").alias("v")))).alias("x")).select("race_id", "horse_id", "label_win", "x.*")
     y = F.col("label_win")
     losses = u.groupBy("stage").agg(R(F.avg(metrics.log_loss(F.col("v"), y)), 6).alias("logloss"), R(F.avg(metrics.brier(F.col("v"), y)), 6).alias("brier"))
     for b in (10, 20):
@@ -250,9 +250,9 @@ def daily_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("day", "dn").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("races"), F.sum("delta").alias("delta"))
 
 
-@query(f"WITH {ENTRANTS}, {P1}, {DAILY} SELECT day, CAST(rows AS BIGINT) AS rows, races, round(delta, 6) AS delta FROM d")
+@query(f"WITH {ENTRANTS}, {P1}, {DAILY} SELECT CAST(day AS VARCHAR) AS day, CAST(rows AS BIGINT) AS rows, races, round(delta, 6) AS delta FROM d")
 def a04_daily_deltas(spark, sf_dir):
-    return daily_deltas(spark, sf_dir).select("day", "rows", "races", R("delta", 6).alias("delta"))
+    return daily_deltas(spark, sf_dir).select(F.col("day").cast("string").alias("day"), "rows", "races", R("delta", 6).alias("delta"))
 
 
 THREE = f"""t AS (SELECT race_id, horse_id, k, CASE k WHEN 1 THEN p_win WHEN 2 THEN p_top2 ELSE p_top3 END AS q, CAST(finish <= k AS INTEGER) AS y FROM m, (VALUES (1), (2), (3)) AS g(k)),
@@ -290,8 +290,8 @@ def a13_calibration_table(spark, sf_dir):
 
 @query(f"""WITH {ENTRANTS}, {P1}, top AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY round(p, 12) DESC, horse_id) AS rn FROM p),
 z AS (SELECT 'all' AS pop, p, label_win FROM p UNION ALL SELECT 'top', p, label_win FROM top WHERE rn = 1),
-b AS (SELECT pop, least(19, CAST(floor(p * 20) AS INTEGER)) AS bin, count(*) AS n, avg(p) AS mp, avg(label_win) AS mr FROM z GROUP BY 1, 2)
-SELECT pop, round(sum(n * abs(mp - mr)) / sum(n), 6) AS ece FROM b GROUP BY pop""")
+bb AS (SELECT pop, least(19, CAST(floor(p * 20) AS INTEGER)) AS bin, count(*) AS n, avg(p) AS mp, avg(label_win) AS mr FROM z GROUP BY 1, 2)
+SELECT pop, round(sum(n * abs(mp - mr)) / sum(n), 6) AS ece FROM bb GROUP BY pop""")
 def a13_expected_calibration_error(spark, sf_dir):
     p = base_rates(spark, sf_dir).withColumn("key", F.round("p", 12))
     top = metrics.top_pick(p, "race_id", "horse_id", "key")
@@ -339,8 +339,8 @@ def a15_error_contribution(spark, sf_dir):
     return s.select("swapped", "races", "rows", R("d", 6).alias("delta"), R(F.col("d") / whole, 4).alias("share"))
 
 
-@query(f"""WITH {ENTRANTS}, {P1}, z AS (SELECT round(p, 9) AS s, label_win AS y FROM p), r AS (SELECT *, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM z)
-SELECT CAST(sum(y) AS BIGINT) AS positives, CAST(sum(1 - y) AS BIGINT) AS negatives, round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 6) AS auc FROM r""")
+@query(f"""WITH {ENTRANTS}, {P1}, z AS (SELECT round(p, 9) AS s, label_win AS y FROM p), rk AS (SELECT *, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM z)
+SELECT CAST(sum(y) AS BIGINT) AS positives, CAST(sum(1 - y) AS BIGINT) AS negatives, round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 6) AS auc FROM rk""")
 def a16_rank_auc(spark, sf_dir):
     p = base_rates(spark, sf_dir).select(F.round("p", 9).alias("s"), "label_win")
     return metrics.auc(p, "s", "label_win").select("positives", "negatives", R("auc", 6).alias("auc"))
@@ -409,10 +409,8 @@ def m37_replay(spark, sf_dir):
     return whole.agg(F.count(F.lit(1)).alias("rows")).join(whole.exceptAll(again).agg(F.count(F.lit(1)).alias("changed")))
 
 
-@query(f"WITH {CONTESTS} SELECT count(*) AS races, min(day) AS first_day, max(day) AS last_day, max(day) >= DATE '1998-08-01' AS fresh FROM c")
+@query(f"WITH {CONTESTS} SELECT count(*) AS races, CAST(min(day) AS VARCHAR) AS first_day, CAST(max(day) AS VARCHAR) AS last_day, max(day) >= DATE '1998-08-01' AS fresh FROM c")
 def p15_history_freshness(spark, sf_dir):
     c = contests(spark, sf_dir)
-    return c.agg(F.count(F.lit(1)).alias("races"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), (F.max("day") >= F.lit("1998-08-01").cast("date")).alias("fresh"))
+    return c.agg(F.count(F.lit(1)).alias("races"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"), (F.max("day") >= F.lit("1998-08-01").cast("date")).alias("fresh"))
 
-
-_ = gates

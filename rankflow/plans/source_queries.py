@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars
+from ..functions.scalars import count_rows
 from ..operators import canonical, gates
 from ..registry import query
 from ..sources import readers
 from ..sources.bindings import CONTESTS, ENTRANTS, RUNNERS, WORKOUTS, contests, entrants, runners, table, workouts
 
-N = F.count(F.lit(1))
 R = F.round
 
 
@@ -27,10 +27,10 @@ def scratch(spark, name):
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query(f"WITH {CONTESTS} SELECT race_id, trim(venue) AS venue, day FROM c WHERE venue = 'F' AND day BETWEEN DATE '1995-01-01' AND DATE '1995-03-31'")
+@query(f"WITH {CONTESTS} SELECT race_id, trim(venue) AS venue, CAST(day AS VARCHAR) AS day FROM c WHERE venue = 'F' AND day BETWEEN DATE '1995-01-01' AND DATE '1995-03-31'")
 def s03_filtered_projection(spark, sf_dir):
     c = contests(spark, sf_dir)
-    return c.where((F.col("venue") == "F") & F.col("day").between(F.lit("1995-01-01").cast("date"), F.lit("1995-03-31").cast("date"))).select("race_id", F.trim("venue").alias("venue"), "day")
+    return c.where((F.col("venue") == "F") & F.col("day").between(F.lit("1995-01-01").cast("date"), F.lit("1995-03-31").cast("date"))).select("race_id", F.trim("venue").alias("venue"), F.col("day").cast("string").alias("day"))
 
 
 @query(f"WITH {CONTESTS} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS misplaced FROM c WHERE year(day) = 1996")
@@ -39,7 +39,7 @@ def s04_year_snapshot(spark, sf_dir):
     path = scratch(spark, "years")
     c = contests(spark, sf_dir).where("day between date '1995-07-01' and date '1997-06-30'")
     c.withColumns({"year": F.year("day"), "month": F.month("day")}).write.partitionBy("year", "month").parquet(path)
-    return spark.read.parquet(path).where("year = 1996").agg(N.alias("rows"), F.count_if((F.year("day") != F.col("year")) | (F.month("day") != F.col("month"))).alias("misplaced"))
+    return spark.read.parquet(path).where("year = 1996").agg(count_rows().alias("rows"), F.count_if((F.year("day") != F.col("year")) | (F.month("day") != F.col("month"))).alias("misplaced"))
 
 
 @query(f"WITH {ENTRANTS} SELECT CAST(year(day) AS INTEGER) AS year, count(*) AS rows, round(sum(1.0 / n), 4) AS strength FROM e GROUP BY 1")
@@ -49,7 +49,7 @@ def s05_score_stream_files(spark, sf_dir):
     e = entrants(spark, sf_dir).select(F.year("day").alias("year"), "race_id", "horse_id", "finish", (1 / F.col("n")).alias("strength"))
     e.write.partitionBy("year").option("compression", "gzip").json(path)
     back = spark.read.schema("race_id long, horse_id long, finish int, strength double, year int").json(path)
-    return back.groupBy("year").agg(N.alias("rows"), R(F.sum("strength"), 4).alias("strength"))
+    return back.groupBy("year").agg(count_rows().alias("rows"), R(F.sum("strength"), 4).alias("strength"))
 
 
 @query("SELECT p_brand, count(*) AS rows, round(sum(p_retailprice), 2) AS price FROM part GROUP BY 1")
@@ -58,7 +58,7 @@ def s06_csv_and_parquet(spark, sf_dir):
     path = scratch(spark, "part") + ".csv"
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
     p.write.option("header", True).csv(path)
-    return readers.relation(spark, path, p.schema).groupBy("p_brand").agg(N.alias("rows"), R(F.sum("p_retailprice"), 2).alias("price"))
+    return readers.relation(spark, path, p.schema).groupBy("p_brand").agg(count_rows().alias("rows"), R(F.sum("p_retailprice"), 2).alias("price"))
 
 
 @query("SELECT c_mktsegment, count(*) AS rows FROM customer GROUP BY 1")
@@ -67,7 +67,7 @@ def s07_csv_to_parquet(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     c.write.option("header", True).csv(source)
     readers.csv_to_parquet(spark, source, c.schema, dest)
-    return spark.read.parquet(dest).groupBy("c_mktsegment").agg(N.alias("rows"))
+    return spark.read.parquet(dest).groupBy("c_mktsegment").agg(count_rows().alias("rows"))
 
 
 @query("SELECT table_name, string_agg(column_name, ',' ORDER BY column_index) AS columns FROM duckdb_columns() WHERE table_name IN ('orders', 'part', 'events', 'nation') GROUP BY 1")
@@ -85,7 +85,7 @@ def s10_keyset_export(spark, sf_dir):
     half = o.agg(F.percentile_disc(F.col("o_orderkey"), 0.5) if hasattr(F, "percentile_disc") else F.expr("percentile_disc(0.5) within group (order by o_orderkey)")).first()[0]
     readers.stage_after(o.where(F.col("o_orderkey") <= half), "o_orderkey", path)
     readers.stage_after(o, "o_orderkey", path)
-    return spark.read.parquet(path).where(F.col("o_orderkey") > int(half)).agg(N.alias("rows"), F.max("o_orderkey").alias("watermark"))
+    return spark.read.parquet(path).where(F.col("o_orderkey") > int(half)).agg(count_rows().alias("rows"), F.max("o_orderkey").alias("watermark"))
 
 
 @query(f"WITH {CONTESTS} SELECT CASE WHEN race_id % 50 = 0 THEN 'UNKNOWN' ELSE CAST(year(day) AS VARCHAR) END AS year, CASE WHEN domain = 1 THEN 'JRA' ELSE 'NAR' END AS domain, count(*) AS rows FROM c GROUP BY 1, 2")
@@ -93,7 +93,7 @@ def s11_partitioned_write(spark, sf_dir):
     path = scratch(spark, "parts")
     c = contests(spark, sf_dir).withColumn("race_date", F.when(F.col("race_id") % 50 == 0, None).otherwise(F.date_format("day", "yyyy-MM-dd")))
     c.select("race_id", scalars.year_partition(F.col("race_date")).alias("year"), scalars.domain_partition(F.col("domain")).alias("domain")).write.partitionBy("year", "domain").parquet(path)
-    return spark.read.schema("race_id long, year string, domain string").parquet(path).groupBy("year", "domain").agg(N.alias("rows"))
+    return spark.read.schema("race_id long, year string, domain string").parquet(path).groupBy("year", "domain").agg(count_rows().alias("rows"))
 
 
 @query("SELECT count(*) AS rows, count(*) FILTER (o_orderkey % 2 = 0) AS with_price, count(*) FILTER (o_orderkey % 2 = 1) AS with_status FROM orders")
@@ -101,7 +101,7 @@ def s12_union_by_name(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     a, b = o.where("o_orderkey % 2 = 0").select("o_orderkey", "o_totalprice"), o.where("o_orderkey % 2 = 1").select("o_orderstatus", "o_orderkey")
     u = a.unionByName(b, allowMissingColumns=True)
-    return u.agg(N.alias("rows"), F.count("o_totalprice").alias("with_price"), F.count("o_orderstatus").alias("with_status"))
+    return u.agg(count_rows().alias("rows"), F.count("o_totalprice").alias("with_price"), F.count("o_orderstatus").alias("with_status"))
 
 
 @query("SELECT 2::BIGINT AS listed, 1::BIGINT AS missing, 1::BIGINT AS altered, 1::BIGINT AS unlisted WHERE (SELECT count(*) FROM nation) > 0")
@@ -121,7 +121,7 @@ def s15_append_only_ledger(spark, sf_dir):
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     a = canonical.append_ledger(spark, r, path, ["r_regionkey", "r_name"])
     b = canonical.append_ledger(spark, r, path, ["r_regionkey", "r_name"])
-    return spark.read.parquet(path).agg(N.alias("event_rows")).withColumns({"first_append": F.lit(a).cast("long"), "second_append": F.lit(b).cast("long")})
+    return spark.read.parquet(path).agg(count_rows().alias("event_rows")).withColumns({"first_append": F.lit(a).cast("long"), "second_append": F.lit(b).cast("long")})
 
 
 @query("SELECT count(*) AS rows, TRUE AS same FROM orders")
@@ -137,26 +137,26 @@ def s16_content_addressed_snapshot(spark, sf_dir):
 
 @query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS rows FROM events GROUP BY 1")
 def s17_json_fields(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(N.alias("rows"))
+    return table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(count_rows().alias("rows"))
 
 
 @query(f"WITH {CONTESTS} SELECT count(*) AS rows FROM c WHERE day BETWEEN DATE '1994-11-10' AND DATE '1996-02-20'")
 def s18_date_range_pieces(spark, sf_dir):
     """A date range as an OR of year pieces, so that partitions by year are pruned."""
     c = contests(spark, sf_dir).withColumns({"year": F.year("day"), "mmdd": F.date_format("day", "MMdd")})
-    return c.where(scalars.date_pieces("19941110", "19960220")).agg(N.alias("rows"))
+    return c.where(scalars.date_pieces("19941110", "19960220")).agg(count_rows().alias("rows"))
 
 
-@query("SELECT CAST(ts AS DATE) AS day, count(*) AS rows, count(DISTINCT user_id) AS users FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 16")
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS rows, count(DISTINCT user_id) AS users FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 16")
 def s19_source_availability(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(N.alias("rows"), F.count_distinct("user_id").alias("users")).orderBy(F.desc("day")).limit(16)
+    return table(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(count_rows().alias("rows"), F.count_distinct("user_id").alias("users")).orderBy(F.desc("day")).limit(16)
 
 
 @query("SELECT n_regionkey, count(*) AS nations FROM nation GROUP BY 1")
 def s20_report_sinks(spark, sf_dir):
     """A report as CSV and as JSON; both read back alike."""
     a, b = scratch(spark, "report"), scratch(spark, "report")
-    r = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(N.alias("nations"))
+    r = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(count_rows().alias("nations"))
     r.write.option("header", True).csv(a)
     r.write.json(b)
     one, two = spark.read.schema(r.schema).option("header", True).csv(a), spark.read.schema(r.schema).json(b)
@@ -171,12 +171,12 @@ def s21_versioned_table(spark, sf_dir):
     v.publish(s.where("s_suppkey % 2 = 0"), "v1")
     v.publish(s, "v2")
     v.point("v1")
-    return v.read().agg(N.alias("rows_after_rollback")).withColumn("published", F.lit(2).cast("long"))
+    return v.read().agg(count_rows().alias("rows_after_rollback")).withColumn("published", F.lit(2).cast("long"))
 
 
-@query(f"WITH {ENTRANTS} SELECT count(*) AS rows, count(DISTINCT race_id) AS races, count(DISTINCT horse_id) AS competitors, count(*) FILTER (domain = 1) AS jra, count(*) FILTER (domain = 2) AS nar, min(day) AS first_day, max(day) AS last_day FROM e")
+@query(f"WITH {ENTRANTS} SELECT count(*) AS rows, count(DISTINCT race_id) AS races, count(DISTINCT horse_id) AS competitors, count(*) FILTER (domain = 1) AS jra, count(*) FILTER (domain = 2) AS nar, CAST(min(day) AS VARCHAR) AS first_day, CAST(max(day) AS VARCHAR) AS last_day FROM e")
 def a08_dataset_stats(spark, sf_dir):
-    return entrants(spark, sf_dir).agg(N.alias("rows"), F.count_distinct("race_id").alias("races"), F.count_distinct("horse_id").alias("competitors"), F.count_if(F.col("domain") == 1).alias("jra"), F.count_if(F.col("domain") == 2).alias("nar"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    return entrants(spark, sf_dir).agg(count_rows().alias("rows"), F.count_distinct("race_id").alias("races"), F.count_distinct("horse_id").alias("competitors"), F.count_if(F.col("domain") == 1).alias("jra"), F.count_if(F.col("domain") == 2).alias("nar"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"))
 
 
 @query("SELECT count(DISTINCT l_orderkey) AS l_orderkey, count(DISTINCT l_partkey) AS l_partkey, count(DISTINCT l_suppkey) AS l_suppkey, count(DISTINCT l_shipdate) AS l_shipdate FROM lineitem")
@@ -189,25 +189,25 @@ def a09_distinct_counts(spark, sf_dir):
 def a10_inventory_by_domain(spark, sf_dir):
     j = runners(spark, sf_dir).join(contests(spark, sf_dir).select("race_id", "domain"), "race_id")
     optional = [F.count(c).alias(f"with_{c[:5]}") for c in ("agent_id",) if c in j.columns]
-    return j.groupBy(gates.domain(F.col("domain")).alias("domain")).agg(N.alias("rows"), F.count_distinct("race_id").alias("races"), *optional)
+    return j.groupBy(gates.domain(F.col("domain")).alias("domain")).agg(count_rows().alias("rows"), F.count_distinct("race_id").alias("races"), *optional)
 
 
 @query(f"WITH {ENTRANTS} SELECT CAST(year(day) AS INTEGER) AS year, count(*) AS rows, count(DISTINCT race_id) AS races, count(DISTINCT horse_id) AS entrants, count(label_win) AS labelled FROM e GROUP BY 1")
 def a11_year_coverage(spark, sf_dir):
-    return entrants(spark, sf_dir).groupBy(F.year("day").alias("year")).agg(N.alias("rows"), F.count_distinct("race_id").alias("races"), F.count_distinct("horse_id").alias("entrants"), F.count("label_win").alias("labelled"))
+    return entrants(spark, sf_dir).groupBy(F.year("day").alias("year")).agg(count_rows().alias("rows"), F.count_distinct("race_id").alias("races"), F.count_distinct("horse_id").alias("entrants"), F.count("label_win").alias("labelled"))
 
 
 @query(f"WITH {CONTESTS}, {RUNNERS} SELECT domain, count(*) AS rows, count(*) FILTER (abnormal = '4') AS dnf, count(*) FILTER (abnormal = '1') AS unresolved, count(*) FILTER (agent_id IS NULL) AS missing_id FROM r JOIN c USING (race_id) GROUP BY 1")
 def a22_sample_quality(spark, sf_dir):
     j = runners(spark, sf_dir).join(contests(spark, sf_dir).select("race_id", "domain"), "race_id")
-    return j.groupBy("domain").agg(N.alias("rows"), F.count_if(F.col("abnormal") == "4").alias("dnf"), F.count_if(F.col("abnormal") == "1").alias("unresolved"), F.count_if(F.col("agent_id").isNull()).alias("missing_id"))
+    return j.groupBy("domain").agg(count_rows().alias("rows"), F.count_if(F.col("abnormal") == "4").alias("dnf"), F.count_if(F.col("abnormal") == "1").alias("unresolved"), F.count_if(F.col("agent_id").isNull()).alias("missing_id"))
 
 
 @query(f"WITH {CONTESTS}, {RUNNERS}, b AS (SELECT race_id, unnest(list_filter([CASE WHEN max(price) > 100000 THEN 'dear' END, CASE WHEN count(*) = 1 THEN 'alone' END, CASE WHEN bool_or(abnormal <> '0') THEN 'status' END], lambda x: x IS NOT NULL)) AS reason FROM r GROUP BY 1) SELECT reason, count(*) AS races FROM b GROUP BY 1")
 def a23_reason_counters(spark, sf_dir):
-    g = runners(spark, sf_dir).groupBy("race_id").agg(F.max("price").alias("p"), N.alias("n"), F.bool_or(F.col("abnormal") != "0").alias("s"))
+    g = runners(spark, sf_dir).groupBy("race_id").agg(F.max("price").alias("p"), count_rows().alias("n"), F.bool_or(F.col("abnormal") != "0").alias("s"))
     b = gates.issues(g, {"dear": F.col("p") > 100000, "alone": F.col("n") == 1, "status": F.col("s")})
-    return b.select(F.explode("issues").alias("reason")).groupBy("reason").agg(N.alias("races"))
+    return b.select(F.explode("issues").alias("reason")).groupBy("reason").agg(count_rows().alias("races"))
 
 
 @query("""WITH ev AS (SELECT 'user' || user_id AS source, CASE WHEN event_type = 'purchase' THEN 'session' || (event_id // 10) END AS parent, 'event' || event_id AS output, event_type AS step FROM events WHERE event_id < 100000)
@@ -216,21 +216,21 @@ def a24_lineage_graph(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_id < 100000")
     ev = e.select(F.concat(F.lit("user"), "user_id").alias("source"), F.when(F.col("event_type") == "purchase", F.concat(F.lit("session"), F.floor(F.col("event_id") / 10).cast("string"))).alias("parent"), F.concat(F.lit("event"), "event_id").alias("output"), F.col("event_type").alias("step"))
     nodes, edges = canonical.lineage(ev)
-    return nodes.agg(N.alias("nodes")).join(edges.agg(N.alias("edges")))
+    return nodes.agg(count_rows().alias("nodes")).join(edges.agg(count_rows().alias("edges")))
 
 
 @query(f"WITH {CONTESTS}, {RUNNERS} SELECT count(*) AS rows, count(c.race_id) AS with_conditions, CAST(0 AS BIGINT) AS repeated FROM r LEFT JOIN (SELECT * FROM c WHERE venue <> 'P') c ON c.race_id = r.race_id")
 def j01_entrants_conditions(spark, sf_dir):
     """Left join whose build side is checked for repeats first."""
-    c = contests(spark, sf_dir).where("venue <> 'P'").groupBy("race_id").agg(N.alias("k"))
-    return runners(spark, sf_dir).join(c, "race_id", "left").agg(N.alias("rows"), F.count("k").alias("with_conditions"), F.count_if(F.coalesce(F.col("k") > 1, F.lit(False))).alias("repeated"))
+    c = contests(spark, sf_dir).where("venue <> 'P'").groupBy("race_id").agg(count_rows().alias("k"))
+    return runners(spark, sf_dir).join(c, "race_id", "left").agg(count_rows().alias("rows"), F.count("k").alias("with_conditions"), F.count_if(F.coalesce(F.col("k") > 1, F.lit(False))).alias("repeated"))
 
 
 @query(f"WITH {CONTESTS}, {RUNNERS}, x AS (SELECT race_id, horse_id FROM r), y AS (SELECT DISTINCT l_orderkey AS race_id, l_suppkey AS horse_id FROM lineitem) SELECT count(*) AS pairs, count(*) FILTER (x.race_id IS NULL) AS no_entrant, count(*) FILTER (y.race_id IS NULL) AS no_agent FROM x FULL JOIN y ON x.race_id = y.race_id AND x.horse_id = y.horse_id")
 def j02_complete_join(spark, sf_dir):
     x = runners(spark, sf_dir).select("race_id", "horse_id", F.lit(1).alias("a"))
     y = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("race_id"), F.col("l_suppkey").alias("horse_id")).distinct().withColumn("b", F.lit(1))
-    return x.join(y, ["race_id", "horse_id"], "full_outer").agg(N.alias("pairs"), F.count_if(F.col("a").isNull()).alias("no_entrant"), F.count_if(F.col("b").isNull()).alias("no_agent"))
+    return x.join(y, ["race_id", "horse_id"], "full_outer").agg(count_rows().alias("pairs"), F.count_if(F.col("a").isNull()).alias("no_entrant"), F.count_if(F.col("b").isNull()).alias("no_agent"))
 
 
 @query(f"WITH {CONTESTS}, {RUNNERS} SELECT race_id, horse_id, coalesce(s_name, '') AS name FROM r LEFT JOIN supplier ON s_suppkey = horse_id AND s_suppkey % 7 <> 0")
@@ -243,27 +243,27 @@ def j12_display_metadata(spark, sf_dir):
 def j13_benchmark_pairing(spark, sf_dir):
     """Candidate and benchmark per contest: equal contests, equal row counts."""
     e = entrants(spark, sf_dir)
-    a, b = e.groupBy("race_id").agg(N.alias("na")), e.groupBy("race_id").agg(F.max("n").alias("nb"))
-    return a.join(b, "race_id", "full_outer").agg(N.alias("races"), F.count_if(F.col("na").isNull() | F.col("nb").isNull()).alias("unpaired"), F.count_if(F.col("na") != F.col("nb")).alias("other_counts"))
+    a, b = e.groupBy("race_id").agg(count_rows().alias("na")), e.groupBy("race_id").agg(F.max("n").alias("nb"))
+    return a.join(b, "race_id", "full_outer").agg(count_rows().alias("races"), F.count_if(F.col("na").isNull() | F.col("nb").isNull()).alias("unpaired"), F.count_if(F.col("na") != F.col("nb")).alias("other_counts"))
 
 
 @query(f"WITH {WORKOUTS} SELECT count(*) AS rows, count(DISTINCT horse_id) AS competitors FROM w WHERE horse_id IN (SELECT horse_id FROM o WHERE dn >= 19730)")
 def j14_semi_join(spark, sf_dir):
     rows, seen = workouts(spark, sf_dir)
-    return seen.join(rows.where("dn >= 19730"), "horse_id", "left_semi").agg(N.alias("rows"), F.count_distinct("horse_id").alias("competitors"))
+    return seen.join(rows.where("dn >= 19730"), "horse_id", "left_semi").agg(count_rows().alias("rows"), F.count_distinct("horse_id").alias("competitors"))
 
 
 @query("SELECT table_name, count(*) AS columns, CASE table_name WHEN 'nation' THEN (SELECT count(*) FROM nation) WHEN 'region' THEN (SELECT count(*) FROM region) END AS rows FROM duckdb_columns() WHERE table_name IN ('nation', 'region', 'part') GROUP BY 1")
 def j15_table_statistics(spark, sf_dir):
     frames = {n: table(spark, sf_dir, n) for n in ("nation", "region", "part")}
-    stats = frames["nation"].agg(N.alias("rows")).withColumn("table_name", F.lit("nation")).unionByName(frames["region"].agg(N.alias("rows")).withColumn("table_name", F.lit("region")))
-    return readers.catalog(spark, frames).groupBy("table_name").agg(N.alias("columns")).join(stats, "table_name", "left").select("table_name", "columns", "rows")
+    stats = frames["nation"].agg(count_rows().alias("rows")).withColumn("table_name", F.lit("nation")).unionByName(frames["region"].agg(count_rows().alias("rows")).withColumn("table_name", F.lit("region")))
+    return readers.catalog(spark, frames).groupBy("table_name").agg(count_rows().alias("columns")).join(stats, "table_name", "left").select("table_name", "columns", "rows")
 
 
 @query(f"WITH {ENTRANTS}, u AS (SELECT domain, count(*) AS used FROM e WHERE day >= DATE '1996-01-01' GROUP BY 1), h AS (SELECT domain, count(*) AS held FROM e GROUP BY 1) SELECT domain, held, used, round(used / held, 6) AS rate, used < 0.9 * held AS alert FROM h FULL JOIN u USING (domain)")
 def j19_usage_gap(spark, sf_dir):
     e = entrants(spark, sf_dir)
-    h, u = e.groupBy("domain").agg(N.alias("held")), e.where("day >= date '1996-01-01'").groupBy("domain").agg(N.alias("used"))
+    h, u = e.groupBy("domain").agg(count_rows().alias("held")), e.where("day >= date '1996-01-01'").groupBy("domain").agg(count_rows().alias("used"))
     return h.join(u, "domain", "full_outer").select("domain", "held", "used", R(F.col("used") / F.col("held"), 6).alias("rate"), (F.col("used") < 0.9 * F.col("held")).alias("alert"))
 
 
@@ -278,7 +278,7 @@ def j21_score_alignment(spark, sf_dir):
 def j22_source_change(spark, sf_dir):
     """The source read twice; a difference would stop publication."""
     a, b = table(spark, sf_dir, "orders"), table(spark, sf_dir, "orders")
-    return a.agg(N.alias("rows")).join(gates.same_sets(a, b, ["o_orderkey", "o_totalprice", "o_orderstatus"]))
+    return a.agg(count_rows().alias("rows")).join(gates.same_sets(a, b, ["o_orderkey", "o_totalprice", "o_orderstatus"]))
 
 
 @query("SELECT source, count(*) AS rows FROM (SELECT 'even' AS source FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'odd' FROM part WHERE p_partkey % 2 = 1) GROUP BY 1")
@@ -289,7 +289,7 @@ def u02_tagged_files(spark, sf_dir):
     p.where("p_partkey % 2 = 0").write.parquet(f"{root}/even")
     p.where("p_partkey % 2 = 1").write.parquet(f"{root}/odd")
     both = spark.read.parquet(f"{root}/even", f"{root}/odd").withColumn("source", F.regexp_extract(F.input_file_name(), "/(even|odd)/", 1))
-    return both.groupBy("source").agg(N.alias("rows"))
+    return both.groupBy("source").agg(count_rows().alias("rows"))
 
 
 @query("WITH c AS (SELECT o_custkey % 50 AS a, o_orderstatus AS b, 0 AS p, o_orderkey AS i FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_custkey % 50, o_orderstatus, 1, o_orderkey FROM orders), k AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY p, i) AS rn FROM c) SELECT a, b, p AS priority, i AS first_id FROM k WHERE rn = 1")
@@ -303,10 +303,10 @@ def u04_candidate_dedup(spark, sf_dir):
 @query("SELECT count(*) AS unseen FROM orders WHERE md5(CAST(o_orderkey AS VARCHAR)) NOT IN (SELECT md5(CAST(o_orderkey AS VARCHAR)) FROM orders WHERE o_orderkey % 4 = 1)")
 def u06_seen_hashes(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.md5(F.col("o_orderkey").cast("string")).alias("h"), "o_orderkey")
-    return o.join(o.where("o_orderkey % 4 = 1"), "h", "left_anti").agg(N.alias("unseen"))
+    return o.join(o.where("o_orderkey % 4 = 1"), "h", "left_anti").agg(count_rows().alias("unseen"))
 
 
-@query("""SELECT o_orderkey, trim('  ' || o_orderstatus || ' ') AS f01, substr(lpad(CAST(o_orderkey AS VARCHAR), 16, '0'), 9, 2) AS f02, CASE WHEN regexp_matches(CAST(o_custkey AS VARCHAR), '^[0-9]+$') THEN CAST(o_custkey AS INTEGER) END AS f03,
+@query("""SELECT o_orderkey, trim('  ' || o_orderstatus || ' ') AS f01, substr(lpad(CAST(o_orderkey AS VARCHAR), 16, '0'), 9, 2) AS f02, CASE WHEN regexp_matches(CAST(o_custkey AS VARCHAR), '^[0-9]+$') AND o_custkey > 0 THEN CAST(o_custkey AS INTEGER) END AS f03,
  date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 719163 AS f04, strftime(o_orderdate, '%Y-%m-%d') AS f06, substr(regexp_replace(strftime(o_orderdate, '%Y/%m/%d'), '[^0-9]', '', 'g'), 1, 4) AS f07, CAST(o_custkey // 400 AS BIGINT) AS f08, coalesce(nullif(CASE WHEN o_custkey % 3 = 0 THEN '' ELSE 'g' END, ''), '0') AS f09 FROM orders""")
 def f01_f09_text_and_dates(spark, sf_dir):
     """Trim, substrings, digit tests, ordinals, ISO dates, digits-only years, bands, defaults."""
@@ -325,7 +325,7 @@ def f01_f09_text_and_dates(spark, sf_dir):
     )
 
 
-@query("""SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderkey % 5 = 0 THEN 'bad' ELSE CAST(o_totalprice AS VARCHAR) END AS DOUBLE) IS NULL AS f05, round(greatest(least(o_totalprice / 100000, 1.5), 0.5), 6) AS f10, round(ln(1 + o_totalprice), 6) AS f11,
+@query("""SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderkey % 5 = 0 THEN 'bad' ELSE CAST(o_totalprice AS VARCHAR) END AS DOUBLE) IS NULL AS f05, round(greatest(least(o_totalprice / 100000, 1.5), 0.5), 9) AS f10, round(ln(1 + o_totalprice), 6) AS f11,
  round(o_totalprice / nullif(o_custkey % 4, 0), 4) AS f12, CAST(o_custkey % 100 BETWEEN 14 AND 70 AS DOUBLE) AS f28 FROM orders""")
 def f05_f12_numbers(spark, sf_dir):
     """Coercion, clipping, logarithms, null-safe division, band flags."""
@@ -334,7 +334,7 @@ def f05_f12_numbers(spark, sf_dir):
     return o.select(
         "o_orderkey",
         text.try_cast("double").isNull().alias("f05"),
-        R(F.greatest(F.least(F.col("o_totalprice") / 100000, F.lit(1.5)), F.lit(0.5)), 6).alias("f10"),
+        R(F.greatest(F.least(F.col("o_totalprice") / 100000, F.lit(1.5)), F.lit(0.5)), 9).alias("f10"),
         R(F.log1p("o_totalprice"), 6).alias("f11"),
         R(scalars.safe_ratio(F.col("o_totalprice"), F.col("o_custkey") % 4), 4).alias("f12"),
         (F.col("o_custkey") % 100).between(14, 70).cast("double").alias("f28"),

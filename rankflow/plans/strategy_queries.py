@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import count_rows
 from ..operators import metrics, rankprob, resample, strategy
 from ..registry import query
 from ..sources.bindings import CONTESTS, ENTRANTS, contests, entrants, table
 from .rating_queries import LOSS, P1, PL, THREE, base_rates, scored
 
-N = F.count(F.lit(1))
 R = F.round
 YEAR = 1998
 SMALL = f"{ENTRANTS}, {P1.replace('p AS (SELECT *', 'p0 AS (SELECT *')}, p AS (SELECT * FROM p0 WHERE year(day) = {YEAR})"
@@ -59,7 +59,7 @@ def m29_rank_sampling(spark, sf_dir):
 @query(f"WITH {SMALL}, {GUMBEL}, f AS (SELECT race_id, horse_id, any_value(p) AS p, count(*) FILTER (position = 1) / {DRAWS}.0 AS share FROM gs GROUP BY 1, 2) SELECT count(*) AS entrants, round(avg(abs(share - p)), 4) AS mae FROM f")
 def m30_simulation_error(spark, sf_dir):
     f = sampled(spark, sf_dir).groupBy("race_id", "horse_id").agg(F.first("p").alias("p"), (F.count_if(F.col("position") == 1) / DRAWS).alias("share"))
-    return f.agg(N.alias("entrants"), R(F.avg(F.abs(F.col("share") - F.col("p"))), 4).alias("mae"))
+    return f.agg(count_rows().alias("entrants"), R(F.avg(F.abs(F.col("share") - F.col("p"))), 4).alias("mae"))
 
 
 MARKET = f"""mk AS (SELECT *, round(1 / probability * (0.8 + 0.4 * {U.format(key="race_id || '|' || ticket_type || '|' || selection")}), 4) AS odds FROM tk WHERE ticket_type IN ('WIN', 'QUINELLA', 'TRIO')),
@@ -96,7 +96,7 @@ def w20_top_tickets(spark, sf_dir):
 
 @query(f"WITH {SMALL}, {TICKETS}, {MARKET}, {CHOSEN} SELECT strategy, count(*) AS tickets, count(DISTINCT race_id) AS races, round(avg(ev), 6) AS mean_ev, round(sum(ev) / count(*), 6) AS ticket_efficiency FROM pf GROUP BY 1")
 def m31_strategy_selection(spark, sf_dir):
-    return chosen(spark, sf_dir).groupBy("strategy").agg(N.alias("tickets"), F.count_distinct("race_id").alias("races"), R(F.avg("ev"), 6).alias("mean_ev"), R(F.sum("ev") / N, 6).alias("ticket_efficiency"))
+    return chosen(spark, sf_dir).groupBy("strategy").agg(count_rows().alias("tickets"), F.count_distinct("race_id").alias("races"), R(F.avg("ev"), 6).alias("mean_ev"), R(F.sum("ev") / count_rows(), 6).alias("ticket_efficiency"))
 
 
 PAID = f"""won AS (SELECT race_id, max(horse_id) FILTER (finish = 1) AS f1, max(horse_id) FILTER (finish = 2) AS f2, max(horse_id) FILTER (finish = 3) AS f3, any_value(day) AS day FROM e GROUP BY 1),
@@ -145,14 +145,14 @@ def t06_best_strategy(spark, sf_dir):
 @query(f"WITH {SMALL}, {TICKETS}, {MARKET}, {CHOSEN}, {PAID}, x AS (SELECT count(*) AS bets, count(*) FILTER (payout IS NULL) AS missing FROM bt) SELECT bets, missing, missing > 0 AS rejected FROM x")
 def j11_payout_completeness(spark, sf_dir):
     """One missing payout rejects the whole file."""
-    return bets(spark, sf_dir).agg(N.alias("bets"), F.count_if(F.col("payout").isNull()).alias("missing"), F.bool_or(F.col("payout").isNull()).alias("rejected"))
+    return bets(spark, sf_dir).agg(count_rows().alias("bets"), F.count_if(F.col("payout").isNull()).alias("missing"), F.bool_or(F.col("payout").isNull()).alias("rejected"))
 
 
 @query(f"WITH {SMALL}, {TICKETS}, {MARKET}, {CHOSEN} SELECT count(*) AS omitted, round(sum(ev), 5) AS ev FROM ev WHERE ev >= 0.10 AND NOT EXISTS (SELECT 1 FROM pf WHERE pf.race_id = ev.race_id AND pf.ticket_type = ev.ticket_type AND pf.selection = ev.selection)")
 def j18_omitted_opportunities(spark, sf_dir):
     """Tickets worth ten hundredths or more that no profile took."""
     m = market(spark, sf_dir).where("ev >= 0.10")
-    return m.join(chosen(spark, sf_dir), ["race_id", "ticket_type", "selection"], "left_anti").agg(N.alias("omitted"), R(F.sum("ev"), 5).alias("ev"))
+    return m.join(chosen(spark, sf_dir), ["race_id", "ticket_type", "selection"], "left_anti").agg(count_rows().alias("omitted"), R(F.sum("ev"), 5).alias("ev"))
 
 
 FAIL = f"""{SMALL}, {PL}, ln AS (SELECT race_id, horse_id, 'win' AS layer, p_win AS q, label_win AS y FROM m UNION ALL SELECT race_id, horse_id, 'top2', p_top2, label_top2 FROM m UNION ALL SELECT race_id, horse_id, 'top3', p_top3, label_top3 FROM m)"""
@@ -164,13 +164,13 @@ def a19_failure_classes(spark, sf_dir):
     m = scored(spark, sf_dir).where(F.year("day") == YEAR)
     layers = F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), R(F.col(f"p_{k}"), 9).alias("q"), F.col(f"label_{k}").alias("y")) for k in ("win", "top2", "top3")]))
     x = m.select(layers.alias("x")).select("x.*").where("y = 0")
-    return x.groupBy("layer", strategy.miss_class(F.col("q")).alias("classification")).agg(N.alias("rows"))
+    return x.groupBy("layer", strategy.miss_class(F.col("q")).alias("classification")).agg(count_rows().alias("rows"))
 
 
 @query(f"WITH {SMALL}, {TICKETS}, {MARKET}, {CHOSEN}, {PAID} SELECT CASE WHEN payout > 0 THEN 'HIT' WHEN ev >= 0.15 THEN 'HIGH_EV_MISS' ELSE 'MISS' END AS classification, strategy, count(*) AS rows FROM bt GROUP BY 1, 2")
 def m32_failure_analysis(spark, sf_dir):
     kind = F.when(F.col("payout") > 0, "HIT").when(F.col("ev") >= 0.15, "HIGH_EV_MISS").otherwise("MISS")
-    return bets(spark, sf_dir).groupBy(kind.alias("classification"), "strategy").agg(N.alias("rows"))
+    return bets(spark, sf_dir).groupBy(kind.alias("classification"), "strategy").agg(count_rows().alias("rows"))
 
 
 @query(f"""WITH {SMALL}, {TICKETS}, {MARKET} SELECT race_id, ticket_type, selection, round(100 * (0.5 * least(greatest(ev, 0), 0.5) / 0.5 + 0.3 * CASE WHEN probability < 0.05 THEN 1.0 WHEN probability < 0.2 THEN 0.7 ELSE 0.4 END + 0.2 * CASE WHEN n <= 8 THEN 1.0 WHEN n <= 12 THEN 0.7 ELSE 0.5 END), 4) AS score
@@ -205,11 +205,11 @@ def m38_blind_evaluation(spark, sf_dir):
     return t.groupBy("k").agg(R(F.sum("logloss") / F.sum("rows"), 6).alias("logloss"))
 
 
-@query(f"WITH {SMALL}, w AS (SELECT race_id, horse_id, p FROM p), r AS (SELECT race_id, horse_id, finish FROM e) SELECT count(*) AS rows, count(DISTINCT race_id) AS races, count(*) FILTER (finish = 1) AS winners FROM w JOIN r USING (race_id, horse_id)")
+@query(f"WITH {SMALL}, w AS (SELECT race_id, horse_id, p FROM p), rr AS (SELECT race_id, horse_id, finish FROM e) SELECT count(*) AS rows, count(DISTINCT race_id) AS races, count(*) FILTER (finish = 1) AS winners FROM w JOIN rr USING (race_id, horse_id)")
 def j10_frozen_results(spark, sf_dir):
     frozen = base_rates(spark, sf_dir).where(F.year("day") == YEAR).select("race_id", "horse_id", "p")
     j = frozen.join(entrants(spark, sf_dir).select("race_id", "horse_id", "finish"), ["race_id", "horse_id"])
-    return j.agg(N.alias("rows"), F.count_distinct("race_id").alias("races"), F.count_if(F.col("finish") == 1).alias("winners"))
+    return j.agg(count_rows().alias("rows"), F.count_distinct("race_id").alias("races"), F.count_if(F.col("finish") == 1).alias("winners"))
 
 
 WEIGHTS = f"""tw AS (SELECT CAST(i / 20.0 AS DOUBLE) AS w FROM range(21) g(i)), x AS (SELECT w, w * p + (1 - w) / n AS q, label_win FROM p, tw), lw AS (SELECT w, avg({LOSS.format(p="q", y="label_win")}) AS l FROM x GROUP BY 1)"""
@@ -236,7 +236,7 @@ def ledger(spark, sf_dir):
         F.when(F.col("l_returnflag") == "A", "win").when(F.col("l_returnflag") == "R", "top2").otherwise("top3").alias("target"),
         F.when(F.col("l_linestatus") == "F", "TEST").otherwise("OOS").alias("split"),
         F.concat(F.lit("set"), (F.col("l_suppkey") % 3).cast("string")).alias("feature_set"),
-    ).agg(R(F.avg("l_discount") + 0.3, 6).alias("logloss"), R(F.avg("l_tax") + 0.1, 6).alias("brier"), N.alias("n"))
+    ).agg(R(F.avg("l_discount") + 0.3, 6).alias("logloss"), R(F.avg("l_tax") + 0.1, 6).alias("brier"), count_rows().alias("n"))
 
 
 @query(f"WITH {LEDGER}, x AS (SELECT target, avg(logloss) FILTER (split = 'TEST') AS t, avg(logloss) FILTER (split = 'OOS') AS o FROM lg GROUP BY 1) SELECT target, round(t, 6) AS test, round(o, 6) AS oos, coalesce(o > 1.08 * t, FALSE) AS drift FROM x")
@@ -254,12 +254,12 @@ def a26_domain_gap(spark, sf_dir):
 
 @query(f"WITH {LEDGER} SELECT split, count(*) AS completed, count(*) FILTER (logloss < 0.349) AS promotions FROM lg GROUP BY 1")
 def a27_ledger_counts(spark, sf_dir):
-    return ledger(spark, sf_dir).groupBy("split").agg(N.alias("completed"), F.count_if(F.col("logloss") < 0.349).alias("promotions"))
+    return ledger(spark, sf_dir).groupBy("split").agg(count_rows().alias("completed"), F.count_if(F.col("logloss") < 0.349).alias("promotions"))
 
 
 @query(f"WITH {LEDGER} SELECT count(*) AS snapshots, CAST(sum(n) AS BIGINT) AS rows, round(avg(logloss), 6) AS logloss FROM lg")
 def a29_ledger_totals(spark, sf_dir):
-    return ledger(spark, sf_dir).agg(N.alias("snapshots"), F.sum("n").alias("rows"), R(F.avg("logloss"), 6).alias("logloss"))
+    return ledger(spark, sf_dir).agg(count_rows().alias("snapshots"), F.sum("n").alias("rows"), R(F.avg("logloss"), 6).alias("logloss"))
 
 
 @query(f"WITH {LEDGER}, k AS (SELECT *, CAST(rank() OVER (ORDER BY logloss, experiment, target, split, feature_set) AS INTEGER) AS place FROM lg) SELECT experiment, target, split, feature_set, place FROM k WHERE place <= 20")
@@ -272,7 +272,7 @@ def t01_leaderboard(spark, sf_dir):
 @query(f"WITH {LEDGER}, k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY logloss, experiment, split, feature_set) AS rn FROM lg) SELECT target, feature_set, count(*) AS elite FROM k WHERE rn <= 8 GROUP BY 1, 2")
 def t03_elite(spark, sf_dir):
     rn = F.row_number().over(Window.partitionBy("target").orderBy("logloss", "experiment", "split", "feature_set"))
-    return ledger(spark, sf_dir).withColumn("rn", rn).where("rn <= 8").groupBy("target", "feature_set").agg(N.alias("elite"))
+    return ledger(spark, sf_dir).withColumn("rn", rn).where("rn <= 8").groupBy("target", "feature_set").agg(count_rows().alias("elite"))
 
 
 @query(f"WITH {LEDGER}, k AS (SELECT *, row_number() OVER (PARTITION BY feature_set ORDER BY logloss, experiment, target, split) AS rn FROM lg) SELECT feature_set, experiment, target, split FROM k WHERE rn <= 20")
@@ -281,24 +281,23 @@ def t04_top_results(spark, sf_dir):
     return ledger(spark, sf_dir).withColumn("rn", rn).where("rn <= 20").select("feature_set", "experiment", "target", "split")
 
 
-def _champions(pdf):
-    """Sequential promotion: a challenger must beat the champion by the margin."""
-    pdf = pdf.sort_values(["experiment", "feature_set"])
-    best, name, promotions = float("inf"), None, 0
-    for r in pdf.itertuples():
-        if r.logloss < best - 0.0005:
-            best, name, promotions = r.logloss, f"{r.experiment}/{r.feature_set}", promotions + 1
-    return pdf.head(1).assign(champion=name, best=best, promotions=promotions)[["target", "champion", "best", "promotions"]]
-
-
 @query(f"""WITH RECURSIVE {LEDGER}, s AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY experiment, feature_set) AS i FROM lg WHERE split = 'TEST'),
 w AS (SELECT target, i, logloss AS best, experiment || '/' || feature_set AS champion, 1 AS promotions FROM s WHERE i = 1
  UNION ALL SELECT s.target, s.i, CASE WHEN s.logloss < best - 0.0005 THEN s.logloss ELSE best END, CASE WHEN s.logloss < best - 0.0005 THEN s.experiment || '/' || s.feature_set ELSE champion END, promotions + CAST(s.logloss < best - 0.0005 AS INTEGER) FROM w JOIN s ON s.target = w.target AND s.i = w.i + 1)
 SELECT target, arg_max(champion, i) AS champion, round(arg_max(best, i), 6) AS best, CAST(arg_max(promotions, i) AS BIGINT) AS promotions FROM w GROUP BY 1""")
 def t05_champion_margin(spark, sf_dir):
     """Champion per target; the margin makes promotion depend on order, so each small ledger is walked."""
+
+    def champions(pdf):
+        pdf = pdf.sort_values(["experiment", "feature_set"])
+        best, name, promotions = float("inf"), None, 0
+        for r in pdf.itertuples():
+            if r.logloss < best - 0.0005:
+                best, name, promotions = r.logloss, f"{r.experiment}/{r.feature_set}", promotions + 1
+        return pdf.head(1).assign(champion=name, best=best, promotions=promotions)[["target", "champion", "best", "promotions"]]
+
     l = ledger(spark, sf_dir).where("split = 'TEST'")
-    return l.groupBy("target").applyInPandas(_champions, "target string, champion string, best double, promotions long").withColumn("best", R("best", 6))
+    return l.groupBy("target").applyInPandas(champions, "target string, champion string, best double, promotions long").withColumn("best", R("best", 6))
 
 
 @query(f"WITH {LEDGER}, b AS (SELECT *, 'brief' || (experiment % 5) AS brief FROM lg), g AS (SELECT brief, arg_min(feature_set, (logloss, experiment, target, feature_set)) AS best, min(logloss) AS l, bool_or(brier > 0.145) AS risky FROM b WHERE split = 'TEST' GROUP BY 1) SELECT brief, best, CASE WHEN risky THEN 'HOLD' WHEN l < 0.345 THEN 'PROMOTE' ELSE 'REJECT' END AS decision FROM g")
@@ -313,7 +312,7 @@ def m34_promotion_decision(spark, sf_dir):
 def j20_bind_results(spark, sf_dir):
     """Results bound to a brief on (experiment, split); unbound ones are left out."""
     briefs = spark.createDataFrame([("brief0", "TEST", 0), ("brief1", "OOS", 1), ("brief9", "TEST", 99)], "brief string, split string, experiment long")
-    return ledger(spark, sf_dir).join(F.broadcast(briefs), ["split", "experiment"]).groupBy("brief", "split").agg(N.alias("results"), R(F.min("logloss"), 6).alias("best"))
+    return ledger(spark, sf_dir).join(F.broadcast(briefs), ["split", "experiment"]).groupBy("brief", "split").agg(count_rows().alias("results"), R(F.min("logloss"), 6).alias("best"))
 
 
 @query(f"WITH {LEDGER}, g AS (SELECT e AS experiment, 'set' || s AS feature_set, t AS target FROM range(44) a(e), range(3) b(s), (VALUES ('win'), ('top2'), ('top3')) AS c(t)) SELECT count(*) AS todo FROM g WHERE NOT EXISTS (SELECT 1 FROM lg WHERE split = 'TEST' AND lg.experiment = g.experiment AND lg.feature_set = g.feature_set AND lg.target = g.target)")
@@ -321,7 +320,7 @@ def j16_processed_exclusion(spark, sf_dir):
     """Configurations that the ledger doesn't hold yet."""
     space = spark.range(44).select(F.col("id").alias("experiment"), F.explode(F.array(*[F.lit(f"set{i}") for i in range(3)])).alias("feature_set")).withColumn("target", F.explode(F.array(*[F.lit(t) for t in ("win", "top2", "top3")])))
     done = ledger(spark, sf_dir).where("split = 'TEST'")
-    return space.join(done, ["experiment", "feature_set", "target"], "left_anti").agg(N.alias("todo"))
+    return space.join(done, ["experiment", "feature_set", "target"], "left_anti").agg(count_rows().alias("todo"))
 
 
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, l_extendedprice DESC, l_linenumber, l_suppkey) AS place FROM lineitem WHERE l_orderkey % 20 = 1")
