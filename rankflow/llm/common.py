@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +35,7 @@ def shared_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("rankflow.shared.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("rankflow.shared.dir", root)
@@ -100,7 +100,12 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def frames(batches: Iterator, columns: list[str]) -> Iterator[tuple]:
-    """Columns of pandas batches as lists with None for nulls."""
-    for pdf in batches:
-        yield tuple(pdf[c].tolist() for c in columns)
+def map_texts(docs: DataFrame, run: Callable[[Iterator], Iterator], fields: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`run` over pandas batches of doc_id and text; its frames have doc_id and `fields`.
+
+    Ids pass through as text, so that null and very large ones stay exact. Rows stay in
+    the partitions they were read in.
+    """
+    kind = docs.schema[id_col].dataType
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, f"doc_id string, {fields}").withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 WINDOW = 13
 BLOCK_BYTES = 8_000_000
 
@@ -103,7 +105,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_b
     of its words. An item larger than `block_bytes` makes a block of its own size.
     """
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text")
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     passes = [spark.sparkContext.broadcast(prefix_index(block, rarity(rows, block), size)) for block in blocks_of(items, block_bytes)]
@@ -123,4 +124,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_b
                 out.append((doc_id, n, k, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), k > 0 and 20 * k >= n))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return rows.mapInPandas(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return map_texts(rows, run, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_below
+from .common import hash_below, map_texts
 
 UNDETERMINED = "und"
 SAMPLE_DOCS = 120
@@ -169,5 +169,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 langs, scores = shared.value.predict(own["text"].tolist())
                 yield pd.DataFrame({"doc_id": own["doc_id"], "lang_pred": langs, "score": scores})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    return map_texts(docs, run, "lang_pred string, score double")

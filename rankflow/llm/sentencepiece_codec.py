@@ -26,7 +26,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import map_texts
 
 MARK = "▁"
 MEMO = 500_000
@@ -206,13 +207,10 @@ def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model_file)
         for pdf in batches:
-            rows = [own.digest(t) for t in pdf["text"]]
+            rows = [own.digest(t or "") for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    return map_texts(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
 
 
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,10 +219,9 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model_file)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [own.encode(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [own.encode(t or "") for t in pdf["text"]]})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, f"doc_id {kind}, ids array<int>")
+    return map_texts(docs, run, "ids array<int>", id_col, text_col)
 
 
 def decode(rows: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -233,7 +230,6 @@ def decode(rows: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model_file)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [own.decode([int(i) for i in x]) if x is not None else "" for x in pdf["ids"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [own.decode([int(i) for i in x]) if x is not None else "" for x in pdf["text"]]})
 
-    kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInPandas(run, f"doc_id {kind}, text string")
+    return map_texts(rows, run, "text string", id_col, ids_col)

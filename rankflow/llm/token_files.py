@@ -30,6 +30,7 @@ from .common import open_fs, shared_dir, written
 MAGIC = b"RFT1"
 HEAD = struct.Struct("<4sIIQQ")
 BLOCK = 8192
+NO_ID = -(1 << 63)
 
 
 def bits_for(vocabulary: int) -> int:
@@ -126,9 +127,9 @@ def write_files(docs: DataFrame, encode: Callable[[list[str]], Iterator[list[int
     Spark sorts the rows into id ranges; each task encodes its range and writes one
     file in the shared folder under a name of its own attempt. Only files of finished
     attempts get into the manifest, so a lost executor or a repeated task does no harm.
-    `base` is the number of ids in the files before. A null text counts as empty. Rows
-    with a null doc_id have no place in an order of ids and are an error. Repeated
-    doc_ids stay separate documents next to each other, ordered by text.
+    `base` is the number of ids in the files before. A null text counts as empty. A null
+    doc_id comes first and is stored as the least 64-bit integer. Repeated doc_ids stay
+    separate documents next to each other, ordered by text.
     """
     spark = docs.sparkSession
     folder, bits = shared_dir(spark, "tokens"), bits_for(vocabulary)
@@ -145,17 +146,15 @@ def write_files(docs: DataFrame, encode: Callable[[list[str]], Iterator[list[int
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(path)
                 writer = Writer(out, bits)
-            if pdf["doc_id"].isna().any():
-                raise ValueError("a document without an id can't be written")
             for doc_id, ids in zip(pdf["doc_id"], encode(pdf["text"].tolist()), strict=True):
-                writer.add(int(doc_id), np.array([*ids, end_id], np.uint32))
+                writer.add(NO_ID if doc_id is None else int(doc_id), np.array([*ids, end_id], np.uint32))
         if writer is not None:
             writer.close()
             out.close()
             yield pd.DataFrame({"part": [part], "path": [path], "bytes": [fs.get_file_info(path).size], "docs": [len(writer.docs)], "tokens": [writer.tokens]})
 
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = written(ordered.mapInPandas(run, "part int, path string, bytes long, docs long, tokens long"), "token-manifest")
+    manifest = written(ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "part int, path string, bytes long, docs long, tokens long"), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))).withColumn("root", F.lit(folder))
 
@@ -173,7 +172,7 @@ def read_files(manifest: DataFrame) -> DataFrame:
                         span = range(a, min(a + 2000, len(reader.doc_ids)))
                         yield pd.DataFrame(
                             {
-                                "doc_id": reader.doc_ids[span.start : span.stop],
+                                "doc_id": pd.array([None if i == NO_ID else int(i) for i in reader.doc_ids[span.start : span.stop]], dtype="Int64"),
                                 "start": reader.first[span.start : span.stop] + row.base,
                                 "n_tokens": reader.count[span.start : span.stop],
                                 "ids_crc32": [zlib.crc32(reader.ids(i).astype("<u4").tobytes()) for i in span],

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_below, sample_fraction, written
+from .common import hash_below, map_texts, sample_fraction, written
 
 SAMPLE_DOCS = 9000
 FEATURES = 50_000
@@ -214,8 +214,7 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
             scores = np.array([own.score(e) for e, _ in found], float)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": scores, "predicted": (scores >= THRESHOLD).astype("int32"), "n_passages": [n for _, n in found]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double, predicted int, n_passages long")
+    return map_texts(docs, run, "score double, predicted int, n_passages long")
 
 
 def passages(docs: DataFrame, scorer: Scorer) -> DataFrame:
@@ -232,5 +231,4 @@ def passages(docs: DataFrame, scorer: Scorer) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "first_word", "last_word", "score", "expected"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, first_word long, last_word long, score double, expected double")
+    return map_texts(docs, run, "first_word long, last_word long, score double, expected double")

@@ -94,17 +94,17 @@ def write_archives(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("key", F.unhex(F.sha1(F.encode("html", "utf-8"))))
     last = rows.groupBy("key").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "last")
     marked = rows.join(last, "key", "left").select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("last")), None).otherwise(F.col("last")).alias("refers_to"))
+    marked = marked.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})  # ids pass through as text and stay exact
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = open_fs(folder)
         out, path, n = None, f"{root}/{uuid.uuid4().hex}.warc.gz", 0
         for pdf in batches:
-            for page_id, url, html, refers_to in pdf.astype({"page_id": object, "refers_to": object}).itertuples(index=False):
+            for page_id, url, html, refers_to in pdf.itertuples(index=False):
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(path)
-                known = [None if pd.isna(x) else int(x) for x in (page_id, refers_to)]
-                out.write(record(known[0], url, html.encode(), known[1]))
+                out.write(record(page_id, url, html.encode(), refers_to))
                 n += 1
         if out is not None:
             out.close()
@@ -117,7 +117,7 @@ def read_archives(manifest: DataFrame, blocks: bool = True) -> DataFrame:
     """Reads the archives record by record: page_id, payload_bytes, payload_digest, record_type, refers_to, and `html`, the stored block (null without `blocks`)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = lambda x: int(x[10:-1]) if x and x[10:-1] else None
+        number = lambda x: x[10:-1] or None if x else None
         for pdf in batches:
             for row in pdf.itertuples():
                 fs, _ = open_fs(row.root)
@@ -136,9 +136,10 @@ def read_archives(manifest: DataFrame, blocks: bool = True) -> DataFrame:
                     if found:
                         yield _frame(found)
 
-    return manifest.repartition("path").mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
+    rows = manifest.repartition("path").mapInPandas(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, html string")
+    return rows.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def _frame(found: list[tuple]) -> pd.DataFrame:
     pdf = pd.DataFrame(found, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"], dtype=object)
-    return pdf.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+    return pdf.astype({"payload_bytes": "int64"})

@@ -353,3 +353,22 @@ def test_language_automaton_by_brute_force(spark, empty):
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, own).collect()}
     assert got == {1: "und", 2: "und", 3: "x", 4: "x", 5: "und"}
     assert language_id.predict(empty, language_id.train(empty.select(F.col("doc_id").alias("key"), "text", "lang"))).count() == 0
+
+
+def test_null_and_large_ids_stay_exact(spark):
+    big = (1 << 62) + 1
+    docs = spark.createDataFrame([(None, "b"), (big, "a"), (big, "a"), (-5, None)], DOCS).coalesce(1)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    want = [None, -5, big, big]
+    order = lambda rows: sorted((r["doc_id"] for r in rows), key=lambda x: (x is not None, x or 0))
+    assert order(sentencepiece_codec.encode_digests(docs, path).collect()) == want
+    assert order(decontaminate.decontaminate(docs, spark.createDataFrame([(1, "a")], "item_id long, text string")).collect()) == want
+    near = simhash.near_duplicates(docs).collect()
+    assert order(near) == want and {r["component_id"] for r in near if r["doc_id"] == big} == {big}
+    encode = token_files.tokenizer_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    files = token_files.read_files(token_files.write_files(docs, encode, 50_257, 0)).orderBy("start").collect()
+    assert [r["doc_id"] for r in files] == want and [r["n_tokens"] for r in files] == [2, 1, 2, 2]
+    assert order(language_id.predict(docs, language_id.Model({"x": " a b "})).collect()) == want
+    pages = spark.createDataFrame([(None, "u", "x"), (big, "u", "x"), (7, "u", "y"), (None, "u", "z")], "page_id long, url string, html string")
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc.read_archives(warc.write_archives(pages)).collect())
+    assert got == [(0, "response", None), (0, "revisit", big), (7, "response", None), (big, "response", None)]
