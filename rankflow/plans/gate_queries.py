@@ -366,29 +366,27 @@ def m33_conflict_triage(spark, sf_dir):
     return g.join(F.broadcast(contract), "source").select("source", "conflicts", decision.alias("decision"), ((F.col("own") > F.col("incumbent")) & (F.col("rights") == "CLEARED")).alias("outranks"))
 
 
-SOURCES = """src AS (SELECT * FROM (VALUES ('orders', 'o_orderkey', 'race_id'), ('orders', 'o_orderdate', 'race_date'), ('orders', 'o_missing', 'label_win'), ('part', 'p_partkey', 'race_id'), ('part', 'p_name', 'race_id'), ('lineitem', 'l_orderkey', 'race_id'), ('lineitem', 'l_shipdate', 'race_date'), ('lineitem', 'l_linenumber', 'label_win')) AS t(source, col, target))"""
-
-
-@query("""SELECT * FROM (VALUES ('lineitem', 3::BIGINT, '', '', '', 'CONTRACT_READY'), ('orders', 2, 'label_win', 'o_missing', '', 'INCOMPLETE'), ('part', 1, 'label_win,race_date', '', 'race_id', 'INCOMPLETE'), ('nation', 0, 'label_win,race_date,race_id', '', '', 'NEEDS_CONTRACT')) AS t(source, mapped, missing_targets, missing_columns, duplicate_targets, status)""")
+@query("""SELECT t.*, k.rows FROM (VALUES ('lineitem', 3::BIGINT, '', '', '', 'CONTRACT_READY'), ('orders', 2, 'label_win', 'o_missing', '', 'INCOMPLETE'), ('part', 1, 'label_win,race_date', '', 'race_id', 'INCOMPLETE'), ('nation', 0, 'label_win,race_date,race_id', '', '', 'NEEDS_CONTRACT')) AS t(source, mapped, missing_targets, missing_columns, duplicate_targets, status)
+ JOIN (SELECT 'lineitem' AS source, count(*) AS rows FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'nation', count(*) FROM nation) k USING (source)""")
 def p03_contract_assessment(spark, sf_dir):
-    """Contracts against the catalog of tables, all sources in one job."""
+    """Contracts against the catalog of tables, all sources in one job, with the rows that each decision is about."""
     catalog = None
     for name in ("orders", "part", "lineitem", "nation"):
         own = table(spark, sf_dir, name)
-        rows = own.limit(1).select(F.lit(name).alias("source"), F.explode(F.array(*[F.lit(c) for c in own.columns])).alias("col"))
+        rows = own.agg(count_rows().alias("rows")).select(F.lit(name).alias("source"), "rows", F.explode(F.array(*[F.lit(c) for c in own.columns])).alias("col"))
         catalog = rows if catalog is None else catalog.union(rows)
     rows = [("orders", "o_orderkey", "race_id"), ("orders", "o_orderdate", "race_date"), ("orders", "o_missing", "label_win"), ("part", "p_partkey", "race_id"), ("part", "p_name", "race_id"), ("lineitem", "l_orderkey", "race_id"), ("lineitem", "l_shipdate", "race_date"), ("lineitem", "l_linenumber", "label_win")]
     contract = spark.createDataFrame(rows, "source string, col string, target string")
-    known = catalog.withColumn("there", F.lit(True))
-    every = catalog.select("source").distinct()
+    known = catalog.select("source", "col", F.lit(True).alias("there"))
+    every = catalog.select("source", "rows").distinct()
     joined = contract.join(known, ["source", "col"], "left")
     counts = joined.where("there").groupBy("source", "target").agg(count_rows().alias("k"))
     per = counts.groupBy("source").agg(F.collect_set("target").alias("targets"), F.array_sort(F.collect_set(F.when(F.col("k") > 1, F.col("target")))).alias("dups"))
     lost = joined.where("there is null").groupBy("source").agg(F.array_sort(F.collect_set("col")).alias("lost"))
     want = F.array(*[F.lit(x) for x in ("label_win", "race_date", "race_id")])
     none = F.array().cast("array<string>")
-    out = every.join(per, "source", "left").join(lost, "source", "left").select("source", *[F.coalesce(c, none).alias(c) for c in ("targets", "dups", "lost")])
+    out = every.join(per, "source", "left").join(lost, "source", "left").select("source", "rows", *[F.coalesce(c, none).alias(c) for c in ("targets", "dups", "lost")])
     missing = F.array_except(want, "targets")
     status = F.when((F.size("targets") == 0) & (F.size("lost") == 0), "NEEDS_CONTRACT").when((F.size(missing) > 0) | (F.size("dups") > 0) | (F.size("lost") > 0), "INCOMPLETE").otherwise("CONTRACT_READY")
-    return out.select("source", F.size("targets").cast("long").alias("mapped"), F.array_join(missing, ",").alias("missing_targets"), F.array_join("lost", ",").alias("missing_columns"), F.array_join("dups", ",").alias("duplicate_targets"), status.alias("status"))
+    return out.select("source", "rows", F.size("targets").cast("long").alias("mapped"), F.array_join(missing, ",").alias("missing_targets"), F.array_join("lost", ",").alias("missing_columns"), F.array_join("dups", ",").alias("duplicate_targets"), status.alias("status"))
 

@@ -70,11 +70,16 @@ def s07_csv_to_parquet(spark, sf_dir):
     return spark.read.parquet(dest).groupBy("c_mktsegment").agg(count_rows().alias("rows"))
 
 
-@query("SELECT table_name, string_agg(column_name, ',' ORDER BY column_index) AS columns FROM duckdb_columns() WHERE table_name IN ('orders', 'part', 'events', 'nation') GROUP BY 1")
+@query("WITH k AS (SELECT 'orders' AS table_name, count(*) AS rows FROM orders UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'nation', count(*) FROM nation) SELECT table_name, string_agg(column_name, ',' ORDER BY column_index) AS columns, any_value(rows) AS rows FROM duckdb_columns() JOIN k USING (table_name) GROUP BY 1")
 def s09_catalog_discovery(spark, sf_dir):
-    """Ordered column lists of all tables, from the catalog."""
+    """Ordered column lists and row counts of all tables."""
     frames = {n: table(spark, sf_dir, n) for n in ("orders", "part", "events", "nation")}
-    return readers.catalog(spark, frames).groupBy("table_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "name"))), lambda x: x["name"]), ",").alias("columns"))
+    lists = readers.catalog(spark, frames).groupBy("table_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "name"))), lambda x: x["name"]), ",").alias("columns"))
+    sizes = None
+    for n, df in frames.items():
+        own = df.agg(count_rows().alias("rows")).withColumn("table_name", F.lit(n))
+        sizes = own if sizes is None else sizes.union(own)
+    return lists.join(sizes, "table_name").select("table_name", "columns", "rows")
 
 
 @query("SELECT count(*) AS rows, max(o_orderkey) AS watermark FROM orders WHERE o_orderkey > (SELECT quantile_disc(o_orderkey, 0.5) FROM orders)")

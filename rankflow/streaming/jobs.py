@@ -25,7 +25,7 @@ def run_now(df: DataFrame, checkpoint: str, each=None, mode: str = "append", pat
     started.awaitTermination()
 
 
-def ingest(stream: DataFrame, rules: Mapping[str, Column], key: list[str], good: str, bad: str, checkpoint: str) -> None:
+def ingest(stream: DataFrame, rules: Mapping[str, Column], good: str, bad: str, checkpoint: str) -> None:
     """Drop-folder ingest behind a gate: rows without an issue go to `good` once per content, the rest to quarantine.
 
     A batch that is repeated after a failure overwrites its own folder.
@@ -36,7 +36,6 @@ def ingest(stream: DataFrame, rules: Mapping[str, Column], key: list[str], good:
         fine.write.mode("overwrite").parquet(f"{good}/batch={number}")
         off.write.mode("overwrite").parquet(f"{bad}/batch={number}")
 
-    _ = key
     run_now(stream, checkpoint, each)
 
 
