@@ -315,3 +315,10 @@ def a21_evidence_audit(spark, sf_dir):
     k = w.groupBy("horse_id", "clock").agg(count_rows().alias("n"), F.count_distinct("center").alias("c"))
     return w.agg(count_rows().alias("rows"), F.count_distinct("wid").alias("distinct_rows"), F.count_if(F.col("f1").isNull()).alias("unmeasured")).join(k.agg(F.count_if((F.col("n") > 1) & (F.col("c") == 1)).alias("repeated"), F.count_if(F.col("c") > 1).alias("conflicting")))
 
+
+
+@query(f"WITH {FEATURE_BASE} SELECT CAST(days_since_last_run BETWEEN 14 AND 70 AS DOUBLE) AS rested, count(*) AS rows, CAST(sum(label_win) AS BIGINT) AS wins FROM f GROUP BY 1")
+def f28_rest_flag(spark, sf_dir):
+    """Rest of 14 to 70 days as a flag; null on a first start."""
+    f = feature_base(spark, sf_dir)
+    return f.groupBy(F.col("days_since_last_run").between(14, 70).cast("double").alias("rested")).agg(count_rows().alias("rows"), F.sum("label_win").alias("wins"))

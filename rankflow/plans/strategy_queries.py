@@ -333,3 +333,19 @@ def t07_ticket_order(spark, sf_dir):
 @query(f"WITH {CONTESTS} SELECT race_id FROM c ORDER BY day DESC, race_id LIMIT 16")
 def t02_newest(spark, sf_dir):
     return contests(spark, sf_dir).orderBy(F.desc("day"), "race_id").limit(16).select("race_id")
+
+
+@query(f"WITH {SMALL}, {PL.split('s AS (SELECT race_id, i')[0].rstrip().rstrip(',')} SELECT race_id, i AS horse_id, count(*) AS rivals, round(any_value(pool), 6) AS pool FROM j JOIN (SELECT race_id, j AS i, pool FROM pool) q USING (race_id, i) GROUP BY 1, 2 HAVING count(*) >= 2")
+def j17_pair_join(spark, sf_dir):
+    """All ordered pairs of a contest's entrants, and each one's pool over two rivals or more."""
+    p = base_rates(spark, sf_dir).where(F.year("day") == YEAR).select("race_id", "horse_id", "p")
+    other = p.select("race_id", F.col("horse_id").alias("rival"), F.col("p").alias("q"))
+    pairs = p.join(other, "race_id").where("horse_id <> rival")
+    pool = F.sum(F.col("q") / F.greatest(1 - F.col("p") - F.col("q"), F.lit(1e-15)))
+    return pairs.groupBy("race_id", "horse_id").agg(count_rows().alias("rivals"), R(pool, 6).alias("pool")).where("rivals >= 2")
+
+
+@query(f"WITH {SMALL} SELECT CASE WHEN round(p, 9) >= 0.5 THEN 'SEVERE' WHEN round(p, 9) >= 0.25 THEN 'MAJOR' WHEN round(p, 9) >= 0.10 THEN 'MINOR' ELSE 'TAIL' END AS class, count(*) AS rows FROM p GROUP BY 1")
+def f24_miss_class(spark, sf_dir):
+    p = base_rates(spark, sf_dir).where(F.year("day") == YEAR)
+    return p.groupBy(strategy.miss_class(R("p", 9)).alias("class")).agg(count_rows().alias("rows"))
