@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, written
 
 LEAST = 10
 SPACE = " \t\n\x0b\f\r"
@@ -38,6 +38,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     keyed = docs.select(doc.alias("doc"), F.xxhash64(text).alias("sum"), F.posexplode(F.transform(split, line_key)).alias("pos", "key"))
     keyed = keyed.where(F.length("key") >= least).select("doc", "sum", "pos", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"))
     shared = keyed.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h1", "h2", "first")
+    shared = written(shared, "shared-lines")  # the join then has an exchange of its own on either side, which Spark can split
     drops = (
         keyed.join(shared, ["h1", "h2"])
         .where("doc > first")
