@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(manifest: DataFrame, most: int = 20_000) -> DataFrame:
+    """Rows of a manifest, each a file to read, dealt over as many tasks; the number is fixed, so small rows aren't put together."""
+    return manifest.repartition(max(1, min(manifest.count(), most)))
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI; usable inside tasks."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else f"file://{uri}")
@@ -100,6 +106,20 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def judge_texts(docs: DataFrame, judge: Callable[[list], pd.DataFrame], fields: str, name: str) -> DataFrame:
+    """All columns and `name`, a struct of `fields` that `judge` finds for a batch of texts.
+
+    Only texts go through Python; the other columns stay where they are, and no row
+    is shuffled.
+    """
+
+    @F.pandas_udf(fields)
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return judge(texts.tolist())
+
+    return docs.withColumn(name, found(F.col("text")))
+
+
 def map_texts(docs: DataFrame, run: Callable[[Iterator], Iterator], fields: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`run` over pandas batches of doc_id and text; its frames have doc_id and `fields`.
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import judge_texts
 
 WINDOW = 13
 BLOCK_BYTES = 8_000_000
@@ -104,24 +104,28 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_b
     A document is contaminated if windows cover a word of it and at least a twentieth
     of its words. An item larger than `block_bytes` makes a block of its own size.
     """
+    return judged(docs.select("doc_id", "text"), items, "__found", size, block_bytes).select("doc_id", "__found.*")
+
+
+def judged(docs: DataFrame, items: DataFrame, name: str, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """All columns and the struct `name` of what `decontaminate` returns per document; no row moves."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("text")
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     passes = [spark.sparkContext.broadcast(prefix_index(block, rarity(rows, block), size)) for block in blocks_of(items, block_bytes)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                words = words_of(text)
-                hit, found = bytearray(len(words)), set()
-                for index in passes:
-                    spans, own = find(words, index.value)
-                    found |= own
-                    for a, b in spans:
-                        hit[a:b] = b"\x01" * (b - a)
-                n, k = len(words), sum(hit)
-                out.append((doc_id, n, k, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), k > 0 and 20 * k >= n))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return map_texts(rows, run, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    def judge(texts: list) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            words = words_of(text)
+            hit, found = bytearray(len(words)), set()
+            for index in passes:
+                spans, own = find(words, index.value)
+                found |= own
+                for a, b in spans:
+                    hit[a:b] = b"\x01" * (b - a)
+            n, k = len(words), sum(hit)
+            out.append((n, k, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), k > 0 and 20 * k >= n))
+        return pd.DataFrame(out, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+    return judge_texts(docs, judge, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", name)

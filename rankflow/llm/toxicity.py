@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_below, map_texts, sample_fraction, written
+from .common import hash_below, judge_texts, map_texts, sample_fraction, written
 
 SAMPLE_DOCS = 9000
 FEATURES = 50_000
@@ -205,16 +205,20 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_features: int
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """Per row (doc_id, text): doc_id, score (0 to 1), predicted (1 from the threshold on) and n_passages."""
+    return judged(docs.select("doc_id", "text"), scorer, "__found").select("doc_id", "__found.*")
+
+
+def judged(docs: DataFrame, scorer: Scorer, name: str) -> DataFrame:
+    """All columns and the struct `name` of score, predicted and n_passages; no row moves."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(texts: list) -> pd.DataFrame:
         own = shared.value
-        for pdf in batches:
-            found = [own.evidence(t) for t in pdf["text"]]
-            scores = np.array([own.score(e) for e, _ in found], float)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": scores, "predicted": (scores >= THRESHOLD).astype("int32"), "n_passages": [n for _, n in found]})
+        found = [own.evidence(t) for t in texts]
+        scores = np.array([own.score(e) for e, _ in found], float)
+        return pd.DataFrame({"score": scores, "predicted": (scores >= THRESHOLD).astype("int32"), "n_passages": np.array([n for _, n in found], np.int64)})
 
-    return map_texts(docs, run, "score double, predicted int, n_passages long")
+    return judge_texts(docs, judge, "score double, predicted int, n_passages long", name)
 
 
 def passages(docs: DataFrame, scorer: Scorer) -> DataFrame:
