@@ -25,9 +25,12 @@ def _kept(docs: DataFrame, keep: DataFrame) -> DataFrame:
     return docs.join(keep.select(F.col("doc_id").alias("__keep")).distinct(), F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
 
 
+def _passed(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bad = toxicity.score(docs, toxicity_scorer(spark, docs, sf_dir)).where("predicted = 1").select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad.distinct(), F.col("doc_id") == F.col("__bad"), "left_anti")
+    return _passed(docs, toxicity.judged(docs, toxicity_scorer(spark, docs, sf_dir), "__found").where("__found.predicted = 0"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bad = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad.distinct(), F.col("doc_id") == F.col("__bad"), "left_anti")
+    return _passed(docs, decontaminate.judged(docs, table(spark, sf_dir, "benchmark"), "__found").where("not __found.contaminated"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
