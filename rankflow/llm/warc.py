@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_fs, shared_dir, written
+from .common import open_fs, shared_dir, spread, written
 
 CHUNK = 1 << 16
 
@@ -136,7 +136,7 @@ def read_archives(manifest: DataFrame, blocks: bool = True) -> DataFrame:
                     if found:
                         yield _frame(found)
 
-    rows = manifest.repartition("path").mapInPandas(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, html string")
+    rows = spread(manifest).mapInPandas(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, html string")
     return rows.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
