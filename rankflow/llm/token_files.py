@@ -14,6 +14,9 @@ A reader seeks straight to any block, and unpacks a block with numpy at once.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import open_fs, shared_dir, written
+from .common import open_fs, shared_dir, spread, written
 
 MAGIC = b"RFT1"
 HEAD = struct.Struct("<4sIIQQ")
@@ -39,11 +42,15 @@ def bits_for(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids as `bits` bits each, most significant bit first, padded to a whole byte."""
+    if bits in (8, 16, 32):
+        return ids.astype(f">u{bits // 8}").tobytes()
     places = np.arange(bits - 1, -1, -1, dtype=np.uint32)
     return np.packbits(((ids.astype(np.uint32)[:, None] >> places) & 1).astype(np.uint8)).tobytes()
 
 
 def unpack(raw: bytes, bits: int, count: int) -> np.ndarray:
+    if bits in (8, 16, 32):
+        return np.frombuffer(raw, f">u{bits // 8}", count).astype(np.uint32)
     flat = np.unpackbits(np.frombuffer(raw, np.uint8), count=count * bits).reshape(count, bits)
     width = max(8, 1 << (bits - 1).bit_length())
     wide = np.zeros((count, width), np.uint8)
@@ -121,7 +128,7 @@ class Reader:
         return own[a - k * self.block : a - k * self.block + n]
 
 
-def write_files(docs: DataFrame, encode: Callable[[list[str]], Iterator[list[int]]], vocabulary: int, end_id: int) -> DataFrame:
+def write_files(docs: DataFrame, encode: Callable[[list[str]], Iterator[np.ndarray]], vocabulary: int, end_id: int) -> DataFrame:
     """Writes the documents (doc_id, text) to token files and returns the manifest: part, path, bytes, docs, tokens, base.
 
     Spark sorts the rows into id ranges; each task encodes its range and writes one
@@ -147,7 +154,7 @@ def write_files(docs: DataFrame, encode: Callable[[list[str]], Iterator[list[int
                 out = fs.open_output_stream(path)
                 writer = Writer(out, bits)
             for doc_id, ids in zip(pdf["doc_id"], encode(pdf["text"].tolist()), strict=True):
-                writer.add(NO_ID if doc_id is None else int(doc_id), np.array([*ids, end_id], np.uint32))
+                writer.add(NO_ID if doc_id is None else int(doc_id), np.append(ids, np.uint32(end_id)))
         if writer is not None:
             writer.close()
             out.close()
@@ -179,30 +186,137 @@ def read_files(manifest: DataFrame) -> DataFrame:
                             }
                         )
 
-    return manifest.repartition("part").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread(manifest).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokenizer_encoder(path: str) -> Callable[[list[str]], Iterator[list[int]]]:
-    """Whole texts to ids with the tokenizers library, in slices of bounded size."""
+class WordMemo:
+    """Whole texts to ids with the tokenizers library, each distinct word encoded once.
 
-    def encode(texts: list[str]) -> Iterator[list[int]]:
-        import os
+    A byte-level tokenizer cuts texts into words before it merges, and a single space
+    between two characters that are no white space always begins a new word. Texts are
+    cut there, and the parts' ids kept in a bounded memo. Parts not seen before are
+    encoded many at a time, with line feeds between them. Tokenizers of another make
+    encode their texts whole.
+    """
+
+    SIZE = 1_500_000
+    PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        own = _tokenizer(path)
+        self.own = Tokenizer.from_file(path)
+        made = json.loads(self.own.to_str())
+        feed = self._whole(["\n"])[0]
+        self.parts = made["pre_tokenizer"] == self.PLAIN and made["normalizer"] is None and made["post_processor"] is None and len(feed) == 1
+        self.parts &= not any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in made["added_tokens"])
+        self.feed = feed[0]
+        self.first: dict[str, bytes] = {}  # parts at the beginning of a text
+        self.later: dict[str, bytes] = {}  # parts behind a space, kept without it
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
+        """Encodes parts that `known` lacks."""
+        simple = [p for p in new if p.isalpha() or (p and not _SPACE.search(p))]
+        for a in range(0, len(simple), 500):
+            group = simple[a : a + 500]
+            ids = np.array(self._whole(["\n".join([lead + p for p in group])])[0], "<u4")
+            cuts = (4 * np.flatnonzero(ids == self.feed)).tolist()
+            if len(cuts) == len(group) - 1:
+                raw, start = ids.tobytes(), 0
+                for p, end in zip(group, [*cuts, len(raw)], strict=True):
+                    known[p] = raw[start:end]
+                    start = end + 4
+        rest = [p for p in new if p not in known]
+        for p, ids in zip(rest, self._whole([lead + p for p in rest]) if rest else [], strict=True):
+            known[p] = np.array(ids, "<u4").tobytes()
+
+    def _learn_later(self, new: list[str]) -> None:
+        """Parts behind a space: marks behind a letter are words of their own, so `word.` needs `word` and `.` alone."""
+        first, later, whole, split = self.first, self.later, set(), []
+        for p in new:
+            word = p.rstrip(MARKS)
+            if word != p and word and word[-1].isalpha():
+                split.append((p, word, p[len(word) :]))
+            else:
+                whole.add(p)
+        whole.update(w for _, w, _ in split if w not in later)
+        self._learn(later, list(whole), " ")
+        self._learn(first, list({t for _, _, t in split if t not in first}), "")
+        for p, word, tail in split:
+            later[p] = later[word] + first[tail]
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for a in range(0, len(texts), 64):
-            for e in own.encode_batch_fast(texts[a : a + 64], add_special_tokens=False):
-                yield e.ids
+            group = texts[a : a + 64]
+            if not self.parts:
+                yield from (np.array(ids, np.uint32) for ids in self._whole(group))
+                continue
+            if len(self.first) + len(self.later) > self.SIZE:
+                self.first.clear()
+                self.later.clear()
+            for raw in self._group(group):
+                yield np.frombuffer(raw, "<u4").astype(np.uint32)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        """Ids of some texts. Only parts that neither begin nor end with white space are kept, so a known part is a safe one."""
+        first, later = self.first, self.later
+        out: list[bytes | None] = []
+        heads, parts, open_, odd = set(), set(), [], []
+        for i, text in enumerate(texts):
+            cut = text.split(" ")
+            head = cut.pop(0)
+            new = set(cut).difference(later)
+            if not new and head in first:
+                out.append(first[head] + b"".join(list(map(later.__getitem__, cut))))
+                continue
+            out.append(None)
+            if not head or head[-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in new):
+                odd.append(i)
+            else:
+                open_.append((i, head, cut))
+                heads.add(head)
+                parts |= new
+        if need := [p for p in heads if p not in first]:
+            self._learn(first, need, "")
+        if parts:
+            self._learn_later(list(parts))
+        for i, head, cut in open_:
+            out[i] = first[head] + b"".join(list(map(later.__getitem__, cut)))
+        for i in odd:
+            out[i] = self._odd(texts[i])
+        return out
+
+    def _odd(self, text: str) -> bytes:
+        """A text with white space next to a space: cut at the single spaces alone."""
+        head, *body = _CUT.split(text)
+        tail = [" " + body.pop()] if body and body[-1][-1].isspace() else []
+        if need := list({p for p in body if p not in self.later}):
+            self._learn_later(need)
+        ends = [np.array(ids, "<u4").tobytes() for ids in self._whole([head, *tail])]
+        return ends[0] + b"".join([self.later[p] for p in body]) + b"".join(ends[1:])
+
+
+def tokenizer_encoder(path: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
+    """Encoder of the tokenizer file `path`, loaded once in each Python process."""
+
+    def encode(texts: list[str]) -> Iterator[np.ndarray]:
+        return word_memo(path).encode(texts)
 
     return encode
 
 
-_loaded: dict[str, object] = {}
-
-
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
+def word_memo(path: str) -> WordMemo:
+    """The memo of a tokenizer file; kept by the worker from task to task."""
     if path not in _loaded:
-        _loaded[path] = Tokenizer.from_file(path)
+        _loaded[path] = WordMemo(path)
     return _loaded[path]
+
+
+_loaded: dict[str, WordMemo] = {}
+MARKS = ".,;:!?#$%&*)"
+_SPACE = re.compile(r"\s")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
