@@ -176,6 +176,25 @@ def test_personal_data(spark, texts):
     assert pii.find_personal_data(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 60])
+def test_loose_personal_data_is_added(spark, copies):
+    planted = {
+        "email": ("write to ann.lee [at] mail (dot) example [dot] org", ". Then more"),
+        "ip": ("from host 2001:0db8:85a3:0000:0000:8a2e:0370:7334", " today"),
+        "card": ("my visa 4111.1111/1111.1111", " is new"),
+        "phone": ("please call 030/123-4567", " now"),
+    }
+    first = {"email": 9, "ip": 10, "card": 8, "phone": 12}
+    rows = [(10 * i + k, f"{i} {a}{b}", kind, len(str(i)) + 1 + first[kind], len(str(i)) + 1 + len(a)) for i in range(copies) for k, (kind, (a, b)) in enumerate(planted.items())]
+    wrong = [(10 * i + 9, "at 10:20:30:40:50:10:20:30 see 4111.1111/1111.1112, part 030/123-4567, we @ home.now") for i in range(copies)]
+    base = [(10 * i + 8, f"a{i}@x.com 10.0.0.{i} +49 30 1234567 and 4111 1111 1111 1111") for i in range(copies)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + wrong + base, DOCS)
+    got = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
+    for i, _, kind, start, end in rows:
+        assert (got[i]["spans"], got[i]["n_added"]) == (f"{kind}:{start}:{end}", 1)
+    assert [(t, got[i]["spans"]) for i, t in wrong + base if got[i]["n_added"]] == []
+
+
 def test_lines(spark, texts, docs, empty):
     strip = " \t\n\x0b\x0c\r"
     key = lambda s: "".join(c.lower() if "A" <= c <= "Z" else c for c in s.strip(strip))
