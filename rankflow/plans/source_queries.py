@@ -218,7 +218,16 @@ def a23_reason_counters(spark, sf_dir):
 @query("""WITH ev AS (SELECT 'user' || user_id AS source, CASE WHEN event_type = 'purchase' THEN 'session' || (event_id // 10) END AS parent, 'event' || event_id AS output, event_type AS step FROM events WHERE event_id < 100000)
 SELECT (SELECT count(*) FROM (SELECT source FROM ev UNION SELECT parent FROM ev WHERE parent IS NOT NULL UNION SELECT output FROM ev)) AS nodes, (SELECT count(*) FROM (SELECT source, output, step FROM ev UNION SELECT parent, output, step FROM ev WHERE parent IS NOT NULL)) AS edges""")
 def a24_lineage_graph(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 100000")
+    return lineage_graph(table(spark, sf_dir, "events").where("event_id < 100000"))
+
+
+@query()
+def a24_lineage_graph_whole(spark, sf_dir):
+    """All events; the SQL of the query without `_whole` stops at event 100,000."""
+    return lineage_graph(table(spark, sf_dir, "events"))
+
+
+def lineage_graph(e):
     ev = e.select(F.concat(F.lit("user"), "user_id").alias("source"), F.when(F.col("event_type") == "purchase", F.concat(F.lit("session"), F.floor(F.col("event_id") / 10).cast("string"))).alias("parent"), F.concat(F.lit("event"), "event_id").alias("output"), F.col("event_type").alias("step"))
     nodes, edges = canonical.lineage(ev)
     return nodes.agg(count_rows().alias("nodes")).join(edges.agg(count_rows().alias("edges")))
@@ -365,9 +374,18 @@ SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, round(CASE WHEN a IS NULL
  round(coalesce(a, 0), 6) AS w, round(greatest(coalesce(a, 0), coalesce(b, 0)), 6) AS t2, round(greatest(coalesce(a, 0), coalesce(b, 0), 0.05), 6) AS t3 FROM z""")
 def f18_f19_row_means(spark, sf_dir):
     """Mean over available parts and their number; row-wise running maximum."""
+    return row_means(table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 1"))
+
+
+@query()
+def f18_f19_row_means_whole(spark, sf_dir):
+    """All line items; the SQL of the query without `_whole` has a tenth of the orders."""
+    return row_means(table(spark, sf_dir, "lineitem"))
+
+
+def row_means(z):
     from ..operators.features import row_mean
 
-    z = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 1")
     a, b = F.when(F.col("l_partkey") % 3 != 0, F.col("l_discount")), F.when(F.col("l_partkey") % 5 != 0, F.col("l_tax"))
     mean, n = row_mean([a, b])
     w, t2, t3 = scalars.monotone(F.coalesce(a, F.lit(0.0)), F.coalesce(b, F.lit(0.0)), F.lit(0.05))
@@ -386,8 +404,17 @@ def f25_f27_clock_and_json(spark, sf_dir):
 SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, round(-CASE WHEN y = 1 THEN ln(greatest(least(p, 1 - 1e-9), 1e-9)) ELSE ln(1 - greatest(least(p, 1 - 1e-9), 1e-9)) END, 4) AS loss, round((greatest(least(p, 1 - 1e-12), 1e-12) - y) ** 2, 6) AS brier, round(q * 20 - 1, 6) + 0.0 AS ev FROM z""")
 def f13_f20_losses_and_value(spark, sf_dir):
     """Losses with their own clipping, and expected value."""
+    return losses_and_value(table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 3"))
+
+
+@query()
+def f13_f20_losses_and_value_whole(spark, sf_dir):
+    """All line items; the SQL of the query without `_whole` has a tenth of the orders."""
+    return losses_and_value(table(spark, sf_dir, "lineitem"))
+
+
+def losses_and_value(z):
     from ..operators import metrics, strategy
 
-    z = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 3")
     p, y = F.col("l_discount") * 10, (F.col("l_returnflag") == "R").cast("int")
     return z.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", R(metrics.log_loss(p, y, 1e-9), 4).alias("loss"), R(metrics.brier(p, y, 1e-12), 6).alias("brier"), (R(strategy.value(F.col("l_tax"), F.lit(20.0)), 6) + 0.0).alias("ev"))

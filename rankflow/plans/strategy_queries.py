@@ -326,7 +326,16 @@ def j16_processed_exclusion(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, l_extendedprice DESC, l_linenumber, l_suppkey) AS place FROM lineitem WHERE l_orderkey % 20 = 1")
 def t07_ticket_order(spark, sf_dir):
     """Tickets in list order: contest, type, price descending."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 1")
+    return ticket_order(table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 1"))
+
+
+@query()
+def t07_ticket_order_whole(spark, sf_dir):
+    """All line items; the SQL of the query without `_whole` has a twentieth of the orders."""
+    return ticket_order(table(spark, sf_dir, "lineitem"))
+
+
+def ticket_order(li):
     return li.select("l_orderkey", "l_linenumber", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_returnflag", F.desc("l_extendedprice"), "l_linenumber", "l_suppkey")).cast("long").alias("place"))
 
 
