@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import count_rows
 from ..operators import metrics, rankprob, resample, strategy
-from ..registry import query
+from ..registry import QUERIES, SQL, query
 from ..sources.bindings import CONTESTS, ENTRANTS, contests, entrants, table
 from .rating_queries import LOSS, P1, PL, THREE, base_rates, scored
 
@@ -28,8 +30,31 @@ KINDS = [
 TICKETS = f"{TRIPLES}, tk0 AS (" + " UNION ALL ".join(f"SELECT race_id, {k} AS ticket_type, {s} AS selection, pr FROM t3 WHERE {w}" for k, s, w in KINDS) + "), tk AS (SELECT race_id, ticket_type, selection, sum(pr) AS probability FROM tk0 GROUP BY 1, 2, 3)"
 
 
+_whole = ContextVar("whole", default=False)
+
+
+def of_year(rows):
+    """The contests of YEAR, as in SMALL; all of them in a query's `_whole` form."""
+    return rows if _whole.get() else rows.where(F.year("day") == YEAR)
+
+
+def whole(f):
+    """The query `f` over the contests of all years, sampled ones with WHOLE_DRAWS draws of every contest."""
+
+    def run(spark, sf_dir):
+        token = _whole.set(True)
+        try:
+            return f(spark, sf_dir)
+        finally:
+            _whole.reset(token)
+
+    run.__name__ = f"{f.__name__}_whole"
+    run.__doc__ = f.__doc__
+    return run
+
+
 def tickets(spark, sf_dir):
-    return rankprob.tickets(base_rates(spark, sf_dir).where(F.year("day") == YEAR))
+    return rankprob.tickets(of_year(base_rates(spark, sf_dir)))
 
 
 @query(f"WITH {SMALL}, {TICKETS} SELECT race_id, ticket_type, selection, round(probability, 6) AS probability FROM tk")
@@ -37,15 +62,19 @@ def m28_ticket_probabilities(spark, sf_dir):
     return tickets(spark, sf_dir).select("race_id", "ticket_type", "selection", R("probability", 6).alias("probability"))
 
 
-DRAWS = 200
+DRAWS, WHOLE_DRAWS = 200, 20_000
 U = "(('0x' || substr(md5({key}), 1, 13))::BIGINT / 4503599627370496.0)"
 GUMBEL = f"""gs AS (SELECT race_id, horse_id, draw, p, row_number() OVER (PARTITION BY race_id, draw ORDER BY ln(p) - ln(-ln({U.format(key="race_id || '|' || horse_id || '|' || draw")} + 1e-16)) DESC, horse_id) AS position FROM (SELECT * FROM p WHERE race_id % 16 = 1), range({DRAWS}) AS g(draw))"""
 
 
+def draws() -> int:
+    return WHOLE_DRAWS if _whole.get() else DRAWS
+
+
 def sampled(spark, sf_dir):
     """Simulated places: log weight plus Gumbel noise from a hash, ranked per contest and draw."""
-    p = base_rates(spark, sf_dir).where((F.year("day") == YEAR) & (F.col("race_id") % 16 == 1)).select("race_id", "horse_id", "p")
-    d = p.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
+    p = of_year(base_rates(spark, sf_dir)).where(F.lit(True) if _whole.get() else F.col("race_id") % 16 == 1).select("race_id", "horse_id", "p")
+    d = p.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws() - 1))))
     noise = -F.log(-F.log(resample.uniform(F.col("race_id"), F.col("horse_id"), F.col("draw")) + 1e-16))
     rank = F.row_number().over(Window.partitionBy("race_id", "draw").orderBy(F.desc(F.log("p") + noise), "horse_id"))
     return d.withColumn("position", rank)
@@ -58,7 +87,7 @@ def m29_rank_sampling(spark, sf_dir):
 
 @query(f"WITH {SMALL}, {GUMBEL}, f AS (SELECT race_id, horse_id, any_value(p) AS p, count(*) FILTER (position = 1) / {DRAWS}.0 AS share FROM gs GROUP BY 1, 2) SELECT count(*) AS entrants, round(avg(abs(share - p)), 4) AS mae FROM f")
 def m30_simulation_error(spark, sf_dir):
-    f = sampled(spark, sf_dir).groupBy("race_id", "horse_id").agg(F.first("p").alias("p"), (F.count_if(F.col("position") == 1) / DRAWS).alias("share"))
+    f = sampled(spark, sf_dir).groupBy("race_id", "horse_id").agg(F.first("p").alias("p"), (F.count_if(F.col("position") == 1) / draws()).alias("share"))
     return f.agg(count_rows().alias("entrants"), R(F.avg(F.abs(F.col("share") - F.col("p"))), 4).alias("mae"))
 
 
@@ -161,7 +190,7 @@ FAIL = f"""{SMALL}, {PL}, ln AS (SELECT race_id, horse_id, 'win' AS layer, p_win
 @query(f"WITH {FAIL} SELECT layer, CASE WHEN q >= 0.5 THEN 'SEVERE' WHEN q >= 0.25 THEN 'MAJOR' WHEN q >= 0.10 THEN 'MINOR' ELSE 'TAIL' END AS classification, count(*) AS rows FROM (SELECT layer, round(q, 9) AS q, y FROM ln) WHERE y = 0 GROUP BY 1, 2")
 def a19_failure_classes(spark, sf_dir):
     """Misses by layer and by how likely the hit was thought."""
-    m = scored(spark, sf_dir).where(F.year("day") == YEAR)
+    m = of_year(scored(spark, sf_dir))
     layers = F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), R(F.col(f"p_{k}"), 9).alias("q"), F.col(f"label_{k}").alias("y")) for k in ("win", "top2", "top3")]))
     x = m.select(layers.alias("x")).select("x.*").where("y = 0")
     return x.groupBy("layer", strategy.miss_class(F.col("q")).alias("classification")).agg(count_rows().alias("rows"))
@@ -184,7 +213,7 @@ def f21_opportunity_score(spark, sf_dir):
 
 @query(f"WITH {SMALL}, {PL}, w AS (SELECT race_id, horse_id, exp(.60 * ln(p_win) + .25 * ln(p_top2 / 2) + .15 * ln(p_top3 / 3)) AS w FROM m) SELECT race_id, horse_id, round(w / sum(w) OVER (PARTITION BY race_id), 6) AS weight FROM w")
 def f22_latent_weight(spark, sf_dir):
-    m = scored(spark, sf_dir).where(F.year("day") == YEAR)
+    m = of_year(scored(spark, sf_dir))
     w = m.withColumn("w", strategy.latent_weight(F.col("p_win"), F.col("p_top2"), F.col("p_top3")))
     return w.select("race_id", "horse_id", R(F.col("w") / F.sum("w").over(Window.partitionBy("race_id")), 6).alias("weight"))
 
@@ -192,14 +221,14 @@ def f22_latent_weight(spark, sf_dir):
 @query(f"""WITH {SMALL}, g AS (SELECT race_id, count(*) AS size, sum(-p * ln(p)) / ln(count(*)) AS h, list_reverse_sort(list(p)) AS ps FROM p GROUP BY 1)
 SELECT race_id, size, round(h, 6) AS entropy, CASE WHEN h > 0.82 THEN 'HIGH' WHEN h > 0.65 THEN 'MEDIUM' ELSE 'LOW' END AS uncertainty, CASE WHEN ps[1] >= 0.35 THEN 'FAVOURITE' WHEN ps[1] + ps[2] >= 0.55 THEN 'TWO_HORSE' WHEN h >= 0.80 THEN 'OPEN' ELSE 'MIXED' END AS shape, CASE WHEN size >= 8 THEN 3 WHEN size >= 4 THEN 2 ELSE 1 END AS place_slots FROM g""")
 def f23_contest_shape(spark, sf_dir):
-    p = base_rates(spark, sf_dir).where(F.year("day") == YEAR)
+    p = of_year(base_rates(spark, sf_dir))
     return strategy.shape(p, "race_id", "p").withColumn("entropy", R("entropy", 6))
 
 
 @query(f"WITH {SMALL}, {PL}, {THREE} SELECT k, round(sum(logloss) / sum(rows), 6) AS logloss FROM a5 WHERE positives = least(k, rows) GROUP BY k")
 def m38_blind_evaluation(spark, sf_dir):
     """Predictions of the last year, frozen before their results are joined, then scored."""
-    frozen = scored(spark, sf_dir).where(F.year("day") == YEAR).select("race_id", "horse_id", *[R(c, 12).alias(c) for c in ("p_win", "p_top2", "p_top3")])
+    frozen = of_year(scored(spark, sf_dir)).select("race_id", "horse_id", *[R(c, 12).alias(c) for c in ("p_win", "p_top2", "p_top3")])
     results = entrants(spark, sf_dir).select("race_id", "horse_id", "finish")
     t = metrics.three_targets(frozen.join(results, ["race_id", "horse_id"]), "race_id", "horse_id", "finish", ["p_win", "p_top2", "p_top3"])
     return t.groupBy("k").agg(R(F.sum("logloss") / F.sum("rows"), 6).alias("logloss"))
@@ -207,7 +236,7 @@ def m38_blind_evaluation(spark, sf_dir):
 
 @query(f"WITH {SMALL}, w AS (SELECT race_id, horse_id, p FROM p), rr AS (SELECT race_id, horse_id, finish FROM e) SELECT count(*) AS rows, count(DISTINCT race_id) AS races, count(*) FILTER (finish = 1) AS winners FROM w JOIN rr USING (race_id, horse_id)")
 def j10_frozen_results(spark, sf_dir):
-    frozen = base_rates(spark, sf_dir).where(F.year("day") == YEAR).select("race_id", "horse_id", "p")
+    frozen = of_year(base_rates(spark, sf_dir)).select("race_id", "horse_id", "p")
     j = frozen.join(entrants(spark, sf_dir).select("race_id", "horse_id", "finish"), ["race_id", "horse_id"])
     return j.agg(count_rows().alias("rows"), F.count_distinct("race_id").alias("races"), F.count_if(F.col("finish") == 1).alias("winners"))
 
@@ -218,7 +247,7 @@ WEIGHTS = f"""tw AS (SELECT CAST(i / 20.0 AS DOUBLE) AS w FROM range(21) g(i)),
 @query(f"WITH {SMALL}, {WEIGHTS} SELECT arg_min(w, (round(l, 10), w)) AS weight, round(min(l), 6) AS logloss FROM lw")
 def m26_ensemble_weight(spark, sf_dir):
     """Weight of the model against equal chances with the least loss, over 21 points."""
-    p = base_rates(spark, sf_dir).where(F.year("day") == YEAR).select("p", "n", "label_win")
+    p = of_year(base_rates(spark, sf_dir)).select("p", "n", "label_win")
     x = p.withColumn("w", F.explode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: i / 20.0)))
     l = x.groupBy("w").agg(F.avg(metrics.log_loss(F.col("w") * F.col("p") + (1 - F.col("w")) / F.col("n"), F.col("label_win"))).alias("l"))
     return l.agg(F.min_by("w", F.struct(R("l", 10), F.col("w"))).alias("weight"), R(F.min("l"), 6).alias("logloss"))
@@ -247,7 +276,7 @@ def a25_drift(spark, sf_dir):
 
 @query(f"WITH {SMALL}, x AS (SELECT domain, avg({LOSS.format(p='p', y='label_win')}) AS l FROM p GROUP BY 1) SELECT round(abs(max(l) FILTER (domain = 1) - max(l) FILTER (domain = 2)), 6) AS gap FROM x")
 def a26_domain_gap(spark, sf_dir):
-    p = base_rates(spark, sf_dir).where(F.year("day") == YEAR).withColumn("l", metrics.log_loss(F.col("p"), F.col("label_win")))
+    p = of_year(base_rates(spark, sf_dir)).withColumn("l", metrics.log_loss(F.col("p"), F.col("label_win")))
     x = p.groupBy().pivot("domain", [1, 2]).agg(F.avg("l"))
     return x.select(R(F.abs(F.col("1") - F.col("2")), 6).alias("gap"))
 
@@ -347,7 +376,7 @@ def t02_newest(spark, sf_dir):
 @query(f"WITH {SMALL}, {PL.split('s AS (SELECT race_id, i')[0].rstrip().rstrip(',')} SELECT race_id, i AS horse_id, count(*) AS rivals, round(any_value(pool), 6) AS pool FROM j JOIN (SELECT race_id, j AS i, pool FROM pool) q USING (race_id, i) GROUP BY 1, 2 HAVING count(*) >= 2")
 def j17_pair_join(spark, sf_dir):
     """All ordered pairs of a contest's entrants, and each one's pool over two rivals or more."""
-    p = base_rates(spark, sf_dir).where(F.year("day") == YEAR).select("race_id", "horse_id", "p")
+    p = of_year(base_rates(spark, sf_dir)).select("race_id", "horse_id", "p")
     other = p.select("race_id", F.col("horse_id").alias("rival"), F.col("p").alias("q"))
     pairs = p.join(other, "race_id").where("horse_id <> rival")
     pool = F.sum(F.col("q") / F.greatest(1 - F.col("p") - F.col("q"), F.lit(1e-15)))
@@ -356,5 +385,9 @@ def j17_pair_join(spark, sf_dir):
 
 @query(f"WITH {SMALL} SELECT CASE WHEN round(p, 9) >= 0.5 THEN 'SEVERE' WHEN round(p, 9) >= 0.25 THEN 'MAJOR' WHEN round(p, 9) >= 0.10 THEN 'MINOR' ELSE 'TAIL' END AS class, count(*) AS rows FROM p GROUP BY 1")
 def f24_miss_class(spark, sf_dir):
-    p = base_rates(spark, sf_dir).where(F.year("day") == YEAR)
+    p = of_year(base_rates(spark, sf_dir))
     return p.groupBy(strategy.miss_class(R("p", 9)).alias("class")).agg(count_rows().alias("rows"))
+
+
+for _name in [n for n, sql in SQL.items() if sql.startswith((f"WITH {SMALL}", f"WITH {FAIL}"))]:
+    query()(whole(QUERIES[_name]))

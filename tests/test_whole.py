@@ -1,7 +1,11 @@
 """Queries over all rows, where the SQL covers a part of them, against that SQL without the cut."""
 
+import hashlib
+import math
+
 import pytest
 
+from rankflow.plans import strategy_queries
 from rankflow.registry import QUERIES, SQL
 
 from .test_queries import SF, duck, rows, same  # noqa: F401
@@ -32,3 +36,36 @@ def test_lineage_graph_past_event_100000(spark, tmp_path):
     data = [(99_999, 1, "view"), (100_000, 2, "purchase"), (2_000_000, 2, "view")]
     spark.createDataFrame(data, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     assert QUERIES["a24_lineage_graph_whole"](spark, str(tmp_path)).collect() == [(6, 4)]
+
+
+YEAR = " WHERE year(day) = 1998"
+SAMPLED = {"m29_rank_sampling", "m30_simulation_error"}  # too many draws for the SQL
+ALL_YEARS = sorted(n for n in SQL if YEAR in SQL[n] and f"{n}_whole" in QUERIES)
+
+
+def test_every_query_of_one_year_has_a_whole_form():
+    assert ALL_YEARS == sorted(n for n in SQL if YEAR in SQL[n]) and len(ALL_YEARS) > 20
+
+
+@pytest.mark.parametrize("name", [n for n in ALL_YEARS if n not in SAMPLED])
+def test_all_years_equal_sql_without_the_year(spark, duck, name):  # noqa: F811
+    equal(duck, QUERIES[f"{name}_whole"](spark, SF), SQL[name].replace(YEAR, ""))
+
+
+def test_all_contests_are_sampled_20000_times(spark, monkeypatch):
+    field = [(2, 1, 0.5), (2, 2, 0.3), (2, 3, 0.2), (17, 4, 0.9), (17, 5, 0.1)]
+    p = spark.createDataFrame([(r, h, x, "1995-03-01" if r == 2 else "1998-03-01") for r, h, x in field], "race_id long, horse_id long, p double, day string").withColumn("day", strategy_queries.F.to_date("day"))
+    monkeypatch.setattr(strategy_queries, "base_rates", lambda *_: p)
+    u = lambda *k: int(hashlib.md5("|".join(map(str, k)).encode()).hexdigest()[:13], 16) / 4503599627370496.0
+    wins, top3 = dict.fromkeys([f[:2] for f in field], 0), dict.fromkeys([f[:2] for f in field], 0)
+    for race in (2, 17):
+        own = [f for f in field if f[0] == race]
+        for draw in range(20_000):
+            order = sorted(own, key=lambda f: (-(math.log(f[2]) - math.log(-math.log(u(race, f[1], draw) + 1e-16))), f[1]))
+            wins[order[0][:2]] += 1
+            for f in order[:3]:
+                top3[f[:2]] += 1
+    got = {(r["race_id"], r["horse_id"]): (r["wins"], r["top3"]) for r in QUERIES["m29_rank_sampling_whole"](spark, "").collect()}
+    assert got == {k: (wins[k], top3[k]) for k in wins}
+    error = sum(abs(wins[f[:2]] / 20_000 - f[2]) for f in field) / len(field)
+    assert QUERIES["m30_simulation_error_whole"](spark, "").collect() == [(5, round(error, 4))]
