@@ -5,7 +5,7 @@ import math
 
 import pytest
 
-from rankflow.plans import strategy_queries
+from rankflow.plans import model_queries, strategy_queries
 from rankflow.registry import QUERIES, SQL
 
 from .test_queries import SF, duck, rows, same  # noqa: F401
@@ -69,3 +69,28 @@ def test_all_contests_are_sampled_20000_times(spark, monkeypatch):
     assert got == {k: (wins[k], top3[k]) for k in wins}
     error = sum(abs(wins[f[:2]] / 20_000 - f[2]) for f in field) / len(field)
     assert QUERIES["m30_simulation_error_whole"](spark, "").collect() == [(5, round(error, 4))]
+
+
+def test_search_resumes_until_the_space_is_done(spark, monkeypatch):
+    trained = []
+
+    def score(df, target, name, **settings):
+        trained.append((target, name, settings["depth"], settings["trees"], settings["seed"]))
+        return spark.createDataFrame([("SELECTION", 5, float(len(trained))), ("TEST", 1, 0.0)], "split string, rows long, logloss double")
+
+    monkeypatch.setattr(model_queries, "_score", score)
+    monkeypatch.setattr(model_queries, "prepared", lambda *_: None)
+    assert len(model_queries.SPACE) == len(set(model_queries.SPACE)) == 162
+    monkeypatch.setattr(model_queries, "SPACE", model_queries.SPACE[:5])
+    want = sorted(model_queries.SPACE)
+    got = QUERIES["m22_resumable_search"](spark, "").collect()
+    assert trained == want and [tuple(r) for r in got] == [(*p, 5, i + 1.0) for i, p in enumerate(want)]
+    trained.clear()
+    half = spark.createDataFrame(got[:3], model_queries.LEDGER_SHAPE)
+    assert model_queries.resume(spark, None, half).count() == 5 and trained == want[3:]
+
+
+def test_search_trains_and_scores(spark, monkeypatch):
+    monkeypatch.setattr(model_queries, "SPACE", model_queries.SPACE[:3])
+    got = QUERIES["m22_resumable_search"](spark, SF).collect()
+    assert len(got) == 3 and all(r["rows"] > 0 and 0 < r["logloss"] < 1 for r in got)
