@@ -7,13 +7,14 @@ document's shingles are joined with these prefix shingles. Each hit fixes where
 window would begin (positional bound) and that it must fit into the document (length
 bound); then the words are compared one by one over the window's length.
 
-The benchmark is joined in blocks of bounded size: each block's prefix index is
-broadcast, and passes follow one another without a shuffle, so neither the number of
-items nor a passage that a third of all documents share gathers rows anywhere.
+The benchmark is joined in blocks of bounded size: a block's prefix index is broadcast.
+With one block, no row moves. With more, a block's hits are written by text and its
+broadcast is destroyed before the next is built, so driver and workers hold one block at a
+time; in the end the hits of all blocks are joined with the documents.
 
 Null or empty texts have no words. Null items have no windows. Repeated items share
-windows and are each named; repeated documents each get their row. A null item_id is
-ignored.
+windows and are each named; repeated documents each get their row. Windows of items
+without an item_id are hits like others; such items count as one and have no name.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import judge_texts
+from .common import judge_texts, written
 
 WINDOW = 13
 BLOCK_BYTES = 8_000_000
@@ -45,7 +46,7 @@ def windows_of(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)] if words else []
 
 
-def rarity(docs: DataFrame, items: list[tuple[str, str]]) -> dict[bytes, int]:
+def rarity(docs: DataFrame, items: list[tuple[str | None, str]]) -> dict[bytes, int]:
     """How often each shingle (one word) of the items occurs in all documents.
 
     Tasks count only words that the items have; partial counts are summed by Spark.
@@ -89,12 +90,15 @@ def find(words: list[bytes], index: dict[bytes, dict]) -> tuple[list[tuple[int,
     return spans, found
 
 
-def blocks_of(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """Items (item_id, text) in blocks of about `block_bytes` of text, each collected alone."""
+def number_of_blocks(items: DataFrame, block_bytes: int) -> int:
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes) if total else 0
+    return -(-total // block_bytes)
+
+
+def blocks_of(items: DataFrame, n: int) -> Iterator[list[tuple[str | None, str]]]:
+    """Distinct items (item_id, text) in `n` blocks of about the same size, each collected alone."""
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
         yield [(r["item_id"], r["text"]) for r in rows.toLocalIterator()]
 
 
@@ -108,24 +112,62 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_b
 
 
 def judged(docs: DataFrame, items: DataFrame, name: str, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns and the struct `name` of what `decontaminate` returns per document; no row moves."""
-    spark = docs.sparkSession
+    """All columns and the struct `name` of what `decontaminate` returns per document; with one block, no row moves."""
     rows = docs.select("text")
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
-    passes = [spark.sparkContext.broadcast(prefix_index(block, rarity(rows, block), size)) for block in blocks_of(items, block_bytes)]
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").distinct()
+    n = number_of_blocks(items, block_bytes)
+    if n > 1:
+        return _judged_by_blocks(docs, items, name, size, n)
+    passes = [docs.sparkSession.sparkContext.broadcast(prefix_index(block, rarity(rows, block), size)) for block in blocks_of(items, n)]
 
     def judge(texts: list) -> pd.DataFrame:
         out = []
         for text in texts:
             words = words_of(text)
-            hit, found = bytearray(len(words)), set()
-            for index in passes:
-                spans, own = find(words, index.value)
-                found |= own
-                for a, b in spans:
-                    hit[a:b] = b"\x01" * (b - a)
+            hit, found = _covered(words, passes[0].value if passes else {})
             n, k = len(words), sum(hit)
-            out.append((n, k, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), k > 0 and 20 * k >= n))
+            out.append((n, k, len(found), hashlib.sha256(",".join(sorted(found - {None})).encode()).hexdigest(), k > 0 and 20 * k >= n))
         return pd.DataFrame(out, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return judge_texts(docs, judge, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", name)
+
+
+def _covered(words: list[bytes], index: dict[bytes, dict]) -> tuple[bytearray, set]:
+    """A byte for each word, 1 where a window covers it, and the items of these windows."""
+    hit = bytearray(len(words))
+    spans, found = find(words, index)
+    for a, b in spans:
+        hit[a:b] = b"\x01" * (b - a)
+    return hit, found
+
+
+def _key(i: int):
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.lit(i))
+
+
+def _judged_by_blocks(docs: DataFrame, items: DataFrame, name: str, size: int, n: int) -> DataFrame:
+    spark, rows, hits = docs.sparkSession, docs.select("text"), None
+    for block in blocks_of(items, n):
+        index = spark.sparkContext.broadcast(prefix_index(block, rarity(rows, block), size))
+
+        def judge(texts: list, index=index) -> pd.DataFrame:
+            out = []
+            for text in texts:
+                hit, found = _covered(words_of(text), index.value)
+                out.append(([i for i, x in enumerate(hit) if x], list(found)))
+            return pd.DataFrame(out, columns=["at", "ids"])
+
+        own = judge_texts(rows, judge, "at array<int>, ids array<string>", "__hit").where(F.size("__hit.at") > 0)
+        own = written(own.select(_key(1).alias("__k1"), _key(2).alias("__k2"), "__hit.*").dropDuplicates(["__k1", "__k2"]), "decontaminate-hits")
+        index.destroy()
+        hits = own if hits is None else hits.unionByName(own)
+    merged = hits.groupBy("__k1", "__k2").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("__at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("__ids"))
+    found = merged.select(F.col("__k1").alias("__h1"), F.col("__k2").alias("__h2"), F.size("__at").cast("long").alias("__n"), F.size("__ids").cast("long").alias("__items"), F.array_join("__ids", ",").alias("__names"))
+    count = lambda texts: pd.DataFrame({"n_words": [len(words_of(t)) for t in texts]})
+    every = judge_texts(docs, count, "n_words long", "__words").join(found, (_key(1) == F.col("__h1")) & (_key(2) == F.col("__h2")), "left")
+    k, words = F.coalesce("__n", F.lit(0)), F.col("__words.n_words")
+    result = F.struct(
+        words.alias("n_words"), k.alias("n_hit"), F.coalesce("__items", F.lit(0)).alias("n_items"),
+        F.sha2(F.encode(F.coalesce("__names", F.lit("")), "utf-8"), 256).alias("items_sha256"), ((k > 0) & (20 * k >= words)).alias("contaminated"),
+    )
+    return every.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias(name))

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -132,6 +133,26 @@ def test_contamination(spark, docs, texts, empty):
     assert not any(r["n_hit"] for r in decontaminate.decontaminate(docs, bench.where("false")).collect())
 
 
+def test_contamination_equals_sql_and_holds_one_block(spark, monkeypatch):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(9)) for _ in range(n))
+    items = [(None, text(30)), (None, text(20)), *[(7, text(40)) for _ in range(40)], (8, text(5)), (7, None)]
+    data = [(i, f"{text(20)} {t or ''} {text(20)}") for i, (_, t) in enumerate(items)] + [(90, items[2][1] + " " + items[0][1]), (91, items[0][1]), (92, items[0][1]), (93, None)]
+    docs, bench = spark.createDataFrame(data, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", data)
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    want = sorted(con.sql(queries.ORACLE_SQL["op4_decontaminate"]).fetchall())
+    assert sorted(map(tuple, decontaminate.decontaminate(docs, bench).collect())) == want and any(r[5] for r in want)
+    sizes, make = [], decontaminate.prefix_index
+    monkeypatch.setattr(decontaminate, "prefix_index", lambda block, *a: sizes.append(len(block)) or make(block, *a))
+    split = decontaminate.decontaminate(docs, bench, block_bytes=1000)
+    assert sorted(map(tuple, split.collect())) == want
+    assert len(sizes) > 5 and max(sizes) < 20  # the forty passages of one item too
+
+
 def base_spans(text):
     rules = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
