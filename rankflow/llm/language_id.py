@@ -133,20 +133,19 @@ class Model:
 
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fits on about `sample_docs` whole texts per language from (key, text, lang), at most `sample_chars` characters of distinct words each.
+    """Fits on about `sample_docs` texts per language from (key, text, lang), at most `sample_chars` characters of distinct words each.
 
-    At most LANGUAGES languages, the most frequent, are learned. The sample is chosen
-    by a hash of `key`, and only it reaches the driver.
+    All languages are learned, LANGUAGES at a time. The sample is chosen by a hash of
+    `key`; of each sampled text, the first LONGEST_SAMPLE characters reach the driver.
     """
     known = labelled.where("lang is not null and text is not null")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    picked = None
-    for r in sizes:
-        rule = (F.col("lang") == r["lang"]) & hash_below(F.col("key"), min(1.0, sample_docs / r["count"]), 3)
-        picked = rule if picked is None else picked | rule
-    if picked is None:
-        return Model({})
-    rows = known.where(picked).where(F.length("text") <= LONGEST_SAMPLE).select("key", "lang", "text").collect()
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    rows = []
+    for a in range(0, len(sizes), LANGUAGES):
+        picked = F.lit(False)
+        for r in sizes[a : a + LANGUAGES]:
+            picked |= (F.col("lang") == r["lang"]) & hash_below(F.col("key"), min(1.0, sample_docs / r["count"]), 3)
+        rows += known.where(picked).select("key", "lang", F.left("text", F.lit(LONGEST_SAMPLE)).alias("text")).collect()
     words: dict[str, dict[str, None]] = {}
     used: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], str(r["key"]))):

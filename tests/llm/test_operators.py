@@ -371,6 +371,15 @@ def test_language_held_out(spark):
     assert (held["lang_pred"] == held["lang"]).mean() > 0.97
 
 
+def test_languages_with_long_texts_and_rare_ones_are_learned(spark, monkeypatch):
+    words = {"aa": "lorem dolor amet", "bb": "quick brown foxes", "cc": "zwölf boxkämpfer jagen"}
+    long = language_id.LONGEST_SAMPLE
+    known = spark.createDataFrame([(i, w + (f" {w}" * long if k == "cc" else ""), k) for i, k in enumerate(["aa", "aa", "aa", "bb", "bb", "cc"]) for w in [words[k]]], "key long, text string, lang string")
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    model = language_id.train(known)
+    assert model.predict(list(words.values()))[0] == list(words)
+
+
 def test_language_automaton_by_brute_force(spark, empty):
     sample = " abracadabra banana "
     own = language_id.Model({"x": sample})
