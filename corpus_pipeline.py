@@ -5,7 +5,9 @@ near-duplicates (the smallest doc_id of each group stays), benchmark decontamina
 (contaminated documents go), SentencePiece encoding and decoding. Each stage reads what
 its predecessor wrote. Columns of documents are kept, extra ones too; n_chars follows
 the text. Rows without a doc_id pass the first stages by their text alone and are no
-group's representative unless the group has no other id.
+group's representative unless the group has no other id. One row of each group stays,
+also where ids are missing or repeated: among rows of the smallest doc_id the one with
+the least hash of id and text.
 """
 
 from __future__ import annotations
@@ -20,11 +22,6 @@ from rankflow.llm.queries import tokenizer_path, toxicity_scorer
 ORACLE_SQL = None  # the first, third and last stage can't be written in SQL; tests/llm has brute-force versions
 
 
-def _kept(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id is in `keep` (doc_id)."""
-    return docs.join(keep.select(F.col("doc_id").alias("__keep")).distinct(), F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
-
-
 def _passed(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -39,8 +36,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = simhash.near_duplicates(docs)
-    return _kept(docs, rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    keyed = docs.withColumns({"__k1": simhash.row_key(1), "__k2": simhash.row_key(2)})
+    kept = keyed.join(simhash.representatives(docs), (F.col("__k1") == F.col("__r1")) & (F.col("__k2") == F.col("__r2")), "left_semi")
+    return _passed(docs, kept.dropDuplicates(["__k1", "__k2"]))  # repeated rows
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

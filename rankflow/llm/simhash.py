@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_texts, written
+from .common import components, judge_texts, map_texts, written
 
 SHINGLE = 3
 DISTANCE = 2
@@ -96,12 +96,33 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def _rooted(groups: DataFrame) -> DataFrame:
+    """Adds the component's root to one row per fingerprint (fp, low)."""
+    roots = components(links(groups.select("fp")), "simhash")
+    return groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Per row (doc_id, text): doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable."""
     fps = written(fingerprints(docs, shingle), "simhash-fps")
-    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links(groups.select("fp")), "simhash")
-    placed = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+    placed = _rooted(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     named = placed.join(lowest, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def row_key(salt: int) -> Column:
+    """Half of the key under which rows alike in doc_id and text fall together."""
+    return F.xxhash64(F.isnull("doc_id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.lit(salt))
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The row_key halves (__r1, __r2) of one document per component: the smallest doc_id, null ones last, then the least key."""
+
+    def run(texts: list) -> pd.DataFrame:
+        return pd.DataFrame({"fp": np.array([fingerprint(t, shingle) for t in texts], np.int64)})
+
+    rows = judge_texts(docs.select("doc_id", "text"), run, "fp long", "found")
+    fps = written(rows.select("found.fp", F.struct(F.isnull("doc_id").alias("n"), F.col("doc_id"), row_key(1).alias("__r1"), row_key(2).alias("__r2")).alias("row")), "simhash-rows")
+    lowest = _rooted(fps.groupBy("fp").agg(F.min("row").alias("low"))).groupBy("root").agg(F.min("low").alias("low"))
+    return lowest.select("low.__r1", "low.__r2")

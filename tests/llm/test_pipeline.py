@@ -80,3 +80,12 @@ def test_stages_keep_columns_on_odd_rows(spark, rows):
         n = out.count()
         assert n <= docs.count() and (rows == "none") == (n == 0), name
     assert corpus_pipeline.encode(spark, docs, SF).count() == docs.count()
+
+
+def test_one_row_of_each_group_stays_with_null_and_repeated_ids(spark):
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcde")
+    data = [(None, a), (None, a), (None, b), (7, b), (None, b), (8, b), (3, c), (9, c), (9, d), (9, d), (2, e), (2, e), (3, e)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(data)], "doc_id long, text string, n int").repartition(3)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r["text"][0], r["doc_id"]) for r in got.collect()), key=str) == [("a", None), ("b", 7), ("c", 3), ("d", 9), ("e", 2)]
