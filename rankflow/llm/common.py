@@ -28,6 +28,19 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts, F.lit(-1))
 
 
+def unused(taken: list[str], name: str) -> str:
+    """`name`, made longer until no column has it."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def columns(names: list[str]) -> list[Column]:
+    """Columns by their exact names, dots included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
@@ -107,7 +120,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def judge_texts(docs: DataFrame, judge: Callable[[list], pd.DataFrame], fields: str, name: str) -> DataFrame:
-    """All columns and `name`, a struct of `fields` that `judge` finds for a batch of texts.
+    """All columns and `name`, a struct of `fields` that `judge` finds for a batch of texts; no column may have that name.
 
     Only texts go through Python; the other columns stay where they are, and no row
     is shuffled.
@@ -117,7 +130,7 @@ def judge_texts(docs: DataFrame, judge: Callable[[list], pd.DataFrame], fields:
     def found(texts: pd.Series) -> pd.DataFrame:
         return judge(texts.tolist())
 
-    return docs.withColumn(name, found(F.col("text")))
+    return docs.select(*columns(docs.columns), found(F.col("text")).alias(name))
 
 
 def map_texts(docs: DataFrame, run: Callable[[Iterator], Iterator], fields: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
