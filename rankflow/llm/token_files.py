@@ -10,6 +10,11 @@ little-endian:
     doc ids i64, first token u64 and token count u64 per document
 
 A reader seeks straight to any block, and unpacks a block with numpy at once.
+
+Texts are encoded where they are read; ids, not texts, are shuffled into ranges of
+doc_id, so that each task writes one file. A null text counts as empty and has the end
+id alone. A very long text is encoded whole; its ids may run over many blocks. An
+empty table writes no file. Extra columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -20,15 +25,18 @@ import re
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import open_fs, shared_dir, spread, written
+from .words import Cut, Kept, slices
 
 MAGIC = b"RFT1"
 HEAD = struct.Struct("<4sIIQQ")
@@ -70,12 +78,18 @@ class Writer:
         self.out.write(HEAD.pack(MAGIC, bits, block, 0, 0))
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, self.tokens, len(ids)))
-        self.tokens += len(ids)
+        self.add_many([doc_id], [len(ids)], ids)
+
+    def add_many(self, doc_ids: list[int], counts: list[int], ids: np.ndarray) -> None:
+        """Documents with so many ids each; `ids` has those of all of them."""
+        for doc_id, count in zip(doc_ids, counts, strict=True):
+            self.docs.append((doc_id, self.tokens, count))
+            self.tokens += count
         self.rest = np.concatenate([self.rest, ids]) if len(self.rest) else ids
-        while len(self.rest) >= self.block:
-            self._block(self.rest[: self.block])
-            self.rest = self.rest[self.block :]
+        whole = len(self.rest) - len(self.rest) % self.block
+        for a in range(0, whole, self.block):
+            self._block(self.rest[a : a + self.block])
+        self.rest = self.rest[whole:]
 
     def _block(self, ids: np.ndarray) -> None:
         raw = pack(ids, self.bits)
@@ -128,40 +142,80 @@ class Reader:
         return own[a - k * self.block : a - k * self.block + n]
 
 
-def write_files(docs: DataFrame, encode: Callable[[list[str]], Iterator[np.ndarray]], vocabulary: int, end_id: int) -> DataFrame:
+def id_type(vocabulary: int) -> str:
+    """Type of ids on their way between tasks."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def _bounds(keys: DataFrame) -> list[tuple[int, int]]:
+    """Least (doc_id, row) of each of as many ranges as the table is read in, but the first; from ids alone."""
+    n = keys.select(F.spark_partition_id().alias("part")).agg(F.count_distinct("part").alias("n")).first()["n"]
+    ranges = keys.repartitionByRange(max(1, n), "doc_id", "row").select(F.spark_partition_id().alias("part"), F.struct("doc_id", "row").alias("key")).groupBy("part").agg(F.min("key").alias("least"))
+    return sorted((NO_ID if r["least"][0] is None else r["least"][0], r["least"][1]) for r in ranges.collect())[1:]
+
+
+def _encoded(rows: DataFrame, bounds: list[tuple[int, int]], encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], vocabulary: int, end_id: int) -> DataFrame:
+    """Per row (doc_id, row, text): doc_id, row, its range `part` and `ids`, the ids of the whole text and the end id, as bytes."""
+    kind, width = id_type(vocabulary), np.dtype(id_type(vocabulary)).itemsize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n in slices(batch.column(2)):
+                doc_ids, places, texts = (c.slice(first, n) for c in batch.columns)
+                counts, ids = encode(texts)
+                out = np.full(len(ids) + n, end_id, kind)
+                out[np.arange(len(ids)) + np.repeat(np.arange(n), counts)] = ids
+                ends = np.zeros(n + 1, np.int32)
+                np.cumsum((counts + 1) * width, out=ends[1:])
+                parts = [bisect_right(bounds, (NO_ID if i is None else i, p)) for i, p in zip(doc_ids.to_pylist(), places.to_pylist(), strict=True)]
+                binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(out)])
+                yield pa.RecordBatch.from_arrays([doc_ids, places, pa.array(parts, pa.int32()), binary], ["doc_id", "row", "part", "ids"])
+
+    return rows.mapInArrow(run, "doc_id long, row long, part int, ids binary")
+
+
+def write_files(docs: DataFrame, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], vocabulary: int, end_id: int) -> DataFrame:
     """Writes the documents (doc_id, text) to token files and returns the manifest: part, path, bytes, docs, tokens, base.
 
-    Spark sorts the rows into id ranges; each task encodes its range and writes one
-    file in the shared folder under a name of its own attempt. Only files of finished
+    Ranges of doc_id come from the ids alone, as many as the table is read in; texts are
+    read and encoded once. Spark brings the ids of a range together and sorts them; each
+    task writes its range to one file under a name of its own attempt. Only files of finished
     attempts get into the manifest, so a lost executor or a repeated task does no harm.
-    `base` is the number of ids in the files before. A null text counts as empty. A null
-    doc_id comes first and is stored as the least 64-bit integer. Repeated doc_ids stay
-    separate documents next to each other, ordered by text.
+    `base` is the number of ids in the files before. A null doc_id comes first and is
+    stored as the least 64-bit integer. Repeated doc_ids stay separate documents next to
+    each other, in the order in which they were read; ranges may cut such a group.
     """
     spark = docs.sparkSession
-    folder, bits = shared_dir(spark, "tokens"), bits_for(vocabulary)
+    folder, bits, kind = shared_dir(spark, "tokens"), bits_for(vocabulary), id_type(vocabulary)
+    width = np.dtype(kind).itemsize
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         fs, root = open_fs(folder)
         out = writer = None
         path = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.rft"
-        for pdf in batches:
+        for batch in batches:
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(path)
                 writer = Writer(out, bits)
-            for doc_id, ids in zip(pdf["doc_id"], encode(pdf["text"].tolist()), strict=True):
-                writer.add(NO_ID if doc_id is None else int(doc_id), np.append(ids, np.uint32(end_id)))
+            rows = batch.column(1).cast(pa.binary())
+            ends = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1]
+            ids = np.frombuffer(rows.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind)
+            writer.add_many([NO_ID if i is None else i for i in batch.column(0).to_pylist()], (np.diff(ends) // width).tolist(), ids.astype(np.uint32))
         if writer is not None:
             writer.close()
             out.close()
-            yield pd.DataFrame({"part": [part], "path": [path], "bytes": [fs.get_file_info(path).size], "docs": [len(writer.docs)], "tokens": [writer.tokens]})
-
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = written(ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "part int, path string, bytes long, docs long, tokens long"), "token-manifest")
+            values = [[part], [path], [fs.get_file_info(path).size], [len(writer.docs)], [writer.tokens]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()], strict=True)], ["part", "path", "bytes", "docs", "tokens"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+    bounds = _bounds(rows.select("doc_id", "row"))
+    found = _encoded(rows, bounds, encode, vocabulary, end_id)
+    ordered = found.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "row").select("doc_id", "ids")
+    manifest = written(ordered.mapInArrow(run, "part int, path string, bytes long, docs long, tokens long"), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))).withColumn("root", F.lit(folder))
 
@@ -190,16 +244,18 @@ def read_files(manifest: DataFrame) -> DataFrame:
 
 
 class WordMemo:
-    """Whole texts to ids with the tokenizers library, each distinct word encoded once.
+    """Whole texts to ids with the tokenizers library, each distinct word of a batch encoded once.
 
     A byte-level tokenizer cuts texts into words before it merges, and a single space
-    between two characters that are no white space always begins a new word. Texts are
-    cut there, and the parts' ids kept in a bounded memo. Parts not seen before are
-    encoded many at a time, with line feeds between them. Tokenizers of another make
+    or line feed between two characters that are no white space always begins a new
+    word. Texts are cut there, and the parts' ids kept in a bounded memo. Parts not seen
+    before are encoded many at a time, with line feeds between them. Texts with other
+    white space next to a space or feed are cut by themselves. Tokenizers of another make
     encode their texts whole.
     """
 
-    SIZE = 1_500_000
+    SIZE = 300_000
+    LONGEST = 48
     PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
     def __init__(self, path: str):
@@ -212,15 +268,21 @@ class WordMemo:
         self.parts = made["pre_tokenizer"] == self.PLAIN and made["normalizer"] is None and made["post_processor"] is None and len(feed) == 1
         self.parts &= not any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in made["added_tokens"])
         self.feed = feed[0]
-        self.first: dict[str, bytes] = {}  # parts at the beginning of a text
-        self.later: dict[str, bytes] = {}  # parts behind a space, kept without it
+        self.bare = Kept(self.SIZE)  # parts with no space before them
+        self.later = Kept(self.SIZE)  # parts behind a space, kept without it
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
-        """Encodes parts that `known` lacks."""
-        simple = [p for p in new if p.isalpha() or (p and not _SPACE.search(p))]
+    def _learned(self, kept: Kept, parts: set[str], lead: str) -> dict[str, bytes]:
+        """Ids of parts with `lead` before each; those not kept are encoded, and kept if short."""
+        found, new = {}, []
+        for p in parts:
+            if (known := kept.find(p)) is None:
+                new.append(p)
+            else:
+                found[p] = known
+        simple = [p for p in new if p.isalpha() or not _SPACE.search(p)]
         for a in range(0, len(simple), 500):
             group = simple[a : a + 500]
             ids = np.array(self._whole(["\n".join([lead + p for p in group])])[0], "<u4")
@@ -228,82 +290,92 @@ class WordMemo:
             if len(cuts) == len(group) - 1:
                 raw, start = ids.tobytes(), 0
                 for p, end in zip(group, [*cuts, len(raw)], strict=True):
-                    known[p] = raw[start:end]
+                    found[p] = raw[start:end]
                     start = end + 4
-        rest = [p for p in new if p not in known]
+        rest = [p for p in new if p not in found]
         for p, ids in zip(rest, self._whole([lead + p for p in rest]) if rest else [], strict=True):
-            known[p] = np.array(ids, "<u4").tobytes()
-
-    def _learn_later(self, new: list[str]) -> None:
-        """Parts behind a space: marks behind a letter are words of their own, so `word.` needs `word` and `.` alone."""
-        first, later, whole, split = self.first, self.later, set(), []
+            found[p] = np.array(ids, "<u4").tobytes()
         for p in new:
-            word = p.rstrip(MARKS)
-            if word != p and word and word[-1].isalpha():
-                split.append((p, word, p[len(word) :]))
-            else:
-                whole.add(p)
-        whole.update(w for _, w, _ in split if w not in later)
-        self._learn(later, list(whole), " ")
-        self._learn(first, list({t for _, _, t in split if t not in first}), "")
-        for p, word, tail in split:
-            later[p] = later[word] + first[tail]
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for a in range(0, len(texts), 64):
-            group = texts[a : a + 64]
-            if not self.parts:
-                yield from (np.array(ids, np.uint32) for ids in self._whole(group))
-                continue
-            if len(self.first) + len(self.later) > self.SIZE:
-                self.first.clear()
-                self.later.clear()
-            for raw in self._group(group):
-                yield np.frombuffer(raw, "<u4").astype(np.uint32)
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        """Ids of some texts. Only parts that neither begin nor end with white space are kept, so a known part is a safe one."""
-        first, later = self.first, self.later
-        out: list[bytes | None] = []
-        heads, parts, open_, odd = set(), set(), [], []
-        for i, text in enumerate(texts):
-            cut = text.split(" ")
-            head = cut.pop(0)
-            new = set(cut).difference(later)
-            if not new and head in first:
-                out.append(first[head] + b"".join(list(map(later.__getitem__, cut))))
+            if len(p) <= self.LONGEST:
+                kept.keep(p, found[p])
+        return found
+
+    def _ids(self, words: list[str], heads: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of words behind a space (or behind the line feed in front of them) and of texts' first parts.
+
+        Marks behind a letter are words of their own, so `word.` needs `word` and `.` alone.
+        """
+        out: list = list(map(self.later.young.get, words))
+        bare, later, made = set(heads), set(), []
+        for i, known in enumerate(out):
+            if known is not None:
                 continue
-            out.append(None)
-            if not head or head[-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in new):
-                odd.append(i)
+            word = words[i]
+            fed = word[0] == "\n"
+            inner = word[1:] if fed else word
+            core = inner.rstrip(MARKS)
+            if core != inner and core and core[-1].isalpha():
+                tail = inner[len(core) :]
+                bare.add(tail)
             else:
-                open_.append((i, head, cut))
-                heads.add(head)
-                parts |= new
-        if need := [p for p in heads if p not in first]:
-            self._learn(first, need, "")
-        if parts:
-            self._learn_later(list(parts))
-        for i, head, cut in open_:
-            out[i] = first[head] + b"".join(list(map(later.__getitem__, cut)))
-        for i in odd:
-            out[i] = self._odd(texts[i])
-        return out
-
-    def _odd(self, text: str) -> bytes:
+                core, tail = inner, ""
+            (bare if fed else later).add(core)
+            made.append((i, fed, core, tail))
+        b, f = self._learned(self.bare, bare, ""), np.array([self.feed], "<u4").tobytes()
+        b[""] = b""
+        own = self._learned(self.later, later, " ")
+        for i, fed, core, tail in made:
+            out[i] = (f + b[core] if fed else own[core]) + b[tail]
+        return out, [b[h] for h in heads]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and the ids of all."""
+        if not self.parts:
+            found = self._whole([t or "" for t in texts.to_pylist()])
+            return np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.uint32)
+        if not len(texts):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        cut = Cut(texts)
+        odd = np.array([_odd_part(w) for w in cut.words], bool)
+        codes, firsts = cut.codes.astype(np.int64), cut.offsets[:-1]
+        heads = [cut.words[k] for k in codes[firsts].tolist()]
+        odd_texts = cut.any_of(odd)
+        odd_texts |= np.array([not h or h[0].isspace() for h in heads], bool)
+        raws, first = self._ids([w if not o else "a" for w, o in zip(cut.words, odd.tolist(), strict=True)], [h if not o else "" for h, o in zip(heads, odd_texts.tolist(), strict=True)])
+        codes[firsts] = len(raws) + np.arange(len(heads))
+        raws += first
+        sizes = np.array([len(r) >> 2 for r in raws], np.int64)
+        flat = np.frombuffer(b"".join(raws), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        own = sizes[codes]
+        before = np.cumsum(own) - own
+        ids = flat[np.repeat(starts[codes] - before, own) + np.arange(int(own.sum()))]
+        counts = np.add.reduceat(own, firsts)
+        if odd_texts.any():
+            cuts = np.split(ids, np.cumsum(counts)[:-1])
+            for i in np.flatnonzero(odd_texts).tolist():
+                cuts[i] = self._odd(texts[i].as_py() or "")
+            counts, ids = np.array([len(c) for c in cuts], np.int64), np.concatenate(cuts)
+        return counts, ids
+
+    def _odd(self, text: str) -> np.ndarray:
         """A text with white space next to a space: cut at the single spaces alone."""
         head, *body = _CUT.split(text)
         tail = [" " + body.pop()] if body and body[-1][-1].isspace() else []
-        if need := list({p for p in body if p not in self.later}):
-            self._learn_later(need)
+        found = self._learned(self.later, set(body), " ")
         ends = [np.array(ids, "<u4").tobytes() for ids in self._whole([head, *tail])]
-        return ends[0] + b"".join([self.later[p] for p in body]) + b"".join(ends[1:])
+        return np.frombuffer(ends[0] + b"".join([found[p] for p in body]) + b"".join(ends[1:]), "<u4")
+
+
+def _odd_part(part: str) -> bool:
+    """Whether a part is empty, or has white space at an end besides one line feed in front."""
+    return not part or part[-1].isspace() or (part[0].isspace() and (part[0] != "\n" or part[1].isspace()))
 
 
-def tokenizer_encoder(path: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
+def tokenizer_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """Encoder of the tokenizer file `path`, loaded once in each Python process."""
 
-    def encode(texts: list[str]) -> Iterator[np.ndarray]:
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return word_memo(path).encode(texts)
 
     return encode
