@@ -10,12 +10,14 @@ when none fits, and marks places from which no encoding exists in a bitfield, so
 that none is tried twice.
 
 Pieces never hold a space mark behind another character (checked on load), so texts
-are cut there, and each part's result is kept in a bounded memo per worker. Runs of
-space marks, whose pieces all have one score, are merged from the left, as the
-library does.
-
-Null texts count as empty. An empty text has the end id alone. Very long parts
-without a space are handled as any other. Repeated rows give repeated results.
+are cut there. Arrow finds the distinct words of a batch; each is encoded once and its
+result kept in a bounded memo per worker. Runs of space marks, whose pieces all have one
+score (checked on load), are merged from the left, as the library does, in linear time;
+texts with such runs are cut by themselves.
+
+Null texts count as empty. An empty text has the end id alone. Very long texts, and very
+long parts without a space, are handled as any other. Repeated rows give repeated
+results, an empty table none. Extra columns of any name are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -24,14 +26,18 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_texts
+from .words import Cut, Kept, map_arrow
 
 MARK = "▁"
-MEMO = 500_000
-PAIR_MEMO = 500_000
+MEMO = 300_000
+PAIR_MEMO = 300_000
+LONGEST_KEPT = 40
 
 
 class Codec:
@@ -66,7 +72,11 @@ class Codec:
         self.scan.make_automaton()
         have = set(usable)
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in have), None) for p in usable}
-        self.memo: dict[str, tuple[str, int, str]] = {}
+        self.runs = {len(p) for p in self.id if not p.strip(MARK)}
+        if len({self.rank[MARK * n] for n in self.runs if n > 1}) > 1:
+            raise ValueError("runs of space marks have several scores")
+        self.memo: Kept = Kept(MEMO)
+        self.feeds = "\n" not in self.known  # a line feed is no part of a piece, so texts can be cut before it
         self.pairs: dict[tuple[str, str], bool] = {}
         #: Punctuation that no piece joins to a letter, digit or other character: texts can be cut at its runs too.
         plain = {c for c in map(chr, range(128)) if not c.isalnum() and c != " "}
@@ -89,6 +99,15 @@ class Codec:
                 costs[i] = rank(parts[i] + parts[i + 1], none)
         return parts
 
+    def _merged_marks(self, n: int) -> list[str]:
+        """Greedy merging of `n` space marks, always the leftmost pair that makes a piece."""
+        done: list[int] = []
+        for _ in range(n):
+            done.append(1)
+            while len(done) > 1 and done[-2] + done[-1] in self.runs:
+                done[-2:] = [done[-2] + done[-1]]
+        return [MARK * k for k in done]
+
     def _apart(self, key: tuple[str, str]) -> bool:
         """Whether two pieces stay two tokens when their characters are merged again."""
         if len(self.pairs) >= PAIR_MEMO:
@@ -99,10 +118,10 @@ class Codec:
     def _backtrack(self, text: str) -> list[str]:
         """The encoding of a text of known characters with at most one space mark, in front."""
         n = len(text)
-        longest: list[str] = [""] * n
-        for end, piece in self.scan.iter(text[::-1]):
-            if len(piece) > len(longest[n - 1 - end]):
-                longest[n - 1 - end] = piece
+        longest: list[str | None] = [None] * n
+        for end, piece in self.scan.iter(text[::-1]):  # the longest of an end comes first
+            if longest[~end] is None:
+                longest[~end] = piece
         failed = bytearray((n >> 3) + 1)
         tokens: list[str] = []
         at, piece, shorter, pairs = 0, longest[0], self.shorter, self.pairs
@@ -149,7 +168,7 @@ class Codec:
                 run -= 1  # the last mark belongs to the characters behind it
             else:
                 body[0] = body[0][1:]
-            marks = [ids[p] for p in self._merged(MARK * run)]
+            marks = [ids[p] for p in self._merged_marks(run)]
         return marks + [i for b in body for i in ([self.bytes[x] for x in b] if isinstance(b, bytes) else [ids[p] for p in b])]
 
     def _plain(self, ids: list[int]) -> str:
@@ -170,23 +189,43 @@ class Codec:
     def _cut(self, text: str) -> list[str]:
         return self.parts.findall(f"{MARK}{text}".replace(" ", MARK)) if text else []
 
+    def _known(self, part: str) -> tuple[str, int, str]:
+        """Ids as text, their number and decoded text of one part."""
+        known = self.memo.find(part)
+        if known is None:
+            own = self._part(part)
+            known = (" ".join(map(str, own)), len(own), self._plain(own))
+            if len(part) <= LONGEST_KEPT:
+                self.memo.keep(part, known)
+        return known
+
+    def _word(self, word: str) -> tuple[str, int, str]:
+        """As `_known`, for a word with a space, or nothing but its line feed, before it."""
+        parts = self.parts.findall(word if word[0] == "\n" and self.feeds else (MARK + word).replace(" ", MARK))
+        if len(parts) == 1:
+            return self._known(parts[0])
+        found = [self._known(p) for p in parts]
+        return " ".join([f[0] for f in found]), sum([f[1] for f in found]), "".join([f[2] for f in found])
+
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids, SHA-256 of the decoded text."""
-        memo, rows = self.memo, []
-        for part in self._cut(text):
-            known = memo.get(part)
-            if known is None:
-                own = self._part(part)
-                known = (" ".join(map(str, own)), self._plain(own))
-                if len(part) <= 40:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[part] = known
-            rows.append(known)
+        rows = [self._known(p) for p in self._cut(text)]
         ids = " ".join([*[r[0] for r in rows], str(self.eos)])
-        plain = "".join([r[1] for r in rows]).removeprefix(" ")
+        plain = "".join([r[2] for r in rows]).removeprefix(" ")
         return ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(plain.encode()).hexdigest()
 
+    def digests(self, texts: pa.Array) -> list[pa.Array]:
+        """The columns of `digest` for many texts, each distinct word encoded once."""
+        cut, known, make = Cut(texts, self.feeds), self.memo.young, self._word
+        found = [known[k] if (k := MARK + w) in known else make(w) if w else ("", 0, "") for w in cut.words]
+        counts = cut.sums(np.array([f[1] for f in found], np.int64)) + 1
+        end = f" {self.eos}"
+        ids = [hashlib.sha256((x + end).encode()).hexdigest() for x in cut.joined([f[0] for f in found], " ")]
+        plain = [hashlib.sha256(x.removeprefix(" ").encode()).hexdigest() for x in cut.joined([f[2] for f in found], "")]
+        for i in np.flatnonzero(cut.any_of(np.array([not w for w in cut.words], bool))):
+            counts[i], ids[i], plain[i] = self.digest(texts[int(i)].as_py() or "")
+        return [pa.array(counts), pa.array(ids, pa.string()), pa.array(plain, pa.string())]
+
 
 _codecs: dict[str, Codec] = {}
 
@@ -204,13 +243,7 @@ def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
     A narrow stage: rows stay in the partitions they were read in.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(model_file)
-        for pdf in batches:
-            rows = [own.digest(t or "") for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
-
-    return map_texts(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
+    return map_arrow(docs, lambda texts: codec(model_file).digests(texts), "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
 
 
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
