@@ -8,13 +8,17 @@ letters; a word scores by its most certain feature. Words without a certain feat
 cost a little, so a text's expected score is negative.
 
 Scoring: a linear-time scan over the word scores finds all maximal segments. Extreme-value
-statistics of the other texts' scores (the positive root of E[exp(lambda s)] = 1 and a
-scale K) give each segment its expected number of chance finds, K n exp(-lambda S);
-significant segments' evidence is summed, and a logistic curve, fitted on texts that
-did not train the log-odds, turns it into a score from 0 to 1.
+statistics of texts that are not toxic and did not train the log-odds give each segment
+its expected number of chance finds, K n exp(-lambda S): lambda is the positive root of
+E[exp(lambda s)] = 1 over the histogram of their word scores, K the most likely value
+given their best segments and lengths. Significant segments' evidence is summed, and a
+logistic curve, fitted on the texts that did not train the log-odds, turns it into a
+score from 0 to 1.
 
 Null and empty texts have no evidence and get the curve's lowest value. With no
-labelled toxic text at all, all scores are that value. Repeated texts train once.
+labelled toxic text at all, all scores are that value. Repeated texts train once;
+repeated rows are each scored. Very long texts are scanned whole. An empty table has no
+rows. Extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,7 +37,6 @@ from pyspark.sql import functions as F
 from .common import hash_below, judge_texts, map_texts, sample_fraction, written
 
 SAMPLE_DOCS = 9000
-FEATURES = 50_000
 CERTAIN = (2.6, 3.2, 4.0, 5.0, 7.0)
 PRIOR = 0.05
 DRIFT = 0.04
@@ -59,7 +62,7 @@ def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[Segm
     `scores` has the places and scores of the scored words, ascending; all words
     between them score -drift.
     """
-    kept: list[list[float]] = []  # first, last, sum before, sum behind
+    kept: list[list[float]] = []  # first, last, sum before, sum behind, place in `kept` of the nearest earlier one with a smaller sum before
     total, before = 0.0, 0
     for place, score in scores:
         total -= drift * (place - before)
@@ -67,35 +70,52 @@ def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[Segm
         if score <= 0:
             total += score
             continue
-        new = [place, place, total, total + score]
+        first, left = place, total
         total += score
+        j = len(kept) - 1
         while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= new[3]:
-                kept.append(new)
+            while j >= 0 and kept[j][2] >= left:
+                j = kept[j][4]
+            if j < 0 or kept[j][3] >= total:
+                kept.append([first, place, left, total, j])
                 break
-            new = [kept[j][0], new[1], kept[j][2], new[3]]
+            first, _, left, _, earlier = kept[j]
             del kept[j:]
-    return [Segment(int(a), int(b), y - x) for a, b, x, y in kept]
+            j = earlier
+    return [Segment(int(a), int(b), y - x) for a, b, x, y, _ in kept]
+
+
+def decay(histogram: dict[float, int]) -> float:
+    """The positive root of E[exp(lambda s)] = 1 over counted scores; their mean must be negative."""
+    scores, counts = np.array(list(histogram), float), np.array(list(histogram.values()), float)
+    if not len(scores) or scores.max() <= 0:
+        return 60.0
+    share = counts / counts.sum()
+    low, high = 0.0, 60.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if float((share * np.exp(np.minimum(mid * scores, 700))).sum()) < 1 else (low, mid)
+    return max(low, 1e-3)
 
 
 class Scorer:
     """Word scores, extreme-value constants and the calibration curve."""
 
-    def __init__(self, weights: dict[str, tuple[float, float]], rate: float, drift: float = DRIFT):
+    def __init__(self, weights: dict[str, tuple[float, float]], drift: float = DRIFT):
         self.weights, self.drift = weights, drift
         self.slope, self.shift = 1.0, -4.0
+        self.lam, self.k = 1.0, 1.0
         self.memo: dict[str, float | None] = {}
-        mean = max((s for s, _ in weights.values()), default=1.0)
-        rate = max(rate, 1e-6)  # of positive words in texts that aren't toxic
-        low, high = 0.0, 60.0
-        for _ in range(80):
-            mid = (low + high) / 2
-            low, high = (mid, high) if rate * math.exp(min(700, mid * mean)) + (1 - rate) * math.exp(-mid * drift) < 1 else (low, mid)
-        self.lam = max(low, 1e-3)
-        self.k = max(rate, 1e-4)
+
+    def suit(self, histogram: dict[float | None, int]) -> None:
+        """Drift and lambda for counted word scores (None: no certain feature) of texts that aren't toxic.
+
+        The drift is raised where the mean would not be clearly negative otherwise.
+        """
+        plain = histogram.get(None, 0)
+        scored = {s: n for s, n in histogram.items() if s is not None}
+        self.drift = max(DRIFT, 2 * sum(s * n for s, n in scored.items()) / max(1, plain))
+        self.lam = decay({**scored, -self.drift: scored.get(-self.drift, 0) + max(1, plain)})
 
     def word(self, word: str) -> float | None:
         """Score of a word, None for one without a certain feature."""
@@ -139,12 +159,12 @@ class Scorer:
         return float(-(labels * np.log(p) + (1 - labels) * np.log(1 - p)).sum())
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_features: int = FEATURES) -> Scorer:
+def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Scorer:
     """Fits a scorer on about `sample_docs` distinct texts of (key, text, toxic).
 
     The sample is chosen by a hash of `key`; two thirds train the word scores, the rest
-    the constants and the curve. Feature counts are aggregated by Spark; at most
-    `max_features` certain features, the most certain first, make the model.
+    the constants and the curve. Feature counts are aggregated by Spark. Every certain
+    feature of the sample is in the model, which the sample's size alone bounds.
     """
     known = labelled.where("toxic is not null and text is not null")
     fraction = sample_fraction(known.select("key").count(), sample_docs)
@@ -168,28 +188,43 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_features: int
     sums = counts.agg(F.sum("other"), F.sum("toxic")).first()
     n0, n1 = float(sums[0] or 0), float(sums[1] or 0)
     if not n0 or not n1:
-        return Scorer({}, 0.0)
+        return Scorer({})
     prior, whole = (F.col("other") + F.col("toxic")) * PRIOR, (n0 + n1) * PRIOR
     y0, y1 = F.col("other") + prior, F.col("toxic") + prior
     delta = F.log(y1 / (n1 + whole - y1)) - F.log(y0 / (n0 + whole - y0))
     certain = counts.withColumn("delta", delta).withColumn("z", delta / F.sqrt(1 / y0 + 1 / y1)).where(F.abs("z") >= CERTAIN[0])
-    rows = certain.orderBy(F.desc(F.abs("z")), "feature").limit(max_features).select("feature", "delta", "z").collect()
+    rows = certain.select("feature", "delta", "z").collect()  # of the bounded sample
     levels = [x for x in CERTAIN if any(abs(r["z"]) >= x for r in rows)] or [CERTAIN[0]]
-    choices = [Scorer({r["feature"]: (r["delta"], r["z"]) for r in rows if abs(r["z"]) >= x}, 0.0) for x in levels]
+    choices = [Scorer({r["feature"]: (r["delta"], r["z"]) for r in rows if abs(r["z"]) >= x}) for x in levels]
     held = sample.where("part = 2").select("text", "toxic")
 
-    def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hits, words = [0] * len(choices), 0
+    def spectrum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        for pdf in batches:
+            for text in pdf["text"]:
+                for word, n in Counter(_WORDS.findall(text.lower())).items():
+                    for i, c in enumerate(choices):
+                        s = c.word(word)
+                        seen[i, None if s is None else round(s, 2)] += n
+        yield pd.DataFrame({"level": [k[0] for k in seen], "score": pd.Series([k[1] for k in seen], dtype="float64"), "n": list(seen.values())})
+
+    usual = held.where("toxic = 0").mapInPandas(spectrum, "level int, score double, n long").groupBy("level", "score").agg(F.sum("n").alias("n")).collect()
+    for i, c in enumerate(choices):
+        c.suit({None if r["score"] is None or r["score"] != r["score"] else r["score"]: r["n"] for r in usual if r["level"] == i})
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, texts = [0.0] * len(choices), 0
         for pdf in batches:
             for text in pdf["text"]:
-                own = _WORDS.findall(text.lower())
-                words += len(own)
-                hits = [h + sum((c.word(w) or 0) > 0 for w in own) for h, c in zip(hits, choices, strict=True)]
-        yield pd.DataFrame({"level": range(len(choices)), "hits": hits, "words": words})
+                texts += 1
+                for i, c in enumerate(choices):
+                    found, n = c.segments(text)
+                    sums[i] += n * math.exp(-c.lam * max((s.score for s in found), default=0.0))
+        yield pd.DataFrame({"level": range(len(choices)), "total": sums, "texts": texts})
 
-    usual = held.where("toxic = 0").mapInPandas(rates, "level int, hits long, words long").groupBy("level").agg(F.sum("hits").alias("hits"), F.sum("words").alias("words")).collect()
-    rate = {r["level"]: r["hits"] / max(1, r["words"]) for r in usual}
-    choices = [Scorer(c.weights, rate.get(i, 0.0)) for i, c in enumerate(choices)]
+    extremes = held.where("toxic = 0").mapInPandas(best, "level int, total double, texts long").groupBy("level").agg(F.sum("total").alias("total"), F.sum("texts").alias("texts")).collect()
+    for r in extremes:  # P(best < x) = exp(-K n exp(-lambda x)) is most likely for this K
+        choices[r["level"]].k = max(1e-6, r["texts"] / r["total"]) if r["total"] else 1.0
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -205,7 +240,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_features: int
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """Per row (doc_id, text): doc_id, score (0 to 1), predicted (1 from the threshold on) and n_passages."""
-    return judged(docs.select("doc_id", "text"), scorer, "__found").select("doc_id", "__found.*")
+    return judged(docs.select("doc_id", "text"), scorer, "found").select("doc_id", "found.*")
 
 
 def judged(docs: DataFrame, scorer: Scorer, name: str) -> DataFrame:
