@@ -7,30 +7,37 @@ document's shingles are joined with these prefix shingles. Each hit fixes where
 window would begin (positional bound) and that it must fit into the document (length
 bound); then the words are compared one by one over the window's length.
 
-The benchmark is joined in blocks of bounded size: a block's prefix index is broadcast.
-With one block, no row moves. With more, a block's hits are written by text and its
-broadcast is destroyed before the next is built, so driver and workers hold one block at a
-time; in the end the hits of all blocks are joined with the documents.
+A benchmark of at most `block_bytes` (measured) is collected, and its prefix index
+broadcast; then no row moves. A larger one stays a table of windows. Its prefix shingles
+only leave a filter of bounded size behind, which tells the length and offset of the
+windows that a word may begin the check of; documents write out the stretches that pass,
+and Spark joins these with the windows on all their words. Corpus counts are one partial
+aggregate in either case.
 
 Null or empty texts have no words. Null items have no windows. Repeated items share
 windows and are each named; repeated documents each get their row. Windows of items
-without an item_id are hits like others; such items count as one and have no name.
+without an item_id are hits like others; such items count as one and have no name. Very
+long texts are compared whole. An empty table has no rows, an empty benchmark no hits.
+Extra columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import judge_texts, written
+from .common import columns, judge_texts, written
 
 WINDOW = 13
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 1_000_000
+FILTER = 1 << 20
 
 #: Lower-cases A-Z and turns everything but 0-9, a-z and non-ASCII bytes into spaces.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -90,41 +97,28 @@ def find(words: list[bytes], index: dict[bytes, dict]) -> tuple[list[tuple[int,
     return spans, found
 
 
-def number_of_blocks(items: DataFrame, block_bytes: int) -> int:
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return -(-total // block_bytes)
-
-
-def blocks_of(items: DataFrame, n: int) -> Iterator[list[tuple[str | None, str]]]:
-    """Distinct items (item_id, text) in `n` blocks of about the same size, each collected alone."""
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        yield [(r["item_id"], r["text"]) for r in rows.toLocalIterator()]
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A document is contaminated if windows cover a word of it and at least a twentieth
-    of its words. An item larger than `block_bytes` makes a block of its own size.
+    of its words.
     """
-    return judged(docs.select("doc_id", "text"), items, "__found", size, block_bytes).select("doc_id", "__found.*")
+    return judged(docs.select("doc_id", "text"), items, "found", size, block_bytes).select("doc_id", "found.*")
 
 
 def judged(docs: DataFrame, items: DataFrame, name: str, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns and the struct `name` of what `decontaminate` returns per document; with one block, no row moves."""
-    rows = docs.select("text")
+    """All columns and the struct `name` of what `decontaminate` returns per document; no column may have that name."""
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").distinct()
-    n = number_of_blocks(items, block_bytes)
-    if n > 1:
-        return _judged_by_blocks(docs, items, name, size, n)
-    passes = [docs.sparkSession.sparkContext.broadcast(prefix_index(block, rarity(rows, block), size)) for block in blocks_of(items, n)]
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > block_bytes:
+        return _judged_by_join(docs, items, name, size)
+    rows = [(r["item_id"], r["text"]) for r in items.collect()]  # at most block_bytes
+    index = docs.sparkSession.sparkContext.broadcast(prefix_index(rows, rarity(docs.select("text"), rows) if rows else {}, size))
 
     def judge(texts: list) -> pd.DataFrame:
         out = []
         for text in texts:
             words = words_of(text)
-            hit, found = _covered(words, passes[0].value if passes else {})
+            hit, found = _covered(words, index.value)
             n, k = len(words), sum(hit)
             out.append((n, k, len(found), hashlib.sha256(",".join(sorted(found - {None})).encode()).hexdigest(), k > 0 and 20 * k >= n))
         return pd.DataFrame(out, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
@@ -141,33 +135,101 @@ def _covered(words: list[bytes], index: dict[bytes, dict]) -> tuple[bytearray, s
     return hit, found
 
 
+def _windows(items: DataFrame, size: int) -> DataFrame:
+    """Distinct (item_id, win): an item's windows, words with spaces between them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for item_id, text in zip(pdf["item_id"], pdf["text"], strict=True):
+                found = list({b" ".join(w).decode() for w in windows_of(words_of(text), size)})
+                for a in range(0, len(found), 10_000):
+                    yield pd.DataFrame({"item_id": [item_id] * len(found[a : a + 10_000]), "win": found[a : a + 10_000]})
+
+    return items.mapInPandas(run, "item_id string, win string").distinct()
+
+
+def _counts(docs: DataFrame) -> DataFrame:
+    """How often each word occurs in all documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        for pdf in batches:
+            for text in pdf["text"]:
+                seen.update(words_of(text))
+                if len(seen) > 200_000:
+                    yield pd.DataFrame({"word": [w.decode() for w in seen], "n": list(seen.values())})
+                    seen.clear()
+        if seen:
+            yield pd.DataFrame({"word": [w.decode() for w in seen], "n": list(seen.values())})
+
+    return docs.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _prefixes(docs: DataFrame, wins: DataFrame) -> DataFrame:
+    """Distinct (word, offset, n): the rarest word of a window, its place in it and the window's length."""
+    words = wins.select("win").distinct().select("win", F.split("win", " ").alias("w")).select("win", F.size("w").alias("size"), F.posexplode("w").alias("offset", "word"))
+    ranked = words.join(_counts(docs), "word", "left").groupBy("win", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("p"))
+    return ranked.select("p.word", "p.offset", F.col("size").alias("n")).distinct()
+
+
 def _key(i: int):
     return F.xxhash64(F.coalesce("text", F.lit("")), F.lit(i))
 
 
-def _judged_by_blocks(docs: DataFrame, items: DataFrame, name: str, size: int, n: int) -> DataFrame:
-    spark, rows, hits = docs.sparkSession, docs.select("text"), None
-    for block in blocks_of(items, n):
-        index = spark.sparkContext.broadcast(prefix_index(block, rarity(rows, block), size))
-
-        def judge(texts: list, index=index) -> pd.DataFrame:
-            out = []
-            for text in texts:
-                hit, found = _covered(words_of(text), index.value)
-                out.append(([i for i, x in enumerate(hit) if x], list(found)))
-            return pd.DataFrame(out, columns=["at", "ids"])
-
-        own = judge_texts(rows, judge, "at array<int>, ids array<string>", "__hit").where(F.size("__hit.at") > 0)
-        own = written(own.select(_key(1).alias("__k1"), _key(2).alias("__k2"), "__hit.*").dropDuplicates(["__k1", "__k2"]), "decontaminate-hits")
-        index.destroy()
-        hits = own if hits is None else hits.unionByName(own)
-    merged = hits.groupBy("__k1", "__k2").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("__at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("__ids"))
-    found = merged.select(F.col("__k1").alias("__h1"), F.col("__k2").alias("__h2"), F.size("__at").cast("long").alias("__n"), F.size("__ids").cast("long").alias("__items"), F.array_join("__ids", ",").alias("__names"))
-    count = lambda texts: pd.DataFrame({"n_words": [len(words_of(t)) for t in texts]})
-    every = judge_texts(docs, count, "n_words long", "__words").join(found, (_key(1) == F.col("__h1")) & (_key(2) == F.col("__h2")), "left")
-    k, words = F.coalesce("__n", F.lit(0)), F.col("__words.n_words")
+def _judged_by_join(docs: DataFrame, items: DataFrame, name: str, size: int) -> DataFrame:
+    """As `judged`, with the benchmark as a table."""
+    wins = written(_windows(items, size), "decontaminate-windows")
+    combos = [(n, o) for n in range(1, size + 1) for o in range(n)]
+    marks = _prefixes(docs, wins).select(F.pmod(F.crc32("word"), F.lit(FILTER)).alias("at"), "n", "offset").distinct()
+    number = (F.col("n") * (F.col("n") - 1) / 2).cast("int") + F.col("offset")
+    parts = -(-len(combos) // 32)
+    flags = F.transform(F.array(*[F.lit(k) for k in range(parts)]), lambda k: F.when(F.floor(F.col("number") / 32) == k, F.pow(F.lit(2.0), F.col("number") % 32).cast("long")).otherwise(F.lit(0).cast("long")))
+    bits = marks.select("at", number.alias("number")).select("at", flags.alias("flags")).groupBy("at").agg(*[F.bit_or(F.get("flags", F.lit(k))).alias(f"b{k}") for k in range(parts)])
+    found = bits.toPandas()  # at most FILTER rows
+    table = np.zeros((FILTER, parts), np.uint32)
+    table[found["at"].to_numpy(np.int64)] = found[[f"b{k}" for k in range(parts)]].to_numpy(np.uint64).astype(np.uint32)
+    some = docs.sparkSession.sparkContext.broadcast((table, table.any(axis=1)))  # FILTER * parts * 4 bytes
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, any_ = some.value
+        out: list[tuple] = []
+        for pdf in batches:
+            for k1, k2, text in zip(pdf["k1"], pdf["k2"], pdf["text"], strict=True):
+                words = words_of(text)
+                if not words:
+                    continue
+                at = np.fromiter((zlib.crc32(w) & (FILTER - 1) for w in words), np.int64, len(words))
+                stretches = set()
+                for i in np.flatnonzero(any_[at]).tolist():
+                    for j, m in enumerate(table[at[i]].tolist()):
+                        while m:
+                            n, o = combos[32 * j + (m & -m).bit_length() - 1]
+                            m &= m - 1
+                            if i >= o and i - o + n <= len(words):
+                                stretches.add((i - o, n))
+                out += [(k1, k2, a, n, b" ".join(words[a : a + n]).decode()) for a, n in stretches]
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=["k1", "k2", "first", "n", "win"])
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=["k1", "k2", "first", "n", "win"])
+
+    keyed = docs.select(_key(1).alias("k1"), _key(2).alias("k2"), "text")
+    stretches = keyed.mapInPandas(run, "k1 long, k2 long, first int, n int, win string")
+    met = written(stretches.join(wins.select("win").distinct(), "win", "left_semi"), "decontaminate-met")
+    ends = F.array_sort(F.collect_set(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n")).alias("z"))))
+    step = lambda acc, x: F.struct(
+        F.greatest(acc["end"], x["z"]).alias("end"), (acc["sum"] + F.greatest(x["z"] - F.greatest(acc["end"], x["a"]), F.lit(0))).cast("long").alias("sum")
+    )
+    covered = met.groupBy("k1", "k2").agg(F.aggregate(ends, F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("sum")), step)["sum"].alias("hits"))
+    named = met.select("k1", "k2", "win").distinct().join(wins, "win").select("k1", "k2", "item_id").distinct()
+    names = named.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("item_id")).alias("ids"), F.count(F.lit(1)).alias("items"))
+    found = covered.join(names, ["k1", "k2"]).select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), "hits", "items", F.array_join("ids", ",").alias("names"))
+    words = judge_texts(docs.select("text", F.struct(*columns(docs.columns)).alias("row")), lambda texts: pd.DataFrame({"n_words": [len(words_of(t)) for t in texts]}), "n_words long", "count")
+    every = words.join(found, (_key(1) == F.col("h1")) & (_key(2) == F.col("h2")), "left")
+    k, n = F.coalesce("hits", F.lit(0)), F.col("count.n_words")
     result = F.struct(
-        words.alias("n_words"), k.alias("n_hit"), F.coalesce("__items", F.lit(0)).alias("n_items"),
-        F.sha2(F.encode(F.coalesce("__names", F.lit("")), "utf-8"), 256).alias("items_sha256"), ((k > 0) & (20 * k >= words)).alias("contaminated"),
+        n.alias("n_words"), k.alias("n_hit"), F.coalesce("items", F.lit(0)).alias("n_items"),
+        F.sha2(F.encode(F.coalesce("names", F.lit("")), "utf-8"), 256).alias("items_sha256"), ((k > 0) & (20 * k >= n)).alias("contaminated"),
     )
-    return every.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias(name))
+    return every.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], result.alias(name))
