@@ -67,7 +67,7 @@ def candidates(df: DataFrame) -> DataFrame:
     add("momentum_time", ("recent5_time_diff_mean", "recent3_time_diff_mean"), c("recent5_time_diff_mean") - c("recent3_time_diff_mean"))
     add("log_experience", ("prior_start_count",), F.log1p("prior_start_count"))
     add("rest_band", ("days_since_last_run",), c("days_since_last_run").between(14, 70).cast("double"))
-    add("log_rest", ("days_since_last_run",), F.log1p(F.greatest(c("days_since_last_run"), F.lit(0))))
+    add("log_rest", ("days_since_last_run",), F.when(c("days_since_last_run").isNotNull(), F.log1p(F.greatest(c("days_since_last_run"), F.lit(0)))))
     add("win_conversion", ("prior_win_rate", "prior_top3_rate"), ratio(c("prior_win_rate"), c("prior_top3_rate")))
     add("top2_conversion", ("prior_top2_rate", "prior_top3_rate"), ratio(c("prior_top2_rate"), c("prior_top3_rate")))
     add("win_of_top2", ("prior_win_rate", "prior_top2_rate"), ratio(c("prior_win_rate"), c("prior_top2_rate")))

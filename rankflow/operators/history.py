@@ -25,7 +25,7 @@ def history(df: DataFrame, keys: Sequence[str], values: dict[str, Column], days:
     frame = Window.partitionBy(*keys).orderBy(day).rangeBetween(Window.unboundedPreceding if days is None else -days, -1)
     sums = daily(df, keys, values, day)
     past = sums.select(*keys, day, *[F.coalesce(F.sum(c).over(frame), F.lit(0)).alias(prefix + c) for c in ("n", *values)])
-    return df.join(past, [*keys, day])
+    return _attached(df, past, [*keys, day])
 
 
 def decayed(df: DataFrame, keys: Sequence[str], values: dict[str, Column], half_life: float, centre: int, day: str = "dn", prefix: str = "d_") -> DataFrame:
@@ -34,7 +34,29 @@ def decayed(df: DataFrame, keys: Sequence[str], values: dict[str, Column], half_
     grow = F.pow(F.lit(2.0), (F.col(day) - centre) / half_life)
     sums = daily(df, keys, values, day)
     past = sums.select(*keys, day, *[F.coalesce(F.sum(F.col(c) * grow).over(frame) / grow, F.lit(0.0)).alias(prefix + c) for c in ("n", *values)])
-    return df.join(past, [*keys, day])
+    return _attached(df, past, [*keys, day])
+
+
+def contexts(df: DataFrame, key: str, sets: dict[str, Sequence[str]], values: dict[str, Column], days: int = WINDOW_DAYS, day: str = "dn") -> DataFrame:
+    """As `history` for several key sets at once, each `key` and further columns: adds <prefix>n and <prefix><value> per set.
+
+    Rows are summed once per day and all columns that any set has; those sums are
+    brought together by `key`, so that the windows of all sets need no exchange of their
+    own, and joined once.
+    """
+    every = sorted({c for extra in sets.values() for c in extra})
+    sums = daily(df, [key, *every], values, day).repartition(key)
+    frame = lambda extra: Window.partitionBy(key, *extra).orderBy(day).rangeBetween(-days, -1)
+    past = sums.select(key, *every, day, *[F.coalesce(F.sum(c).over(frame(extra)), F.lit(0)).alias(prefix + c) for prefix, extra in sets.items() for c in ("n", *values)])
+    return _attached(df, past, [key, *every, day])
+
+
+def _attached(df: DataFrame, past: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Joins histories to their rows; null keys are keys like others."""
+    named = past.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], *[c for c in past.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)]
+    met = df.join(named, same)
+    return met.drop(*[f"__{i}" for i in range(len(keys))])
 
 
 def smoothed(wins: Column, n: Column) -> Column:

@@ -67,18 +67,35 @@ def ece(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return table.groupBy(*by).agg((F.sum(F.col("rows") * F.abs(F.col("mean_p") - F.col("rate"))) / F.sum("rows")).alias("ece"))
 
 
-def auc(df: DataFrame, score: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Area under the curve with average ranks for ties, from the histogram of scores.
+BUCKETS = 4096
+
+
+def running(hist: DataFrame, value: str, counts: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Adds under_<count> to a histogram: the sum of each count over all smaller values.
 
-    The rows are summed per distinct score first; the running sum sees those only.
+    Values are put in order within `BUCKETS` equal stretches of their range; the
+    stretches' totals are summed over each other, so no task holds all values.
     """
+    edges = hist.groupBy(*by).agg(F.min(value).cast("double").alias("__low"), F.max(value).cast("double").alias("__high"))
+    placed = hist.join(edges, [*by]) if by else hist.crossJoin(F.broadcast(edges))  # else one row
+    share = F.try_divide(F.col(value) - F.col("__low"), F.col("__high") - F.col("__low"))
+    placed = placed.withColumn("__bucket", F.coalesce(F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)), F.lit(0)).cast("int")).drop("__low", "__high")
+    local = Window.partitionBy(*by, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    total = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*by, "__bucket").agg(*[F.sum(c).alias(c) for c in counts])
+    before = totals.select(*by, "__bucket", *[F.coalesce(F.sum(c).over(total), F.lit(0)).alias(f"__before_{c}") for c in counts])
+    met = placed.select("*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"__local_{c}") for c in counts]).join(before, [*by, "__bucket"])
+    return met.select(*hist.columns, *[(F.col(f"__before_{c}") + F.col(f"__local_{c}")).alias(f"under_{c}") for c in counts])
+
+
+def auc(df: DataFrame, score: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """Area under the curve with average ranks for ties, from the histogram of scores."""
     hist = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    part = hist.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    part = running(hist, score, ["neg"], by)
     return part.groupBy(*by).agg(
         F.sum("pos").alias("positives"),
         F.sum("neg").alias("negatives"),
-        F.try_divide(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"),
+        F.try_divide(F.sum(F.col("pos") * (F.col("under_neg") + F.col("neg") / 2)), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"),
     )
 
 
@@ -94,13 +111,36 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
 
     def ranked(rows: DataFrame, c: str) -> DataFrame:
-        hist = rows.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        return hist.select(c, (F.sum("n").over(Window.orderBy(c)) - (F.col("n") - 1) / 2).alias(f"rank_{c}"))
+        hist = running(rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c, ["n"])
+        return hist.select(c, (F.col("under_n") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
 
     joined = both.join(ranked(both, a), a).join(ranked(both, b), b)
     return joined.agg(F.count(F.lit(1)).alias("pairs"), F.corr(f"rank_{a}", f"rank_{b}").alias("rho"))
 
 
+def redundancy(df: DataFrame, features: Sequence[str], existing: Sequence[str], least_pairs: int = 500) -> DataFrame:
+    """Per feature the largest absolute Spearman correlation with another existing feature, over pairs of at least `least_pairs` rows; 0 if there is none.
+
+    Rows are summed per pair of values first; ranks come from each pair's own histograms.
+    """
+    pairs = [(f, x) for f in features for x in existing if f != x]
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(x).alias("other"), F.col(f).cast("double").alias("a"), F.col(x).cast("double").alias("b")) for f, x in pairs])).alias("x")).select("x.*")
+    by = ["feature", "other"]
+    joint = long.where("a is not null and b is not null").groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    total = joint.groupBy(*by).agg(F.sum("n").alias("pairs")).where(F.col("pairs") >= least_pairs)
+
+    def ranked(c: str) -> DataFrame:
+        hist = running(joint.groupBy(*by, c).agg(F.sum("n").alias("n")), c, ["n"], by)
+        return hist.select(*by, c, (F.col("under_n") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
+
+    met = joint.join(total, by).join(ranked("a"), [*by, "a"]).join(ranked("b"), [*by, "b"])
+    da, db, n = F.col("rank_a") - (F.col("pairs") + 1) / 2, F.col("rank_b") - (F.col("pairs") + 1) / 2, F.col("n")
+    rho = met.groupBy(*by).agg(F.try_divide(F.sum(n * da * db), F.sqrt(F.sum(n * da * da) * F.sum(n * db * db))).alias("rho"))
+    most = rho.groupBy("feature").agg(F.max(F.abs("rho")).alias("redundancy"))
+    every = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return every.join(most, "feature", "left").withColumn("redundancy", F.coalesce("redundancy", F.lit(0.0)))
+
+
 def top_pick(df: DataFrame, race: str, entrant: str, p: str) -> DataFrame:
     """The contest's row with the largest probability, ties to the smaller id."""
     first = F.row_number().over(Window.partitionBy(race).orderBy(F.desc(p), entrant))

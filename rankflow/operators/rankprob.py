@@ -6,15 +6,18 @@ pairs and triples run inside the row: one shuffle by contest, no self join.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TINY = 1e-15
 
 
-def field(df: DataFrame, race: str, entrant: str, p: str) -> DataFrame:
-    """Per contest: `runners`, the array of (id, p) in order of id."""
-    return df.groupBy(race).agg(F.sort_array(F.collect_list(F.struct(F.col(entrant).alias("id"), F.col(p).cast("double").alias("p")))).alias("runners"))
+def field(df: DataFrame, race: str, entrant: str, p: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Per contest: `runners`, the array of (id, p) in order of id; with `keep`, also `row`, a struct of these columns."""
+    row = [F.struct(*keep).alias("row")] if keep else []
+    return df.groupBy(race).agg(F.sort_array(F.collect_list(F.struct(F.col(entrant).alias("id"), F.col(p).cast("double").alias("p"), *row))).alias("runners"))
 
 
 def _left(*p: Column) -> Column:
@@ -28,11 +31,12 @@ def _sum(array: Column, f) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda total, x: total + f(x))
 
 
-def marginals(df: DataFrame, race: str = "race_id", entrant: str = "horse_id", p: str = "p") -> DataFrame:
-    """Per entrant: p_win, p_top2, p_top3; the masses of a contest are 1, min(2, n) and min(3, n)."""
-    f = field(df, race, entrant, p)
+def marginals(df: DataFrame, race: str = "race_id", entrant: str = "horse_id", p: str = "p", keep: Sequence[str] = ()) -> DataFrame:
+    """Per entrant: p_win, p_top2, p_top3 and the columns of `keep`; the masses of a contest are 1, min(2, n) and min(3, n)."""
+    f = field(df, race, entrant, p, keep)
     r = F.col("runners")
-    pooled = f.withColumn("runners", F.transform(r, lambda j: F.struct(j["id"].alias("id"), j["p"].alias("p"), _sum(r, lambda k: F.when(k["id"] != j["id"], k["p"] / _left(j["p"], k["p"])).otherwise(0.0)).alias("pool"))))
+    own = lambda j: [j["row"].alias("row")] if keep else []
+    pooled = f.withColumn("runners", F.transform(r, lambda j: F.struct(j["id"].alias("id"), j["p"].alias("p"), *own(j), _sum(r, lambda k: F.when(k["id"] != j["id"], k["p"] / _left(j["p"], k["p"])).otherwise(0.0)).alias("pool"))))
 
     def second(i, j):
         return F.when((j["id"] != i["id"]) & (1 - j["p"] > 0), i["p"] * j["p"] / (1 - j["p"])).otherwise(0.0)
@@ -41,13 +45,14 @@ def marginals(df: DataFrame, race: str = "race_id", entrant: str = "horse_id", p
         r,
         lambda i: F.struct(
             i["id"].alias("id"),
+            *own(i),
             i["p"].alias("win"),
             (i["p"] + _sum(r, lambda j: second(i, j))).alias("top2"),
             _sum(r, lambda j: second(i, j) * (j["pool"] - i["p"] / _left(j["p"], i["p"]))).alias("third"),
         ),
     )
     row = pooled.select(race, F.explode(out).alias("x"))
-    return row.select(race, F.col("x.id").alias(entrant), F.col("x.win").alias("p_win"), F.col("x.top2").alias("p_top2"), (F.col("x.top2") + F.col("x.third")).alias("p_top3"))
+    return row.select(race, F.col("x.id").alias(entrant), *[F.col(f"x.row.{c}").alias(c) for c in keep], F.col("x.win").alias("p_win"), F.col("x.top2").alias("p_top2"), (F.col("x.top2") + F.col("x.third")).alias("p_top3"))
 
 
 def tempered(p: Column, alpha: Column | float, *race: str) -> Column:
@@ -74,39 +79,44 @@ def ordered_triples(df: DataFrame, race: str = "race_id", entrant: str = "horse_
     return three.select(race, "size", F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("c.id").alias("c"), whole.alias("probability"))
 
 
-def tickets(df: DataFrame, race: str = "race_id", entrant: str = "horse_id", p: str = "p", frames: int = 8) -> DataFrame:
-    """Exact ticket probabilities and fair odds: WIN, TOP2, TOP3, EXACTA, QUINELLA, WIDE, FRAME, TRIO, TRIFECTA.
+ALL_TYPES = ("WIN", "TOP2", "TOP3", "EXACTA", "QUINELLA", "FRAME", "WIDE", "TRIO", "TRIFECTA")
+
+
+def tickets(df: DataFrame, race: str = "race_id", entrant: str = "horse_id", p: str = "p", frames: int = 8, types: Sequence[str] = ALL_TYPES) -> DataFrame:
+    """Exact ticket probabilities and fair odds of the ticket types asked for.
 
-    Each ordered triple adds to every ticket it pays. WIDE pays both among the first
-    places (three from eight entrants on, two from four on), and is named WIDE_PROXY
-    below four. A frame is the entrant's id modulo `frames`, plus one.
+    Each ordered triple adds to every ticket it pays; tickets are numbers until they are
+    summed. WIDE pays both among the first places (three from eight entrants on, two from
+    four on), and is named WIDE_PROXY below four. A frame is the entrant's id modulo
+    `frames`, plus one.
     """
     t = ordered_triples(df, race, entrant, p)
     a, b, c, n = F.col("a"), F.col("b"), F.col("c"), F.col("size")
-    text = lambda *x: F.array_join(F.array(*[y.cast("string") for y in x]), ">")
-    sorted_text = lambda *x: F.array_join(F.array_sort(F.array(*[y.cast("string") for y in x])), "-")
-    frame = lambda x: (x % frames + 1).cast("int")
-    slots = F.when(n >= 8, 3).when(n >= 4, 2).otherwise(1)
-    wide = F.when(n < 4, "WIDE_PROXY").otherwise("WIDE")
-    kind = lambda name, selection: F.struct((F.lit(name) if isinstance(name, str) else name).alias("type"), selection.alias("selection"))
-    kinds = F.array_compact(
-        F.array(
-            kind("WIN", a.cast("string")),
-            *[kind("TOP2", x.cast("string")) for x in (a, b)],
-            *[F.when(x.isNotNull(), kind("TOP3", x.cast("string"))) for x in (a, b, c)],
-            kind("EXACTA", text(a, b)),
-            kind("QUINELLA", sorted_text(a, b)),
-            kind("FRAME", F.concat_ws("-", F.least(frame(a), frame(b)), F.greatest(frame(a), frame(b)))),
-            F.when((slots >= 2) | (n < 4), kind(wide, sorted_text(a, b))),
-            F.when(slots >= 3, kind(wide, sorted_text(a, c))),
-            F.when(slots >= 3, kind(wide, sorted_text(b, c))),
-            F.when(c.isNotNull(), kind("TRIO", sorted_text(a, b, c))),
-            F.when(c.isNotNull(), kind("TRIFECTA", text(a, b, c))),
-        )
-    )
-    paid = t.select(race, "probability", F.explode(kinds).alias("k"))
-    return (
-        paid.groupBy(race, F.col("k.type").alias("ticket_type"), F.col("k.selection").alias("selection"))
-        .agg(F.sum("probability").alias("probability"))
-        .withColumn("fair_odds", 1 / F.col("probability"))
-    )
+    frame = lambda x: x % frames + 1
+    none = F.lit(None).cast("long")
+    many = n >= 8
+
+    def kind(name: str, *x: Column) -> Column:
+        x = (*x, none, none)[:3]
+        return F.struct(F.lit(name).alias("type"), *[y.cast("long").alias(k) for y, k in zip(x, "xyz", strict=True)])
+
+    low, high = F.least, F.greatest
+    pairs = lambda name, x, y: kind(name, low(x, y), high(x, y))
+    middle = a + b + c - low(a, b, c) - high(a, b, c)
+    paid = {
+        "WIN": [kind("WIN", a)],
+        "TOP2": [kind("TOP2", x) for x in (a, b)],
+        "TOP3": [F.when(x.isNotNull(), kind("TOP3", x)) for x in (a, b, c)],
+        "EXACTA": [kind("EXACTA", a, b)],
+        "QUINELLA": [pairs("QUINELLA", a, b)],
+        "FRAME": [pairs("FRAME", frame(a), frame(b))],
+        "WIDE": [F.when(n < 4, pairs("WIDE_PROXY", a, b)).otherwise(pairs("WIDE", a, b)), F.when(many, pairs("WIDE", a, c)), F.when(many, pairs("WIDE", b, c))],
+        "TRIO": [F.when(c.isNotNull(), kind("TRIO", low(a, b, c), middle, high(a, b, c)))],
+        "TRIFECTA": [F.when(c.isNotNull(), kind("TRIFECTA", a, b, c))],
+    }
+    kinds = F.array_compact(F.array(*[k for name in types for k in paid[name]]))
+    summed = t.select(race, "probability", F.explode(kinds).alias("k")).select(race, "probability", "k.*").groupBy(race, "type", "x", "y", "z").agg(F.sum("probability").alias("probability"))
+    parts = F.array_compact(F.array(*[F.col(x).cast("string") for x in "xyz"]))
+    ordered = F.col("type").isin("EXACTA", "TRIFECTA")
+    text = F.when(ordered, F.array_join(parts, ">")).when(F.col("type") == "FRAME", F.array_join(parts, "-")).otherwise(F.array_join(F.array_sort(parts), "-"))
+    return summed.select(race, F.col("type").alias("ticket_type"), text.alias("selection"), "probability", (1 / F.col("probability")).alias("fair_odds"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 from pyspark.sql.window import Window
 
 
@@ -48,23 +49,44 @@ def profiles(tickets: DataFrame, caps: tuple[int, ...] = (1, 2, 3), least_ev: fl
 
 
 def outcomes(bets: DataFrame) -> DataFrame:
-    """Per strategy from (strategy, day, race_id, payout): tickets, contests, turnover, profit, ROI, hit rate, drawdown and losing streak in contest order."""
+    """Per strategy from (strategy, day, race_id, payout): tickets, contests, turnover, profit, ROI, hit rate, drawdown and losing streak in contest order.
+
+    Contests are put in order within a month; months are then merged by their totals,
+    peaks and the losses at their ends, so that no task holds all contests of a strategy.
+    """
     races = bets.groupBy("strategy", "day", "race_id").agg(F.count(F.lit(1)).alias("tickets"), F.sum("payout").alias("payout"), F.count_if(F.col("payout") > 0).alias("hits"))
-    order = Window.partitionBy("strategy").orderBy("day", "race_id")
-    profit = F.col("payout") - 100 * F.col("tickets")
-    run = races.withColumn("equity", F.sum(profit).over(order)).withColumn("island", F.sum((F.col("hits") > 0).cast("int")).over(order))
-    run = run.withColumn("drop", F.greatest(F.max("equity").over(order), F.lit(0.0)) - F.col("equity"))
-    streak = run.groupBy("strategy", "island").agg(F.count_if(F.col("hits") == 0).alias("lost")).groupBy("strategy").agg(F.max("lost").alias("losing_streak"))
-    total = run.groupBy("strategy").agg(
+    dated = isinstance(bets.schema["day"].dataType, DateType | TimestampType | TimestampNTZType)
+    month = F.trunc("day", "month") if dated else F.floor(F.col("day") / 28)  # of day numbers, stretches of four weeks
+    races = races.withColumn("month", month).withColumn("profit", F.col("payout") - 100 * F.col("tickets"))
+    inside = Window.partitionBy("strategy", "month").orderBy("day", "race_id")
+    run = races.withColumn("equity", F.sum("profit").over(inside)).withColumn("island", F.sum((F.col("hits") > 0).cast("int")).over(inside))
+    run = run.withColumn("dip", F.max("equity").over(inside) - F.col("equity"))
+    islands = run.groupBy("strategy", "month", "island").agg(
+        F.count_if(F.col("hits") == 0).alias("lost"), F.count(F.lit(1)).alias("races"), F.count_if(F.col("hits") > 0).alias("won"), F.sum("tickets").alias("tickets"), F.sum("payout").alias("payout"),
+        F.sum("profit").alias("profit"), F.max("equity").alias("peak"), F.min("equity").alias("least"), F.max("dip").alias("dip"),
+    )
+    months = islands.groupBy("strategy", "month").agg(
+        *[F.sum(c).alias(c) for c in ("races", "won", "tickets", "payout", "profit")], F.max("peak").alias("peak"), F.min("least").alias("least"), F.max("dip").alias("dip"),
+        F.max("lost").alias("longest"), F.coalesce(F.max(F.when(F.col("island") == 0, F.col("lost"))), F.lit(0)).alias("lead"), F.max_by("lost", "island").alias("tail"),
+    )
+    before = Window.partitionBy("strategy").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    months = months.withColumn("start", F.coalesce(F.sum("profit").over(before), F.lit(0.0)))
+    months = months.withColumn("top", F.greatest(F.coalesce(F.max(F.col("start") + F.col("peak")).over(before), F.lit(0.0)), F.lit(0.0)))
+    months = months.withColumn("drop", F.greatest(F.col("dip"), F.col("top") - F.col("start") - F.col("least"), F.lit(0.0)))
+    ends = F.array_sort(F.collect_list(F.struct("month", "won", "lead", "tail", "longest")))  # as many as there are months
+    step = lambda a, m: F.when(m["won"] == 0, F.struct((a["now"] + m["lead"]).alias("now"), F.greatest(a["best"], a["now"] + m["lead"]).alias("best"))).otherwise(
+        F.struct(m["tail"].alias("now"), F.greatest(a["best"], a["now"] + m["lead"], m["longest"]).alias("best"))
+    )
+    return months.groupBy("strategy").agg(
         F.sum("tickets").alias("tickets"),
-        F.count(F.lit(1)).alias("races"),
+        F.sum("races").alias("races"),
         (100.0 * F.sum("tickets")).alias("turnover"),
-        F.sum(profit).alias("profit"),
+        F.sum("profit").alias("profit"),
         (F.sum("payout") / (100.0 * F.sum("tickets"))).alias("roi"),
-        (F.count_if(F.col("hits") > 0) / F.count(F.lit(1))).alias("hit_rate"),
+        (F.sum("won") / F.sum("races")).alias("hit_rate"),
         F.max("drop").alias("max_drawdown"),
+        F.aggregate(ends, F.struct(F.lit(0).cast("long").alias("now"), F.lit(0).cast("long").alias("best")), step)["best"].alias("losing_streak"),
     )
-    return total.join(streak, "strategy")
 
 
 def miss_class(p: Column) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 from ..functions.scalars import count_rows
 from ..operators import features, history, metrics, pit, resample, splits
 from ..registry import query
+from ..sources.readers import stored
 from ..sources.bindings import ENTRANTS, FEATURE_BASE, WORKOUTS, entrants, feature_base, workouts
-from .rating_queries import AGENT, DAILY, LOSS, P1, SWAPS, base_rates, daily_deltas, swaps
+from .rating_queries import AGENT, DAILY, P1, PL, SWAPS, THREE, base_rates, daily_deltas, swaps, three_losses
 
 R = F.round
 
@@ -52,16 +53,26 @@ def m19_field_strength(spark, sf_dir):
     return strength(spark, sf_dir).select("race_id", "horse_id", R("ability", 6).alias("ability"), "components", R("edge", 6).alias("edge"), R("field_step", 6).alias("field_step"))
 
 
-@query(f"""WITH {FEATURE_BASE} SELECT race_id, horse_id, round(recent5_finish_pct_mean - recent3_finish_pct_mean, 9) + 0.0 AS c_momentum_finish, round(ln(1 + prior_start_count), 9) AS c_log_experience, CAST(days_since_last_run BETWEEN 14 AND 70 AS DOUBLE) AS c_rest_band,
- round(prior_win_rate / nullif(prior_top3_rate, 0), 9) AS c_win_conversion, round(same_distance_prior_count / nullif(prior_start_count, 0)::DOUBLE, 9) AS c_distance_share,
- round(prior_start_count / nullif(avg(prior_start_count) OVER (PARTITION BY race_id), 0), 9) AS c_experience_field, round(prior_win_rate - avg(prior_win_rate) OVER (PARTITION BY race_id), 9) + 0.0 AS c_win_step FROM f""")
+_over = lambda c: f"avg({c}) OVER (PARTITION BY race_id)"
+_ratio = lambda a, b: f"{a}::DOUBLE / nullif({b}, 0)"
+CANDIDATE_SQL = {
+    "momentum_finish": "recent5_finish_pct_mean - recent3_finish_pct_mean", "momentum_time": "recent5_time_diff_mean - recent3_time_diff_mean", "log_experience": "ln(1 + prior_start_count)",
+    "rest_band": "CAST(days_since_last_run BETWEEN 14 AND 70 AS DOUBLE)", "log_rest": "CASE WHEN days_since_last_run IS NOT NULL THEN ln(1 + greatest(days_since_last_run, 0)) END",
+    "win_conversion": _ratio("prior_win_rate", "prior_top3_rate"), "top2_conversion": _ratio("prior_top2_rate", "prior_top3_rate"), "win_of_top2": _ratio("prior_win_rate", "prior_top2_rate"),
+    "distance_share": _ratio("same_distance_prior_count", "prior_start_count"), "track_share": _ratio("same_track_prior_count", "prior_start_count"),
+    "finish_edge": "prior_avg_finish_pct - recent3_finish_pct_mean", "time_edge": "prior_avg_time_diff - recent3_time_diff_mean", "experience_field": _ratio("prior_start_count", _over("prior_start_count")),
+    "win_field": _ratio("prior_win_rate", _over("prior_win_rate")), "top3_field": _ratio("prior_top3_rate", _over("prior_top3_rate")), "win_step": f"prior_win_rate - {_over('prior_win_rate')}",
+    "top3_step": f"prior_top3_rate - {_over('prior_top3_rate')}", "finish_step": f"{_over('prior_avg_finish_pct')} - prior_avg_finish_pct", "time_step": f"{_over('prior_avg_time_diff')} - prior_avg_time_diff",
+}
+
+
+@query(f"WITH {FEATURE_BASE} SELECT race_id, horse_id, " + ", ".join(f"round({x}, 8) + 0.0 AS c_{n}" for n, x in CANDIDATE_SQL.items()) + " FROM f")
 def m17_candidate_features(spark, sf_dir):
-    c = features.candidates(feature_base(spark, sf_dir))
-    keep = ["c_momentum_finish", "c_log_experience", "c_win_conversion", "c_distance_share", "c_experience_field"]
-    return c.select("race_id", "horse_id", "c_rest_band", *[(R(x, 9) + 0.0).alias(x) for x in keep], (R("c_win_step", 9) + 0.0).alias("c_win_step"))
+    """All nineteen candidate features."""
+    return features.candidates(feature_base(spark, sf_dir)).select("race_id", "horse_id", *[(R(f"c_{x}", 8) + 0.0).alias(f"c_{x}") for x in CANDIDATE_SQL])
 
 
-PLAN = [("TRAIN", "1992-01-01", "1995-12-31"), ("VALIDATION", "1996-01-01", "1996-06-30"), ("SELECTION", "1996-07-01", "1996-12-31"), ("TEST", "1997-01-01", "1997-12-31"), ("OOS", "1998-01-01", "1998-12-31")]
+PLAN = [("TRAIN", "1995-01-01", "1998-12-31"), ("VALIDATION", "1999-01-01", "1999-06-30"), ("SELECTION", "1999-07-01", "1999-12-31"), ("TEST", "2000-01-01", "2000-12-31"), ("OOS", "2001-01-01", "2001-12-31")]
 PLAN_SQL = "pl AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in PLAN) + ") AS t(split, a, b))"
 
 
@@ -98,39 +109,58 @@ def w19_walk_forward_folds(spark, sf_dir):
 
 
 PROFILES = [("balanced", 0.6), ("long_train", 0.7), ("short_train", 0.5), ("long_tail", 0.55), ("late", 0.8)]
-M20 = f"""{CUTS}, g AS (SELECT * FROM (VALUES {", ".join(f"('{n}', CAST({x} AS DOUBLE))" for n, x in PROFILES)}) AS t(profile, fraction)),
+M20 = f"""{FEATURE_BASE}, dd AS (SELECT day, count(DISTINCT race_id) AS n FROM e GROUP BY 1), cu AS (SELECT day, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS cum, CAST(sum(n) OVER () AS BIGINT) AS total FROM dd), g AS (SELECT * FROM (VALUES {", ".join(f"('{n}', CAST({x} AS DOUBLE))" for n, x in PROFILES)}) AS t(profile, fraction)),
 ct AS (SELECT profile, arg_min(day, (abs(cum - fraction * total), day)) AS cut FROM cu, g GROUP BY 1),
-st AS (SELECT profile, cut, count(DISTINCT race_id) FILTER (day <= cut) AS train, count(DISTINCT race_id) FILTER (day > cut) AS races, sum(label_win) FILTER (day > cut) AS positives, least(count(*) FILTER (day > cut AND domain = 1), count(*) FILTER (day > cut AND domain = 2)) AS domain FROM e, ct GROUP BY 1, 2),
-sc AS (SELECT *, CAST(races < 250 AS INTEGER) + CAST(positives < 100 AS INTEGER) AS warn, CAST(train < 1500 AS INTEGER) AS block FROM st)"""
+st AS (SELECT profile, cut, count(DISTINCT race_id) AS total, max(dn) - min(dn) + 1 AS span, count(DISTINCT race_id) FILTER (day <= cut) AS train, avg(CAST(prior_start_count >= 3 AS INTEGER)) FILTER (day <= cut) AS p3, count(DISTINCT race_id) FILTER (day > cut) AS races,
+ least(sum(label_win) FILTER (day > cut), sum(label_top2) FILTER (day > cut), sum(label_top3) FILTER (day > cut)) AS positives, count(DISTINCT race_id) FILTER (day > cut AND domain = 1) AS d1, count(DISTINCT race_id) FILTER (day > cut AND domain = 2) AS d2 FROM f, ct GROUP BY 1, 2),
+gt AS (SELECT *, least(d1, d2) AS domain, CAST(total >= 3000 AND total < 8000 AS INTEGER) + CAST(span < 365 AS INTEGER) + CAST(d1 < 100 AS INTEGER) + CAST(d2 < 100 AS INTEGER) + CAST(p3 < 0.35 AS INTEGER) AS warn,
+ CAST(total < 3000 AS INTEGER) + CAST(races < 250 AS INTEGER) + CAST(positives < 100 AS INTEGER) + CAST(train < 1500 AS INTEGER) AS block FROM st),
+sc AS (SELECT *, CAST(2 * races + 3 * positives + domain + 0.15 * least(train, 10000) + 500 * p3 - 25 * warn - 100000 * block AS DOUBLE) AS score FROM gt)"""
 
 
-@query(f"WITH {M20} SELECT profile, CAST(cut AS VARCHAR) AS cut, train, races, CAST(positives AS BIGINT) AS positives, round(CAST(2 * races + 3 * positives + domain + 0.15 * least(train, 10000) - 25 * warn - 100000 * block AS DOUBLE), 4) AS score FROM sc")
+@query(f"WITH {M20} SELECT profile, CAST(cut AS VARCHAR) AS cut, train, races, CAST(positives AS BIGINT) AS positives, round(p3, 6) AS p3, warn, block, round(score, 4) AS score FROM sc")
 def m20_split_profiles(spark, sf_dir):
-    e = entrants(spark, sf_dir)
-    cut = splits.cuts(e.select("race_id", "day").distinct(), spark.createDataFrame(PROFILES, "profile string, fraction double")).drop("fraction")
-    late, early = F.col("day") > F.col("cut"), F.col("day") <= F.col("cut")
-    st = e.select("race_id", "day", "domain", "label_win").join(F.broadcast(cut)).groupBy("profile", "cut").agg(
-        F.count_distinct(F.when(early, F.col("race_id"))).alias("train"), F.count_distinct(F.when(late, F.col("race_id"))).alias("races"), F.sum(F.when(late, F.col("label_win"))).alias("positives"), F.least(F.count_if(late & (F.col("domain") == 1)), F.count_if(late & (F.col("domain") == 2))).alias("domain")
-    )
+    """Five ratio profiles with their gates, and a score from population figures alone."""
     c = F.col
-    warn = (c("races") < 250).cast("int") + (c("positives") < 100).cast("int")
-    score = splits.adequacy(c("races"), c("positives"), c("domain"), c("train"), F.lit(0), warn, (c("train") < 1500).cast("int"))
-    return st.select("profile", F.col("cut").cast("string").alias("cut"), "train", "races", "positives", R(score.cast("double"), 4).alias("score"))
+    f = feature_base(spark, sf_dir).select("race_id", "day", "dn", "domain", "label_win", "label_top2", "label_top3", "prior_start_count")
+    cut = splits.cuts(f.select("race_id", "day").distinct(), spark.createDataFrame(PROFILES, "profile string, fraction double")).drop("fraction")
+    late, early = c("day") > c("cut"), c("day") <= c("cut")
+    races = lambda w: F.count_distinct(F.when(w, c("race_id")))
+    st = f.join(F.broadcast(cut)).groupBy("profile", "cut").agg(  # five rows
+        F.count_distinct("race_id").alias("total"), (F.max("dn") - F.min("dn") + 1).alias("span"), races(early).alias("train"), F.avg(F.when(early, (c("prior_start_count") >= 3).cast("int"))).alias("p3"), races(late).alias("races"),
+        F.least(*[F.sum(F.when(late, c(y))) for y in ("label_win", "label_top2", "label_top3")]).alias("positives"), races(late & (c("domain") == 1)).alias("d1"), races(late & (c("domain") == 2)).alias("d2"),
+    )
+    flag = lambda *x: sum((y.cast("int") for y in x[1:]), x[0].cast("int"))
+    st = st.withColumn("warn", flag((c("total") >= 3000) & (c("total") < 8000), c("span") < 365, c("d1") < 100, c("d2") < 100, c("p3") < 0.35))
+    st = st.withColumn("block", flag(c("total") < 3000, c("races") < 250, c("positives") < 100, c("train") < 1500))
+    score = splits.adequacy(c("races"), c("positives"), F.least("d1", "d2"), c("train"), c("p3"), c("warn"), c("block"))
+    return st.select("profile", c("cut").cast("string").alias("cut"), "train", "races", "positives", R("p3", 6).alias("p3"), "warn", "block", R(score.cast("double"), 4).alias("score"))
 
 
-@query(f"WITH {M20} SELECT arg_max(profile, (2 * races + 3 * positives + domain + 0.15 * least(train, 10000) - 25 * warn, profile)) AS profile FROM sc WHERE block = 0")
+@query(f"WITH {M20} SELECT arg_max(profile, (round(score, 4), profile)) AS profile FROM sc WHERE block = 0")
 def t08_best_split_profile(spark, sf_dir):
-    return m20_split_profiles(spark, sf_dir).where("train >= 1500").agg(F.max_by("profile", F.struct("score", "profile")).alias("profile"))
+    return m20_split_profiles(spark, sf_dir).where("block = 0").agg(F.max_by("profile", F.struct("score", "profile")).alias("profile"))
 
 
-@query(f"""WITH {FEATURE_BASE}, z AS (SELECT round(prior_win_rate, 9) AS a, round(prior_top3_rate, 9) AS b FROM f WHERE prior_win_rate IS NOT NULL AND prior_top3_rate IS NOT NULL),
-rk AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM z) SELECT count(*) AS pairs, round(corr(ra, rb), 6) AS rho FROM rk""")
-def a17_spearman(spark, sf_dir):
-    f = feature_base(spark, sf_dir).select(F.round("prior_win_rate", 9).alias("a"), F.round("prior_top3_rate", 9).alias("b"))
-    return metrics.spearman(f, "a", "b").select("pairs", R("rho", 6).alias("rho"))
+FEATS = ["prior_win_rate", "prior_avg_time_diff", "days_since_last_run", "recent3_finish_pct_mean", "same_track_prior_count"]
 
 
-FEATS = ["prior_win_rate", "prior_avg_time_diff", "days_since_last_run", "recent3_finish_pct_mean", "same_track_prior_count"]
+EXISTING = ["prior_top3_rate", "prior_top2_rate", "prior_start_count", "prior_avg_finish_pct"]
+REDUNDANT = "rp AS (" + " UNION ALL ".join(f"SELECT '{x}' AS feature, '{o}' AS other, round({x}::DOUBLE, 9) AS a, round({o}::DOUBLE, 9) AS b FROM f WHERE {x} IS NOT NULL AND {o} IS NOT NULL" for x in FEATS for o in EXISTING) + """),
+rr AS (SELECT feature, other, rank() OVER (PARTITION BY feature, other ORDER BY a) + (count(*) OVER (PARTITION BY feature, other, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY feature, other ORDER BY b) + (count(*) OVER (PARTITION BY feature, other, b) - 1) / 2.0 AS rb FROM rp),
+rd AS (SELECT feature, max(abs(rho)) AS redundancy FROM (SELECT feature, other, corr(ra, rb) AS rho FROM rr GROUP BY 1, 2 HAVING count(*) >= 500) GROUP BY 1)"""
+
+
+def redundancies(f):
+    """Of each feature against the existing ones; values as the SQL rounds them."""
+    rounded = f.select(*[F.round(F.col(c).cast("double"), 9).alias(c) for c in {*FEATS, *EXISTING}])
+    return metrics.redundancy(rounded, FEATS, EXISTING)
+
+
+@query(f"WITH {FEATURE_BASE}, {REDUNDANT}, x AS (SELECT unnest({FEATS}) AS feature) SELECT feature, round(coalesce(redundancy, 0), 6) AS redundancy FROM x LEFT JOIN rd USING (feature)")
+def a17_spearman(spark, sf_dir):
+    """Largest absolute Spearman correlation of each feature with the existing ones, pairs of 500 rows or more."""
+    return redundancies(feature_base(spark, sf_dir)).select("feature", R("redundancy", 6).alias("redundancy"))
 
 
 @query(f"WITH {FEATURE_BASE} " + " UNION ALL ".join(f"SELECT '{x}' AS feature, round(avg(CAST({x} IS NOT NULL AS INTEGER)), 6) AS coverage, count(DISTINCT round({x}, 9)) AS uniques FROM f" for x in FEATS))
@@ -147,16 +177,17 @@ cv AS (SELECT feature, avg(CAST(v IS NOT NULL AS INTEGER)) AS coverage, count(DI
 d AS (SELECT feature, avg(greatest(auc, 1 - auc)) AS mean, min(greatest(auc, 1 - auc)) AS least FROM u WHERE split IN ('VALIDATION', 'SELECTION') GROUP BY 1)"""
 
 
-@query(f"WITH {M18} SELECT feature, round(coverage, 6) AS coverage, uniques, round(mean, 6) AS mean_auc, CASE WHEN coverage < 0.55 OR uniques < 5 OR mean < 0.515 OR least < 0.505 THEN 'REJECT' ELSE 'KEEP' END AS decision FROM cv JOIN d USING (feature)")
+@query(f"WITH {M18}, {REDUNDANT} SELECT feature, round(coverage, 6) AS coverage, uniques, round(redundancy, 6) AS redundancy, round(mean, 6) AS mean_auc, CASE WHEN coverage < 0.55 OR uniques < 5 OR redundancy >= 0.98 OR mean < 0.515 OR least < 0.505 THEN 'REJECT' ELSE 'KEEP' END AS decision FROM cv JOIN d USING (feature) JOIN (SELECT feature, coalesce(redundancy, 0) AS redundancy FROM cv LEFT JOIN rd USING (feature)) USING (feature)")
 def m18_feature_triage(spark, sf_dir):
-    """Coverage, uniqueness and rank quality per feature in long form; decided on VALIDATION and SELECTION."""
-    f = feature_base(spark, sf_dir).withColumn("split", splits.assigned(None, PLAN)).where("split is not null")
+    """Coverage, uniqueness, redundancy and rank quality per feature in long form; decided on VALIDATION and SELECTION."""
+    base = feature_base(spark, sf_dir)
+    f = base.withColumn("split", splits.assigned(None, PLAN)).where("split is not null")
     long = f.select("split", F.col("label_win").alias("y"), F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.round(F.col(x).cast("double"), 9).alias("v")) for x in FEATS])).alias("x")).select("split", "y", "x.*")
     cover = long.groupBy("feature").agg(F.avg(F.col("v").isNotNull().cast("int")).alias("coverage"), F.count_distinct("v").alias("uniques"))
     a = metrics.auc(long.where(F.col("split").isin("VALIDATION", "SELECTION")), "v", "y", ["feature", "split"]).withColumn("m", F.greatest("auc", 1 - F.col("auc")))
     d = a.groupBy("feature").agg(F.avg("m").alias("mean"), F.min("m").alias("least"))
-    decision = features.triage(F.col("coverage"), F.col("uniques"), F.lit(0.0), F.col("mean"), F.col("least"))
-    return cover.join(d, "feature").select("feature", R("coverage", 6).alias("coverage"), "uniques", R("mean", 6).alias("mean_auc"), decision.alias("decision"))
+    decision = features.triage(F.col("coverage"), F.col("uniques"), F.col("redundancy"), F.col("mean"), F.col("least"))
+    return cover.join(d, "feature").join(redundancies(base), "feature").select("feature", R("coverage", 6).alias("coverage"), "uniques", R("redundancy", 6).alias("redundancy"), R("mean", 6).alias("mean_auc"), decision.alias("decision"))
 
 
 U = "(('0x' || substr(md5({key}), 1, 13))::BIGINT / 4503599627370496.0)"
@@ -168,7 +199,7 @@ def w22_calendar_blocks(spark, sf_dir):
     return d.groupBy(resample.block_of(F.col("day")).alias("block")).agg(count_rows().alias("days"), F.sum("rows").alias("rows"), R(F.sum("delta"), 6).alias("delta"))
 
 
-REPS = 200
+REPS, DRAWS = 2000, 20_000
 BLOCKS = f"{DAILY}, bl AS (SELECT (dn + 719163) // 28 AS block, sum(rows) AS rows, sum(delta) AS delta FROM d GROUP BY 1), nb AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS unit, count(*) OVER () AS units FROM bl)"
 
 
@@ -178,71 +209,43 @@ def blocks(spark, sf_dir):
     return resample.numbered(d, ["block"])
 
 
-BOOT = f"""dr AS (SELECT rep, CAST(floor({U.format(key="'boot|' || rep || '|' || i")} * units) AS BIGINT) AS unit FROM (SELECT unit AS i, units FROM nb), range({REPS}) AS g(rep)),
+def boot(reps: int, seed: str = "boot") -> str:
+    return f"""dr AS (SELECT rep, CAST(floor({U.format(key=f"'{seed}|' || rep || '|' || i")} * units) AS BIGINT) AS unit FROM (SELECT unit AS i, units FROM nb), range({reps}) AS g(rep)),
 rt AS (SELECT rep, sum(delta) / sum(rows) AS ratio FROM dr JOIN nb USING (unit) GROUP BY 1)"""
 
 
-@query(f"WITH {ENTRANTS}, {P1}, {BLOCKS}, {BOOT} SELECT round(quantile_cont(ratio, 0.025), 6) AS low, round(quantile_cont(ratio, 0.975), 6) AS high FROM rt")
+@query(f"WITH {ENTRANTS}, {P1}, {BLOCKS}, {boot(REPS)} SELECT round(quantile_cont(ratio, 0.025), 6) AS low, round(quantile_cont(ratio, 0.975), 6) AS high FROM rt")
 def m12_bootstrap_interval(spark, sf_dir):
     r = resample.bootstrap(blocks(spark, sf_dir), "delta", "rows", REPS, "boot")
     i = resample.interval(r)
     return i.select(R("low", 6).alias("low"), R("high", 6).alias("high"))
 
 
-FLIP = f"""fl AS (SELECT draw, sum(delta * CASE WHEN {U.format(key="'flip|' || draw || '|' || block")} < 0.5 THEN -1 ELSE 1 END) AS flipped FROM nb, range(500) AS g(draw) GROUP BY 1)"""
+FLIP = f"""fl AS (SELECT draw, sum(delta * CASE WHEN {U.format(key="'flip|' || draw || '|' || block")} < 0.5 THEN -1 ELSE 1 END) AS flipped FROM nb, range({DRAWS}) AS g(draw) GROUP BY 1)"""
 
 
 @query(f"""WITH {ENTRANTS}, {P1}, {BLOCKS}, {FLIP}, o AS (SELECT sum(delta) AS observed FROM nb)
 SELECT round(any_value(observed), 6) AS observed, round(CASE WHEN any_value(observed) >= 0 THEN 1.0 ELSE (count(*) FILTER (flipped <= observed + 1e-12) + 1) / (count(*) + 1.0) END, 6) AS p FROM fl, o""")
 def m13_sign_flip_test(spark, sf_dir):
-    t = resample.sign_flips(blocks(spark, sf_dir), "delta", "block", 500, "flip")
+    t = resample.sign_flips(blocks(spark, sf_dir), "delta", "block", DRAWS, "flip")
     return t.select(R("observed", 6).alias("observed"), R("p", 6).alias("p"))
 
 
-@query(f"""WITH {ENTRANTS}, {P1}, {BLOCKS}, {BOOT}, s AS (SELECT list_sort(list(ratio)) AS s FROM rt) SELECT round(s[1 + CAST(floor(0.025 * {REPS}) AS INTEGER)], 6) AS low, round(s[1 + CAST(floor(0.975 * {REPS}) AS INTEGER)], 6) AS high FROM s""")
+@query(f"""WITH {ENTRANTS}, {P1}, {BLOCKS}, {boot(DRAWS)}, s AS (SELECT list_sort(list(ratio)) AS s FROM rt) SELECT round(s[1 + CAST(floor(0.025 * {DRAWS}) AS INTEGER)], 6) AS low, round(s[1 + CAST(floor(0.975 * {DRAWS}) AS INTEGER)], 6) AS high FROM s""")
 def m13_block_bootstrap(spark, sf_dir):
-    i = resample.floor_interval(resample.bootstrap(blocks(spark, sf_dir), "delta", "rows", REPS, "boot"))
+    i = resample.floor_interval(resample.bootstrap(blocks(spark, sf_dir), "delta", "rows", DRAWS, "boot"))
     return i.select(R("low", 6).alias("low"), R("high", 6).alias("high"))
 
 
-VENUE = f"""vd AS (SELECT venue, (dn + 719163) // 28 AS block, sum({LOSS.format(p="p", y="label_win")} - ({LOSS.format(p="(1.0::DOUBLE / n)", y="label_win")})) AS delta FROM p GROUP BY 1, 2),
-vf AS (SELECT venue, draw, sum(delta) AS observed, sum(delta * CASE WHEN {U.format(key="'venue|' || draw || '|' || block")} < 0.5 THEN -1 ELSE 1 END) AS flipped FROM vd, range(300) AS g(draw) GROUP BY 1, 2),
-vp AS (SELECT venue, CASE WHEN any_value(observed) >= 0 THEN 1.0 ELSE (count(*) FILTER (flipped <= observed + 1e-12) + 1) / (count(*) + 1.0) END AS p FROM vf GROUP BY 1)"""
-
-
-def venue_tests(spark, sf_dir):
-    y = F.col("label_win")
-    d = metrics.log_loss(F.col("p"), y) - metrics.log_loss(F.lit(1.0) / F.col("n"), y)
-    b = base_rates(spark, sf_dir).groupBy("venue", resample.block_of(F.col("day")).alias("block")).agg(F.sum(d).alias("delta"))
-    return resample.sign_flips(b, "delta", "block", 300, "venue", ["venue"])
-
-
-@query(f"WITH {ENTRANTS}, {P1}, {VENUE} SELECT venue, round(p, 6) AS p FROM vp")
-def m14_grouped_sign_flips(spark, sf_dir):
-    return venue_tests(spark, sf_dir).select("venue", R("p", 6).alias("p"))
-
-
-@query(f"WITH {ENTRANTS}, {P1}, {VENUE}, hh AS (SELECT venue, p, row_number() OVER (ORDER BY p, venue) AS rn, count(*) OVER () AS m FROM vp) SELECT venue, round(p, 6) AS p, round(max(least(1.0, (m - rn + 1) * p)) OVER (ORDER BY rn), 6) AS p_holm FROM hh")
-def w18_holm(spark, sf_dir):
-    return resample.holm(venue_tests(spark, sf_dir), "p", ["venue"]).select("venue", R("p", 6).alias("p"), R("p_holm", 6).alias("p_holm"))
-
-
-@query(f"WITH {ENTRANTS}, {P1}, {VENUE}, hh AS (SELECT venue, p, row_number() OVER (ORDER BY p, venue) AS rn, count(*) OVER () AS m FROM vp), k AS (SELECT venue, max(least(1.0, (m - rn + 1) * p)) OVER (ORDER BY rn) AS ph FROM hh) SELECT count(*) AS tests, CASE WHEN bool_and(ph < 0.05) THEN 'PROMOTE' ELSE 'REJECT' END AS decision FROM k")
-def m16_decision_gate(spark, sf_dir):
-    """Promote only if every adjusted test is below one in twenty."""
-    h = resample.holm(venue_tests(spark, sf_dir), "p", ["venue"])
-    return h.agg(count_rows().alias("tests"), F.when(F.bool_and(F.col("p_holm") < 0.05), "PROMOTE").otherwise("REJECT").alias("decision"))
-
-
 @query(f"""WITH {ENTRANTS}, {P1}, {AGENT.format(key="agent_id")}, {SWAPS}, kb AS (SELECT race_id % 50 AS block, sum(new_hit - old_hit) AS delta, count(*) AS rows FROM k GROUP BY 1), nb AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS unit, count(*) OVER () AS units FROM kb),
-{BOOT.replace("boot|", "acc|")}, s AS (SELECT list_sort(list(ratio)) AS s FROM rt) SELECT round(s[1 + CAST(floor(0.025 * {REPS}) AS INTEGER)], 6) + 0.0 AS low, round(s[1 + CAST(floor(0.975 * {REPS}) AS INTEGER)], 6) + 0.0 AS high FROM s""")
+{boot(DRAWS, "acc")}, s AS (SELECT list_sort(list(ratio)) AS s FROM rt) SELECT round(s[1 + CAST(floor(0.025 * {DRAWS}) AS INTEGER)], 6) + 0.0 AS low, round(s[1 + CAST(floor(0.975 * {DRAWS}) AS INTEGER)], 6) + 0.0 AS high FROM s""")
 def m15_accuracy_interval(spark, sf_dir):
     k = swaps(spark, sf_dir).groupBy((F.col("race_id") % 50).alias("block")).agg(F.sum(F.col("new_hit") - F.col("old_hit")).alias("delta"), count_rows().alias("rows"))
-    i = resample.floor_interval(resample.bootstrap(resample.numbered(k, ["block"]), "delta", "rows", REPS, "acc"))
+    i = resample.floor_interval(resample.bootstrap(resample.numbered(k, ["block"]), "delta", "rows", DRAWS, "acc"))
     return i.select((R("low", 6) + 0.0).alias("low"), (R("high", 6) + 0.0).alias("high"))
 
 
-PAIRS = f"{WORKOUTS}, j AS (SELECT race_row, race_id, o.horse_id, dn, value, wd, created, center, clock, wid, f1 FROM o JOIN w ON o.horse_id = w.horse_id AND wd BETWEEN dn - 14 AND dn - 1 AND created < dn)"
+PAIRS = f"{WORKOUTS}, j AS (SELECT race_row, race_id, o.horse_id, dn, value, wd, created, center, clock, wid, f1, f4 FROM o JOIN w ON o.horse_id = w.horse_id AND wd BETWEEN dn - 14 AND dn - 1 AND created < dn)"
 
 
 def pairs(spark, sf_dir, days=14):
@@ -282,31 +285,133 @@ def w12_quartile(spark, sf_dir):
     return picks(spark, sf_dir)[0].select("race_row", pit.quartile(F.col("f1"), "race_id", "center").alias("quartile"))
 
 
-@query(f"WITH {PAIRS}, k AS (SELECT race_row, count(*) AS n FROM j GROUP BY 1) SELECT o.race_row, n IS NOT NULL AS presence, CAST(least(3, coalesce(n, 0)) AS INTEGER) AS capped FROM o LEFT JOIN k USING (race_row)")
-def m06_feature_keys(spark, sf_dir):
-    """Presence and capped count per row; none is neutral."""
+SOURCES, WINDOWS, KINDS, CAPS = ("A", "B", "both"), (7, 14), ("presence", "count", "f4", "f1"), (0.10, 0.25)
+CONFIGS = [(src, d, k, c) for src in SOURCES for d in WINDOWS for k in KINDS for c in CAPS]
+_q = lambda v: f"CASE WHEN {v} IS NOT NULL THEN CAST(least(3, floor(4 * (rank() OVER (PARTITION BY race_id, source, days, {v} IS NULL ORDER BY {v}) - 1) / count({v}) OVER (PARTITION BY race_id, source, days))) AS INTEGER) END"
+KEYS = f"""{PAIRS}, n0 AS (SELECT *, count(*) OVER (PARTITION BY race_id) AS n, row_number() OVER (PARTITION BY race_id ORDER BY value DESC, race_row) AS finish FROM o),
+n1 AS (SELECT *, CAST(finish = 1 AS INTEGER) AS win FROM n0 WHERE n >= 2),
+hb AS (SELECT race_row, (coalesce(sum(win) OVER w, 0) + 1) / (count(*) OVER w + 12.0) AS base FROM n1 WINDOW w AS (PARTITION BY horse_id ORDER BY dn RANGE BETWEEN 1095 PRECEDING AND 1 PRECEDING)),
+eb AS (SELECT n1.*, base, base / sum(base) OVER (PARTITION BY race_id) AS p FROM n1 JOIN hb USING (race_row)),
+ec AS (SELECT center AS source, days, race_row, count(*) AS n, min(f1) AS f1, min(f4) AS f4 FROM j JOIN (VALUES (7), (14)) AS g(days) ON wd >= dn - days GROUP BY 1, 2, 3),
+eq AS (SELECT source, days, race_row, ec.n, {_q("f1")} AS q1, {_q("f4")} AS q4 FROM ec JOIN eb USING (race_row)),
+ky AS (SELECT race_row, source, days, 'presence' AS feature, 1 AS key FROM eq UNION ALL SELECT race_row, source, days, 'count', CAST(least(3, n) AS INTEGER) FROM eq UNION ALL SELECT race_row, source, days, 'f1', q1 FROM eq WHERE q1 IS NOT NULL UNION ALL SELECT race_row, source, days, 'f4', q4 FROM eq WHERE q4 IS NOT NULL)"""
+MULTIPLIERS = f"""{KEYS}, kh AS (SELECT race_row, source, days, feature, count(*) OVER w AS xn, coalesce(sum(win) OVER w, 0) AS xw, coalesce(sum(p) OVER w, 0) AS xe FROM ky JOIN eb USING (race_row) WINDOW w AS (PARTITION BY source, days, feature, key ORDER BY dn RANGE BETWEEN 1095 PRECEDING AND 1 PRECEDING)),
+mu AS (SELECT race_row, source, days, feature, cap, 1 + cap * xn / (xn + 100.0) * (greatest(0.25, least(4.0, (xw + 10) / (xe + 10))) - 1) AS m FROM kh, (VALUES {", ".join(f"(CAST({c} AS DOUBLE))" for c in CAPS)}) AS g(cap)),
+cf AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{src}', {d}, '{k}', CAST({c} AS DOUBLE))" for i, (src, d, k, c) in enumerate(CONFIGS))}) AS t(i, source, days, feature, cap)),
+mm AS (SELECT race_row, i, cf.source, cf.days, cf.feature, cf.cap, avg(m) AS m FROM mu JOIN cf ON mu.days = cf.days AND mu.feature = cf.feature AND mu.cap = cf.cap AND (cf.source = 'both' OR cf.source = mu.source) GROUP BY race_row, i, cf.source, cf.days, cf.feature, cf.cap)"""
+EXPERIMENTS = f"""{MULTIPLIERS}, st AS (SELECT eb.race_id * 64 + c.i AS race_id, eb.race_row AS horse_id, finish, base * coalesce(m, 1) AS s, eb.dn FROM eb JOIN (SELECT i FROM cf UNION ALL SELECT 63) AS c ON TRUE LEFT JOIN mm ON mm.race_row = eb.race_row AND mm.i = c.i),
+p AS (SELECT race_id, horse_id, finish, s / sum(s) OVER (PARTITION BY race_id) AS p FROM st), {PL.replace("j AS (", "pj AS (").replace("FROM j ", "FROM pj ")}, {THREE},
+ex AS (SELECT race_id // 64 AS race, CAST(race_id % 64 AS INTEGER) AS i, k, rows, logloss, brier FROM a5 WHERE positives = least(k, rows)),
+dl AS (SELECT x.i, x.k, x.race // 1000000000 AS block, x.rows, x.logloss - b.logloss AS dl, x.brier - b.brier AS db, x.logloss AS l FROM ex x JOIN ex b ON b.race = x.race AND b.k = x.k AND b.i = 63 WHERE x.i < 63)"""
+
+
+def evidence_keys(spark, sf_dir):
+    """Entrants of evidence contests with base rate and share, and their keys (race_row, source, days, feature, key); what is missing has none."""
     rows, p = pairs(spark, sf_dir)
-    k = p.groupBy("race_row").agg(count_rows().alias("n"))
-    return rows.join(k, "race_row", "left").select("race_row", F.col("n").isNotNull().alias("presence"), F.least(F.lit(3), F.coalesce("n", F.lit(0))).cast("int").alias("capped"))
+    race = Window.partitionBy("race_id")
+    b = rows.withColumn("n", F.count(F.lit(1)).over(race)).where("n >= 2").withColumn("finish", F.row_number().over(race.orderBy(F.desc("value"), "race_row"))).withColumn("win", (F.col("finish") == 1).cast("int"))
+    b = history.history(b, ["horse_id"], {"wins": F.col("win")})
+    b = b.withColumn("base", history.smoothed(F.col("h_wins"), F.col("h_n"))).withColumn("p", history.share(F.col("base"), "race_id")).select("race_row", "race_id", "horse_id", "dn", "finish", "win", "base", "p")
+    windows = p.select("race_row", "race_id", F.col("center").alias("source"), "f1", "f4", F.explode(F.array(*[F.when(F.col("wd") >= F.col("dn") - d, F.lit(d)) for d in WINDOWS])).alias("days")).where("days is not null")
+    c = windows.groupBy("race_id", "source", "days", "race_row").agg(count_rows().alias("k"), F.min("f1").alias("f1"), F.min("f4").alias("f4")).join(b.select("race_row"), "race_row", "left_semi")
+    for v in ("f1", "f4"):
+        c = c.withColumn(f"has_{v}", F.col(v).isNotNull()).withColumn(f"q_{v}", F.when(F.col(v).isNotNull(), pit.quartile(F.col(v), "race_id", "source", "days", f"has_{v}")))
+    values = {"presence": F.lit(1), "count": F.least(F.lit(3), F.col("k")).cast("int"), "f1": F.col("q_f1"), "f4": F.col("q_f4")}
+    keys = c.select("race_row", "source", "days", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), v.alias("key")) for n, v in values.items()])).alias("x")).select("race_row", "source", "days", "x.*").where("key is not null")
+    return b, keys
+
+
+def multipliers(b, keys):
+    """Per entrant and configuration that says something about it: the multiplier; over both sources the mean of those there are."""
+    known = keys.join(b.select("race_row", "dn", "win", "p"), "race_row")
+    h = history.history(known, ["source", "days", "feature", "key"], {"w": F.col("win"), "e": F.col("p")}, prefix="x_")
+    one = h.select("race_row", "source", "days", "feature", F.explode(F.array(*[F.struct(F.lit(c).alias("cap"), pit.multiplier(F.col("x_n"), F.col("x_w"), F.col("x_e"), c).alias("m")) for c in CAPS])).alias("x")).select("race_row", "source", "days", "feature", "x.*")
+    both = one.groupBy("race_row", "days", "feature", "cap").agg(F.avg("m").alias("m")).withColumn("source", F.lit("both"))
+    return one.unionByName(both)
+
+
+def config_number():
+    return F.coalesce(*[F.when((F.col("source") == s) & (F.col("days") == d) & (F.col("feature") == k) & (F.col("cap") == c), F.lit(i)) for i, (s, d, k, c) in enumerate(CONFIGS)])
+
+
+def experiments(spark, sf_dir):
+    """Per contest, configuration i (63: none) and target: rows and losses of strengths times multipliers."""
+    b, keys = (stored(df, "evidence") for df in evidence_keys(spark, sf_dir))
+    m = multipliers(b, keys).select("race_row", config_number().alias("i"), "m")
+    every = b.select("race_row", "race_id", "finish", "base", F.explode(F.array(*[F.lit(i) for i in (*range(len(CONFIGS)), 63)])).alias("i"))
+    s = every.join(m, ["race_row", "i"], "left").select((F.col("race_id") * 64 + F.col("i")).alias("race_id"), F.col("race_row").alias("horse_id"), "finish", (F.col("base") * F.coalesce("m", F.lit(1.0))).alias("s"))
+    t = three_losses(s.withColumn("p", history.share(F.col("s"), "race_id")).select("race_id", "horse_id", "finish", "p"))
+    return t.select(F.floor(F.col("race_id") / 64).alias("race"), (F.col("race_id") % 64).cast("int").alias("i"), "k", "rows", "logloss", "brier")
+
+
+def deltas(spark, sf_dir):
+    """Per contest, configuration and target: loss differences to the strengths without evidence, and the contest's day as block."""
+    x = stored(experiments(spark, sf_dir), "experiments")
+    base = x.where("i = 63").select("race", "k", F.col("logloss").alias("l0"), F.col("brier").alias("b0"))
+    y = x.where("i < 63").join(base, ["race", "k"])
+    return y.select("i", "k", F.floor(F.col("race") / 1_000_000_000).alias("block"), "rows", F.col("logloss").alias("l"), (F.col("logloss") - F.col("l0")).alias("dl"), (F.col("brier") - F.col("b0")).alias("db"))
+
+
+@query(f"WITH {KEYS} SELECT race_row, source, CAST(days AS INTEGER) AS days, feature, key FROM ky")
+def m06_feature_keys(spark, sf_dir):
+    """Presence, capped count and quartiles of two measures, per source and window."""
+    return evidence_keys(spark, sf_dir)[1]
+
 
+@query(f"WITH {MULTIPLIERS} SELECT race_row, source, CAST(days AS INTEGER) AS days, feature, cap, round(m, 8) AS multiplier, round(m * base, 8) AS strength FROM mm JOIN eb USING (race_row)")
+def m07_multiplier(spark, sf_dir):
+    b, keys = evidence_keys(spark, sf_dir)
+    return multipliers(b, keys).join(b.select("race_row", "base"), "race_row").select("race_row", "source", "days", "feature", "cap", R("m", 8).alias("multiplier"), R(F.col("m") * F.col("base"), 8).alias("strength"))
 
-@query(f"""WITH {WORKOUTS}, g AS (SELECT * FROM (VALUES ('A', 7), ('A', 14), ('B', 7), ('B', 14), ('both', 7), ('both', 14)) AS t(source, days)),
-j AS (SELECT source, days, race_row, count(*) AS n FROM o JOIN w ON o.horse_id = w.horse_id AND wd BETWEEN dn - 14 AND dn - 1 AND created < dn JOIN g ON (source = 'both' OR source = center) AND wd >= dn - days GROUP BY 1, 2, 3)
-SELECT source, CAST(days AS INTEGER) AS days, count(*) AS covered, CAST(sum(least(n, 3)) AS BIGINT) AS capped FROM j GROUP BY 1, 2""")
+
+@query(f"WITH {EXPERIMENTS} SELECT i AS config, k, CAST(sum(rows) AS BIGINT) AS rows, round(sum(l) / sum(rows), 6) AS logloss, round(sum(dl) / sum(rows), 7) + 0.0 AS delta FROM dl GROUP BY 1, 2")
 def m05_evidence_grid(spark, sf_dir):
-    """Sources and windows at once: one join over the longest window, configurations as rows."""
-    _, p = pairs(spark, sf_dir)
-    grid = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(d).alias("days")) for s in ("A", "B", "both") for d in (7, 14)])
-    x = p.select("race_row", "center", "wd", "dn", F.explode(grid).alias("g")).where(((F.col("g.source") == "both") | (F.col("g.source") == F.col("center"))) & (F.col("wd") >= F.col("dn") - F.col("g.days")))
-    n = x.groupBy("g.source", "g.days", "race_row").agg(count_rows().alias("n"))
-    return n.groupBy("source", "days").agg(count_rows().alias("covered"), F.sum(F.least("n", F.lit(3))).alias("capped"))
+    """All 48 configurations as rows: sources, windows, features, caps; three targets each, against none."""
+    d = deltas(spark, sf_dir)
+    return d.groupBy(F.col("i").alias("config"), "k").agg(F.sum("rows").alias("rows"), R(F.sum("l") / F.sum("rows"), 6).alias("logloss"), (R(F.sum("dl") / F.sum("rows"), 7) + 0.0).alias("delta"))
 
 
-@query(f"""WITH {ENTRANTS}, {P1}, x AS (SELECT race_id, horse_id, base, count(*) OVER w AS xn, coalesce(sum(label_win) OVER w, 0) AS xw, coalesce(sum(p) OVER w, 0) AS xe FROM p WINDOW w AS (PARTITION BY agent_id, race_class ORDER BY dn RANGE BETWEEN 1095 PRECEDING AND 1 PRECEDING))
-SELECT race_id, horse_id, round(1 + 0.25 * xn / (xn + 100.0) * (greatest(0.25, least(4.0, (xw + 10) / (xe + 10))) - 1), 6) AS multiplier FROM x""")
-def m07_multiplier(spark, sf_dir):
-    p = history.history(base_rates(spark, sf_dir), ["agent_id", "race_class"], {"w": F.col("label_win"), "e": F.col("p")}, prefix="x_")
-    return p.select("race_id", "horse_id", R(pit.multiplier(F.col("x_n"), F.col("x_w"), F.col("x_e"), 0.25), 6).alias("multiplier"))
+@query(f"WITH {MULTIPLIERS}, x AS (SELECT i, race_id, dn, abs(m - 1) > 1e-12 AS moved FROM mm JOIN eb USING (race_row)) SELECT i AS config, CAST(year(DATE '1970-01-01' + CAST(dn AS INTEGER)) AS INTEGER) AS year, count(*) AS eligible, count(DISTINCT race_id) FILTER (moved) AS changed_races FROM x GROUP BY 1, 2")
+def a28_evidence_coverage(spark, sf_dir):
+    """Per year and configuration: rows with evidence, and contests that it changes."""
+    b, keys = evidence_keys(spark, sf_dir)
+    x = multipliers(b, keys).withColumn("i", config_number()).join(b.select("race_row", "race_id", "dn"), "race_row")
+    moved = F.when(F.abs(F.col("m") - 1) > 1e-12, F.col("race_id"))
+    return x.groupBy(F.col("i").alias("config"), F.year(F.date_from_unix_date("dn")).alias("year")).agg(count_rows().alias("eligible"), F.count_distinct(moved).alias("changed_races"))
+
+
+TESTS = f"""{EXPERIMENTS}, bd AS (SELECT i, k, block, round(sum(dl), 9) AS delta FROM dl GROUP BY 1, 2, 3), nz AS (SELECT * FROM bd WHERE delta <> 0), al AS (SELECT i, k, sum(dl) / sum(rows) AS dl, sum(db) / sum(rows) AS db FROM dl GROUP BY 1, 2),
+sg AS (SELECT draw, block, CASE WHEN {U.format(key="'evidence|' || draw || '|' || block")} < 0.5 THEN -1 ELSE 1 END AS sign FROM (SELECT DISTINCT block FROM nz), range({DRAWS}) AS g(draw)),
+fl AS (SELECT i, k, draw, sum(delta * sign) AS flipped, sum(delta) AS observed FROM nz JOIN sg USING (block) GROUP BY 1, 2, 3),
+pv AS (SELECT i, k, round(CASE WHEN any_value(observed) >= 0 THEN 1.0 ELSE (count(*) FILTER (flipped <= observed + 1e-9) + 1) / (count(*) + 1.0) END, 9) AS p FROM fl GROUP BY 1, 2),
+te AS (SELECT al.i, al.k, dl, db, coalesce(p, 1.0) AS p FROM al LEFT JOIN pv USING (i, k)), hr AS (SELECT *, row_number() OVER (ORDER BY p, i, k) AS rn, count(*) OVER () AS m FROM te), hh AS (SELECT *, max(least(1.0, (m - rn + 1) * p)) OVER (ORDER BY rn) AS ph FROM hr)"""
+
+
+def evidence_tests(spark, sf_dir):
+    """48 x 3 sign-flip tests over days (the events cover a month) with a nonzero difference; without one, p is 1."""
+    d = deltas(spark, sf_dir)
+    blocks = d.groupBy("i", "k", "block").agg(R(F.sum("dl"), 9).alias("delta")).where("delta <> 0")
+    p = resample.sign_flips(blocks, "delta", "block", DRAWS, "evidence", ["i", "k"], slack=1e-9).select("i", "k", R("p", 9).alias("p"))
+    means = d.groupBy("i", "k").agg((F.sum("dl") / F.sum("rows")).alias("dl"), (F.sum("db") / F.sum("rows")).alias("db"))
+    return means.join(p, ["i", "k"], "left").fillna(1.0, ["p"])
+
+
+@query(f"WITH {TESTS} SELECT i AS config, k, round(p, 6) AS p FROM te")
+def m14_grouped_sign_flips(spark, sf_dir):
+    return evidence_tests(spark, sf_dir).select(F.col("i").alias("config"), "k", R("p", 6).alias("p"))
+
+
+@query(f"WITH {TESTS} SELECT i AS config, k, round(p, 6) AS p, round(ph, 6) AS p_holm FROM hh")
+def w18_holm(spark, sf_dir):
+    return resample.holm(evidence_tests(spark, sf_dir), "p", ["i", "k"]).select(F.col("i").alias("config"), "k", R("p", 6).alias("p"), R("p_holm", 6).alias("p_holm"))
+
+
+@query(f"WITH {TESTS} SELECT i AS config, CASE WHEN bool_and(dl < 0 AND db < 0 AND ph < 0.05) THEN 'KEEP' ELSE 'REJECT' END AS decision FROM hh GROUP BY 1")
+def m16_decision_gate(spark, sf_dir):
+    """A configuration is kept if all three targets' losses are better and all its adjusted tests below one in twenty."""
+    h = resample.holm(evidence_tests(spark, sf_dir), "p", ["i", "k"])
+    good = (F.col("dl") < 0) & (F.col("db") < 0) & (F.col("p_holm") < 0.05)
+    return h.groupBy(F.col("i").alias("config")).agg(F.when(F.bool_and(good), "KEEP").otherwise("REJECT").alias("decision"))
 
 
 @query(f"WITH {WORKOUTS} SELECT count(*) AS rows, count(DISTINCT wid) AS distinct_rows, count(*) FILTER (f1 IS NULL) AS unmeasured, (SELECT count(*) FROM (SELECT 1 FROM w GROUP BY horse_id, clock HAVING count(*) > 1 AND count(DISTINCT center) = 1)) AS repeated, (SELECT count(*) FROM (SELECT 1 FROM w GROUP BY horse_id, clock HAVING count(DISTINCT center) > 1)) AS conflicting FROM w")

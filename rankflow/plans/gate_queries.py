@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import count_rows
-from ..operators import canonical, gates
+from ..operators import canonical, gates, history
 from ..registry import query
 from ..sources.bindings import CONTESTS, ENTRANTS, RUNNERS, contests, entrants, runners, table
 
@@ -109,15 +109,47 @@ def p11_active_entrants(spark, sf_dir):
     return runners(spark, sf_dir).groupBy("race_id").agg(F.count_if(~away).alias("active"), F.count_if(away).alias("non_starters"))
 
 
-@query(f"""WITH {CONTESTS}, {RUNNERS}, g AS (SELECT race_id, count(*) AS n, count(*) FILTER (agent_id IS NULL) AS no_agent, count(*) FILTER (abnormal <> '0') AS off, count(DISTINCT agent_id) AS agents FROM r GROUP BY 1)
-SELECT c.race_id, concat_ws(',', CASE WHEN n = 1 THEN 'field_of_one' END, CASE WHEN grade = '' THEN 'no_grade' END, CASE WHEN n IS NULL THEN 'no_roster' END, CASE WHEN agents < n THEN 'shared_agent' END, CASE WHEN off > 0 THEN 'status_not_clear' END) AS blockers
-FROM c LEFT JOIN g USING (race_id)""")
+#: Faults that the cards of some contests have, as SQL; the query makes the same ones.
+CARDS = f"""{CONTESTS}, {RUNNERS}, cd AS (SELECT *, CASE WHEN race_id % 59 = 4 THEN 0 WHEN race_id % 61 = 3 THEN 2 ELSE 1 END AS copies, CASE WHEN race_id % 50 = 0 THEN '0000' ELSE lpad(CAST(race_id % 26 AS VARCHAR), 2, '0') || '30' END AS start_time,
+ race_id % 37 = 3 AS stale, race_id % 41 = 5 AS past, CASE WHEN race_id % 67 = 9 THEN 0 ELSE distance END AS metres, CASE WHEN race_id % 71 = 8 THEN '00' ELSE track END AS course FROM c),
+ru AS (SELECT race_id, horse_id, agent_id, CASE WHEN (race_id + horse_id) % 53 = 0 THEN 1 ELSE row_number() OVER (PARTITION BY race_id ORDER BY horse_id) END AS number, (race_id + horse_id) % 47 = 2 AS no_second, horse_id % 97 = 5 AS odd_id FROM r WHERE race_id % 73 <> 6),
+wk AS (SELECT race_id, horse_id, count(*) OVER (PARTITION BY horse_id ORDER BY dn RANGE BETWEEN 14 PRECEDING AND 1 PRECEDING) > 0 AS worked FROM r JOIN c USING (race_id)),
+rg AS (SELECT race_id, count(*) + CAST(race_id % 31 = 7 AS INTEGER) AS registered FROM r GROUP BY race_id),
+g AS (SELECT race_id, count(*) AS n, count(DISTINCT number) AS numbers, bool_or(odd_id) AS odd_id, bool_or(agent_id IS NULL) AS no_first, bool_or(no_second) AS no_second, count(*) FILTER (worked) AS eligible FROM ru JOIN wk USING (race_id, horse_id) GROUP BY 1)"""
+
+
+@query(f"""WITH {CARDS} SELECT cd.race_id, concat_ws(',', CASE WHEN copies = 1 AND (course = '00' OR race_class = '') THEN 'bad_conditions' END, CASE WHEN copies = 1 AND metres <= 0 THEN 'bad_distance' END, CASE WHEN odd_id THEN 'bad_identity' END, CASE WHEN numbers < n THEN 'bad_number' END,
+ CASE WHEN copies = 1 AND coalesce(registered, 0) < 2 THEN 'bad_registered' END, CASE WHEN copies = 1 AND (start_time = '0000' OR start_time >= '24') THEN 'bad_start_time' END, CASE WHEN copies = 1 AND venue NOT IN ('F', 'O') THEN 'bad_venue' END, CASE WHEN copies <> 1 THEN 'conditions_missing_or_repeated' END,
+ CASE WHEN no_first THEN 'no_first_agent' END, CASE WHEN n IS NULL THEN 'no_runners' END, CASE WHEN no_second THEN 'no_second_agent' END, CASE WHEN copies = 1 AND registered >= 2 AND registered <> coalesce(n, 0) THEN 'registered_mismatch' END, CASE WHEN past THEN 'same_day_or_past' END, CASE WHEN stale THEN 'stale_capture' END) AS blockers,
+ coalesce(eligible, 0) AS eligible, coalesce(eligible < n, FALSE) AS neutral_warning FROM cd LEFT JOIN g USING (race_id) LEFT JOIN rg USING (race_id)""")
 def p12_readiness_blockers(spark, sf_dir):
-    """Per contest the sorted names of what blocks it, from conditions and roster."""
-    g = runners(spark, sf_dir).groupBy("race_id").agg(count_rows().alias("n"), F.count_if(F.col("abnormal") != "0").alias("off"), F.count_distinct("agent_id").alias("agents"))
-    rows = contests(spark, sf_dir).join(g, "race_id", "full_outer")
-    rules = {"no_roster": F.col("n").isNull(), "field_of_one": F.col("n") == 1, "shared_agent": F.col("agents") < F.col("n"), "status_not_clear": F.col("off") > 0, "no_grade": F.col("grade") == ""}
-    return gates.issues(rows, rules, "b").select("race_id", F.array_join("b", ",").alias("blockers"))
+    """Per contest the sorted names of what blocks it, from conditions, roster and capture; entrants with recent work, and a warning if some have none.
+
+    A run in the fortnight before counts as work.
+    """
+    r, h = F.col("race_id"), F.col("horse_id")
+    cards = contests(spark, sf_dir).select(
+        "race_id", "dn", "venue", "race_class", F.when(r % 59 == 4, 0).when(r % 61 == 3, 2).otherwise(1).alias("copies"), F.when(r % 50 == 0, "0000").otherwise(F.concat(F.lpad((r % 26).cast("string"), 2, "0"), F.lit("30"))).alias("start_time"),
+        (r % 37 == 3).alias("stale"), (r % 41 == 5).alias("past"), F.when(r % 67 == 9, 0).otherwise(F.col("distance")).alias("metres"), F.when(r % 71 == 8, "00").otherwise(F.col("track")).alias("course"),
+    )
+    entered = runners(spark, sf_dir).select("race_id", "horse_id", "agent_id").join(cards.select("race_id", "dn"), "race_id")
+    own = Window.partitionBy("race_id")
+    worked = history.history(entered, ["horse_id"], {}, days=14).withColumn("place", F.row_number().over(own.orderBy("horse_id")))
+    row = worked.select("race_id", "agent_id", (F.col("h_n") > 0).alias("worked"), F.when((r + h) % 53 == 0, 1).otherwise(F.col("place")).alias("number"), ((r + h) % 47 == 2).alias("no_second"), (h % 97 == 5).alias("odd_id"))
+    seen = r % 73 != 6
+    kept = lambda c: F.when(seen, c)
+    g = row.groupBy("race_id").agg(
+        F.count(kept(F.lit(1))).alias("n"), F.count_distinct(kept(F.col("number"))).alias("numbers"), *[F.bool_or(kept(F.col(c))).alias(c) for c in ("odd_id", "no_second")], F.bool_or(kept(F.col("agent_id").isNull())).alias("no_first"),
+        F.count_if(seen & F.col("worked")).alias("eligible"), (count_rows() + F.max((r % 31 == 7).cast("int"))).alias("registered"),
+    )
+    rows = cards.join(g, "race_id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "registered": F.coalesce("registered", F.lit(0)), "one": F.col("copies") == 1})
+    c = F.col
+    rules = {
+        "stale_capture": c("stale"), "conditions_missing_or_repeated": ~c("one"), "no_runners": c("n") == 0, "same_day_or_past": c("past"), "bad_start_time": c("one") & ((c("start_time") == "0000") | (c("start_time") >= "24")),
+        "bad_registered": c("one") & (c("registered") < 2), "registered_mismatch": c("one") & (c("registered") >= 2) & (c("registered") != c("n")), "bad_distance": c("one") & (c("metres") <= 0),
+        "bad_conditions": c("one") & ((c("course") == "00") | (c("race_class") == "")), "bad_venue": c("one") & ~c("venue").isin("F", "O"), "bad_number": c("numbers") < c("n"), "bad_identity": c("odd_id"), "no_first_agent": c("no_first"), "no_second_agent": c("no_second"),
+    }
+    return gates.issues(rows, rules, "b").select("race_id", F.array_join("b", ",").alias("blockers"), F.coalesce("eligible", F.lit(0)).alias("eligible"), F.coalesce(c("eligible") < c("n"), F.lit(False)).alias("neutral_warning"))
 
 
 @query(f"""WITH {CONTESTS}, {RUNNERS}, g AS (SELECT race_id, count(*) FILTER (abnormal <> '0') AS off FROM r GROUP BY 1)
@@ -224,14 +256,25 @@ def p26_refresh_gate(spark, sf_dir):
     return gates.same_sets(contests(spark, sf_dir).select("race_id"), runners(spark, sf_dir).select("race_id").distinct(), ["race_id"])
 
 
-@query(f"""WITH {ENTRANTS}, d AS (SELECT horse_id, dn, count(*) AS n, sum(label_win) AS w FROM e GROUP BY 1, 2), t AS (SELECT horse_id, count(*) AS n, sum(label_win) AS w FROM e GROUP BY 1)
-SELECT count(*) AS keys, CAST(0 AS BIGINT) AS wrong_totals, CAST(0 AS BIGINT) AS future_days FROM t""")
+@query(f"""WITH {ENTRANTS}, d AS (SELECT horse_id, dn, count(*) AS n, sum(label_win) AS w FROM e GROUP BY 1, 2),
+st AS (SELECT horse_id, CASE WHEN horse_id % 13 = 4 THEN dn + 20000 ELSE dn END AS dn, n + CAST(horse_id % 11 = 3 AS INTEGER) AS n, CASE WHEN horse_id % 17 = 5 THEN NULL ELSE w END AS w, row_number() OVER (PARTITION BY horse_id ORDER BY CASE WHEN horse_id % 19 = 6 THEN -dn ELSE dn END) AS seq FROM d),
+o AS (SELECT *, dn <= lag(dn) OVER (PARTITION BY horse_id ORDER BY seq) AS back FROM st),
+k AS (SELECT horse_id, sum(n) AS sn, sum(w) AS sw, count(*) FILTER (w IS NULL) AS missing, max(dn) AS last, count(*) FILTER (back) AS back FROM o GROUP BY 1), t AS (SELECT horse_id, count(*) AS n, sum(label_win) AS w FROM e GROUP BY 1)
+SELECT count(*) AS keys, count(*) FILTER (sn <> n OR sw IS DISTINCT FROM w) AS wrong_totals, count(*) FILTER (missing > 0) AS not_finite, count(*) FILTER (back > 0) AS unordered, count(*) FILTER (last > date_diff('day', DATE '1970-01-01', DATE '2002-01-01')) AS future_days FROM k FULL JOIN t USING (horse_id)""")
 def p27_history_audit(spark, sf_dir):
-    """Totals equal the events, days ascend, none lies in the future."""
-    e = entrants(spark, sf_dir)
-    state = e.groupBy("horse_id", "dn").agg(count_rows().alias("n"), F.sum("label_win").alias("w")).groupBy("horse_id").agg(F.sum("n").alias("sn"), F.sum("w").alias("sw"), F.max("dn").alias("last"))
-    total = e.groupBy("horse_id").agg(count_rows().alias("n"), F.sum("label_win").alias("w"))
-    return state.join(total, "horse_id", "full_outer").agg(count_rows().alias("keys"), F.count_if(~(F.col("sn").eqNullSafe(F.col("n")) & F.col("sw").eqNullSafe(F.col("w")))).alias("wrong_totals"), F.count_if(F.col("last") > F.unix_date(F.lit("2002-01-01").cast("date"))).alias("future_days"))
+    """A stored history with faults against its events: totals, missing values, order of days, days in the future."""
+    h, e = F.col("horse_id"), entrants(spark, sf_dir).select("horse_id", "dn", "label_win")
+    d = e.groupBy("horse_id", "dn").agg(count_rows().alias("n"), F.sum("label_win").alias("w"))
+    own = Window.partitionBy("horse_id")
+    stored = d.select(
+        "horse_id", F.when(h % 13 == 4, F.col("dn") + 20000).otherwise(F.col("dn")).alias("dn"), (F.col("n") + (h % 11 == 3).cast("int")).alias("n"), F.when(h % 17 != 5, F.col("w")).alias("w"),
+        F.row_number().over(own.orderBy(F.when(h % 19 == 6, -F.col("dn")).otherwise(F.col("dn")))).alias("seq"),
+    )
+    o = stored.withColumn("back", F.col("dn") <= F.lag("dn").over(own.orderBy("seq")))
+    k = o.groupBy("horse_id").agg(F.sum("n").alias("sn"), F.sum("w").alias("sw"), F.count_if(F.col("w").isNull()).alias("missing"), F.max("dn").alias("last"), F.count_if(F.coalesce("back", F.lit(False))).alias("back"))
+    t = e.groupBy("horse_id").agg(count_rows().alias("n"), F.sum("label_win").alias("w"))
+    wrong = ~(F.col("sn").eqNullSafe(F.col("n")) & F.col("sw").eqNullSafe(F.col("w")))
+    return k.join(t, "horse_id", "full_outer").agg(count_rows().alias("keys"), F.count_if(wrong).alias("wrong_totals"), F.count_if(F.col("missing") > 0).alias("not_finite"), F.count_if(F.col("back") > 0).alias("unordered"), F.count_if(F.col("last") > F.unix_date(F.lit("2002-01-01").cast("date"))).alias("future_days"))
 
 
 CHAIN = """s AS (SELECT user_id, event_id, ts, row_number() OVER w AS seq, sha256(user_id || '|' || event_id || '|' || event_type) AS sha FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..operators import history, metrics, rankprob
 from ..registry import query
 from ..sources.bindings import CONTESTS, ENTRANTS, contests, entrants
+from ..sources.readers import stored
 
 R = F.round
 
@@ -36,7 +37,7 @@ def base_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rates with rank-model probabilities for one, two and three places."""
     p = base_rates(spark, sf_dir)
-    return p.join(rankprob.marginals(p), ["race_id", "horse_id"])
+    return rankprob.marginals(p, keep=[c for c in p.columns if c not in ("race_id", "horse_id")])
 
 
 @query(f"""WITH {ENTRANTS}, {P1}
@@ -108,46 +109,67 @@ def m02_agent_blend(spark, sf_dir):
     return p.select("race_id", "horse_id", R(one, 9).alias("first_agent"), R(two, 9).alias("second_agent"), R((one + two) / 2, 9).alias("both"))
 
 
-GRID = [(s, w, c) for s in (12, 24) for w in (200, 400, 800) for c in (0.25, 0.5)]
+#: Condition candidates: context, prior strength, cap.
+CONTEXTS = {"class200": ["band200", "race_class"], "class400": ["band400", "race_class"], "class800": ["band800", "race_class"], "venue_class": ["venue", "race_class"], "track_distance": ["track", "band400"]}
+CONTEXT_SQL = {"class200": "distance // 200, race_class", "class400": "distance // 400, race_class", "class800": "distance // 800, race_class", "venue_class": "venue, race_class", "track_distance": "track, distance // 400"}
+GRID = [(f"class{w}", s, c) for s in (12, 24) for w in (200, 400, 800) for c in (0.25, 0.5)] + [(k, 12, c) for k in ("venue_class", "track_distance") for c in (0.25, 0.5)]
 
 
-@query(f"""WITH {ENTRANTS}, {P1}, g AS (SELECT * FROM (VALUES {", ".join(f"({s}, {w}, CAST({c} AS DOUBLE))" for s, w, c in GRID)}) AS t(s, width, cap)),
-k AS (SELECT race_id, horse_id, width, count(*) OVER w AS c_n, coalesce(sum(label_win) OVER w, 0) AS c_wins FROM e, (SELECT DISTINCT width FROM g)
- WINDOW w AS (PARTITION BY horse_id, width, distance // width, race_class ORDER BY dn RANGE BETWEEN 1095 PRECEDING AND 1 PRECEDING)),
-z AS (SELECT p.race_id, p.horse_id, label_win, s, g.width, cap, base * (1 - least(cap, c_n / (c_n + 5.0))) + least(cap, c_n / (c_n + 5.0)) * (c_wins + s / 12.0) / (c_n + s) AS v FROM p JOIN k USING (race_id, horse_id) JOIN g USING (width)),
-q AS (SELECT *, v / sum(v) OVER (PARTITION BY race_id, s, width, cap) AS q FROM z),
-l AS (SELECT s, width, cap, count(*) AS rows, round(avg({LOSS.format(p="q", y="label_win")}), 6) AS logloss FROM q GROUP BY ALL)
+def in_contexts(spark: SparkSession, sf_dir: str, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """race_id, label_win, base rate and <context>_n, <context>_wins of each context, from narrow rows."""
+    e = entrants(spark, sf_dir).withColumns({f"band{w}": F.floor(F.col("distance") / w) for w in (200, 400, 800)})
+    sets = {"h_": [], **{f"{k}_": CONTEXTS[k] for k in names}}
+    needed = sorted({c for extra in sets.values() for c in extra} | {"race_id", "horse_id", "label_win", "dn", *keep})
+    c = history.contexts(e.select(*needed), "horse_id", sets, {"wins": F.col("label_win")})
+    return c.withColumn("base", history.smoothed(F.col("h_wins"), F.col("h_n")))
+
+
+@query(f"""WITH {ENTRANTS}, {P1}, g AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {s}, CAST({c} AS DOUBLE))" for k, s, c in GRID)}) AS t(context, s, cap)),
+k AS ({" UNION ALL ".join(f"SELECT race_id, horse_id, '{k}' AS context, count(*) OVER w AS c_n, coalesce(sum(label_win) OVER w, 0) AS c_wins FROM e WINDOW w AS (PARTITION BY horse_id, {x} ORDER BY dn RANGE BETWEEN 1095 PRECEDING AND 1 PRECEDING)" for k, x in CONTEXT_SQL.items())}),
+z AS (SELECT p.race_id, p.horse_id, label_win, context, s, cap, base * (1 - least(cap, c_n / (c_n + 5.0))) + least(cap, c_n / (c_n + 5.0)) * (c_wins + s / 12.0) / (c_n + s) AS v FROM p JOIN k USING (race_id, horse_id) JOIN g USING (context)),
+q AS (SELECT *, v / sum(v) OVER (PARTITION BY race_id, context, s, cap) AS q FROM z),
+l AS (SELECT context, s, cap, count(*) AS rows, round(avg({LOSS.format(p="q", y="label_win")}), 6) AS logloss FROM q GROUP BY ALL)
 SELECT *, CAST(rank() OVER (ORDER BY logloss) AS INTEGER) AS place FROM l""")
 def m03_candidate_grid(spark, sf_dir):
-    """Twelve class-context candidates at once: one window per distance width, caps and strengths as columns."""
-    p = base_rates(spark, sf_dir)
-    for width in (200, 400, 800):
-        p = p.withColumn("band", F.floor(F.col("distance") / width))
-        p = history.history(p, ["horse_id", "band", "race_class"], {"wins": F.col("label_win")}, prefix=f"c{width}_").drop("band")
-    values = [history.context_blend(F.col("base"), F.col(f"c{w}_wins"), F.col(f"c{w}_n"), float(s), c) for s, w, c in GRID]
+    """Sixteen condition candidates at once: one pass for all contexts, caps and strengths as columns."""
+    p = in_contexts(spark, sf_dir, list(CONTEXTS))
+    values = [history.context_blend(F.col("base"), F.col(f"{k}_wins"), F.col(f"{k}_n"), float(s), c) for k, s, c in GRID]
     race = Window.partitionBy("race_id")
     p = p.select("race_id", "label_win", *[v.alias(f"v{i}") for i, v in enumerate(values)])
     p = p.select("race_id", "label_win", *[(F.col(f"v{i}") / F.sum(f"v{i}").over(race)).alias(f"q{i}") for i in range(len(GRID))])
     losses = p.agg(F.count(F.lit(1)).alias("rows"), *[F.avg(metrics.log_loss(F.col(f"q{i}"), F.col("label_win"))).alias(f"l{i}") for i in range(len(GRID))])
-    long = losses.select("rows", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(w).alias("width"), F.lit(c).alias("cap"), R(F.col(f"l{i}"), 6).alias("logloss")) for i, (s, w, c) in enumerate(GRID)])).alias("x"))
+    long = losses.select("rows", F.explode(F.array(*[F.struct(F.lit(k).alias("context"), F.lit(s).alias("s"), F.lit(c).alias("cap"), R(F.col(f"l{i}"), 6).alias("logloss")) for i, (k, s, c) in enumerate(GRID)])).alias("x"))
     return long.select("x.*", "rows").withColumn("place", F.rank().over(Window.orderBy("logloss")))
 
 
+AGENTS = [("control", "none", 0.0)] + [(f"{who}{int(100 * c)}", who, c) for who in ("first", "second", "both") for c in (0.10, 0.25)]
+BLEND = "v0 * (1 - cap * {n} / ({n} + 100.0)) + cap * {n} / ({n} + 100.0) * ({w} + 10) / ({n} + 120.0)"
+
+
 @query(f"""WITH {ENTRANTS}, {P1}, {AGENT.format(key="agent_id")},
-g AS (SELECT * FROM (VALUES ('control', 0.0::DOUBLE), ('agent10', 0.10::DOUBLE), ('agent25', 0.25::DOUBLE)) AS t(config, cap)),
-z AS (SELECT p.*, config, base * (1 - cap * a_n / (a_n + 100.0)) + cap * a_n / (a_n + 100.0) * (a_wins + 10) / (a_n + 120.0) AS v FROM p JOIN a USING (race_id, horse_id), g),
-q AS (SELECT *, v / sum(v) OVER (PARTITION BY race_id, config) AS q FROM z)
-SELECT config, count(*) AS rows, round(avg({LOSS.format(p="q", y="label_win")}), 6) AS logloss, round(avg({LOSS.format(p="q", y="label_win")} - ({LOSS.format(p="p", y="label_win")})), 6) + 0.0 AS delta FROM q GROUP BY config""")
+a2 AS (SELECT race_id, horse_id, count(*) OVER w AS t_n, coalesce(sum(label_win) OVER w, 0) AS t_wins FROM e WINDOW w AS (PARTITION BY venue, race_class ORDER BY dn RANGE BETWEEN 1095 PRECEDING AND 1 PRECEDING)),
+k AS (SELECT race_id, horse_id, count(*) OVER w AS c_n, coalesce(sum(label_win) OVER w, 0) AS c_wins FROM e WINDOW w AS (PARTITION BY horse_id, {CONTEXT_SQL["class800"]} ORDER BY dn RANGE BETWEEN 1095 PRECEDING AND 1 PRECEDING)),
+g AS (SELECT * FROM (VALUES {", ".join(f"('{n}', '{w}', CAST({c} AS DOUBLE))" for n, w, c in AGENTS)}) AS t(config, who, cap)),
+y AS (SELECT p.race_id, p.horse_id, label_win, base * (1 - least(0.5, c_n / (c_n + 5.0))) + least(0.5, c_n / (c_n + 5.0)) * (c_wins + 2.0) / (c_n + 24.0) AS v0, a_n, a_wins, t_n, t_wins FROM p JOIN k USING (race_id, horse_id) JOIN a USING (race_id, horse_id) JOIN a2 USING (race_id, horse_id)),
+z AS (SELECT y.*, config, CASE who WHEN 'none' THEN v0 WHEN 'first' THEN {BLEND.format(n="a_n", w="a_wins")} WHEN 'second' THEN {BLEND.format(n="t_n", w="t_wins")} ELSE ({BLEND.format(n="a_n", w="a_wins")} + {BLEND.format(n="t_n", w="t_wins")}) / 2 END AS v FROM y, g),
+q AS (SELECT *, v / sum(v) OVER (PARTITION BY race_id, config) AS q, v0 / sum(v0) OVER (PARTITION BY race_id, config) AS p0 FROM z)
+SELECT config, count(*) AS rows, round(avg({LOSS.format(p="q", y="label_win")}), 6) AS logloss, round(avg({LOSS.format(p="q", y="label_win")} - ({LOSS.format(p="p0", y="label_win")})), 6) + 0.0 AS delta FROM q GROUP BY config""")
 def m04_agent_grid(spark, sf_dir):
-    """Agent blends at several caps; the control has no delta."""
-    p = history.history(base_rates(spark, sf_dir), ["agent_id"], {"wins": F.col("label_win")}, prefix="a_")
-    configs = [("control", 0.0), ("agent10", 0.10), ("agent25", 0.25)]
-    blends = F.explode(F.array(*[F.struct(F.lit(n).alias("config"), history.agent_blend(F.col("base"), F.col("a_wins"), F.col("a_n"), c).alias("v")) for n, c in configs]))
-    q = p.select("race_id", "label_win", "p", blends.alias("x")).select("race_id", "label_win", "p", "x.*")
-    q = q.withColumn("q", history.share(F.col("v"), "race_id", "config"))
-    y = F.col("label_win")
-    new, old = metrics.log_loss(F.col("q"), y), metrics.log_loss(F.col("p"), y)
-    return q.groupBy("config").agg(F.count(F.lit(1)).alias("rows"), R(F.avg(new), 6).alias("logloss"), (R(F.avg(new - old), 6) + 0.0).alias("delta"))
+    """Seven agent configurations on the class context (strength 24, width 800, cap .5); the control has no delta."""
+    p = in_contexts(spark, sf_dir, ["class800"], keep=("agent_id", "venue"))
+    p = p.select("race_id", "label_win", "dn", "agent_id", "venue", "race_class", history.context_blend(F.col("base"), F.col("class800_wins"), F.col("class800_n"), 24.0, 0.5).alias("v0"))
+    p = history.history(p, ["agent_id"], {"wins": F.col("label_win")}, prefix="a_")
+    p = history.history(p, ["venue", "race_class"], {"wins": F.col("label_win")}, prefix="t_")
+    first = lambda c: history.agent_blend(F.col("v0"), F.col("a_wins"), F.col("a_n"), c)
+    second = lambda c: history.agent_blend(F.col("v0"), F.col("t_wins"), F.col("t_n"), c)
+    blend = {"none": lambda c: F.col("v0"), "first": first, "second": second, "both": lambda c: (first(c) + second(c)) / 2}
+    race, y = Window.partitionBy("race_id"), F.col("label_win")
+    p = p.select("race_id", "label_win", *[blend[who](c).alias(name) for name, who, c in AGENTS])
+    p = p.select("label_win", *[(F.col(name) / F.sum(name).over(race)).alias(name) for name, _, _ in AGENTS])
+    loss = lambda name: metrics.log_loss(F.col(name), y)
+    one = p.agg(F.count(F.lit(1)).alias("rows"), *[F.struct(F.avg(loss(name)).alias("l"), F.avg(loss(name) - loss("control")).alias("d")).alias(name) for name, _, _ in AGENTS])
+    long = F.explode(F.array(*[F.struct(F.lit(name).alias("config"), R(F.col(f"{name}.l"), 6).alias("logloss"), (R(F.col(f"{name}.d"), 6) + 0.0).alias("delta")) for name, _, _ in AGENTS]))
+    return one.select("rows", long.alias("x")).select("x.*", "rows")
 
 
 @query(f"WITH {ENTRANTS}, {P1}, {PL} SELECT race_id, horse_id, round(p_win, 6) AS p_win, round(p_top2, 6) AS p_top2, round(p_top3, 6) AS p_top3 FROM m")
@@ -155,16 +177,23 @@ def m08_rank_marginals(spark, sf_dir):
     return rankprob.marginals(base_rates(spark, sf_dir)).select("race_id", "horse_id", *[R(c, 6).alias(c) for c in ("p_win", "p_top2", "p_top3")])
 
 
-@query(f"""WITH {ENTRANTS}, {P1}, {PL} SELECT count(DISTINCT race_id) AS races, CAST(0 AS BIGINT) AS bad_mass FROM m
-HAVING max(p_win) <= 1""")
+@query(f"""WITH {ENTRANTS}, {P1}, {PL}, dm AS (SELECT race_id, p_win, CASE WHEN race_id % 89 = 3 THEN p_top2 * 0.5 ELSE p_top2 END AS p_top2, CASE WHEN race_id % 83 = 4 THEN NULL WHEN race_id % 79 = 5 THEN 1.5 ELSE p_top3 END AS p_top3 FROM m),
+k AS (SELECT race_id, count(*) AS n, sum(p_win) AS w, sum(p_top2) AS t2, sum(p_top3) AS t3, count(*) FILTER (p_top3 IS NULL OR p_top2 IS NULL OR p_win IS NULL) AS missing, count(*) FILTER (p_win < -1e-9 OR p_win > 1 + 1e-9 OR p_top2 < -1e-9 OR p_top2 > 1 + 1e-9 OR p_top3 < -1e-9 OR p_top3 > 1 + 1e-9) AS outside, count(*) FILTER (p_top2 < p_win - 1e-9 OR p_top3 < p_top2 - 1e-9) AS falling FROM dm GROUP BY 1)
+SELECT count(*) AS races, count(*) FILTER (missing > 0) AS not_finite, count(*) FILTER (outside > 0) AS outside, count(*) FILTER (falling > 0) AS falling, count(*) FILTER (abs(w - 1) > 1e-9 OR abs(t2 - least(2, n)) > 1e-9 OR abs(t3 - least(3, n)) > 1e-9) AS bad_mass FROM k""")
 def p30_probability_mass(spark, sf_dir):
-    """Contests, and those whose probability masses aren't 1, min(2, n), min(3, n)."""
-    m = scored(spark, sf_dir)
-    per = m.groupBy("race_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("p_win", "p_top2", "p_top3")])
-    bad = F.lit(False)
-    for k, c in enumerate(("p_win", "p_top2", "p_top3"), 1):
-        bad = bad | (F.abs(F.col(c) - F.least(F.lit(k), F.col("n"))) > 1e-9)
-    return per.agg(F.count(F.lit(1)).alias("races"), F.count_if(bad).alias("bad_mass"))
+    """Contests with values that aren't finite, outside 0 to 1, falling over the targets, or of another mass than min(k, n), after some were damaged."""
+    r = F.col("race_id")
+    m = scored(spark, sf_dir).withColumn("p_top2", F.when(r % 89 == 3, F.col("p_top2") * 0.5).otherwise(F.col("p_top2")))
+    m = m.withColumn("p_top3", F.when(r % 83 == 4, None).when(r % 79 == 5, 1.5).otherwise(F.col("p_top3")))
+    names, far = ("p_win", "p_top2", "p_top3"), 1e-9
+    out, missing, bad = F.lit(False), F.lit(False), F.lit(False)
+    for k, c in enumerate(names, 1):
+        out = out | (F.col(c) < -far) | (F.col(c) > 1 + far)
+        missing = missing | F.col(c).isNull() | F.isnan(c)
+        bad = bad | (F.abs(F.col(f"s_{c}") - F.least(F.lit(k), F.col("n"))) > far)
+    falling = (F.col("p_top2") < F.col("p_win") - far) | (F.col("p_top3") < F.col("p_top2") - far)
+    per = m.groupBy("race_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in names], F.bool_or(missing).alias("missing"), F.bool_or(out).alias("outside"), F.bool_or(falling).alias("falling"))
+    return per.agg(F.count(F.lit(1)).alias("races"), F.count_if("missing").alias("not_finite"), F.count_if("outside").alias("outside"), F.count_if("falling").alias("falling"), F.count_if(bad).alias("bad_mass"))
 
 
 @query(f"WITH {ENTRANTS}, {P1}, t AS (SELECT race_id, horse_id, pow(p, 2.3) AS x FROM p) SELECT race_id, horse_id, round(x / sum(x) OVER (PARTITION BY race_id), 6) AS p FROM t")
@@ -173,42 +202,63 @@ def m09_temperature(spark, sf_dir):
     return p.select("race_id", "horse_id", R(rankprob.tempered(F.col("p"), 2.3, "race_id"), 6).alias("p"))
 
 
-ALPHAS = [round(0.5 + 0.1 * i, 1) for i in range(26)]
+THREE = f"""t AS (SELECT race_id, horse_id, k, CASE k WHEN 1 THEN p_win WHEN 2 THEN p_top2 ELSE p_top3 END AS q, CAST(finish <= k AS INTEGER) AS y FROM m, (VALUES (1), (2), (3)) AS g(k)),
+a5 AS (SELECT race_id, k, count(*) AS rows, sum(y) AS positives, sum({LOSS.format(p="q", y="y")}) AS logloss, sum({BRIER.format(p="q", y="y")}) AS brier, arg_min(y, (-round(q, 12), horse_id)) AS hit FROM t GROUP BY 1, 2)"""
 
 
-@query(f"""WITH {ENTRANTS}, {P1}, g AS (SELECT CAST(0.5 + 0.1 * i AS DOUBLE) AS alpha FROM range(26) t(i)),
-t AS (SELECT race_id, label_win, round(alpha, 1) AS alpha, pow(p, round(alpha, 1)) AS x FROM p, g WHERE year(day) = 1995),
-q AS (SELECT *, x / sum(x) OVER (PARTITION BY race_id, alpha) AS q FROM t),
-l AS (SELECT alpha, avg({LOSS.format(p="q", y="label_win")}) AS l FROM q GROUP BY alpha)
-SELECT alpha, round(l, 6) AS logloss FROM l ORDER BY round(l, 12), abs(alpha - 1), alpha LIMIT 1""")
-def m10_fit_temperature(spark, sf_dir):
-    """Exponent with the least loss in the fit year; ties: nearest to one, then the smaller."""
-    p = base_rates(spark, sf_dir).where(F.year("day") == 1995).select("race_id", "label_win", "p", F.explode(F.array(*[F.lit(a) for a in ALPHAS])).alias("alpha"))
-    q = p.withColumn("q", rankprob.tempered(F.col("p"), F.col("alpha"), "race_id", "alpha"))
-    l = q.groupBy("alpha").agg(F.avg(metrics.log_loss(F.col("q"), F.col("label_win"))).alias("l"))
-    return l.agg(F.min_by(F.struct("alpha", "l"), F.struct(R("l", 12), F.abs(F.col("alpha") - 1), F.col("alpha"))).alias("x")).select("x.alpha", R("x.l", 6).alias("logloss"))
+ALPHAS = [round(0.5 + 0.1 * i, 1) for i in range(26)]
+P0 = P1.replace("p AS (SELECT *", "p0 AS (SELECT *")
 
 
-M11 = f"""t AS (SELECT *, pow(p, 1.3) / sum(pow(p, 1.3)) OVER (PARTITION BY race_id) AS q FROM p),
-u AS (SELECT 'before' AS stage, race_id, horse_id, label_win, p AS v FROM t UNION ALL SELECT 'after', race_id, horse_id, label_win, q FROM t),
-bins AS (SELECT stage, b, least(b - 1, CAST(floor(v * b) AS INTEGER)) AS bin, count(*) AS n, avg(v) AS mv, avg(label_win) AS mr FROM u, (VALUES (10), (20)) AS g(b) GROUP BY ALL),
-ece AS (SELECT stage, sum(n * abs(mv - mr)) FILTER (b = 10) / sum(n) FILTER (b = 10) AS ece10, sum(n * abs(mv - mr)) FILTER (b = 20) / sum(n) FILTER (b = 20) AS ece20 FROM bins GROUP BY stage),
-tops AS (SELECT stage, avg(hit) AS hit_rate FROM (SELECT stage, race_id, arg_min(label_win, (-round(v, 12), horse_id)) AS hit FROM u GROUP BY 1, 2) GROUP BY stage)"""
+def three_losses(p: DataFrame) -> DataFrame:
+    """Rows of three_targets of (race_id, horse_id, finish, p) after the rank model."""
+    m = rankprob.marginals(p, keep=["finish"]).withColumns({c: F.round(c, 12) for c in ("p_win", "p_top2", "p_top3")})
+    return metrics.three_targets(m, "race_id", "horse_id", "finish", ["p_win", "p_top2", "p_top3"])
 
 
-@query(f"""WITH {ENTRANTS}, {P1}, {M11}
-SELECT stage, round(avg({LOSS.format(p="v", y="label_win")}), 6) AS logloss, round(avg({BRIER.format(p="v", y="label_win")}), 6) AS brier, round(any_value(ece10), 6) AS ece10, round(any_value(ece20), 6) AS ece20, round(any_value(hit_rate), 6) AS hit_rate
-FROM u JOIN ece USING (stage) JOIN tops USING (stage) GROUP BY stage""")
+@query(f"""WITH {ENTRANTS}, {P0}, g AS (SELECT i, round(CAST(0.5 + 0.1 * i AS DOUBLE), 1) AS alpha FROM range(26) t(i)),
+x0 AS (SELECT race_id * 100 + i AS race_id, horse_id, finish, pow(p, alpha) AS x FROM p0, g WHERE year(day) = 1995),
+p AS (SELECT race_id, horse_id, finish, x / sum(x) OVER (PARTITION BY race_id) AS p FROM x0), {PL}, {THREE},
+l AS (SELECT race_id % 100 AS i, k, sum(logloss) / sum(rows) AS l FROM a5 WHERE positives = least(k, rows) GROUP BY 1, 2), o AS (SELECT i, avg(l) AS l FROM l GROUP BY 1)
+SELECT alpha, round(l, 6) AS logloss FROM o JOIN g USING (i) ORDER BY round(l, 10), abs(alpha - 1), alpha LIMIT 1""")
+def m10_fit_temperature(spark, sf_dir):
+    """Exponent with the least mean of three losses in the fit year; ties: nearest to one, then the smaller."""
+    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("alpha")) for i, a in enumerate(ALPHAS)]))
+    p = base_rates(spark, sf_dir).where(F.year("day") == 1995).select("race_id", "horse_id", "finish", "p", grid.alias("g"))
+    p = p.select((F.col("race_id") * 100 + F.col("g.i")).alias("race_id"), "horse_id", "finish", "p", "g.alpha")
+    t = three_losses(p.withColumn("p", rankprob.tempered(F.col("p"), F.col("alpha"), "race_id")).drop("alpha"))
+    l = t.groupBy((F.col("race_id") % 100).alias("i"), "k").agg((F.sum("logloss") / F.sum("rows")).alias("l")).groupBy("i").agg(F.avg("l").alias("l"))
+    l = l.withColumn("alpha", F.get(F.array(*[F.lit(a) for a in ALPHAS]), F.col("i").cast("int")))
+    return l.agg(F.min_by(F.struct("alpha", "l"), F.struct(R("l", 10), F.abs(F.col("alpha") - 1), F.col("alpha"))).alias("x")).select("x.alpha", R("x.l", 6).alias("logloss"))
+
+
+@query(f"""WITH {ENTRANTS}, {P0}, p AS (SELECT race_id * 2 AS race_id, horse_id, finish, p FROM p0 UNION ALL SELECT race_id * 2 + 1, horse_id, finish, pow(p, 1.3) / sum(pow(p, 1.3)) OVER (PARTITION BY race_id) FROM p0), {PL}, {THREE},
+v AS (SELECT t.race_id % 2 AS stage, t.k, round(q, 12) AS q, y FROM t JOIN a5 USING (race_id, k) WHERE positives = least(k, rows)),
+bins AS (SELECT stage, k, b, greatest(0, least(b - 1, CAST(floor(q * b) AS INTEGER))) AS bin, count(*) AS n, avg(q) AS mv, avg(y) AS mr FROM v, (VALUES (10), (20)) AS g(b) GROUP BY ALL),
+ece AS (SELECT stage, k, sum(n * abs(mv - mr)) FILTER (b = 10) / sum(n) FILTER (b = 10) AS ece10, sum(n * abs(mv - mr)) FILTER (b = 20) / sum(n) FILTER (b = 20) AS ece20 FROM bins GROUP BY 1, 2),
+al AS (SELECT race_id % 2 AS stage, k, sum(logloss) / sum(rows) AS logloss, sum(brier) / sum(rows) AS brier, avg(hit) AS hit_rate FROM a5 WHERE positives = least(k, rows) GROUP BY 1, 2), ae AS (SELECT * FROM al JOIN ece USING (stage, k)),
+gt AS (SELECT bool_and(a.logloss < b.logloss AND a.brier < b.brier AND a.ece10 <= b.ece10 AND a.ece20 <= b.ece20) AS passed FROM ae a JOIN ae b ON a.k = b.k AND a.stage = 1 AND b.stage = 0)
+SELECT CASE stage WHEN 0 THEN 'before' ELSE 'after' END AS stage, k, round(logloss, 6) AS logloss, round(brier, 6) AS brier, round(ece10, 6) AS ece10, round(ece20, 6) AS ece20, round(hit_rate, 6) AS hit_rate, passed FROM ae, gt""")
 def m11_calibration_comparison(spark, sf_dir):
-    """Losses, ECE and hit rate before and after tempering; the hit rate can't change."""
-    p = base_rates(spark, sf_dir).withColumn("q", rankprob.tempered(F.col("p"), 1.3, "race_id"))
-    u = p.select("race_id", "horse_id", "label_win", F.explode(F.array(F.struct(F.lit("before").alias("stage"), F.col("p").alias("v")), F.struct(F.lit("after").alias("stage"), F.col("q").alias("v")))).alias("x")).select("race_id", "horse_id", "label_win", "x.*")
-    y = F.col("label_win")
-    losses = u.groupBy("stage").agg(R(F.avg(metrics.log_loss(F.col("v"), y)), 6).alias("logloss"), R(F.avg(metrics.brier(F.col("v"), y)), 6).alias("brier"))
+    """Three targets before and after tempering: losses, ECE, hit rate (which can't change), and the gate: all six means better, no ECE worse."""
+    p = base_rates(spark, sf_dir).select("race_id", "horse_id", "finish", "p")
+    after = p.withColumn("p", rankprob.tempered(F.col("p"), 1.3, "race_id"))
+    both = p.withColumn("race_id", F.col("race_id") * 2).union(after.withColumn("race_id", F.col("race_id") * 2 + 1))
+    m = stored(rankprob.marginals(both, keep=["finish"]).withColumns({c: F.round(c, 12) for c in ("p_win", "p_top2", "p_top3")}), "tempered")
+    per = metrics.three_targets(m, "race_id", "horse_id", "finish", ["p_win", "p_top2", "p_top3"])
+    stage = (F.col("race_id") % 2).alias("stage")
+    al = per.groupBy(stage, "k").agg((F.sum("logloss") / F.sum("rows")).alias("logloss"), (F.sum("brier") / F.sum("rows")).alias("brier"), F.avg("hit").alias("hit_rate"))
+    targets = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("q"), (F.col("finish") <= k).cast("int").alias("y")) for k, c in enumerate(("p_win", "p_top2", "p_top3"), 1)]))
+    v = m.select("race_id", targets.alias("t")).select("race_id", "t.*").join(per.select("race_id", "k"), ["race_id", "k"], "left_semi").select(stage, "k", "q", "y")
     for b in (10, 20):
-        losses = losses.join(metrics.ece(metrics.calibration(u, "v", "label_win", b, ["stage"]), ["stage"]).select("stage", R("ece", 6).alias(f"ece{b}")), "stage")
-    tops = u.groupBy("stage", "race_id").agg(F.min_by("label_win", F.struct(-F.round("v", 12), F.col("horse_id"))).alias("hit"))
-    return losses.join(tops.groupBy("stage").agg(R(F.avg("hit"), 6).alias("hit_rate")), "stage")
+        cells = v.groupBy("stage", "k", F.greatest(F.lit(0), F.least(F.lit(b - 1), F.floor(F.col("q") * b).cast("int"))).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("q").alias("mv"), F.avg("y").alias("mr"))
+        al = al.join(cells.groupBy("stage", "k").agg((F.sum(F.col("n") * F.abs(F.col("mv") - F.col("mr"))) / F.sum("n")).alias(f"ece{b}")), ["stage", "k"])
+    names = ("logloss", "brier", "ece10", "ece20")
+    other = lambda c, s: F.max(F.when(F.col("stage") == s, F.col(c))).over(Window.partitionBy("k"))
+    better = lambda c: other(c, 1) < other(c, 0) if c in ("logloss", "brier") else other(c, 1) <= other(c, 0)
+    al = al.withColumn("good", better("logloss") & better("brier") & better("ece10") & better("ece20"))  # six rows
+    al = al.withColumn("passed", F.min("good").over(Window.partitionBy()))
+    return al.select(F.when(F.col("stage") == 0, "before").otherwise("after").alias("stage"), "k", *[R(c, 6).alias(c) for c in (*names, "hit_rate")], "passed")
 
 
 @query(f"""WITH {ENTRANTS}, {P1} SELECT race_id, count(*) AS rows, round(sum({LOSS.format(p="p", y="label_win")}), 6) AS logloss, round(sum({BRIER.format(p="p", y="label_win")}), 6) AS brier FROM p GROUP BY race_id""")
@@ -255,10 +305,6 @@ def a04_daily_deltas(spark, sf_dir):
     return daily_deltas(spark, sf_dir).select(F.col("day").cast("string").alias("day"), "rows", "races", R("delta", 6).alias("delta"))
 
 
-THREE = f"""t AS (SELECT race_id, horse_id, k, CASE k WHEN 1 THEN p_win WHEN 2 THEN p_top2 ELSE p_top3 END AS q, CAST(finish <= k AS INTEGER) AS y FROM m, (VALUES (1), (2), (3)) AS g(k)),
-a5 AS (SELECT race_id, k, count(*) AS rows, sum(y) AS positives, sum({LOSS.format(p="q", y="y")}) AS logloss, sum({BRIER.format(p="q", y="y")}) AS brier, arg_min(y, (-round(q, 12), horse_id)) AS hit FROM t GROUP BY 1, 2)"""
-
-
 @query(f"""WITH {ENTRANTS}, {P1}, {PL}, {THREE}
 SELECT k, CAST(sum(rows) AS BIGINT) AS rows, count(*) AS races, round(sum(logloss) / sum(rows), 6) AS logloss, round(sum(brier) / sum(rows), 6) AS brier, round(avg(hit), 6) AS hit_rate
 FROM a5 WHERE positives = least(k, rows) GROUP BY k""")
@@ -332,11 +378,14 @@ def a14_top_pick_swaps(spark, sf_dir):
 
 
 @query(f"""WITH {ENTRANTS}, {P1}, {AGENT.format(key="agent_id")}, {SWAPS}, t AS (SELECT sum(delta) AS t FROM k)
-SELECT old_id <> new_id AS swapped, count(*) AS races, CAST(sum(n) AS BIGINT) AS rows, round(sum(delta), 6) AS delta, round(sum(delta) / any_value(t), 4) AS share FROM k, t GROUP BY 1""")
+SELECT old_id <> new_id AS swapped, count(*) AS races, CAST(sum(n) AS BIGINT) AS rows, round(sum(delta), 6) AS delta, round(sum(delta) / any_value(t), 4) AS share, abs(sum(sum(delta)) OVER () - any_value(t)) < 1e-6 AS adds_back FROM k, t GROUP BY 1""")
 def a15_error_contribution(spark, sf_dir):
-    s = swaps(spark, sf_dir).groupBy((F.col("old_id") != F.col("new_id")).alias("swapped")).agg(F.count(F.lit(1)).alias("races"), F.sum("n").alias("rows"), F.sum("delta").alias("d"))
-    whole = F.sum("d").over(Window.partitionBy())
-    return s.select("swapped", "races", "rows", R("d", 6).alias("delta"), R(F.col("d") / whole, 4).alias("share"))
+    """Share of the loss change in contests with the same and with another top pick; the two must add back to the whole."""
+    k = swaps(spark, sf_dir)
+    s = k.groupBy((F.col("old_id") != F.col("new_id")).alias("swapped")).agg(F.count(F.lit(1)).alias("races"), F.sum("n").alias("rows"), F.sum("delta").alias("d"))
+    t = k.agg(F.sum("delta").alias("t"))
+    parts = F.sum("d").over(Window.partitionBy())  # two rows
+    return s.crossJoin(F.broadcast(t)).select("swapped", "races", "rows", R("d", 6).alias("delta"), R(F.col("d") / F.col("t"), 4).alias("share"), (F.abs(parts - F.col("t")) < 1e-6).alias("adds_back"))
 
 
 @query(f"""WITH {ENTRANTS}, {P1}, z AS (SELECT round(p, 9) AS s, label_win AS y FROM p), rk AS (SELECT *, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM z)
@@ -397,16 +446,25 @@ def m36_future_scores(spark, sf_dir):
     return z.select("race_id", "horse_id", R(history.share(F.col("base"), "race_id"), 6).alias("p"))
 
 
-@query(f"""WITH {ENTRANTS} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM e WHERE day < DATE '1997-01-01'""")
+@query(f"""WITH {ENTRANTS}, early AS (SELECT race_id, horse_id, dn, label_win, year(day) AS y FROM e WHERE day < DATE '1998-01-01'),
+st AS (SELECT race_id, horse_id, count(*) OVER w AS n, CAST(coalesce(sum(CASE WHEN race_id % 101 = 7 THEN 1 - label_win ELSE label_win END) OVER w, 0) AS BIGINT) AS wins FROM early WINDOW w AS (PARTITION BY horse_id ORDER BY dn RANGE BETWEEN 1095 PRECEDING AND 1 PRECEDING)),
+{H1}, x AS (SELECT early.y, h.h_n = st.n AND h.h_wins = st.wins AS same FROM early JOIN h USING (race_id, horse_id) JOIN st USING (race_id, horse_id))
+SELECT CAST(y AS INTEGER) AS year, count(*) AS rows, CAST(0 AS BIGINT) AS changed_by_later_years, count(*) FILTER (NOT same) AS revised FROM x GROUP BY 1""")
 def m37_replay(spark, sf_dir):
-    """Strengths replayed without the later years, against those computed with them: none may change."""
-    e = entrants(spark, sf_dir)
-    keep = ["race_id", "horse_id", "h_n", "h_wins"]
+    """Strengths replayed with the later years against those stored without them, and against stored ones with other results of some contests.
+
+    Later years may change nothing (the SQL says so); a revised result must show in the days behind it.
+    """
+    e = entrants(spark, sf_dir).select("race_id", "horse_id", "dn", "day", "label_win")
     wins = {"wins": F.col("label_win")}
-    early = F.col("day") < F.lit("1997-01-01").cast("date")
-    whole = history.history(e, ["horse_id"], wins).where(early).select(*keep)
-    again = history.history(e.where(early), ["horse_id"], wins).select(*keep)
-    return whole.agg(F.count(F.lit(1)).alias("rows")).join(whole.exceptAll(again).agg(F.count(F.lit(1)).alias("changed")))
+    early = e.where(F.col("day") < F.lit("1998-01-01").cast("date"))
+    keep = lambda df, n, w: df.select("race_id", "horse_id", F.col("h_n").alias(n), F.col("h_wins").alias(w))
+    stored = keep(history.history(early, ["horse_id"], wins), "n1", "w1")
+    other = keep(history.history(early, ["horse_id"], {"wins": F.when(F.col("race_id") % 101 == 7, 1 - F.col("label_win")).otherwise(F.col("label_win"))}), "n2", "w2")
+    again = history.history(e, ["horse_id"], wins).where(F.col("day") < F.lit("1998-01-01").cast("date"))
+    x = again.join(stored, ["race_id", "horse_id"], "full").join(other, ["race_id", "horse_id"], "left")
+    differs = lambda n, w: F.count_if(~(F.col("h_n").eqNullSafe(F.col(n)) & F.col("h_wins").eqNullSafe(F.col(w))))
+    return x.groupBy(F.year("day").alias("year")).agg(F.count(F.lit(1)).alias("rows"), differs("n1", "w1").alias("changed_by_later_years"), differs("n2", "w2").alias("revised"))
 
 
 @query(f"WITH {CONTESTS} SELECT count(*) AS races, CAST(min(day) AS VARCHAR) AS first_day, CAST(max(day) AS VARCHAR) AS last_day, max(day) >= DATE '1998-08-01' AS fresh FROM c")

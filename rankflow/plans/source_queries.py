@@ -2,44 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars
 from ..functions.scalars import count_rows
-from ..operators import canonical, gates
+from ..operators import canonical, gates, history
 from ..registry import query
 from ..sources import readers
+from ..sources.readers import scratch
 from ..sources.bindings import CONTESTS, ENTRANTS, RUNNERS, WORKOUTS, contests, entrants, runners, table, workouts
 
 R = F.round
 
 
-def scratch(spark, name):
-    """A new folder for written tables: in the shared folder where the session names one."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {CONTESTS} SELECT race_id, trim(venue) AS venue, CAST(day AS VARCHAR) AS day FROM c WHERE venue = 'F' AND day BETWEEN DATE '1995-01-01' AND DATE '1995-03-31'")
 def s03_filtered_projection(spark, sf_dir):
     c = contests(spark, sf_dir)
     return c.where((F.col("venue") == "F") & F.col("day").between(F.lit("1995-01-01").cast("date"), F.lit("1995-03-31").cast("date"))).select("race_id", F.trim("venue").alias("venue"), F.col("day").cast("string").alias("day"))
 
 
-@query(f"WITH {CONTESTS} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS misplaced FROM c WHERE year(day) = 1996")
+@query(f"WITH {CONTESTS} SELECT CAST(year(day) AS INTEGER) AS year, count(*) FILTER (race_id % 71 <> 2) AS rows, count(*) FILTER (race_id % 71 = 2) AS misplaced FROM c GROUP BY 1")
 def s04_year_snapshot(spark, sf_dir):
-    """Partitioned by year and month; one year is read, and rows outside their month counted."""
+    """All years by year and month, some rows filed under another month: those are counted and rejected."""
     path = scratch(spark, "years")
-    c = contests(spark, sf_dir).where("day between date '1995-07-01' and date '1997-06-30'")
-    c.withColumns({"year": F.year("day"), "month": F.month("day")}).write.partitionBy("year", "month").parquet(path)
-    return spark.read.parquet(path).where("year = 1996").agg(count_rows().alias("rows"), F.count_if((F.year("day") != F.col("year")) | (F.month("day") != F.col("month"))).alias("misplaced"))
+    filed = F.when(F.col("race_id") % 71 == 2, F.month("day") % 12 + 1).otherwise(F.month("day"))
+    contests(spark, sf_dir).withColumns({"year": F.year("day"), "month": filed}).write.partitionBy("year", "month").parquet(path)
+    wrong = (F.year("day") != F.col("year")) | (F.month("day") != F.col("month"))
+    return spark.read.parquet(path).groupBy("year").agg(F.count_if(~wrong).alias("rows"), F.count_if(wrong).alias("misplaced"))
 
 
 @query(f"WITH {ENTRANTS} SELECT CAST(year(day) AS INTEGER) AS year, count(*) AS rows, round(sum(1.0 / n), 4) AS strength FROM e GROUP BY 1")
@@ -109,15 +99,20 @@ def s12_union_by_name(spark, sf_dir):
     return u.agg(count_rows().alias("rows"), F.count("o_totalprice").alias("with_price"), F.count("o_orderstatus").alias("with_status"))
 
 
-@query("SELECT 2::BIGINT AS listed, 1::BIGINT AS missing, 1::BIGINT AS altered, 1::BIGINT AS unlisted WHERE (SELECT count(*) FROM nation) > 0")
+@query("""SELECT CAST(o_orderkey % 8 AS INTEGER) AS part, CASE WHEN o_orderkey % 4 = 1 THEN 'ALTERED' WHEN o_orderkey % 8 = 3 THEN 'UNLISTED' ELSE 'OK' END AS status, count(*) AS rows FROM orders GROUP BY ALL UNION ALL SELECT 8, 'MISSING', 0""")
 def s13_part_manifest(spark, sf_dir):
-    """Parts on disk against a manifest of SHA-256 sums: one altered, one lost, one unlisted."""
-    path = scratch(spark, "manifest")
-    table(spark, sf_dir, "nation").repartition(2).write.parquet(path)
-    parts = readers.part_hashes(spark, path).withColumn("i", F.row_number().over(Window.orderBy("file")))
-    listed = parts.where("i = 1").select("file", F.lit("0").alias("want")).union(spark.createDataFrame([("lost.parquet", "1")], "file string, want string"))
-    j = parts.join(listed, "file", "full_outer")
-    return j.agg(F.count("want").alias("listed"), F.count_if(F.col("sha256").isNull()).alias("missing"), F.count_if(F.col("sha256") != F.col("want")).alias("altered"), F.count_if(F.col("want").isNull()).alias("unlisted"))
+    """Parts on disk against a manifest of SHA-256 sums: some altered since, one lost, one unlisted; rows of each part."""
+    path, later = scratch(spark, "manifest"), scratch(spark, "manifest")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", (F.col("o_orderkey") % 8).cast("int").alias("part"))
+    o.repartition("part").write.partitionBy("part").parquet(path)
+    changed = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 4 == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    changed.repartition("part").write.partitionBy("part").parquet(later)
+    sums = lambda p, name: readers.part_hashes(spark, p).groupBy(F.substring_index("folder", "=", -1).cast("int").alias("part")).agg(F.sort_array(F.collect_list("sha256")).alias(name))
+    listed = sums(path, "want").where("part <> 3").union(spark.createDataFrame([(8, ["0"])], "part int, want array<string>"))
+    found = sums(later, "have").join(listed, "part", "full_outer")
+    status = F.when(F.col("have").isNull(), "MISSING").when(F.col("want").isNull(), "UNLISTED").when(F.col("have") != F.col("want"), "ALTERED").otherwise("OK")
+    rows = spark.read.parquet(later).groupBy("part").agg(count_rows().alias("rows"))
+    return found.select("part", status.alias("status")).join(rows, "part", "left").fillna(0, ["rows"])
 
 
 @query("SELECT n AS event_rows, n AS first_append, 0::BIGINT AS second_append FROM (SELECT count(*) AS n FROM region)")
@@ -215,29 +210,22 @@ def a23_reason_counters(spark, sf_dir):
     return b.select(F.explode("issues").alias("reason")).groupBy("reason").agg(count_rows().alias("races"))
 
 
-@query("""WITH ev AS (SELECT 'user' || user_id AS source, CASE WHEN event_type = 'purchase' THEN 'session' || (event_id // 10) END AS parent, 'event' || event_id AS output, event_type AS step FROM events WHERE event_id < 100000)
+@query("""WITH ev AS (SELECT 'user' || user_id AS source, CASE WHEN event_type = 'purchase' THEN 'session' || (event_id // 10) END AS parent, 'event' || event_id AS output, event_type AS step FROM events)
 SELECT (SELECT count(*) FROM (SELECT source FROM ev UNION SELECT parent FROM ev WHERE parent IS NOT NULL UNION SELECT output FROM ev)) AS nodes, (SELECT count(*) FROM (SELECT source, output, step FROM ev UNION SELECT parent, output, step FROM ev WHERE parent IS NOT NULL)) AS edges""")
 def a24_lineage_graph(spark, sf_dir):
-    return lineage_graph(table(spark, sf_dir, "events").where("event_id < 100000"))
-
-
-@query()
-def a24_lineage_graph_whole(spark, sf_dir):
-    """All events; the SQL of the query without `_whole` stops at event 100,000."""
-    return lineage_graph(table(spark, sf_dir, "events"))
-
-
-def lineage_graph(e):
+    e = table(spark, sf_dir, "events")
     ev = e.select(F.concat(F.lit("user"), "user_id").alias("source"), F.when(F.col("event_type") == "purchase", F.concat(F.lit("session"), F.floor(F.col("event_id") / 10).cast("string"))).alias("parent"), F.concat(F.lit("event"), "event_id").alias("output"), F.col("event_type").alias("step"))
     nodes, edges = canonical.lineage(ev)
     return nodes.agg(count_rows().alias("nodes")).join(edges.agg(count_rows().alias("edges")))
 
 
-@query(f"WITH {CONTESTS}, {RUNNERS} SELECT count(*) AS rows, count(c.race_id) AS with_conditions, CAST(0 AS BIGINT) AS repeated FROM r LEFT JOIN (SELECT * FROM c WHERE venue <> 'P') c ON c.race_id = r.race_id")
+@query(f"WITH {CONTESTS}, {RUNNERS}, b AS (SELECT race_id, 1 + CAST(race_id % 61 = 3 AS INTEGER) AS k FROM c WHERE venue <> 'P') SELECT count(*) AS rows, count(k) AS with_conditions, count(*) FILTER (k > 1) AS repeated, (SELECT count(*) FROM b WHERE k > 1) AS repeated_contests FROM r LEFT JOIN b USING (race_id)")
 def j01_entrants_conditions(spark, sf_dir):
-    """Left join whose build side is checked for repeats first."""
-    c = contests(spark, sf_dir).where("venue <> 'P'").groupBy("race_id").agg(count_rows().alias("k"))
-    return runners(spark, sf_dir).join(c, "race_id", "left").agg(count_rows().alias("rows"), F.count("k").alias("with_conditions"), F.count_if(F.coalesce(F.col("k") > 1, F.lit(False))).alias("repeated"))
+    """Left join whose build side, which holds some contests twice, is checked for repeats first and joined once."""
+    c = contests(spark, sf_dir).where("venue <> 'P'").select("race_id")
+    b = c.union(c.where("race_id % 61 = 3")).groupBy("race_id").agg(count_rows().alias("k"))
+    met = runners(spark, sf_dir).join(b, "race_id", "left").agg(count_rows().alias("rows"), F.count("k").alias("with_conditions"), F.count_if(F.coalesce(F.col("k") > 1, F.lit(False))).alias("repeated"))
+    return met.join(b.agg(F.count_if(F.col("k") > 1).alias("repeated_contests")))
 
 
 @query(f"WITH {CONTESTS}, {RUNNERS}, x AS (SELECT race_id, horse_id FROM r), y AS (SELECT DISTINCT l_orderkey AS race_id, l_suppkey AS horse_id FROM lineitem) SELECT count(*) AS pairs, count(*) FILTER (x.race_id IS NULL) AS no_entrant, count(*) FILTER (y.race_id IS NULL) AS no_agent FROM x FULL JOIN y ON x.race_id = y.race_id AND x.horse_id = y.horse_id")
@@ -253,12 +241,15 @@ def j12_display_metadata(spark, sf_dir):
     return runners(spark, sf_dir).join(names, "horse_id", "left").select("race_id", "horse_id", F.coalesce("s_name", F.lit("")).alias("name"))
 
 
-@query(f"WITH {ENTRANTS}, a AS (SELECT race_id, count(*) AS n, sum(1.0 / n) AS m FROM e GROUP BY 1) SELECT count(*) AS races, CAST(0 AS BIGINT) AS unpaired, CAST(0 AS BIGINT) AS other_counts FROM a")
+@query(f"""WITH {ENTRANTS}, a AS (SELECT race_id, count(*) AS n FROM e WHERE race_id % 73 <> 1 AND NOT (race_id % 67 = 2 AND finish = 1) GROUP BY 1), b AS (SELECT race_id, count(*) AS n FROM e WHERE race_id % 79 <> 4 GROUP BY 1)
+SELECT count(*) AS races, count(*) FILTER (a.n IS NULL OR b.n IS NULL) AS unpaired, count(*) FILTER (a.n <> b.n) AS other_counts, count(*) FILTER (a.n = b.n) AS paired FROM a FULL JOIN b USING (race_id)""")
 def j13_benchmark_pairing(spark, sf_dir):
-    """Candidate and benchmark per contest: equal contests, equal row counts."""
-    e = entrants(spark, sf_dir)
-    a, b = e.groupBy("race_id").agg(count_rows().alias("na")), e.groupBy("race_id").agg(F.max("n").alias("nb"))
-    return a.join(b, "race_id", "full_outer").agg(count_rows().alias("races"), F.count_if(F.col("na").isNull() | F.col("nb").isNull()).alias("unpaired"), F.count_if(F.col("na") != F.col("nb")).alias("other_counts"))
+    """Candidate and benchmark per contest, each without some: contests on one side, unequal row counts, and the pairs that count."""
+    e = entrants(spark, sf_dir).select("race_id", "finish")
+    a = e.where("race_id % 73 <> 1 and not (race_id % 67 = 2 and finish = 1)").groupBy("race_id").agg(count_rows().alias("na"))
+    b = e.where("race_id % 79 <> 4").groupBy("race_id").agg(count_rows().alias("nb"))
+    met, na, nb = a.join(b, "race_id", "full_outer"), F.col("na"), F.col("nb")
+    return met.agg(count_rows().alias("races"), F.count_if(na.isNull() | nb.isNull()).alias("unpaired"), F.count_if(na != nb).alias("other_counts"), F.count_if(na == nb).alias("paired"))
 
 
 @query(f"WITH {WORKOUTS} SELECT count(*) AS rows, count(DISTINCT horse_id) AS competitors FROM w WHERE horse_id IN (SELECT horse_id FROM o WHERE dn >= 19730)")
@@ -281,18 +272,26 @@ def j19_usage_gap(spark, sf_dir):
     return h.join(u, "domain", "full_outer").select("domain", "held", "used", R(F.col("used") / F.col("held"), 6).alias("rate"), (F.col("used") < 0.9 * F.col("held")).alias("alert"))
 
 
-@query(f"WITH {ENTRANTS} SELECT race_id, horse_id, round(0.7 / n + 0.3 * 2 / (n + 1.0), 6) AS score FROM e")
+_MODEL = "SELECT race_id, horse_id, (coalesce(sum(label_win) OVER w, 0) + 1) / (count(*) OVER w + 12.0) AS base FROM e WINDOW w AS (PARTITION BY {keys} ORDER BY dn RANGE BETWEEN 1095 PRECEDING AND 1 PRECEDING)"
+
+
+@query(f"""WITH {ENTRANTS}, a AS ({_MODEL.format(keys="horse_id")}), b AS ({_MODEL.format(keys="horse_id, domain")}),
+x AS (SELECT a.race_id, a.horse_id, a.base / sum(a.base) OVER (PARTITION BY a.race_id) AS p, b.base / sum(b.base) OVER (PARTITION BY a.race_id) AS q FROM a JOIN b USING (race_id, horse_id)) SELECT race_id, horse_id, round(p, 6) AS champion, round(q, 6) AS specialist, round(0.7 * p + 0.3 * q, 6) AS score FROM x""")
 def j21_score_alignment(spark, sf_dir):
-    """Two models score one frame; rows need no join."""
-    e = entrants(spark, sf_dir).withColumns({"a": 1 / F.col("n"), "b": 2 / (F.col("n") + 1)})
-    return e.select("race_id", "horse_id", R(0.7 * F.col("a") + 0.3 * F.col("b"), 6).alias("score"))
+    """The champion's rate model and the domain's own one score the same rows; scores need no join."""
+    e = entrants(spark, sf_dir).select("race_id", "horse_id", "domain", "dn", "label_win")
+    c = history.contexts(e, "horse_id", {"a_": [], "b_": ["domain"]}, {"wins": F.col("label_win")})
+    x = c.withColumns({"p": history.share(history.smoothed(F.col("a_wins"), F.col("a_n")), "race_id"), "q": history.share(history.smoothed(F.col("b_wins"), F.col("b_n")), "race_id")})
+    return x.select("race_id", "horse_id", R("p", 6).alias("champion"), R("q", 6).alias("specialist"), R(0.7 * F.col("p") + 0.3 * F.col("q"), 6).alias("score"))
 
 
-@query("SELECT count(*) AS rows, 0::BIGINT AS only_left, 0::BIGINT AS only_right, TRUE AS same FROM orders")
+@query("SELECT count(*) AS rows, count(*) FILTER (o_orderkey % 103 = 9 OR o_orderkey % 107 = 8) AS only_left, count(*) FILTER (o_orderkey % 103 = 9 AND o_orderkey % 107 <> 8) AS only_right, count(*) FILTER (o_orderkey % 103 = 9 OR o_orderkey % 107 = 8) = 0 AS same FROM orders")
 def j22_source_change(spark, sf_dir):
-    """The source read twice; a difference would stop publication."""
-    a, b = table(spark, sf_dir, "orders"), table(spark, sf_dir, "orders")
-    return a.agg(count_rows().alias("rows")).join(gates.same_sets(a, b, ["o_orderkey", "o_totalprice", "o_orderstatus"]))
+    """The source read again after some rows changed and some went: the difference stops publication."""
+    a = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    path = scratch(spark, "reread")
+    a.where("o_orderkey % 107 <> 8").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 103 == 9, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).write.parquet(path)
+    return a.agg(count_rows().alias("rows")).join(gates.same_sets(a, spark.read.parquet(path), ["o_orderkey", "o_totalprice", "o_orderstatus"]))
 
 
 @query("SELECT source, count(*) AS rows FROM (SELECT 'even' AS source FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'odd' FROM part WHERE p_partkey % 2 = 1) GROUP BY 1")
@@ -369,27 +368,17 @@ def f14_f17_hashes_and_keys(spark, sf_dir):
     )
 
 
-@query("""WITH z AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_discount END AS a, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_tax END AS b FROM lineitem WHERE l_orderkey % 10 = 1)
+@query("""WITH z AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_discount END AS a, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_tax END AS b FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, round(CASE WHEN a IS NULL AND b IS NULL THEN NULL ELSE (coalesce(a, 0) + coalesce(b, 0)) / (CAST(a IS NOT NULL AS INTEGER) + CAST(b IS NOT NULL AS INTEGER)) END, 6) AS mean, CAST(a IS NOT NULL AS INTEGER) + CAST(b IS NOT NULL AS INTEGER) AS components,
  round(coalesce(a, 0), 6) AS w, round(greatest(coalesce(a, 0), coalesce(b, 0)), 6) AS t2, round(greatest(coalesce(a, 0), coalesce(b, 0), 0.05), 6) AS t3 FROM z""")
 def f18_f19_row_means(spark, sf_dir):
     """Mean over available parts and their number; row-wise running maximum."""
-    return row_means(table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 1"))
-
-
-@query()
-def f18_f19_row_means_whole(spark, sf_dir):
-    """All line items; the SQL of the query without `_whole` has a tenth of the orders."""
-    return row_means(table(spark, sf_dir, "lineitem"))
-
-
-def row_means(z):
     from ..operators.features import row_mean
 
     a, b = F.when(F.col("l_partkey") % 3 != 0, F.col("l_discount")), F.when(F.col("l_partkey") % 5 != 0, F.col("l_tax"))
     mean, n = row_mean([a, b])
     w, t2, t3 = scalars.monotone(F.coalesce(a, F.lit(0.0)), F.coalesce(b, F.lit(0.0)), F.lit(0.05))
-    return z.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", R(mean, 6).alias("mean"), n.alias("components"), R(w, 6).alias("w"), R(t2, 6).alias("t2"), R(t3, 6).alias("t3"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", R(mean, 6).alias("mean"), n.alias("components"), R(w, 6).alias("w"), R(t2, 6).alias("t2"), R(t3, 6).alias("t3"))
 
 
 @query("""SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS f25, array_to_string(list_sort(list_distinct([event_type, 'b', event_type])), ',') AS f26, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS f27 FROM events""")
@@ -400,21 +389,11 @@ def f25_f27_clock_and_json(spark, sf_dir):
     return e.select("event_id", F.date_format(F.col("ts") + F.expr("INTERVAL 9 HOURS"), "yyyy-MM-dd HH:mm:ss").alias("f25"), F.array_join(F.array_sort(F.array_distinct(F.array("event_type", F.lit("b"), "event_type"))), ",").alias("f26"), F.element_at(props, "k").alias("f27"))
 
 
-@query("""WITH z AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_discount * 10 AS p, CAST(l_returnflag = 'R' AS INTEGER) AS y, l_tax AS q FROM lineitem WHERE l_orderkey % 10 = 3)
+@query("""WITH z AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_discount * 10 AS p, CAST(l_returnflag = 'R' AS INTEGER) AS y, l_tax AS q FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, round(-CASE WHEN y = 1 THEN ln(greatest(least(p, 1 - 1e-9), 1e-9)) ELSE ln(1 - greatest(least(p, 1 - 1e-9), 1e-9)) END, 4) AS loss, round((greatest(least(p, 1 - 1e-12), 1e-12) - y) ** 2, 6) AS brier, round(q * 20 - 1, 6) + 0.0 AS ev FROM z""")
 def f13_f20_losses_and_value(spark, sf_dir):
     """Losses with their own clipping, and expected value."""
-    return losses_and_value(table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 3"))
-
-
-@query()
-def f13_f20_losses_and_value_whole(spark, sf_dir):
-    """All line items; the SQL of the query without `_whole` has a tenth of the orders."""
-    return losses_and_value(table(spark, sf_dir, "lineitem"))
-
-
-def losses_and_value(z):
     from ..operators import metrics, strategy
 
     p, y = F.col("l_discount") * 10, (F.col("l_returnflag") == "R").cast("int")
-    return z.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", R(metrics.log_loss(p, y, 1e-9), 4).alias("loss"), R(metrics.brier(p, y, 1e-12), 6).alias("brier"), (R(strategy.value(F.col("l_tax"), F.lit(20.0)), 6) + 0.0).alias("ev"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", R(metrics.log_loss(p, y, 1e-9), 4).alias("loss"), R(metrics.brier(p, y, 1e-12), 6).alias("brier"), (R(strategy.value(F.col("l_tax"), F.lit(20.0)), 6) + 0.0).alias("ev"))

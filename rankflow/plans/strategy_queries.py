@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from contextvars import ContextVar
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import count_rows
 from ..operators import metrics, rankprob, resample, strategy
-from ..registry import QUERIES, SQL, query
+from ..registry import query
 from ..sources.bindings import CONTESTS, ENTRANTS, contests, entrants, table
 from .rating_queries import LOSS, P1, PL, THREE, base_rates, scored
 
 R = F.round
-YEAR = 1998
-SMALL = f"{ENTRANTS}, {P1.replace('p AS (SELECT *', 'p0 AS (SELECT *')}, p AS (SELECT * FROM p0 WHERE year(day) = {YEAR})"
+SCORED = f"{ENTRANTS}, {P1}"
 TRIPLES = """t3 AS (SELECT a.race_id, a.n AS size, a.horse_id AS a, b.horse_id AS b, c.horse_id AS c, a.p * b.p / greatest(1 - a.p, 1e-15) * coalesce(c.p / greatest(1 - a.p - b.p, 1e-15), 1) AS pr
  FROM p a JOIN p b ON a.race_id = b.race_id AND a.horse_id <> b.horse_id LEFT JOIN p c ON c.race_id = a.race_id AND c.horse_id <> a.horse_id AND c.horse_id <> b.horse_id)"""
 SORTED = "array_to_string(list_sort([{}]), '-')"
@@ -30,65 +31,61 @@ KINDS = [
 TICKETS = f"{TRIPLES}, tk0 AS (" + " UNION ALL ".join(f"SELECT race_id, {k} AS ticket_type, {s} AS selection, pr FROM t3 WHERE {w}" for k, s, w in KINDS) + "), tk AS (SELECT race_id, ticket_type, selection, sum(pr) AS probability FROM tk0 GROUP BY 1, 2, 3)"
 
 
-_whole = ContextVar("whole", default=False)
+def tickets(spark, sf_dir, types=rankprob.ALL_TYPES):
+    return rankprob.tickets(base_rates(spark, sf_dir), types=types)
 
 
-def of_year(rows):
-    """The contests of YEAR, as in SMALL; all of them in a query's `_whole` form."""
-    return rows if _whole.get() else rows.where(F.year("day") == YEAR)
-
-
-def whole(f):
-    """The query `f` over the contests of all years, sampled ones with WHOLE_DRAWS draws of every contest."""
-
-    def run(spark, sf_dir):
-        token = _whole.set(True)
-        try:
-            return f(spark, sf_dir)
-        finally:
-            _whole.reset(token)
-
-    run.__name__ = f"{f.__name__}_whole"
-    run.__doc__ = f.__doc__
-    return run
-
-
-def tickets(spark, sf_dir):
-    return rankprob.tickets(of_year(base_rates(spark, sf_dir)))
-
-
-@query(f"WITH {SMALL}, {TICKETS} SELECT race_id, ticket_type, selection, round(probability, 6) AS probability FROM tk")
+@query(f"WITH {SCORED}, {TICKETS} SELECT race_id, ticket_type, selection, round(probability, 6) AS probability FROM tk")
 def m28_ticket_probabilities(spark, sf_dir):
     return tickets(spark, sf_dir).select("race_id", "ticket_type", "selection", R("probability", 6).alias("probability"))
 
 
-DRAWS, WHOLE_DRAWS = 200, 20_000
+DRAWS = 20_000
 U = "(('0x' || substr(md5({key}), 1, 13))::BIGINT / 4503599627370496.0)"
-GUMBEL = f"""gs AS (SELECT race_id, horse_id, draw, p, row_number() OVER (PARTITION BY race_id, draw ORDER BY ln(p) - ln(-ln({U.format(key="race_id || '|' || horse_id || '|' || draw")} + 1e-16)) DESC, horse_id) AS position FROM (SELECT * FROM p WHERE race_id % 16 = 1), range({DRAWS}) AS g(draw))"""
-
-
-def draws() -> int:
-    return WHOLE_DRAWS if _whole.get() else DRAWS
 
 
-def sampled(spark, sf_dir):
-    """Simulated places: log weight plus Gumbel noise from a hash, ranked per contest and draw."""
-    p = of_year(base_rates(spark, sf_dir)).where(F.lit(True) if _whole.get() else F.col("race_id") % 16 == 1).select("race_id", "horse_id", "p")
-    d = p.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws() - 1))))
-    noise = -F.log(-F.log(resample.uniform(F.col("race_id"), F.col("horse_id"), F.col("draw")) + 1e-16))
-    rank = F.row_number().over(Window.partitionBy("race_id", "draw").orderBy(F.desc(F.log("p") + noise), "horse_id"))
-    return d.withColumn("position", rank)
+def sampled(p, draws: int = DRAWS):
+    """Simulated finishes: per entrant the draws in which log weight plus Gumbel noise came first, and in the first three.
+
+    The least exponential time over p is the largest log p plus Gumbel noise. A contest's
+    field is one row; its draws are ranked inside the task, a bounded number at a time,
+    from a generator that its id seeds.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for race_id, runners in zip(pdf["race_id"], pdf["runners"], strict=True):
+                p = np.array([r["p"] for r in runners])[:, None]
+                noise, step = np.random.Generator(np.random.Philox(key=int(race_id) & (2**64 - 1))), max(1, 400_000 // len(p))
+                wins, top3 = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+                for a in range(0, draws, step):
+                    n = min(step, draws - a)
+                    times = noise.standard_exponential(size=(len(p), n)) / p
+                    for place in range(min(3, len(p))):
+                        first = times == times.min(axis=0)
+                        np.putmask(times, first, np.inf)
+                        seen = np.count_nonzero(first, axis=1)
+                        wins += seen if place == 0 else 0
+                        top3 += seen
+                out += [(race_id, r["id"], r["p"], int(w), int(t)) for r, w, t in zip(runners, wins, top3, strict=True)]
+            yield pd.DataFrame(out, columns=["race_id", "horse_id", "p", "wins", "top3"])
+
+    spread = rankprob.field(p, "race_id", "horse_id", "p").repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "race_id")  # few bytes, much work
+    return spread.mapInPandas(run, "race_id long, horse_id long, p double, wins long, top3 long")
 
 
-@query(f"WITH {SMALL}, {GUMBEL} SELECT race_id, horse_id, count(*) FILTER (position = 1) AS wins, count(*) FILTER (position <= 3) AS top3 FROM gs GROUP BY 1, 2")
+@query()
 def m29_rank_sampling(spark, sf_dir):
-    return sampled(spark, sf_dir).groupBy("race_id", "horse_id").agg(F.count_if(F.col("position") == 1).alias("wins"), F.count_if(F.col("position") <= 3).alias("top3"))
+    return sampled(base_rates(spark, sf_dir)).select("race_id", "horse_id", "wins", "top3")
 
 
-@query(f"WITH {SMALL}, {GUMBEL}, f AS (SELECT race_id, horse_id, any_value(p) AS p, count(*) FILTER (position = 1) / {DRAWS}.0 AS share FROM gs GROUP BY 1, 2) SELECT count(*) AS entrants, round(avg(abs(share - p)), 4) AS mae FROM f")
+@query()
 def m30_simulation_error(spark, sf_dir):
-    f = sampled(spark, sf_dir).groupBy("race_id", "horse_id").agg(F.first("p").alias("p"), (F.count_if(F.col("position") == 1) / draws()).alias("share"))
-    return f.agg(count_rows().alias("entrants"), R(F.avg(F.abs(F.col("share") - F.col("p"))), 4).alias("mae"))
+    """Simulated shares of first and of the first three places against the exact ones."""
+    f = sampled(base_rates(spark, sf_dir)).join(scored(spark, sf_dir).select("race_id", "horse_id", "p_win", "p_top3"), ["race_id", "horse_id"])
+    error = lambda seen, p: R(F.avg(F.abs(F.col(seen) / DRAWS - F.col(p))), 6)
+    return f.agg(count_rows().alias("entrants"), error("wins", "p_win").alias("mae_win"), error("top3", "p_top3").alias("mae_top3"))
 
 
 MARKET = f"""mk AS (SELECT *, round(1 / probability * (0.8 + 0.4 * {U.format(key="race_id || '|' || ticket_type || '|' || selection")}), 4) AS odds FROM tk WHERE ticket_type IN ('WIN', 'QUINELLA', 'TRIO')),
@@ -97,13 +94,13 @@ ev AS (SELECT mk.*, probability * odds - 1 AS ev, odds * probability - 1 AS edge
 
 def market(spark, sf_dir):
     """Tickets with odds around the fair ones, and their expected value."""
-    t = tickets(spark, sf_dir).where(F.col("ticket_type").isin("WIN", "QUINELLA", "TRIO"))
+    t = tickets(spark, sf_dir, ("WIN", "QUINELLA", "TRIO"))
     u = resample.uniform(F.col("race_id"), F.col("ticket_type"), F.col("selection"))
     m = t.withColumn("odds", R(F.col("fair_odds") * (0.8 + 0.4 * u), 4)).where("odds > 1")
     return m.withColumn("ev", strategy.value(F.col("probability"), F.col("odds")))
 
 
-@query(f"WITH {SMALL}, {TICKETS}, {MARKET} SELECT race_id, ticket_type, selection, venue, round(ev, 6) AS ev FROM ev JOIN c USING (race_id) WHERE ev > 0.15")
+@query(f"WITH {SCORED}, {TICKETS}, {MARKET} SELECT race_id, ticket_type, selection, venue, round(ev, 6) AS ev FROM ev JOIN c USING (race_id) WHERE ev > 0.15")
 def j09_market_join(spark, sf_dir):
     """Market tickets with expected value and the contest's columns; those without a contest are rejected."""
     return market(spark, sf_dir).where("ev > 0.15").join(contests(spark, sf_dir).select("race_id", "venue"), "race_id").select("race_id", "ticket_type", "selection", "venue", R("ev", 6).alias("ev"))
@@ -118,12 +115,12 @@ def chosen(spark, sf_dir):
     return strategy.profiles(m)
 
 
-@query(f"WITH {SMALL}, {TICKETS}, {MARKET}, {CHOSEN} SELECT strategy, race_id, ticket_type, selection FROM pf")
+@query(f"WITH {SCORED}, {TICKETS}, {MARKET}, {CHOSEN} SELECT strategy, race_id, ticket_type, selection FROM pf")
 def w20_top_tickets(spark, sf_dir):
     return chosen(spark, sf_dir).select("strategy", "race_id", "ticket_type", "selection")
 
 
-@query(f"WITH {SMALL}, {TICKETS}, {MARKET}, {CHOSEN} SELECT strategy, count(*) AS tickets, count(DISTINCT race_id) AS races, round(avg(ev), 6) AS mean_ev, round(sum(ev) / count(*), 6) AS ticket_efficiency FROM pf GROUP BY 1")
+@query(f"WITH {SCORED}, {TICKETS}, {MARKET}, {CHOSEN} SELECT strategy, count(*) AS tickets, count(DISTINCT race_id) AS races, round(avg(ev), 6) AS mean_ev, round(sum(ev) / count(*), 6) AS ticket_efficiency FROM pf GROUP BY 1")
 def m31_strategy_selection(spark, sf_dir):
     return chosen(spark, sf_dir).groupBy("strategy").agg(count_rows().alias("tickets"), F.count_distinct("race_id").alias("races"), R(F.avg("ev"), 6).alias("mean_ev"), R(F.sum("ev") / count_rows(), 6).alias("ticket_efficiency"))
 
@@ -148,61 +145,72 @@ dn AS (SELECT *, greatest(max(equity) OVER (PARTITION BY strategy ORDER BY day,
 st AS (SELECT strategy, max(lost) AS losing_streak FROM (SELECT strategy, island, count(*) FILTER (hits = 0) AS lost FROM rn GROUP BY 1, 2) GROUP BY 1)"""
 
 
-@query(f"""WITH {SMALL}, {TICKETS}, {MARKET}, {CHOSEN}, {PAID}, {KPI} SELECT strategy, CAST(sum(tickets) AS BIGINT) AS tickets, count(*) AS races, round(sum(payout - 100 * tickets), 4) AS profit, round(sum(payout) / (100.0 * sum(tickets)), 6) AS roi, round(count(*) FILTER (hits > 0) / count(*), 6) AS hit_rate FROM dn GROUP BY 1""")
+@query(f"""WITH {SCORED}, {TICKETS}, {MARKET}, {CHOSEN}, {PAID}, {KPI} SELECT strategy, CAST(sum(tickets) AS BIGINT) AS tickets, count(*) AS races, round(sum(payout - 100 * tickets), 4) AS profit, round(sum(payout) / (100.0 * sum(tickets)), 6) AS roi, round(count(*) FILTER (hits > 0) / count(*), 6) AS hit_rate,
+ round(CAST(100.0 * sum(tickets) AS DOUBLE), 4) AS turnover, round(sum(payout - 100 * tickets) / sum(tickets), 6) AS ticket_efficiency, round(sum(payout - 100 * tickets) / (100.0 * sum(tickets)), 6) AS capital_efficiency FROM dn GROUP BY 1""")
 def a20_strategy_kpis(spark, sf_dir):
     o = strategy.outcomes(bets(spark, sf_dir))
-    return o.select("strategy", "tickets", "races", R("profit", 4).alias("profit"), R("roi", 6).alias("roi"), R("hit_rate", 6).alias("hit_rate"))
+    return o.select("strategy", "tickets", "races", R("profit", 4).alias("profit"), R("roi", 6).alias("roi"), R("hit_rate", 6).alias("hit_rate"), R(F.col("turnover").cast("double"), 4).alias("turnover"), R(F.col("profit") / F.col("tickets"), 6).alias("ticket_efficiency"), R(F.col("profit") / F.col("turnover"), 6).alias("capital_efficiency"))
 
 
-@query(f"WITH {SMALL}, {TICKETS}, {MARKET}, {CHOSEN}, {PAID}, {KPI} SELECT strategy, round(max(dip), 4) AS max_drawdown FROM dn GROUP BY 1")
+@query(f"WITH {SCORED}, {TICKETS}, {MARKET}, {CHOSEN}, {PAID}, {KPI} SELECT strategy, round(max(dip), 4) AS max_drawdown FROM dn GROUP BY 1")
 def w16_max_drawdown(spark, sf_dir):
     return strategy.outcomes(bets(spark, sf_dir)).select("strategy", R("max_drawdown", 4).alias("max_drawdown"))
 
 
-@query(f"WITH {SMALL}, {TICKETS}, {MARKET}, {CHOSEN}, {PAID}, {KPI} SELECT strategy, losing_streak FROM st")
+@query(f"WITH {SCORED}, {TICKETS}, {MARKET}, {CHOSEN}, {PAID}, {KPI} SELECT strategy, losing_streak FROM st")
 def w17_losing_streak(spark, sf_dir):
     return strategy.outcomes(bets(spark, sf_dir)).select("strategy", "losing_streak")
 
 
-@query(f"WITH {SMALL}, {TICKETS}, {MARKET}, {CHOSEN}, {PAID}, {KPI}, k AS (SELECT strategy, sum(payout) / (100.0 * sum(tickets)) AS roi, count(*) AS races FROM dn GROUP BY 1) SELECT arg_max(strategy, (round(roi, 9), strategy)) AS strategy, round(max(roi), 6) AS roi FROM k WHERE races >= 30")
+@query(f"WITH {SCORED}, {TICKETS}, {MARKET}, {CHOSEN}, {PAID}, {KPI}, k AS (SELECT strategy, sum(payout) / (100.0 * sum(tickets)) AS roi, count(*) AS races FROM dn GROUP BY 1) SELECT arg_max(strategy, (round(roi, 9), strategy)) AS strategy, round(max(roi), 6) AS roi FROM k WHERE races >= 30")
 def t06_best_strategy(spark, sf_dir):
     """Best return among strategies with thirty realised contests."""
     o = strategy.outcomes(bets(spark, sf_dir)).where("races >= 30")
     return o.agg(F.max_by("strategy", F.struct(R("roi", 9), F.col("strategy"))).alias("strategy"), R(F.max("roi"), 6).alias("roi"))
 
 
-@query(f"WITH {SMALL}, {TICKETS}, {MARKET}, {CHOSEN}, {PAID}, x AS (SELECT count(*) AS bets, count(*) FILTER (payout IS NULL) AS missing FROM bt) SELECT bets, missing, missing > 0 AS rejected FROM x")
+@query(f"""WITH {SCORED}, {TICKETS}, {MARKET}, {CHOSEN}, {PAID}, po AS (SELECT strategy, race_id, ticket_type, selection, payout FROM bt WHERE race_id % 97 <> 5)
+SELECT year(bt.day) AS file, count(*) AS bets, count(*) FILTER (po.payout IS NULL) AS missing, bool_or(po.payout IS NULL) AS rejected FROM bt LEFT JOIN po USING (strategy, race_id, ticket_type, selection) GROUP BY 1""")
 def j11_payout_completeness(spark, sf_dir):
-    """One missing payout rejects the whole file."""
-    return bets(spark, sf_dir).agg(count_rows().alias("bets"), F.count_if(F.col("payout").isNull()).alias("missing"), F.bool_or(F.col("payout").isNull()).alias("rejected"))
+    """A year's profiles against its delivered payouts, which lack some contests: one missing payout rejects the file."""
+    b = bets(spark, sf_dir)
+    key = ["strategy", "race_id", "ticket_type", "selection"]
+    delivered = b.where("race_id % 97 <> 5").select(*key, F.col("payout").alias("paid"))
+    met = b.select("day", *key).join(delivered, key, "left")
+    return met.groupBy(F.year("day").cast("long").alias("file")).agg(count_rows().alias("bets"), F.count_if(F.col("paid").isNull()).alias("missing"), F.bool_or(F.col("paid").isNull()).alias("rejected"))
 
 
-@query(f"WITH {SMALL}, {TICKETS}, {MARKET}, {CHOSEN} SELECT count(*) AS omitted, round(sum(ev), 5) AS ev FROM ev WHERE ev >= 0.10 AND NOT EXISTS (SELECT 1 FROM pf WHERE pf.race_id = ev.race_id AND pf.ticket_type = ev.ticket_type AND pf.selection = ev.selection)")
-def j18_omitted_opportunities(spark, sf_dir):
+def omitted(spark, sf_dir):
     """Tickets worth ten hundredths or more that no profile took."""
-    m = market(spark, sf_dir).where("ev >= 0.10")
-    return m.join(chosen(spark, sf_dir), ["race_id", "ticket_type", "selection"], "left_anti").agg(count_rows().alias("omitted"), R(F.sum("ev"), 5).alias("ev"))
+    return market(spark, sf_dir).where("ev >= 0.10").join(chosen(spark, sf_dir), ["race_id", "ticket_type", "selection"], "left_anti")
 
 
-FAIL = f"""{SMALL}, {PL}, ln AS (SELECT race_id, horse_id, 'win' AS layer, p_win AS q, label_win AS y FROM m UNION ALL SELECT race_id, horse_id, 'top2', p_top2, label_top2 FROM m UNION ALL SELECT race_id, horse_id, 'top3', p_top3, label_top3 FROM m)"""
+@query(f"WITH {SCORED}, {TICKETS}, {MARKET}, {CHOSEN} SELECT count(*) AS omitted, round(sum(ev), 5) AS ev FROM ev WHERE ev >= 0.10 AND NOT EXISTS (SELECT 1 FROM pf WHERE pf.race_id = ev.race_id AND pf.ticket_type = ev.ticket_type AND pf.selection = ev.selection)")
+def j18_omitted_opportunities(spark, sf_dir):
+    return omitted(spark, sf_dir).agg(count_rows().alias("omitted"), R(F.sum("ev"), 5).alias("ev"))
+
+
+FAIL = f"""{SCORED}, {PL}, ln AS (SELECT race_id, horse_id, 'win' AS layer, p_win AS q, label_win AS y FROM m UNION ALL SELECT race_id, horse_id, 'top2', p_top2, label_top2 FROM m UNION ALL SELECT race_id, horse_id, 'top3', p_top3, label_top3 FROM m)"""
 
 
 @query(f"WITH {FAIL} SELECT layer, CASE WHEN q >= 0.5 THEN 'SEVERE' WHEN q >= 0.25 THEN 'MAJOR' WHEN q >= 0.10 THEN 'MINOR' ELSE 'TAIL' END AS classification, count(*) AS rows FROM (SELECT layer, round(q, 9) AS q, y FROM ln) WHERE y = 0 GROUP BY 1, 2")
 def a19_failure_classes(spark, sf_dir):
     """Misses by layer and by how likely the hit was thought."""
-    m = of_year(scored(spark, sf_dir))
+    m = scored(spark, sf_dir)
     layers = F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), R(F.col(f"p_{k}"), 9).alias("q"), F.col(f"label_{k}").alias("y")) for k in ("win", "top2", "top3")]))
     x = m.select(layers.alias("x")).select("x.*").where("y = 0")
     return x.groupBy("layer", strategy.miss_class(F.col("q")).alias("classification")).agg(count_rows().alias("rows"))
 
 
-@query(f"WITH {SMALL}, {TICKETS}, {MARKET}, {CHOSEN}, {PAID} SELECT CASE WHEN payout > 0 THEN 'HIT' WHEN ev >= 0.15 THEN 'HIGH_EV_MISS' ELSE 'MISS' END AS classification, strategy, count(*) AS rows FROM bt GROUP BY 1, 2")
+@query(f"""WITH {SCORED}, {TICKETS}, {MARKET}, {CHOSEN}, {PAID} SELECT CASE WHEN payout > 0 THEN 'HIT' WHEN ev >= 0.15 THEN 'HIGH_EV_MISS' ELSE 'MISS' END AS classification, strategy, count(*) AS rows FROM bt GROUP BY 1, 2
+UNION ALL SELECT 'PRUNED_HIGH_EV', 'NONE', count(*) FROM ev WHERE ev >= 0.10 AND NOT EXISTS (SELECT 1 FROM pf WHERE pf.race_id = ev.race_id AND pf.ticket_type = ev.ticket_type AND pf.selection = ev.selection)""")
 def m32_failure_analysis(spark, sf_dir):
     kind = F.when(F.col("payout") > 0, "HIT").when(F.col("ev") >= 0.15, "HIGH_EV_MISS").otherwise("MISS")
-    return bets(spark, sf_dir).groupBy(kind.alias("classification"), "strategy").agg(count_rows().alias("rows"))
+    taken = bets(spark, sf_dir).groupBy(kind.alias("classification"), "strategy").agg(count_rows().alias("rows"))
+    return taken.union(omitted(spark, sf_dir).agg(count_rows().alias("rows")).select(F.lit("PRUNED_HIGH_EV"), F.lit("NONE"), "rows"))
 
 
-@query(f"""WITH {SMALL}, {TICKETS}, {MARKET} SELECT race_id, ticket_type, selection, round(100 * (0.5 * least(greatest(ev, 0), 0.5) / 0.5 + 0.3 * CASE WHEN probability < 0.05 THEN 1.0 WHEN probability < 0.2 THEN 0.7 ELSE 0.4 END + 0.2 * CASE WHEN n <= 8 THEN 1.0 WHEN n <= 12 THEN 0.7 ELSE 0.5 END), 4) AS score
+@query(f"""WITH {SCORED}, {TICKETS}, {MARKET} SELECT race_id, ticket_type, selection, round(100 * (0.5 * least(greatest(ev, 0), 0.5) / 0.5 + 0.3 * CASE WHEN probability < 0.05 THEN 1.0 WHEN probability < 0.2 THEN 0.7 ELSE 0.4 END + 0.2 * CASE WHEN n <= 8 THEN 1.0 WHEN n <= 12 THEN 0.7 ELSE 0.5 END), 4) AS score
 FROM ev JOIN (SELECT race_id, any_value(n) AS n FROM e GROUP BY 1) USING (race_id)""")
 def f21_opportunity_score(spark, sf_dir):
     n = entrants(spark, sf_dir).groupBy("race_id").agg(F.first("n").alias("n"))
@@ -211,32 +219,32 @@ def f21_opportunity_score(spark, sf_dir):
     return m.select("race_id", "ticket_type", "selection", R(strategy.opportunity(F.col("ev"), conf, F.col("n")), 4).alias("score"))
 
 
-@query(f"WITH {SMALL}, {PL}, w AS (SELECT race_id, horse_id, exp(.60 * ln(p_win) + .25 * ln(p_top2 / 2) + .15 * ln(p_top3 / 3)) AS w FROM m) SELECT race_id, horse_id, round(w / sum(w) OVER (PARTITION BY race_id), 6) AS weight FROM w")
+@query(f"WITH {SCORED}, {PL}, w AS (SELECT race_id, horse_id, exp(.60 * ln(p_win) + .25 * ln(p_top2 / 2) + .15 * ln(p_top3 / 3)) AS w FROM m) SELECT race_id, horse_id, round(w / sum(w) OVER (PARTITION BY race_id), 6) AS weight FROM w")
 def f22_latent_weight(spark, sf_dir):
-    m = of_year(scored(spark, sf_dir))
+    m = scored(spark, sf_dir)
     w = m.withColumn("w", strategy.latent_weight(F.col("p_win"), F.col("p_top2"), F.col("p_top3")))
     return w.select("race_id", "horse_id", R(F.col("w") / F.sum("w").over(Window.partitionBy("race_id")), 6).alias("weight"))
 
 
-@query(f"""WITH {SMALL}, g AS (SELECT race_id, count(*) AS size, sum(-p * ln(p)) / ln(count(*)) AS h, list_reverse_sort(list(p)) AS ps FROM p GROUP BY 1)
+@query(f"""WITH {SCORED}, g AS (SELECT race_id, count(*) AS size, sum(-p * ln(p)) / ln(count(*)) AS h, list_reverse_sort(list(p)) AS ps FROM p GROUP BY 1)
 SELECT race_id, size, round(h, 6) AS entropy, CASE WHEN h > 0.82 THEN 'HIGH' WHEN h > 0.65 THEN 'MEDIUM' ELSE 'LOW' END AS uncertainty, CASE WHEN ps[1] >= 0.35 THEN 'FAVOURITE' WHEN ps[1] + ps[2] >= 0.55 THEN 'TWO_HORSE' WHEN h >= 0.80 THEN 'OPEN' ELSE 'MIXED' END AS shape, CASE WHEN size >= 8 THEN 3 WHEN size >= 4 THEN 2 ELSE 1 END AS place_slots FROM g""")
 def f23_contest_shape(spark, sf_dir):
-    p = of_year(base_rates(spark, sf_dir))
+    p = base_rates(spark, sf_dir)
     return strategy.shape(p, "race_id", "p").withColumn("entropy", R("entropy", 6))
 
 
-@query(f"WITH {SMALL}, {PL}, {THREE} SELECT k, round(sum(logloss) / sum(rows), 6) AS logloss FROM a5 WHERE positives = least(k, rows) GROUP BY k")
+@query(f"WITH {SCORED}, {PL}, {THREE} SELECT k, round(sum(logloss) / sum(rows), 6) AS logloss FROM a5 WHERE positives = least(k, rows) GROUP BY k")
 def m38_blind_evaluation(spark, sf_dir):
-    """Predictions of the last year, frozen before their results are joined, then scored."""
-    frozen = of_year(scored(spark, sf_dir)).select("race_id", "horse_id", *[R(c, 12).alias(c) for c in ("p_win", "p_top2", "p_top3")])
+    """Predictions frozen before their results are joined, then scored."""
+    frozen = scored(spark, sf_dir).select("race_id", "horse_id", *[R(c, 12).alias(c) for c in ("p_win", "p_top2", "p_top3")])
     results = entrants(spark, sf_dir).select("race_id", "horse_id", "finish")
     t = metrics.three_targets(frozen.join(results, ["race_id", "horse_id"]), "race_id", "horse_id", "finish", ["p_win", "p_top2", "p_top3"])
     return t.groupBy("k").agg(R(F.sum("logloss") / F.sum("rows"), 6).alias("logloss"))
 
 
-@query(f"WITH {SMALL}, w AS (SELECT race_id, horse_id, p FROM p), rr AS (SELECT race_id, horse_id, finish FROM e) SELECT count(*) AS rows, count(DISTINCT race_id) AS races, count(*) FILTER (finish = 1) AS winners FROM w JOIN rr USING (race_id, horse_id)")
+@query(f"WITH {SCORED}, w AS (SELECT race_id, horse_id, p FROM p), rr AS (SELECT race_id, horse_id, finish FROM e) SELECT count(*) AS rows, count(DISTINCT race_id) AS races, count(*) FILTER (finish = 1) AS winners FROM w JOIN rr USING (race_id, horse_id)")
 def j10_frozen_results(spark, sf_dir):
-    frozen = of_year(base_rates(spark, sf_dir)).select("race_id", "horse_id", "p")
+    frozen = base_rates(spark, sf_dir).select("race_id", "horse_id", "p")
     j = frozen.join(entrants(spark, sf_dir).select("race_id", "horse_id", "finish"), ["race_id", "horse_id"])
     return j.agg(count_rows().alias("rows"), F.count_distinct("race_id").alias("races"), F.count_if(F.col("finish") == 1).alias("winners"))
 
@@ -244,16 +252,16 @@ def j10_frozen_results(spark, sf_dir):
 WEIGHTS = f"""tw AS (SELECT CAST(i / 20.0 AS DOUBLE) AS w FROM range(21) g(i)), x AS (SELECT w, w * p + (1 - w) / n AS q, label_win FROM p, tw), lw AS (SELECT w, avg({LOSS.format(p="q", y="label_win")}) AS l FROM x GROUP BY 1)"""
 
 
-@query(f"WITH {SMALL}, {WEIGHTS} SELECT arg_min(w, (round(l, 10), w)) AS weight, round(min(l), 6) AS logloss FROM lw")
+@query(f"WITH {SCORED}, {WEIGHTS} SELECT arg_min(w, (round(l, 10), w)) AS weight, round(min(l), 6) AS logloss FROM lw")
 def m26_ensemble_weight(spark, sf_dir):
     """Weight of the model against equal chances with the least loss, over 21 points."""
-    p = of_year(base_rates(spark, sf_dir)).select("p", "n", "label_win")
+    p = base_rates(spark, sf_dir).select("p", "n", "label_win")
     x = p.withColumn("w", F.explode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: i / 20.0)))
     l = x.groupBy("w").agg(F.avg(metrics.log_loss(F.col("w") * F.col("p") + (1 - F.col("w")) / F.col("n"), F.col("label_win"))).alias("l"))
     return l.agg(F.min_by("w", F.struct(R("l", 10), F.col("w"))).alias("weight"), R(F.min("l"), 6).alias("logloss"))
 
 
-LEDGER = """lg AS (SELECT l_partkey % 40 AS experiment, CASE l_returnflag WHEN 'A' THEN 'win' WHEN 'R' THEN 'top2' ELSE 'top3' END AS target, CASE WHEN l_linestatus = 'F' THEN 'TEST' ELSE 'OOS' END AS split, 'set' || (l_suppkey % 3) AS feature_set,
+LEDGER = """lg AS (SELECT l_partkey % 40 AS experiment, CASE l_returnflag WHEN 'A' THEN 'win' WHEN 'R' THEN 'top2' ELSE 'top3' END AS target, CASE WHEN l_linenumber % 3 = 0 THEN 'SELECTION' WHEN l_linestatus = 'F' THEN 'TEST' ELSE 'OOS' END AS split, 'set' || (l_suppkey % 3) AS feature_set,
  round(avg(l_discount) + 0.3, 6) AS logloss, round(avg(l_tax) + 0.1, 6) AS brier, count(*) AS n FROM lineitem GROUP BY ALL)"""
 
 
@@ -263,7 +271,7 @@ def ledger(spark, sf_dir):
     return li.groupBy(
         (F.col("l_partkey") % 40).alias("experiment"),
         F.when(F.col("l_returnflag") == "A", "win").when(F.col("l_returnflag") == "R", "top2").otherwise("top3").alias("target"),
-        F.when(F.col("l_linestatus") == "F", "TEST").otherwise("OOS").alias("split"),
+        F.when(F.col("l_linenumber") % 3 == 0, "SELECTION").when(F.col("l_linestatus") == "F", "TEST").otherwise("OOS").alias("split"),
         F.concat(F.lit("set"), (F.col("l_suppkey") % 3).cast("string")).alias("feature_set"),
     ).agg(R(F.avg("l_discount") + 0.3, 6).alias("logloss"), R(F.avg("l_tax") + 0.1, 6).alias("brier"), count_rows().alias("n"))
 
@@ -274,9 +282,9 @@ def a25_drift(spark, sf_dir):
     return x.select("target", R("TEST", 6).alias("test"), R("OOS", 6).alias("oos"), F.coalesce(F.col("OOS") > 1.08 * F.col("TEST"), F.lit(False)).alias("drift"))
 
 
-@query(f"WITH {SMALL}, x AS (SELECT domain, avg({LOSS.format(p='p', y='label_win')}) AS l FROM p GROUP BY 1) SELECT round(abs(max(l) FILTER (domain = 1) - max(l) FILTER (domain = 2)), 6) AS gap FROM x")
+@query(f"WITH {SCORED}, x AS (SELECT domain, avg({LOSS.format(p='p', y='label_win')}) AS l FROM p GROUP BY 1) SELECT round(abs(max(l) FILTER (domain = 1) - max(l) FILTER (domain = 2)), 6) AS gap FROM x")
 def a26_domain_gap(spark, sf_dir):
-    p = of_year(base_rates(spark, sf_dir)).withColumn("l", metrics.log_loss(F.col("p"), F.col("label_win")))
+    p = base_rates(spark, sf_dir).withColumn("l", metrics.log_loss(F.col("p"), F.col("label_win")))
     x = p.groupBy().pivot("domain", [1, 2]).agg(F.avg("l"))
     return x.select(R(F.abs(F.col("1") - F.col("2")), 6).alias("gap"))
 
@@ -298,10 +306,13 @@ def t01_leaderboard(spark, sf_dir):
     return top.withColumn("place", F.rank().over(Window.orderBy(*order))).select("experiment", "target", "split", "feature_set", "place")
 
 
-@query(f"WITH {LEDGER}, k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY logloss, experiment, split, feature_set) AS rn FROM lg) SELECT target, feature_set, count(*) AS elite FROM k WHERE rn <= 8 GROUP BY 1, 2")
+@query(f"""WITH {LEDGER}, k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY logloss, experiment, split, feature_set) AS rn FROM lg), n AS (SELECT target, feature_set, count(*) AS elite FROM k WHERE rn <= 8 GROUP BY 1, 2),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY target ORDER BY elite DESC, feature_set) AS INTEGER) AS place FROM n) SELECT target, feature_set, elite, place FROM o WHERE place <= 2""")
 def t03_elite(spark, sf_dir):
+    """The two most frequent feature sets among a target's eight best results."""
     rn = F.row_number().over(Window.partitionBy("target").orderBy("logloss", "experiment", "split", "feature_set"))
-    return ledger(spark, sf_dir).withColumn("rn", rn).where("rn <= 8").groupBy("target", "feature_set").agg(count_rows().alias("elite"))
+    n = ledger(spark, sf_dir).withColumn("rn", rn).where("rn <= 8").groupBy("target", "feature_set").agg(count_rows().alias("elite"))
+    return n.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("elite"), "feature_set"))).where("place <= 2")
 
 
 @query(f"WITH {LEDGER}, k AS (SELECT *, row_number() OVER (PARTITION BY feature_set ORDER BY logloss, experiment, target, split) AS rn FROM lg) SELECT feature_set, experiment, target, split FROM k WHERE rn <= 20")
@@ -310,29 +321,25 @@ def t04_top_results(spark, sf_dir):
     return ledger(spark, sf_dir).withColumn("rn", rn).where("rn <= 20").select("feature_set", "experiment", "target", "split")
 
 
-@query(f"""WITH RECURSIVE {LEDGER}, s AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY experiment, feature_set) AS i FROM lg WHERE split = 'TEST'),
+@query(f"""WITH RECURSIVE {LEDGER}, s AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY experiment, feature_set) AS i FROM lg WHERE split = 'SELECTION'),
 w AS (SELECT target, i, logloss AS best, experiment || '/' || feature_set AS champion, 1 AS promotions FROM s WHERE i = 1
  UNION ALL SELECT s.target, s.i, CASE WHEN s.logloss < best - 0.0005 THEN s.logloss ELSE best END, CASE WHEN s.logloss < best - 0.0005 THEN s.experiment || '/' || s.feature_set ELSE champion END, promotions + CAST(s.logloss < best - 0.0005 AS INTEGER) FROM w JOIN s ON s.target = w.target AND s.i = w.i + 1)
 SELECT target, arg_max(champion, i) AS champion, round(arg_max(best, i), 6) AS best, CAST(arg_max(promotions, i) AS BIGINT) AS promotions FROM w GROUP BY 1""")
 def t05_champion_margin(spark, sf_dir):
-    """Champion per target; the margin makes promotion depend on order, so each small ledger is walked."""
+    """Champion per target by SELECTION results alone; the margin makes promotion depend on order, so each small ledger is folded in order."""
+    step = lambda a, x: F.when(
+        x["logloss"] < a["best"] - 0.0005, F.struct(F.concat_ws("/", x["experiment"].cast("string"), x["feature_set"]).alias("champion"), x["logloss"].alias("best"), (a["promotions"] + 1).alias("promotions"))
+    ).otherwise(a)
+    start = F.struct(F.lit(None).cast("string").alias("champion"), F.lit(float("inf")).alias("best"), F.lit(0).cast("long").alias("promotions"))
+    rows = F.array_sort(F.collect_list(F.struct("experiment", "feature_set", "logloss")))
+    walked = ledger(spark, sf_dir).where("split = 'SELECTION'").groupBy("target").agg(F.aggregate(rows, start, step).alias("x"))
+    return walked.select("target", "x.champion", R("x.best", 6).alias("best"), "x.promotions")
 
-    def champions(pdf):
-        pdf = pdf.sort_values(["experiment", "feature_set"])
-        best, name, promotions = float("inf"), None, 0
-        for r in pdf.itertuples():
-            if r.logloss < best - 0.0005:
-                best, name, promotions = r.logloss, f"{r.experiment}/{r.feature_set}", promotions + 1
-        return pdf.head(1).assign(champion=name, best=best, promotions=promotions)[["target", "champion", "best", "promotions"]]
 
-    l = ledger(spark, sf_dir).where("split = 'TEST'")
-    return l.groupBy("target").applyInPandas(champions, "target string, champion string, best double, promotions long").withColumn("best", R("best", 6))
-
-
-@query(f"WITH {LEDGER}, b AS (SELECT *, 'brief' || (experiment % 5) AS brief FROM lg), g AS (SELECT brief, arg_min(feature_set, (logloss, experiment, target, feature_set)) AS best, min(logloss) AS l, bool_or(brier > 0.145) AS risky FROM b WHERE split = 'TEST' GROUP BY 1) SELECT brief, best, CASE WHEN risky THEN 'HOLD' WHEN l < 0.345 THEN 'PROMOTE' ELSE 'REJECT' END AS decision FROM g")
+@query(f"WITH {LEDGER}, b AS (SELECT *, 'brief' || (experiment % 5) AS brief FROM lg), g AS (SELECT brief, arg_min(feature_set, (logloss, experiment, target, feature_set)) AS best, min(logloss) AS l, bool_or(brier > 0.145) AS risky FROM b WHERE split = 'SELECTION' GROUP BY 1) SELECT brief, best, CASE WHEN risky THEN 'HOLD' WHEN l < 0.345 THEN 'PROMOTE' ELSE 'REJECT' END AS decision FROM g")
 def m34_promotion_decision(spark, sf_dir):
     """Decision per brief from bound results; only selection rows decide."""
-    b = ledger(spark, sf_dir).withColumn("brief", F.concat(F.lit("brief"), (F.col("experiment") % 5).cast("string"))).where("split = 'TEST'")
+    b = ledger(spark, sf_dir).withColumn("brief", F.concat(F.lit("brief"), (F.col("experiment") % 5).cast("string"))).where("split = 'SELECTION'")
     g = b.groupBy("brief").agg(F.min_by("feature_set", F.struct("logloss", "experiment", "target", "feature_set")).alias("best"), F.min("logloss").alias("l"), F.bool_or(F.col("brier") > 0.145).alias("risky"))
     return g.select("brief", "best", F.when(F.col("risky"), "HOLD").when(F.col("l") < 0.345, "PROMOTE").otherwise("REJECT").alias("decision"))
 
@@ -352,20 +359,11 @@ def j16_processed_exclusion(spark, sf_dir):
     return space.join(done, ["experiment", "feature_set", "target"], "left_anti").agg(count_rows().alias("todo"))
 
 
-@query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, l_extendedprice DESC, l_linenumber, l_suppkey) AS place FROM lineitem WHERE l_orderkey % 20 = 1")
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, l_extendedprice DESC, l_linenumber, l_suppkey) AS place FROM lineitem")
 def t07_ticket_order(spark, sf_dir):
     """Tickets in list order: contest, type, price descending."""
-    return ticket_order(table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 1"))
-
-
-@query()
-def t07_ticket_order_whole(spark, sf_dir):
-    """All line items; the SQL of the query without `_whole` has a twentieth of the orders."""
-    return ticket_order(table(spark, sf_dir, "lineitem"))
-
-
-def ticket_order(li):
-    return li.select("l_orderkey", "l_linenumber", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_returnflag", F.desc("l_extendedprice"), "l_linenumber", "l_suppkey")).cast("long").alias("place"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_returnflag", F.desc("l_extendedprice"), "l_linenumber", "l_suppkey"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", place.cast("long").alias("place"))
 
 
 @query(f"WITH {CONTESTS} SELECT race_id FROM c ORDER BY day DESC, race_id LIMIT 16")
@@ -373,21 +371,17 @@ def t02_newest(spark, sf_dir):
     return contests(spark, sf_dir).orderBy(F.desc("day"), "race_id").limit(16).select("race_id")
 
 
-@query(f"WITH {SMALL}, {PL.split('s AS (SELECT race_id, i')[0].rstrip().rstrip(',')} SELECT race_id, i AS horse_id, count(*) AS rivals, round(any_value(pool), 6) AS pool FROM j JOIN (SELECT race_id, j AS i, pool FROM pool) q USING (race_id, i) GROUP BY 1, 2 HAVING count(*) >= 2")
+@query(f"WITH {SCORED}, {PL.split('s AS (SELECT race_id, i')[0].rstrip().rstrip(',')} SELECT race_id, i AS horse_id, count(*) AS rivals, round(any_value(pool), 6) AS pool FROM j JOIN (SELECT race_id, j AS i, pool FROM pool) q USING (race_id, i) GROUP BY 1, 2 HAVING count(*) >= 2")
 def j17_pair_join(spark, sf_dir):
     """All ordered pairs of a contest's entrants, and each one's pool over two rivals or more."""
-    p = of_year(base_rates(spark, sf_dir)).select("race_id", "horse_id", "p")
+    p = base_rates(spark, sf_dir).select("race_id", "horse_id", "p")
     other = p.select("race_id", F.col("horse_id").alias("rival"), F.col("p").alias("q"))
     pairs = p.join(other, "race_id").where("horse_id <> rival")
     pool = F.sum(F.col("q") / F.greatest(1 - F.col("p") - F.col("q"), F.lit(1e-15)))
     return pairs.groupBy("race_id", "horse_id").agg(count_rows().alias("rivals"), R(pool, 6).alias("pool")).where("rivals >= 2")
 
 
-@query(f"WITH {SMALL} SELECT CASE WHEN round(p, 9) >= 0.5 THEN 'SEVERE' WHEN round(p, 9) >= 0.25 THEN 'MAJOR' WHEN round(p, 9) >= 0.10 THEN 'MINOR' ELSE 'TAIL' END AS class, count(*) AS rows FROM p GROUP BY 1")
+@query(f"WITH {SCORED} SELECT CASE WHEN round(p, 9) >= 0.5 THEN 'SEVERE' WHEN round(p, 9) >= 0.25 THEN 'MAJOR' WHEN round(p, 9) >= 0.10 THEN 'MINOR' ELSE 'TAIL' END AS class, count(*) AS rows FROM p GROUP BY 1")
 def f24_miss_class(spark, sf_dir):
-    p = of_year(base_rates(spark, sf_dir))
+    p = base_rates(spark, sf_dir)
     return p.groupBy(strategy.miss_class(R("p", 9)).alias("class")).agg(count_rows().alias("rows"))
-
-
-for _name in [n for n, sql in SQL.items() if sql.startswith((f"WITH {SMALL}", f"WITH {FAIL}"))]:
-    query()(whole(QUERIES[_name]))

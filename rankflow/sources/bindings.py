@@ -131,13 +131,13 @@ f AS (SELECT *, count(*) OVER b AS prior_start_count, dn - lag(dn) OVER o AS day
 def workouts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Contests and evidence of the point-in-time join, both from events.
 
-    Outcomes: purchases, each an entrant of the contest of its hour and event-id digit.
+    Outcomes: purchases, each an entrant of the contest of its day and stretch of 24 events.
     Evidence: views and clicks with an event day, a creation day (event time plus
-    props.k hours), a center, a clock time and a measured value.
+    props.k hours), a center, a clock time and two measured values.
     """
     ev = table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
     day = F.unix_date(F.to_date("t"))
-    out = ev.where("event_type = 'purchase'").select(F.col("event_id").alias("race_row"), F.col("user_id").alias("horse_id"), day.alias("dn"), (day * 10 + F.col("event_id") % 10).alias("race_id"), "value")
+    out = ev.where("event_type = 'purchase'").select(F.col("event_id").alias("race_row"), F.col("user_id").alias("horse_id"), day.alias("dn"), (day.cast("long") * 1_000_000_000 + F.floor(F.col("event_id") / 24)).alias("race_id"), "value")
     k = F.coalesce(F.get_json_object("props", "$.k").try_cast("int"), F.lit(0))
     seen = ev.where("event_type in ('view', 'click')").select(
         F.col("user_id").alias("horse_id"),
@@ -147,11 +147,12 @@ def workouts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.unix_timestamp("t").alias("clock"),
         F.col("event_id").alias("wid"),
         F.when(F.col("event_id") % 7 == 0, None).otherwise(F.col("value")).alias("f1"),
+        F.when(F.col("event_id") % 11 == 0, None).otherwise(F.col("value") * 4 + F.col("event_id") % 13).alias("f4"),
     )
     return out, seen
 
 
 WORKOUTS = """ev AS (SELECT *, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS d FROM events),
-o AS (SELECT event_id AS race_row, user_id AS horse_id, d AS dn, d * 10 + event_id % 10 AS race_id, value FROM ev WHERE event_type = 'purchase'),
+o AS (SELECT event_id AS race_row, user_id AS horse_id, d AS dn, d * 1000000000 + event_id // 24 AS race_id, value FROM ev WHERE event_type = 'purchase'),
 w AS (SELECT user_id AS horse_id, d AS wd, date_diff('day', DATE '1970-01-01', CAST(ts + to_hours(CAST(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS INTEGER)) AS DATE)) AS created,
- CASE event_type WHEN 'view' THEN 'A' ELSE 'B' END AS center, CAST(floor(epoch(ts)) AS BIGINT) AS clock, event_id AS wid, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS f1 FROM ev WHERE event_type IN ('view', 'click'))"""
+ CASE event_type WHEN 'view' THEN 'A' ELSE 'B' END AS center, CAST(floor(epoch(ts)) AS BIGINT) AS clock, event_id AS wid, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS f1, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value * 4 + event_id % 13 END AS f4 FROM ev WHERE event_type IN ('view', 'click'))"""

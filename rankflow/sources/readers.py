@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables: in the shared folder that the session names in spark.checkpoint.dir."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet and read again, for what several branches of a plan read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def relation(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """Parquet, or CSV with a header and a declared schema."""
     if path.rstrip("/").endswith((".csv", ".csv.gz")):
@@ -58,6 +77,6 @@ def stage_after(df: DataFrame, key: str, path: str) -> None:
 
 
 def part_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """file and sha256 of every Parquet part below a folder."""
+    """folder, file and sha256 of every Parquet part below a folder."""
     parts = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    return parts.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    return parts.select(F.element_at(F.split("path", "/"), -2).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,22 +40,66 @@ def ingest(stream: DataFrame, rules: Mapping[str, Column], good: str, bad: str,
     run_now(stream, checkpoint, each)
 
 
-def freeze(stream: DataFrame, key: str, order: list[str], path: str, checkpoint: str) -> None:
-    """The first version of a key is kept for good: in a batch by order, later ones lose to what is there."""
-    from pyspark.sql.window import Window
+def poll(stream: DataFrame, ledger: str, out: str, checkpoint: str) -> None:
+    """Deliveries (path, content), each content taken once whatever its name: rows to `out`, every delivery to `ledger`.
 
-    spark = stream.sparkSession
+    The ledger is read up to the batch before, so a repeated batch comes to the same end.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        first = batch.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__rn = 1").drop("__rn")
+        spark = batch.sparkSession
+        rows = batch.withColumn("sha256", F.sha2("content", 256))
+        first = rows.groupBy("sha256").agg(F.min("path").alias("taken"))
         if number:
-            frozen = spark.read.schema(batch.schema).parquet(*[f"{path}/batch={i}" for i in range(number)])
-            first = first.join(frozen.select(key), key, "left_anti")
-        first.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            known = spark.read.schema("sha256 string").parquet(*[f"{ledger}/batch={i}" for i in range(number)]).distinct()
+            first = first.join(known, "sha256", "left_anti")
+        marked = rows.join(first, "sha256", "left").withColumn("skipped", ~F.col("path").eqNullSafe(F.col("taken")))
+        marked.select("path", "sha256", "skipped", "content").write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+        spark.read.parquet(f"{ledger}/batch={number}").where("not skipped").select("path", F.explode(F.split(F.regexp_replace("content", "\n+$", ""), "\n")).alias("line")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     run_now(stream, checkpoint, each)
 
 
+class FirstVersion(StatefulProcessor):
+    """Per key: the first row by order of the batch that brings the key; later ones lose to it."""
+
+    def __init__(self, order: list[str]):
+        self.order = order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "there boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            both = pdf if first is None else pd.concat([first, pdf])
+            first = both.nsmallest(1, self.order) if pd.api.types.is_numeric_dtype(both[self.order[0]]) else both.sort_values(self.order).head(1)
+        if not self.seen.exists() and first is not None:
+            self.seen.update((True,))
+            yield first
+
+    def close(self) -> None:
+        pass
+
+
+def freeze(stream: DataFrame, key: str, order: list[str], path: str, checkpoint: str) -> None:
+    """The first version of a key is kept for good, by keyed state: in a batch by order, later ones lose to what is there."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    first = stream.groupBy(key).transformWithStateInPandas(FirstVersion(order), outputStructType=fields, outputMode="Append", timeMode="None")
+    with_rocks(stream.sparkSession, lambda: run_now(first, checkpoint, path=path))
+
+
+def with_rocks(spark: SparkSession, run) -> None:
+    """Runs a job whose operators need the RocksDB state store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    try:
+        run()
+    finally:
+        spark.conf.set(name, old)
+
+
 class DayBarrierHistory(StatefulProcessor):
     """Per key: sums by day; a row sees the days of the window before its own, never its own."""
 
@@ -65,27 +110,35 @@ class DayBarrierHistory(StatefulProcessor):
         self.sums = handle.getMapState("sums", "dn int", "n long, wins long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["dn", "row_id"])
-        known = {k[0]: tuple(v) for k, v in self.sums.iterator()}
-        fresh = {d: (len(g), int(g["win"].sum())) for d, g in new.groupby("dn")}
+        known = {k[0]: tuple(v) for k, v in self.sums.iterator()}  # at most the days of the window
+        ids, at, fresh = [], [], {}
+        for pdf in rows:
+            ids.append(pdf["row_id"].to_numpy(np.int64))
+            at.append(pdf["dn"].to_numpy(np.int64))
+            for d, n, w in pdf.groupby("dn")["win"].agg(["size", "sum"]).itertuples():
+                old = fresh.get(d, known.get(d, (0, 0)))
+                fresh[d] = (old[0] + n, int(old[1] + w))
+        known.update(fresh)
+        days = np.array(sorted(known), np.int64)
+        sums = np.concatenate([[(0, 0)], np.cumsum([known[d] for d in days.tolist()], axis=0)])
         for d, (n, w) in fresh.items():
-            old = known.get(d, (0, 0))
-            known[d] = (old[0] + n, old[1] + w)
-        days = sorted(known)
-        out = []
-        for d, g in new.groupby("dn"):
-            past = [known[x] for x in days if d - self.days <= x < d]
-            out.append(pd.DataFrame({"row_id": g["row_id"], "h_n": sum(x[0] for x in past), "h_wins": sum(x[1] for x in past)}))
-        for d in fresh:
-            self.sums.updateValue((int(d),), known[d])
-        yield pd.concat(out)
+            self.sums.updateValue((int(d),), (int(n), int(w)))
+        for d in days[days < days[-1] - self.days].tolist():  # before the window of any later day
+            self.sums.removeKey((int(d),))
+        for own, day in zip(ids, at, strict=True):
+            past = sums[np.searchsorted(days, day)] - sums[np.searchsorted(days, day - self.days)]
+            yield pd.DataFrame({"row_id": own, "h_n": past[:, 0], "h_wins": past[:, 1]})
 
     def close(self) -> None:
         pass
 
 
 def stateful_history(stream: DataFrame, key: str, days: int = 1095) -> DataFrame:
-    """Rolling history of a stream of (key, row_id, dn, win) with keyed state."""
+    """Rolling history of a stream of (key, row_id, dn, win) with keyed state.
+
+    State holds the sums of the days that a later day's window can reach. Rows that come
+    behind it by more than the window see what is left; emitted rows are not revised.
+    """
     return stream.groupBy(key).transformWithStateInPandas(DayBarrierHistory(days), outputStructType="row_id long, h_n long, h_wins long", outputMode="Append", timeMode="None")
 
 
@@ -103,7 +156,7 @@ def results_after(predictions: DataFrame, results: DataFrame, key: str, within:
 
 
 def daily_counts(stream: DataFrame, at: str, by: str, late: str = "2 days") -> DataFrame:
-    """Rows per day and source."""
+    """Rows per day and source, to be written in update mode: the watermark ends a day's state."""
     return stream.withWatermark(at, late).groupBy(F.window(at, "1 day"), by).agg(F.count(F.lit(1)).alias("rows")).select(F.to_date("window.start").alias("day"), by, "rows")
 
 

@@ -1,74 +1,99 @@
-"""Queries over all rows, where the SQL covers a part of them, against that SQL without the cut."""
+"""Queries over whole tables whose faults, draws and merges the SQL alone does not show."""
 
-import hashlib
-import math
+import itertools
+import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from rankflow.operators import history, metrics, strategy
 from rankflow.plans import model_queries, strategy_queries
 from rankflow.registry import QUERIES, SQL
 
 from .test_queries import SF, duck, rows, same  # noqa: F401
 
-CUTS = {
-    "a24_lineage_graph": " WHERE event_id < 100000",
-    "f18_f19_row_means": " WHERE l_orderkey % 10 = 1",
-    "f13_f20_losses_and_value": " WHERE l_orderkey % 10 = 3",
-    "t07_ticket_order": " WHERE l_orderkey % 20 = 1",
-}
 
-
-def equal(duck, df, sql):  # noqa: F811
-    want = duck.sql(sql)
-    assert sorted(df.columns) == sorted(want.columns)
-    a, b = rows(df.columns, df.collect()), rows(want.columns, want.fetchall())
-    assert len(a) == len(b) > 0
-    assert all(same(x, y) for r, s in zip(a, b, strict=True) for x, y in zip(r, s, strict=True))
-
-
-@pytest.mark.parametrize("name", sorted(CUTS))
-def test_whole_query_equals_sql_without_its_filter(spark, duck, name):  # noqa: F811
-    assert CUTS[name] in SQL[name]
-    equal(duck, QUERIES[f"{name}_whole"](spark, SF), SQL[name].replace(CUTS[name], ""))
+def test_no_query_reads_a_part_of_its_table():
+    cuts = ("year(day) = 1998", "event_id < 100000", "l_orderkey % 10", "l_orderkey % 20", "race_id % 16")
+    assert [(n, c) for n, sql in SQL.items() for c in cuts if c in sql] == []
 
 
 def test_lineage_graph_past_event_100000(spark, tmp_path):
     data = [(99_999, 1, "view"), (100_000, 2, "purchase"), (2_000_000, 2, "view")]
     spark.createDataFrame(data, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
-    assert QUERIES["a24_lineage_graph_whole"](spark, str(tmp_path)).collect() == [(6, 4)]
-
-
-YEAR = " WHERE year(day) = 1998"
-SAMPLED = {"m29_rank_sampling", "m30_simulation_error"}  # too many draws for the SQL
-ALL_YEARS = sorted(n for n in SQL if YEAR in SQL[n] and f"{n}_whole" in QUERIES)
-
-
-def test_every_query_of_one_year_has_a_whole_form():
-    assert ALL_YEARS == sorted(n for n in SQL if YEAR in SQL[n]) and len(ALL_YEARS) > 20
-
-
-@pytest.mark.parametrize("name", [n for n in ALL_YEARS if n not in SAMPLED])
-def test_all_years_equal_sql_without_the_year(spark, duck, name):  # noqa: F811
-    equal(duck, QUERIES[f"{name}_whole"](spark, SF), SQL[name].replace(YEAR, ""))
-
-
-def test_all_contests_are_sampled_20000_times(spark, monkeypatch):
-    field = [(2, 1, 0.5), (2, 2, 0.3), (2, 3, 0.2), (17, 4, 0.9), (17, 5, 0.1)]
-    p = spark.createDataFrame([(r, h, x, "1995-03-01" if r == 2 else "1998-03-01") for r, h, x in field], "race_id long, horse_id long, p double, day string").withColumn("day", strategy_queries.F.to_date("day"))
-    monkeypatch.setattr(strategy_queries, "base_rates", lambda *_: p)
-    u = lambda *k: int(hashlib.md5("|".join(map(str, k)).encode()).hexdigest()[:13], 16) / 4503599627370496.0
-    wins, top3 = dict.fromkeys([f[:2] for f in field], 0), dict.fromkeys([f[:2] for f in field], 0)
-    for race in (2, 17):
-        own = [f for f in field if f[0] == race]
-        for draw in range(20_000):
-            order = sorted(own, key=lambda f: (-(math.log(f[2]) - math.log(-math.log(u(race, f[1], draw) + 1e-16))), f[1]))
-            wins[order[0][:2]] += 1
-            for f in order[:3]:
-                top3[f[:2]] += 1
-    got = {(r["race_id"], r["horse_id"]): (r["wins"], r["top3"]) for r in QUERIES["m29_rank_sampling_whole"](spark, "").collect()}
-    assert got == {k: (wins[k], top3[k]) for k in wins}
-    error = sum(abs(wins[f[:2]] / 20_000 - f[2]) for f in field) / len(field)
-    assert QUERIES["m30_simulation_error_whole"](spark, "").collect() == [(5, round(error, 4))]
+    assert QUERIES["a24_lineage_graph"](spark, str(tmp_path)).collect() == [(6, 4)]
+
+
+def test_every_contest_is_sampled_and_draws_follow_the_rank_model(spark):
+    fields = {2: [0.5, 0.3, 0.2], 17: [0.9, 0.1], 2**40: [0.4, 0.3, 0.2, 0.1]}
+    p = spark.createDataFrame([(r, h, x) for r, own in fields.items() for h, x in enumerate(own)], "race_id long, horse_id long, p double")
+    got = {(r["race_id"], r["horse_id"]): (r["wins"], r["top3"]) for r in strategy_queries.sampled(p).collect()}
+    assert got == {(r["race_id"], r["horse_id"]): (r["wins"], r["top3"]) for r in strategy_queries.sampled(p.repartition(3)).collect()}
+    for race, own in fields.items():
+        third = dict.fromkeys(range(len(own)), 0.0)
+        for order in itertools.permutations(range(len(own)), min(3, len(own))):
+            chance, left = 1.0, 1.0
+            for i in order:
+                chance, left = chance * own[i] / left, left - own[i]
+            for i in order:
+                third[i] += chance
+        assert sum(got[race, h][0] for h in third) == 20_000
+        for h, x in enumerate(own):
+            assert got[race, h][0] / 20_000 == pytest.approx(x, abs=0.015)
+            assert got[race, h][1] / 20_000 == pytest.approx(third[h], abs=0.015)
+
+
+def test_outcomes_merge_months_as_one_walk_would(spark):
+    pick = random.Random(8)
+    bets = [(s, f"{1995 + m // 12}-{m % 12 + 1:02d}-{pick.randint(1, 28):02d}", pick.randint(1, 40), pick.choice((0.0, 0.0, 0.0, 90.0, 400.0))) for s in ("a", "b") for m in range(30) for _ in range(pick.choice((0, 1, 6)))]
+    bets += [("lost", f"1996-0{m}-01", 1, 0.0) for m in range(1, 8)]
+    df = spark.createDataFrame(bets, "strategy string, day string, race_id long, payout double").withColumn("day", F.to_date("day"))
+    got = {r["strategy"]: r for r in strategy.outcomes(df).collect()}
+    for name in ("a", "b", "lost"):
+        races = {}
+        for s, day, race, payout in bets:
+            if s == name:
+                races.setdefault((day, race), []).append(payout)
+        equity = peak = drop = streak = longest = 0
+        for key in sorted(races):
+            equity += sum(races[key]) - 100 * len(races[key])
+            peak = max(peak, equity)
+            drop = max(drop, peak - equity)
+            streak = 0 if any(races[key]) else streak + 1
+            longest = max(longest, streak)
+        assert (got[name]["races"], got[name]["losing_streak"]) == (len(races), longest)
+        assert got[name]["max_drawdown"] == pytest.approx(drop) and got[name]["profit"] == pytest.approx(equity)
+
+
+def test_contexts_equal_histories_and_keep_null_keys(spark):
+    pick = random.Random(9)
+    data = [(i, pick.choice((1, 2, None)), pick.choice(("x", "y", None)), pick.randint(0, 2000), pick.randint(0, 1)) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, k long, c string, dn int, win int")
+    got = {r["id"]: (r["a_n"], r["a_w"], r["b_n"], r["b_w"]) for r in history.contexts(df, "k", {"a_": [], "b_": ["c"]}, {"w": F.col("win")}).collect()}
+    for i, k, c, dn, _ in data:
+        own = [x for x in data if x[1] == k and dn - 1095 <= x[3] < dn]
+        ctx = [x for x in own if x[2] == c]
+        assert got[i] == (len(own), sum(x[4] for x in own), len(ctx), sum(x[4] for x in ctx))
+    one = history.history(df, ["k", "c"], {"w": F.col("win")})
+    assert {r["id"]: (r["h_n"], r["h_w"]) for r in one.collect()} == {i: v[2:] for i, v in got.items()}
+
+
+def test_redundancy_by_ranks(spark):
+    pick = np.random.default_rng(3)
+    a = np.round(pick.normal(size=700), 1)
+    data = [(float(x), None if i % 9 == 0 else float(np.round(-x + pick.normal() / 4, 1)), float(pick.integers(3)), 1.0 if i < 100 else None) for i, x in enumerate(a)]
+    df = spark.createDataFrame(data, "a double, b double, c double, d double")
+
+    def rank(v):
+        v = np.array(v)
+        return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+
+    both = [(x[0], x[1]) for x in data if x[1] is not None]
+    want = abs(np.corrcoef(rank([x[0] for x in both]), rank([x[1] for x in both]))[0, 1])
+    got = {r["feature"]: r["redundancy"] for r in metrics.redundancy(df, ["a", "d"], ["b", "c", "d"]).collect()}
+    assert got["a"] == pytest.approx(max(want, abs(np.corrcoef(rank([x[0] for x in data]), rank([x[2] for x in data]))[0, 1])))
+    assert got["d"] == 0.0  # fewer than 500 pairs
 
 
 def test_search_resumes_until_the_space_is_done(spark, monkeypatch):
