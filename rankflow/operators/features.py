@@ -28,13 +28,15 @@ def ability(df: DataFrame) -> DataFrame:
 
 
 def field_strength(df: DataFrame) -> DataFrame:
-    """Field mean without the own value, coverage, rank and percentile of ability in the contest, and form against the past."""
+    """Field mean without the own value, coverage, rank and percentile of ability in the contest, and form against the past.
+
+    The past are earlier days of the competitor, summed per day before they are ordered.
+    """
     race = Window.partitionBy(RACE)
-    row = Window.partitionBy("horse_id").orderBy("dn", RACE)
+    day = Window.partitionBy("horse_id").orderBy("dn")
     a = F.col("ability")
     own = a.isNotNull().cast("int")
     others = F.count("ability").over(race) - own
-    past = row.rowsBetween(Window.unboundedPreceding, -1)
     out = df.withColumns(
         {
             "field_mean": (F.sum("ability").over(race) - F.coalesce(a, F.lit(0.0))) / F.nullif(others, F.lit(0)),
@@ -43,7 +45,10 @@ def field_strength(df: DataFrame) -> DataFrame:
             "ability_pct": average_rank(a, RACE) / F.count("ability").over(race),
         }
     )
-    out = out.withColumns({"prev_field": F.lag("field_mean").over(row), "field3": F.avg("field_mean").over(row.rowsBetween(-3, -1)), "field5": F.avg("field_mean").over(row.rowsBetween(-5, -1)), "field_all": F.avg("field_mean").over(past)})
+    daily = out.groupBy("horse_id", "dn").agg(F.sum("field_mean").alias("s"), F.count("field_mean").alias("k"))
+    mean = lambda first: F.try_divide(F.sum("s").over(day.rowsBetween(first, -1)), F.sum("k").over(day.rowsBetween(first, -1)))
+    past = daily.select(F.col("horse_id").alias("__horse"), F.col("dn").alias("__day"), mean(-1).alias("prev_field"), mean(-3).alias("field3"), mean(-5).alias("field5"), mean(Window.unboundedPreceding).alias("field_all"))
+    out = out.join(past, F.col("horse_id").eqNullSafe(F.col("__horse")) & (F.col("dn") == F.col("__day"))).drop("__horse", "__day")
     return out.withColumns({"edge": a - F.col("field_mean"), "field_trend": F.col("prev_field") - F.col("field5"), "field_step": F.col("field_mean") - F.col("field_all")})
 
 

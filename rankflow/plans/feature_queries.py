@@ -19,7 +19,10 @@ ab AS (SELECT *, CASE WHEN len(parts) > 0 THEN list_sum(parts) / len(parts) END
 fs0 AS (SELECT *, (sum(ability) OVER r - coalesce(ability, 0)) / nullif(count(ability) OVER r - CAST(ability IS NOT NULL AS INTEGER), 0) AS field_mean, (count(ability) OVER r - CAST(ability IS NOT NULL AS INTEGER)) / nullif(count(*) OVER r - 1, 0)::DOUBLE AS field_coverage,
  CASE WHEN ability IS NOT NULL THEN rank() OVER (PARTITION BY race_id ORDER BY ability DESC NULLS LAST) + (count(*) OVER (PARTITION BY race_id, ability) - 1) / 2.0 END AS ability_rank,
  CASE WHEN ability IS NOT NULL THEN (rank() OVER (PARTITION BY race_id ORDER BY ability NULLS LAST) + (count(*) OVER (PARTITION BY race_id, ability) - 1) / 2.0) / count(ability) OVER r END AS ability_pct FROM ab WINDOW r AS (PARTITION BY race_id)),
-fs AS (SELECT *, lag(field_mean) OVER o AS prev_field, avg(field_mean) OVER (o ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS field3, avg(field_mean) OVER (o ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS field5, avg(field_mean) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS field_all FROM fs0 WINDOW o AS (PARTITION BY horse_id ORDER BY dn, race_id))"""
+fsd AS (SELECT horse_id, dn, sum(field_mean) AS s, count(field_mean) AS k FROM fs0 GROUP BY 1, 2),
+fsp AS (SELECT horse_id, dn, sum(s) OVER l1 / nullif(sum(k) OVER l1, 0) AS prev_field, sum(s) OVER l3 / nullif(sum(k) OVER l3, 0) AS field3, sum(s) OVER l5 / nullif(sum(k) OVER l5, 0) AS field5, sum(s) OVER b / nullif(sum(k) OVER b, 0) AS field_all FROM fsd
+ WINDOW l1 AS (PARTITION BY horse_id ORDER BY dn ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING), l3 AS (PARTITION BY horse_id ORDER BY dn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), l5 AS (PARTITION BY horse_id ORDER BY dn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY horse_id ORDER BY dn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+fs AS (SELECT fs0.*, fsp.* EXCLUDE (horse_id, dn) FROM fs0 JOIN fsp USING (horse_id, dn))"""
 
 
 def strength(spark, sf_dir):
@@ -153,7 +156,7 @@ rd AS (SELECT feature, max(abs(rho)) AS redundancy FROM (SELECT feature, other,
 
 def redundancies(f):
     """Of each feature against the existing ones; values as the SQL rounds them."""
-    rounded = f.select(*[F.round(F.col(c).cast("double"), 9).alias(c) for c in {*FEATS, *EXISTING}])
+    rounded = stored(f.select(*[F.round(F.col(c).cast("double"), 9).alias(c) for c in sorted({*FEATS, *EXISTING})]), "features")
     return metrics.redundancy(rounded, FEATS, EXISTING)
 
 
@@ -180,7 +183,7 @@ d AS (SELECT feature, avg(greatest(auc, 1 - auc)) AS mean, min(greatest(auc, 1 -
 @query(f"WITH {M18}, {REDUNDANT} SELECT feature, round(coverage, 6) AS coverage, uniques, round(redundancy, 6) AS redundancy, round(mean, 6) AS mean_auc, CASE WHEN coverage < 0.55 OR uniques < 5 OR redundancy >= 0.98 OR mean < 0.515 OR least < 0.505 THEN 'REJECT' ELSE 'KEEP' END AS decision FROM cv JOIN d USING (feature) JOIN (SELECT feature, coalesce(redundancy, 0) AS redundancy FROM cv LEFT JOIN rd USING (feature)) USING (feature)")
 def m18_feature_triage(spark, sf_dir):
     """Coverage, uniqueness, redundancy and rank quality per feature in long form; decided on VALIDATION and SELECTION."""
-    base = feature_base(spark, sf_dir)
+    base = stored(feature_base(spark, sf_dir).select("day", "label_win", *sorted({*FEATS, *EXISTING})), "features")
     f = base.withColumn("split", splits.assigned(None, PLAN)).where("split is not null")
     long = f.select("split", F.col("label_win").alias("y"), F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.round(F.col(x).cast("double"), 9).alias("v")) for x in FEATS])).alias("x")).select("split", "y", "x.*")
     cover = long.groupBy("feature").agg(F.avg(F.col("v").isNotNull().cast("int")).alias("coverage"), F.count_distinct("v").alias("uniques"))

@@ -86,45 +86,53 @@ def feature_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entrants with the prior-form columns that the feature operators read.
 
     form = place among the field as a share (0 best), gap = log price ratio to the
-    winner. All prior columns come from earlier rows of the competitor in (day, race)
-    order.
+    winner. All prior columns come from earlier days of the competitor, whose rows are
+    summed per day first: no row informs another one of its day, and a busy competitor's
+    window holds days.
     """
-    e = entrants(spark, sf_dir)
-    race = Window.partitionBy("race_id")
-    row = Window.partitionBy("horse_id").orderBy("dn", "race_id")
-    before = row.rowsBetween(Window.unboundedPreceding, -1)
-    e = e.withColumn("form", (F.col("finish") - 1) / (F.col("n") - 1)).withColumn("gap", F.log(F.max("price").over(race) / F.col("price")))
-    return e.withColumns(
-        {
-            "prior_start_count": F.count(F.lit(1)).over(before),
-            "days_since_last_run": F.col("dn") - F.lag("dn").over(row),
-            "prior_win_rate": F.avg("label_win").over(before),
-            "prior_top2_rate": F.avg("label_top2").over(before),
-            "prior_top3_rate": F.avg("label_top3").over(before),
-            "prior_avg_finish_pct": F.avg("form").over(before),
-            "prior_avg_time_diff": F.avg("gap").over(before),
-            "recent3_finish_pct_mean": F.avg("form").over(row.rowsBetween(-3, -1)),
-            "recent5_finish_pct_mean": F.avg("form").over(row.rowsBetween(-5, -1)),
-            "recent3_time_diff_mean": F.avg("gap").over(row.rowsBetween(-3, -1)),
-            "recent5_time_diff_mean": F.avg("gap").over(row.rowsBetween(-5, -1)),
-            "same_distance_prior_count": F.count(F.lit(1)).over(Window.partitionBy("horse_id", "distance").orderBy("dn", "race_id").rowsBetween(Window.unboundedPreceding, -1)),
-            "same_track_prior_count": F.count(F.lit(1)).over(Window.partitionBy("horse_id", "track").orderBy("dn", "race_id").rowsBetween(Window.unboundedPreceding, -1)),
-        }
+    race, day = Window.partitionBy("race_id"), Window.partitionBy("horse_id").orderBy("dn")
+    e = entrants(spark, sf_dir).withColumn("form", (F.col("finish") - 1) / (F.col("n") - 1)).withColumn("gap", F.log(F.max("price").over(race) / F.col("price")))
+    sums = ["label_win", "label_top2", "label_top3", "form", "gap"]
+    daily = e.groupBy("horse_id", "dn").agg(F.count(F.lit(1)).alias("k"), *[F.sum(c).alias(c) for c in sums])
+    every, last3, last5 = day.rowsBetween(Window.unboundedPreceding, -1), day.rowsBetween(-3, -1), day.rowsBetween(-5, -1)
+    mean = lambda c, w: F.sum(c).over(w) / F.sum("k").over(w)
+    past = daily.select(
+        F.col("horse_id").alias("__horse"),
+        F.col("dn").alias("__day"),
+        F.coalesce(F.sum("k").over(every), F.lit(0)).alias("prior_start_count"),
+        (F.col("dn") - F.lag("dn").over(day)).alias("days_since_last_run"),
+        mean("label_win", every).alias("prior_win_rate"),
+        mean("label_top2", every).alias("prior_top2_rate"),
+        mean("label_top3", every).alias("prior_top3_rate"),
+        mean("form", every).alias("prior_avg_finish_pct"),
+        mean("gap", every).alias("prior_avg_time_diff"),
+        mean("form", last3).alias("recent3_finish_pct_mean"),
+        mean("form", last5).alias("recent5_finish_pct_mean"),
+        mean("gap", last3).alias("recent3_time_diff_mean"),
+        mean("gap", last5).alias("recent5_time_diff_mean"),
     )
+    e = e.join(past, F.col("horse_id").eqNullSafe(F.col("__horse")) & (F.col("dn") == F.col("__day"))).drop("__horse", "__day")
+    for c in ("distance", "track"):
+        like = e.groupBy("horse_id", c, "dn").agg(F.count(F.lit(1)).alias("k"))
+        own = Window.partitionBy("horse_id", c).orderBy("dn").rowsBetween(Window.unboundedPreceding, -1)
+        like = like.select(F.col("horse_id").alias("__horse"), F.col(c).alias("__like"), F.col("dn").alias("__day"), F.coalesce(F.sum("k").over(own), F.lit(0)).alias(f"same_{c}_prior_count"))
+        e = e.join(like, F.col("horse_id").eqNullSafe(F.col("__horse")) & F.col(c).eqNullSafe(F.col("__like")) & (F.col("dn") == F.col("__day"))).drop("__horse", "__like", "__day")
+    return e
 
 
 FEATURE_BASE = (
     ENTRANTS
     + """,
 f0 AS (SELECT *, (finish - 1) / (n - 1)::DOUBLE AS form, ln(max(price) OVER (PARTITION BY race_id) / price) AS gap FROM e),
-f AS (SELECT *, count(*) OVER b AS prior_start_count, dn - lag(dn) OVER o AS days_since_last_run,
- avg(label_win) OVER b AS prior_win_rate, avg(label_top2) OVER b AS prior_top2_rate, avg(label_top3) OVER b AS prior_top3_rate,
- avg(form) OVER b AS prior_avg_finish_pct, avg(gap) OVER b AS prior_avg_time_diff,
- avg(form) OVER (o ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS recent3_finish_pct_mean, avg(form) OVER (o ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS recent5_finish_pct_mean,
- avg(gap) OVER (o ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS recent3_time_diff_mean, avg(gap) OVER (o ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS recent5_time_diff_mean,
- count(*) OVER (PARTITION BY horse_id, distance ORDER BY dn, race_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS same_distance_prior_count,
- count(*) OVER (PARTITION BY horse_id, track ORDER BY dn, race_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS same_track_prior_count
- FROM f0 WINDOW o AS (PARTITION BY horse_id ORDER BY dn, race_id), b AS (PARTITION BY horse_id ORDER BY dn, race_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+fd AS (SELECT horse_id, dn, count(*) AS k, sum(label_win) AS w1, sum(label_top2) AS w2, sum(label_top3) AS w3, sum(form) AS form, sum(gap) AS gap FROM f0 GROUP BY 1, 2),
+fp AS (SELECT horse_id, dn, CAST(coalesce(sum(k) OVER b, 0) AS BIGINT) AS prior_start_count, dn - lag(dn) OVER o AS days_since_last_run,
+ sum(w1) OVER b / sum(k) OVER b AS prior_win_rate, sum(w2) OVER b / sum(k) OVER b AS prior_top2_rate, sum(w3) OVER b / sum(k) OVER b AS prior_top3_rate, sum(form) OVER b / sum(k) OVER b AS prior_avg_finish_pct, sum(gap) OVER b / sum(k) OVER b AS prior_avg_time_diff,
+ sum(form) OVER l3 / sum(k) OVER l3 AS recent3_finish_pct_mean, sum(form) OVER l5 / sum(k) OVER l5 AS recent5_finish_pct_mean, sum(gap) OVER l3 / sum(k) OVER l3 AS recent3_time_diff_mean, sum(gap) OVER l5 / sum(k) OVER l5 AS recent5_time_diff_mean
+ FROM fd WINDOW o AS (PARTITION BY horse_id ORDER BY dn), b AS (PARTITION BY horse_id ORDER BY dn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), l3 AS (PARTITION BY horse_id ORDER BY dn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), l5 AS (PARTITION BY horse_id ORDER BY dn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+f AS (SELECT f0.*, fp.* EXCLUDE (horse_id, dn),
+ count(*) OVER (PARTITION BY horse_id, distance ORDER BY dn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS same_distance_prior_count,
+ count(*) OVER (PARTITION BY horse_id, track ORDER BY dn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS same_track_prior_count
+ FROM f0 JOIN fp USING (horse_id, dn))"""
 )
 
 
