@@ -2,19 +2,25 @@
 
 For each language, a suffix automaton of a bounded sample of labelled text accepts
 all its substrings. A text is parsed greedily into longest matches; the language that
-needs the fewest phrases per character explains it best. Phrases don't run across
-words: a word with a space at both ends is the unit of parsing, so distinct words of a
-batch are parsed once, all at a time, with one table lookup per character and
-language. Words longer than `PIECE` are parsed in pieces of that length.
+needs the fewest phrases per character explains it best.
+
+Texts are parsed as running text: letters (and marks on them) in lower case, anything
+between two words as one space. All automata lie in one table of rows that are put into
+each other's gaps, so its size goes with the sample and not with the alphabet. A batch's
+texts are parsed at once, a character of each and all languages a step; for that, texts
+are laid out in stretches of `STRETCH` characters, and no phrase runs over a stretch's end.
 
 Texts that are null or hold no letter get `und` and score 0. If nothing was labelled,
-all texts get `und`. Very long texts are parsed whole.
+all texts get `und`. Ties go to the first language by name. Repeated rows each get their
+row, very long texts are parsed whole, an empty table gives no rows, and extra columns
+of any name are not read.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,118 +31,172 @@ from .common import hash_below, map_texts
 
 UNDETERMINED = "und"
 SAMPLE_DOCS = 120
-SAMPLE_CHARS = 40_000
+SAMPLE_CHARS = 60_000
+TOTAL_CHARS = 2_000_000
 LONGEST_SAMPLE = 20_000
 LANGUAGES = 200
-PIECE = 48
-_WORDS = re.compile(r"[^\W\d_]+")
-
-
-def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
-
-
-class Automaton:
-    """Suffix automaton of one text as a dense transition table; state 0 has no way on, state 1 is the start."""
-
-    def __init__(self, text: str, alphabet: dict[str, int]):
-        codes = [alphabet[c] for c in text]
-        ways: list[dict[int, int]] = [{}, {}]
-        link, length, last = [0, 0], [0, 0], 1
-        for c in codes:
-            new = len(ways)
-            ways.append({})
-            link.append(1)
-            length.append(length[last] + 1)
-            p = last
-            while p and c not in ways[p]:
-                ways[p][c] = new
-                p = link[p]
-            if p:
-                q = ways[p][c]
-                if length[p] + 1 == length[q]:
-                    link[new] = q
-                else:
-                    copy = len(ways)
-                    ways.append(dict(ways[q]))
-                    link.append(link[q])
-                    length.append(length[p] + 1)
-                    while p and ways[p].get(c) == q:
-                        ways[p][c] = copy
-                        p = link[p]
-                    link[q] = link[new] = copy
-            last = new
-        self.next = np.zeros((len(ways), len(alphabet) + 1), np.int32)
-        for state, own in enumerate(ways):
-            for c, to in own.items():
-                self.next[state, c] = to
-
-    def phrases(self, coded: np.ndarray) -> np.ndarray:
-        """Phrases that each row of codes (0: unknown character, -1: past the end) is parsed into."""
-        state = np.ones(len(coded), np.int32)
-        count = np.zeros(len(coded), np.int32)
-        for column in coded.T:
-            live = column >= 0
-            c = np.where(live, column, 0)
-            to = self.next[state, c]
-            cut = live & (to == 0)
-            again = self.next[1, c]
-            count += cut & (state != 1)
-            alone = cut & (again == 0)  # a character that the language lacks is a phrase
-            count += alone
-            state = np.where(cut, np.where(alone, 1, again), np.where(live, to, state))
-        return count + (state != 1)
+STRETCH = 2048
+BATCH_CHARS = 2_000_000
+_SPACE, _LETTER, _MARK = 0, 1, 2
+
+
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Per code point: whether it is a letter, a mark or neither, and its lower case if that is one character."""
+    kind, lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isalpha():
+            kind[i] = _LETTER
+            if len(low := c.lower()) == 1:
+                lower[i] = ord(low)
+        elif unicodedata.category(c)[0] == "M":
+            kind[i] = _MARK
+    return kind, lower
+
+
+def running(text: str) -> np.ndarray:
+    """A text's letters and marks as code points in lower case, with one space before, between and behind words; empty without a letter."""
+    kind, lower = _characters()
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    kinds = kind[points]
+    if not (kinds == _LETTER).any():
+        return np.zeros(0, np.uint32)
+    out = np.full(len(points) + 2, 32, np.uint32)
+    out[1:-1] = np.where(kinds == _SPACE, 32, lower[points])
+    keep = np.ones(len(out), bool)
+    keep[1:] = (out[1:] != 32) | (out[:-1] != 32)
+    return out[keep]
+
+
+def _suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Ways of each state on by code; state 0 is the start."""
+    ways: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
+    for c in codes:
+        new = len(ways)
+        ways.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        p = last
+        while p >= 0 and c not in ways[p]:
+            ways[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = ways[p][c]
+            if length[p] + 1 == length[q]:
+                link[new] = q
+            else:
+                copy = len(ways)
+                ways.append(dict(ways[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and ways[p].get(c) == q:
+                    ways[p][c] = copy
+                    p = link[p]
+                link[q] = link[new] = copy
+        last = new
+    return ways
 
 
 class Model:
+    """Suffix automata of all languages in one table.
+
+    A state's way on by code c is at base[state] + c: `cells` has the state there (upper
+    half) and where the way leads (lower half). State 0 has no ways on; `first` has, by
+    language and code, where the start's ways lead.
+    """
+
     def __init__(self, samples: dict[str, str]):
-        letters = sorted({c for t in samples.values() for c in t})
-        self.alphabet = {c: i + 1 for i, c in enumerate(letters)}
         self.languages = sorted(samples)
-        self.automata = [Automaton(samples[x], self.alphabet) for x in self.languages]
+        texts = [running(samples[x]) for x in self.languages]
+        self.alphabet = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.uint32)
+        size = len(self.alphabet) + 1
+        self.first = np.zeros((len(texts), size), np.int32)
+        rows: list[tuple[int, dict[int, int]]] = []
+        states = 1
+        for k, text in enumerate(texts):
+            ways = _suffix_automaton((np.searchsorted(self.alphabet, text) + 1).tolist())
+            for c, to in ways[0].items():
+                self.first[k, c] = states + to
+            rows += [(states + s, {c: states + to for c, to in own.items()}) for s, own in enumerate(ways)]
+            states += len(ways)
+        self.base = np.zeros(states, np.int32)
+        self._place(rows, size)
+
+    def _place(self, rows: list[tuple[int, dict[int, int]]], size: int) -> None:
+        """Puts the rows into one array, those with most ways first, each into the first gap found."""
+        used, cells = bytearray(size), [-1] * size
+        low = high = size
+        for state, own in sorted(rows, key=lambda r: -len(r[1])):
+            if not own:
+                continue
+            codes = list(own)
+            at = low - codes[0]
+            for tried in range(64):
+                if all(at + c >= len(used) or not used[at + c] for c in codes):
+                    break
+                at += 1
+            else:
+                at = high
+            while len(used) < at + size + 1:
+                used += bytes(size)
+                cells += [-1] * size
+            self.base[state] = at
+            for c, to in own.items():
+                used[at + c] = 1
+                cells[at + c] = state << 32 | to
+            high = max(high, at + max(codes))
+            while low < len(used) and used[low]:
+                low += 1
+        self.cells = np.array(cells + [-1] * size, np.int64)
+
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Phrases that running texts are parsed into, a row per language."""
+        count = np.zeros((len(self.languages), len(texts)), np.int64)
+        lanes = [(i, t[a : a + STRETCH]) for i, t in enumerate(texts) for a in range(0, len(t), STRETCH)]
+        lanes.sort(key=lambda x: -len(x[1]))
+        if not lanes or not self.languages:
+            return count
+        sizes = np.array([len(x[1]) for x in lanes])
+        flat = np.concatenate([x[1] for x in lanes])
+        place = np.minimum(np.searchsorted(self.alphabet, flat), len(self.alphabet) - 1)
+        flat = np.where(self.alphabet[place] == flat, place + 1, 0).astype(np.int32)
+        coded = np.zeros((int(sizes[0]), len(lanes)), np.int32)
+        lane, starts = np.repeat(np.arange(len(lanes)), sizes), np.cumsum(sizes) - sizes
+        coded[np.arange(len(flat)) - starts[lane], lane] = flat
+        state = np.zeros((len(self.languages), len(lanes)), np.int32)
+        cuts = np.zeros(state.shape, np.int32)
+        live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0])), "right")
+        for c, n in zip(coded, live.tolist(), strict=True):
+            c, own = c[:n], state[:, :n]
+            cell = self.cells[self.base[own] + c]
+            on = (cell >> 32) == own
+            cuts[:, :n] += ~on
+            state[:, :n] = np.where(on, cell.astype(np.int32), self.first[:, c])
+        owner = np.array([x[0] for x in lanes])
+        for k in range(len(count)):
+            count[k] = np.bincount(owner, cuts[k], len(texts)).astype(np.int64)
+        return count
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        place: dict[str, int] = {}
-        rows, docs = [], []
-        for i, text in enumerate(texts):
-            for w in words_of(text) if text else ():
-                rows.append(place.setdefault(w, len(place)))
-                docs.append(i)
-        if not rows or not self.languages:
+        plain = [running(t) if t else np.zeros(0, np.uint32) for t in texts]
+        chars = np.array([len(t) for t in plain])
+        if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        pieces, owner = [], []
-        for w, k in place.items():
-            whole = f" {w} "
-            for a in range(0, len(whole), PIECE):
-                pieces.append(whole[a : a + PIECE])
-                owner.append(k)
-        counts = np.zeros((len(self.languages), len(place)))
-        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
-        for a in range(0, len(order), 8192):
-            group = order[a : a + 8192]
-            coded = np.full((len(group), len(pieces[group[-1]])), -1, np.int32)
-            get = self.alphabet.get
-            for r, i in enumerate(group):
-                coded[r, : len(pieces[i])] = [get(c, 0) for c in pieces[i]]
-            own = np.array(owner)[group]
-            for k, automaton in enumerate(self.automata):
-                np.add.at(counts[k], own, automaton.phrases(coded))
-        size = np.array([len(w) + 2 for w in place])
-        rows, docs = np.array(rows), np.array(docs)
-        chars = np.bincount(docs, size[rows], len(texts))
-        cost = np.stack([np.bincount(docs, c[rows], len(texts)) for c in counts]) / np.maximum(chars, 1)
-        best = cost.argmin(axis=0)
-        low = cost.min(axis=0)
+        cost = self.phrases(plain) / np.maximum(chars, 1)
+        best, low = cost.argmin(axis=0), cost.min(axis=0)
         share = 1 / np.exp(-20 * (cost - low)).sum(axis=0)
-        some = chars > 0
-        return [self.languages[b] if s else UNDETERMINED for b, s in zip(best, some, strict=True)], [float(x) if s else 0.0 for x, s in zip(share, some, strict=True)]
+        return [self.languages[b] if n else UNDETERMINED for b, n in zip(best, chars, strict=True)], [float(x) if n else 0.0 for x, n in zip(share, chars, strict=True)]
 
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fits on about `sample_docs` texts per language from (key, text, lang), at most `sample_chars` characters of distinct words each.
+    """Fits on about `sample_docs` texts per language from (key, text, lang), at most `sample_chars` characters of running text each.
 
-    All languages are learned, LANGUAGES at a time. The sample is chosen by a hash of
-    `key`; of each sampled text, the first LONGEST_SAMPLE characters reach the driver.
+    All languages are learned, asked for LANGUAGES at a time; with many, each has less
+    text, so that all have TOTAL_CHARS together and the model, some 40 bytes a character,
+    a bounded size. The sample is chosen by a hash of `key`; of each sampled text, the
+    first LONGEST_SAMPLE characters reach the driver. Repeated texts count once.
     """
     known = labelled.where("lang is not null and text is not null")
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
@@ -146,15 +206,16 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int
         for r in sizes[a : a + LANGUAGES]:
             picked |= (F.col("lang") == r["lang"]) & hash_below(F.col("key"), min(1.0, sample_docs / r["count"]), 3)
         rows += known.where(picked).select("key", "lang", F.left("text", F.lit(LONGEST_SAMPLE)).alias("text")).collect()
-    words: dict[str, dict[str, None]] = {}
-    used: dict[str, int] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], str(r["key"]))):
-        own = words.setdefault(r["lang"], {})
-        for w in words_of(r["text"]):
-            if w not in own and used.get(r["lang"], 0) + len(w) < sample_chars:
-                own[w] = None
-                used[r["lang"]] = used.get(r["lang"], 0) + len(w) + 1
-    return Model({lang: " " + " ".join(own) + " " for lang, own in words.items() if own})
+    most = max(200, min(sample_chars, TOTAL_CHARS // max(1, len(sizes))))
+    texts: dict[str, dict[str, None]] = {}
+    for r in sorted(rows, key=lambda r: (r["lang"], str(r["key"]), r["text"])):
+        texts.setdefault(r["lang"], {})[r["text"]] = None
+    samples = {}
+    for lang, own in texts.items():
+        each = max(200, 2 * most // len(own))  # of a long text no more, so that many have their part
+        parts = [t[:each] for t in own]
+        samples[lang] = " ".join(parts)[:most]
+    return Model({lang: t for lang, t in samples.items() if len(running(t))})
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -163,9 +224,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for a in range(0, len(pdf), 500):
-                own = pdf.iloc[a : a + 500]
+            ends = np.cumsum(pdf["text"].map(lambda t: len(t) if t else 0).to_numpy())
+            first = 0
+            while first < len(pdf):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BATCH_CHARS, "right")))
+                own = pdf.iloc[first:last]
                 langs, scores = shared.value.predict(own["text"].tolist())
                 yield pd.DataFrame({"doc_id": own["doc_id"], "lang_pred": langs, "score": scores})
+                first = last
 
     return map_texts(docs, run, "lang_pred string, score double")
