@@ -3,8 +3,10 @@
 Stages, in order: toxicity (rejected documents go), line deduplication, SimHash
 near-duplicates (the smallest doc_id of each group stays), benchmark decontamination
 (contaminated documents go), SentencePiece encoding and decoding. Each stage reads what
-its predecessor wrote. Columns of documents are kept, extra ones too; n_chars follows
-the text. Rows without a doc_id pass the first stages by their text alone and are no
+its predecessor wrote. All stages but the last return the columns of documents, extra ones
+of any name too; n_chars follows the text. The last returns doc_id, n_tokens and digests.
+A null text is empty: no stage rejects it for itself, and of several one stays, as of
+other equal texts. Very long texts are judged whole; an empty table passes. Rows without a doc_id pass the first stages by their text alone and are no
 group's representative unless the group has no other id. One row of each group stays,
 also where ids are missing or repeated: among rows of the smallest doc_id the one with
 the least hash of id and text.
@@ -16,33 +18,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankflow.llm import decontaminate, line_dedup, sentencepiece_codec, simhash, toxicity
-from rankflow.llm.common import table, written
+from rankflow.llm.common import columns, table, unused, written
 from rankflow.llm.queries import tokenizer_path, toxicity_scorer
 
 ORACLE_SQL = None  # the first, third and last stage can't be written in SQL; tests/llm has brute-force versions
 
 
-def _passed(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+def _where(rows: DataFrame, docs: DataFrame, condition: str) -> DataFrame:
+    return rows.where(condition).select(*columns(docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _passed(docs, toxicity.judged(docs, toxicity_scorer(spark, docs, sf_dir), "__found").where("__found.predicted = 0"))
+    found = unused(docs.columns, "found")
+    return _where(toxicity.judged(docs, toxicity_scorer(spark, docs, sf_dir), found), docs, f"{found}.predicted = 0")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = line_dedup.dedup_lines(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = line_dedup.dedup_lines(docs, counts=())
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = docs.withColumns({"__k1": simhash.row_key(1), "__k2": simhash.row_key(2)})
-    kept = keyed.join(simhash.representatives(docs), (F.col("__k1") == F.col("__r1")) & (F.col("__k2") == F.col("__r2")), "left_semi")
-    return _passed(docs, kept.dropDuplicates(["__k1", "__k2"]))  # repeated rows
+    return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _passed(docs, decontaminate.judged(docs, table(spark, sf_dir, "benchmark"), "__found").where("not __found.contaminated"))
+    found = unused(docs.columns, "found")
+    return _where(decontaminate.judged(docs, table(spark, sf_dir, "benchmark"), found), docs, f"not {found}.contaminated")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

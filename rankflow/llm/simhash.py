@@ -15,7 +15,9 @@ of them. That loses no link between components and grows in proportion to the gr
 Texts without a word have fingerprint zero and link like any other. Fewer words than
 a shingle make one shingle. Null texts count as empty; a null doc_id gets a
 fingerprint and the component's least id, and never is that id itself unless no
-other is there.
+other is there. Repeated rows each get their row. Very long texts are hashed whole, a
+bounded number of shingles at a time. An empty table has no rows. Extra columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, judge_texts, map_texts, written
+from .common import columns, components, judge_texts, map_texts, written
 
 SHINGLE = 3
 DISTANCE = 2
@@ -126,3 +128,10 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     fps = written(rows.select("found.fp", F.struct(F.isnull("doc_id").alias("n"), F.col("doc_id"), row_key(1).alias("__r1"), row_key(2).alias("__r2")).alias("row")), "simhash-rows")
     lowest = _rooted(fps.groupBy("fp").agg(F.min("row").alias("low"))).groupBy("root").agg(F.min("low").alias("low"))
     return lowest.select("low.__r1", "low.__r2")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """All columns of one document per component, that of `representatives`; of repeated rows, one."""
+    keyed = docs.select(row_key(1).alias("k1"), row_key(2).alias("k2"), F.struct(*columns(docs.columns)).alias("row"))
+    kept = keyed.join(representatives(docs, shingle), (F.col("k1") == F.col("__r1")) & (F.col("k2") == F.col("__r2")), "left_semi")
+    return kept.dropDuplicates(["k1", "k2"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
