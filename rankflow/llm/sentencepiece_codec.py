@@ -13,7 +13,7 @@ Pieces never hold a space mark behind another character (checked on load), so te
 are cut there. Arrow finds the distinct words of a batch; each is encoded once and its
 result kept in a bounded memo per worker. Runs of space marks, whose pieces all have one
 score (checked on load), are merged from the left, as the library does, in linear time;
-texts with such runs are cut by themselves.
+texts with such runs, or with a mark before a space, are cut by themselves.
 
 Null texts count as empty. An empty text has the end id alone. Very long texts, and very
 long parts without a space, are handled as any other. Repeated rows give repeated
@@ -222,7 +222,7 @@ class Codec:
         end = f" {self.eos}"
         ids = [hashlib.sha256((x + end).encode()).hexdigest() for x in cut.joined([f[0] for f in found], " ")]
         plain = [hashlib.sha256(x.removeprefix(" ").encode()).hexdigest() for x in cut.joined([f[2] for f in found], "")]
-        for i in np.flatnonzero(cut.any_of(np.array([not w for w in cut.words], bool))):
+        for i in np.flatnonzero(cut.any_of(np.array([not w or w[-1] == MARK for w in cut.words], bool))):
             counts[i], ids[i], plain[i] = self.digest(texts[int(i)].as_py() or "")
         return [pa.array(counts), pa.array(ids, pa.string()), pa.array(plain, pa.string())]
 

@@ -110,11 +110,14 @@ class Scorer:
     def suit(self, histogram: dict[float | None, int]) -> None:
         """Drift and lambda for counted word scores (None: no certain feature) of texts that aren't toxic.
 
-        The drift is raised where the mean would not be clearly negative otherwise.
+        The drift is raised where the mean would not be a tenth of the scores' deviation
+        below zero, so that chance segments stay short (about a hundred words) beside texts.
         """
         plain = histogram.get(None, 0)
         scored = {s: n for s, n in histogram.items() if s is not None}
-        self.drift = max(DRIFT, 2 * sum(s * n for s, n in scored.items()) / max(1, plain))
+        words = plain + sum(scored.values())
+        deviation = math.sqrt(sum(s * s * n for s, n in scored.items()) / max(1, words))
+        self.drift = max(DRIFT, (sum(s * n for s, n in scored.items()) + 0.1 * deviation * words) / max(1, plain))
         self.lam = decay({**scored, -self.drift: scored.get(-self.drift, 0) + max(1, plain)})
 
     def word(self, word: str) -> float | None:
