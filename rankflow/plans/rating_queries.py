@@ -431,19 +431,25 @@ def m35_incremental_history(spark, sf_dir):
     return history.refreshed(base, delta, ["horse_id"]).select("horse_id", "dn", "n", "wins")
 
 
-FUTURE = "date_diff('day', DATE '1970-01-01', DATE '1998-08-01')"
+FUTURE = "date_diff('day', DATE '1970-01-01', DATE '2001-01-01')"
+_KNOWN = f"sum(CAST(dn < {FUTURE} AS INTEGER)) OVER {{w}} AS {{k}}, sum(CASE WHEN dn < {FUTURE} THEN label_win ELSE 0 END) OVER {{w}} AS {{v}}"
 
 
-@query(f"""WITH {ENTRANTS}, k AS (SELECT horse_id, count(*) AS n, sum(label_win) AS w FROM e WHERE dn < {FUTURE} AND dn >= {FUTURE} - 1095 GROUP BY 1),
-z AS (SELECT race_id, horse_id, (coalesce(w, 0) + 1) / (coalesce(k.n, 0) + 12.0) AS base FROM e LEFT JOIN k USING (horse_id) WHERE e.dn >= {FUTURE})
-SELECT race_id, horse_id, round(base / sum(base) OVER (PARTITION BY race_id), 6) AS p FROM z""")
+@query(f"""WITH {ENTRANTS}, k AS (SELECT race_id, horse_id, dn, {_KNOWN.format(w="h", k="hk", v="hw")}, {_KNOWN.format(w="g", k="ak", v="aw")} FROM e
+ WINDOW h AS (PARTITION BY horse_id ORDER BY dn RANGE BETWEEN 1095 PRECEDING AND 1 PRECEDING), g AS (PARTITION BY agent_id ORDER BY dn RANGE BETWEEN 1095 PRECEDING AND 1 PRECEDING)),
+z AS (SELECT race_id, horse_id, (coalesce(hw, 0) + 1) / (coalesce(hk, 0) + 12.0) AS base, coalesce(ak, 0) AS ak, coalesce(aw, 0) AS aw FROM k WHERE dn >= {FUTURE}),
+y AS (SELECT *, base * (1 - 0.25 * ak / (ak + 100.0)) + 0.25 * ak / (ak + 100.0) * (aw + 10) / (ak + 120.0) AS adj FROM z),
+x AS (SELECT *, base / sum(base) OVER (PARTITION BY race_id) AS p, adj / sum(adj) OVER (PARTITION BY race_id) AS q FROM y)
+SELECT race_id, horse_id, round(p, 6) AS base, round(q, 6) AS adjusted, round(pow(q, 2.3) / sum(pow(q, 2.3)) OVER (PARTITION BY race_id), 6) AS calibrated FROM x""")
 def m36_future_scores(spark, sf_dir):
-    """Contests after the history's last day, scored from what it knows."""
-    e = entrants(spark, sf_dir)
-    cut = F.unix_date(F.lit("1998-08-01").cast("date"))
-    known = e.where((F.col("dn") < cut) & (F.col("dn") >= cut - 1095)).groupBy("horse_id").agg(F.count(F.lit(1)).alias("k_n"), F.sum("label_win").alias("k_w"))
-    z = e.where(F.col("dn") >= cut).join(known, "horse_id", "left").fillna(0, ["k_n", "k_w"]).withColumn("base", history.smoothed(F.col("k_w"), F.col("k_n")))
-    return z.select("race_id", "horse_id", R(history.share(F.col("base"), "race_id"), 6).alias("p"))
+    """Contests after the history's last day, each by its own window of what is known: base, agent-adjusted and calibrated chances."""
+    e = entrants(spark, sf_dir).select("race_id", "horse_id", "agent_id", "dn", "label_win")
+    cut = F.unix_date(F.lit("2001-01-01").cast("date"))
+    known = {"k": (F.col("dn") < cut).cast("int"), "w": F.when(F.col("dn") < cut, F.col("label_win")).otherwise(0)}
+    z = history.history(history.history(e, ["horse_id"], known), ["agent_id"], known, prefix="a_").where(F.col("dn") >= cut)
+    z = z.withColumn("b", history.smoothed(F.col("h_w"), F.col("h_k")))
+    z = z.withColumns({"p": history.share(F.col("b"), "race_id"), "q": history.share(history.agent_blend(F.col("b"), F.col("a_w"), F.col("a_k"), 0.25), "race_id")})
+    return z.select("race_id", "horse_id", R("p", 6).alias("base"), R("q", 6).alias("adjusted"), R(rankprob.tempered(F.col("q"), 2.3, "race_id"), 6).alias("calibrated"))
 
 
 @query(f"""WITH {ENTRANTS}, early AS (SELECT race_id, horse_id, dn, label_win, year(day) AS y FROM e WHERE day < DATE '1998-01-01'),

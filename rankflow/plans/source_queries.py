@@ -72,15 +72,19 @@ def s09_catalog_discovery(spark, sf_dir):
     return lists.join(sizes, "table_name").select("table_name", "columns", "rows")
 
 
-@query("SELECT count(*) AS rows, max(o_orderkey) AS watermark FROM orders WHERE o_orderkey > (SELECT quantile_disc(o_orderkey, 0.5) FROM orders)")
+@query("""WITH m AS (SELECT quantile_disc(o_orderkey, 0.5) AS half FROM orders) SELECT CASE WHEN o_orderkey <= half THEN 'first' ELSE 'resumed' END AS run, count(*) AS rows, min(o_orderkey) AS low, max(o_orderkey) AS watermark, TRUE AS chunked, TRUE AS ordered FROM orders, m GROUP BY 1""")
 def s10_keyset_export(spark, sf_dir):
-    """Staging resumes behind the stored high-water mark."""
+    """Staging resumes behind the stored high-water mark; chunks hold at most 10,000 rows and follow each other in key order."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     path = scratch(spark, "staged")
-    half = o.agg(F.percentile_disc(F.col("o_orderkey"), 0.5) if hasattr(F, "percentile_disc") else F.expr("percentile_disc(0.5) within group (order by o_orderkey)")).first()[0]
-    readers.stage_after(o.where(F.col("o_orderkey") <= half), "o_orderkey", path)
-    readers.stage_after(o, "o_orderkey", path)
-    return spark.read.parquet(path).where(F.col("o_orderkey") > int(half)).agg(count_rows().alias("rows"), F.max("o_orderkey").alias("watermark"))
+    half = o.agg(F.expr("percentile_disc(0.5) within group (order by o_orderkey)")).first()[0]
+    readers.stage_after(o.where(F.col("o_orderkey") <= half), "o_orderkey", path, 10_000)
+    readers.stage_after(o, "o_orderkey", path, 10_000)
+    readers.stage_after(o, "o_orderkey", path, 10_000)
+    run = F.when(F.col("o_orderkey") <= int(half), "first").otherwise("resumed").alias("run")
+    files = spark.read.parquet(path).select(run, "o_orderkey", F.input_file_name().alias("file")).groupBy("run", "file").agg(count_rows().alias("n"), F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("z"))
+    files = files.withColumn("before", F.lag("z").over(Window.partitionBy("run").orderBy("a")))  # one row per file
+    return files.groupBy("run").agg(F.sum("n").alias("rows"), F.min("a").alias("low"), F.max("z").alias("watermark"), F.bool_and(F.col("n") <= 10_000).alias("chunked"), F.bool_and(F.coalesce(F.col("before") < F.col("a"), F.lit(True))).alias("ordered"))
 
 
 @query(f"WITH {CONTESTS} SELECT CASE WHEN race_id % 50 = 0 THEN 'UNKNOWN' ELSE CAST(year(day) AS VARCHAR) END AS year, CASE WHEN domain = 1 THEN 'JRA' ELSE 'NAR' END AS domain, count(*) AS rows FROM c GROUP BY 1, 2")

@@ -70,10 +70,11 @@ def high_water(spark: SparkSession, path: str, key: str):
         raise
 
 
-def stage_after(df: DataFrame, key: str, path: str) -> None:
-    """Appends the rows whose key lies behind the staged ones; a second run adds nothing."""
+def stage_after(df: DataFrame, key: str, path: str, chunk: int = 100_000) -> None:
+    """Appends the rows whose key lies behind the staged ones, in order of the key and in files of at most `chunk` rows; a second run adds nothing."""
     mark = high_water(df.sparkSession, path, key)
-    (df if mark is None else df.where(F.col(key) > mark)).write.mode("append").parquet(path)
+    rows = df if mark is None else df.where(F.col(key) > mark)
+    rows.repartitionByRange(key).sortWithinPartitions(key).write.option("maxRecordsPerFile", chunk).mode("append").parquet(path)
 
 
 def part_hashes(spark: SparkSession, path: str) -> DataFrame:

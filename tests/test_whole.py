@@ -119,3 +119,16 @@ def test_search_trains_and_scores(spark, monkeypatch):
     monkeypatch.setattr(model_queries, "SPACE", model_queries.SPACE[:3])
     got = QUERIES["m22_resumable_search"](spark, SF).collect()
     assert len(got) == 3 and all(r["rows"] > 0 and 0 < r["logloss"] < 1 for r in got)
+
+
+def test_models_keep_their_promises(spark):
+    t = QUERIES["m21_model_tournament"](spark, SF).collect()
+    for target in {r["target"] for r in t}:
+        own = {r["feature_set"]: r for r in t if r["target"] == target and r["split"] == "SELECTION"}
+        if own:
+            champions = {r["feature_set"] for r in t if r["target"] == target and r["champion"]}
+            assert len(champions) == 1 and own[champions.pop()]["logloss"] == min(r["logloss"] for r in own.values())
+    p = QUERIES["m27_isotonic_predictions"](spark, SF).collect()
+    assert p and all(0 <= r["win"] <= r["top2"] <= r["top3"] <= 1 and r["split"] in ("TEST", "OOS") for r in p)
+    s = QUERIES["m25_specialist"](spark, SF).collect()
+    assert len(s) == 3 and {r["decision"] for r in s} <= {"PROMOTE", "REJECT"} and len({r["decision"] for r in s}) == 1
