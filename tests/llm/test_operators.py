@@ -4,13 +4,16 @@ import base64
 import hashlib
 import io
 import itertools
+import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
@@ -68,6 +71,25 @@ def test_sentencepiece_fuzz():
         assert own.encode(" " * n + "a") == sp.encode(" " * n + "a", add_eos=True)
 
 
+def test_sentencepiece_long_runs_of_spaces():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, own = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.codec(path)
+    for n in range(60):
+        for t in (" " * n, " " * n + "a", "a" + " " * n + "b", "a" + " " * n):
+            assert own.encode(t) == sp.encode(t, add_eos=True)
+    began = time.process_time()
+    assert len(own.encode(" " * 1_000_000)) > 60_000 and time.process_time() - began < 5
+
+
+def test_sentencepiece_many_texts_equal_single_ones():
+    own = sentencepiece_codec.codec(public_tokenizers.path("piece_bpe_32k.model"))
+    pick = random.Random(4)
+    bits = [" ", "\n", " ", "a", "th", "é", "日", "ing", "\t", "1", "...", "The", "▁"]
+    rows = [None, "", *("".join(pick.choice(bits) for _ in range(pick.randint(0, 20))) for _ in range(3000))]
+    got = zip(*[c.to_pylist() for c in own.digests(pa.array(rows, pa.string()))], strict=True)
+    assert list(got) == [own.digest(t or "") for t in rows]
+
+
 def test_sentencepiece_round_trip(docs, texts):
     path = public_tokenizers.path("piece_bpe_32k.model")
     back = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, path), path)
@@ -87,6 +109,17 @@ def test_token_files_equal_library(docs, texts, empty):
     assert token_files.read_files(token_files.write_files(empty, encode, 50_257, 0)).count() == 0
 
 
+def test_token_words_equal_whole_texts():
+    memo = token_files.word_memo(public_tokenizers.path("byte_bpe_50k.json"))
+    pick = random.Random(3)
+    bits = [" ", "  ", "\n", "\n\n", "a", "th", "é", "日", "😀", "'s", "ing", "\t", "1", "...", "THE", "'", " ", "\u3000", "\x1c", "<|endoftext|>", "$#", ")."]
+    rows = [None, "", *("".join(pick.choice(bits) for _ in range(pick.randint(0, 14))) for _ in range(8000))]
+    counts, ids = memo.encode(pa.array(rows, pa.string()))
+    cuts = np.split(ids, np.cumsum(counts)[:-1])
+    for t, own in zip(rows, cuts, strict=True):
+        assert own.tolist() == memo.own.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
 def test_packing_round_trip_and_random_access():
     pick = np.random.default_rng(0)
     for size in (2, 3, 200, 257, 50_257, 70_000, 1 << 20):
@@ -133,7 +166,7 @@ def test_contamination(spark, docs, texts, empty):
     assert not any(r["n_hit"] for r in decontaminate.decontaminate(docs, bench.where("false")).collect())
 
 
-def test_contamination_equals_sql_and_holds_one_block(spark, monkeypatch):
+def test_contamination_equals_sql_and_large_benchmarks_stay_tables(spark, monkeypatch):
     rng = random.Random(5)
     text = lambda n: " ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(9)) for _ in range(n))
     items = [(None, text(30)), (None, text(20)), *[(7, text(40)) for _ in range(40)], (8, text(5)), (7, None)]
@@ -145,12 +178,12 @@ def test_contamination_equals_sql_and_holds_one_block(spark, monkeypatch):
     con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
     want = sorted(con.sql(queries.ORACLE_SQL["op4_decontaminate"]).fetchall())
-    assert sorted(map(tuple, decontaminate.decontaminate(docs, bench).collect())) == want and any(r[5] for r in want)
     sizes, make = [], decontaminate.prefix_index
     monkeypatch.setattr(decontaminate, "prefix_index", lambda block, *a: sizes.append(len(block)) or make(block, *a))
+    assert sorted(map(tuple, decontaminate.decontaminate(docs, bench).collect())) == want and any(r[5] for r in want)
     split = decontaminate.decontaminate(docs, bench, block_bytes=1000)
     assert sorted(map(tuple, split.collect())) == want
-    assert len(sizes) > 5 and max(sizes) < 20  # the forty passages of one item too
+    assert len(sizes) == 1  # that of the small benchmark
 
 
 def base_spans(text):
@@ -235,6 +268,14 @@ def test_lines(spark, texts, docs, empty):
     assert sorted(r["text"] for r in line_dedup.dedup_lines(same).collect()) == ["", "a long enough line\nb", "a long enough line\nb"]
 
 
+def test_lines_with_any_column_names(spark):
+    names = ["all", "key", "drop", "doc", "sum", "row", "id", "__lines", "__dropped", "a.b", "pos"]
+    df = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in ((1, "one long line\nx"), (2, "one long line\ny"))], ["doc_id", "text", *names])
+    got = sorted(line_dedup.dedup_lines(df, counts=()).collect(), key=lambda r: r["doc_id"])
+    assert [(r["text"], *[r[n] for n in names]) for r in got] == [("one long line\nx", *[f"{n}1" for n in names]), ("y", *[f"{n}2" for n in names])]
+    assert line_dedup.dedup_lines(df).columns[-2:] == ["__lines_", "__dropped_"]
+
+
 def test_warc(spark):
     html = [None, "", "<p>é</p>", "same", "same", "x" * 200_000, "", "same\r\n\r\n"]
     rows = [(i, None if i == 2 else f"http://h/{i}\r\nX: 1", h, 5) for i, h in enumerate(html)]
@@ -277,6 +318,22 @@ def test_top_k(spark):
     assert topk.top_k(vectors.where("false"), vectors.where("false"), 5).count() == 0
 
 
+def test_top_k_large_components_and_repeated_queries(spark):
+    pick = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in pick.normal(size=3)]) for i in range(300)]
+    rows += [(1000, [1e30, 0.0, 1.0]), (1001, [-1e300, 1e300, 0.0]), (1050, [1.7e308, -1.0, 2.0]), (1002, [3e15, 1.0, 1.0]), (50, rows[50][1]), (100, [0.5, 0.25, 1.0])]
+    vectors = topk.clean_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).repartition(3)
+    exact = lambda v: [math.floor(256 * x) if abs(x) < 2**52 else 256 * int(x) for x in v]
+    want = []
+    for q, v in {(i, tuple(v)) for i, v in rows if i % 50 == 0}:
+        a = exact(v)
+        scored = sorted((-min(max(sum(x * y for x, y in zip(a, exact(w), strict=True)), -(2**63) + 2), 2**63 - 1), i) for i, w in rows if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    for shard in (8192, 40):
+        got = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5, shard, 3)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def brute_fingerprint(t):
     w = (t or "").encode().lower().split()
     if not w:
@@ -356,6 +413,42 @@ def test_maximal_segments_by_brute_force():
         assert max((s.score for s in found), default=0) == pytest.approx(max(best, 0))
 
 
+def test_all_maximal_segments():
+    """The disjoint segments that recursive splitting at the best one finds."""
+    pick = random.Random(11)
+
+    def split(full, first, last):
+        sums = [(sum(full[a : b + 1]), -(b - a), a, b) for a in range(first, last + 1) for b in range(a, last + 1)]
+        best = max(sums, default=(0,))
+        if best[0] <= 0:
+            return []
+        _, _, a, b = max(s for s in sums if abs(s[0] - best[0]) < 1e-12)
+        return [*split(full, first, a - 1), (a, b), *split(full, b + 1, last)]
+
+    for _ in range(150):
+        full = [round(pick.uniform(-3, 2), 3) for _ in range(16)]
+        assert [(s.first, s.last) for s in toxicity.maximal_segments(list(enumerate(full)), 0.0)] == split(full, 0, 15)
+
+
+def test_segment_scan_is_linear():
+    began = time.process_time()
+    found = toxicity.maximal_segments([(2 * i, 1.0) for i in range(200_000)], 2.0)  # the running sum falls all the way
+    assert len(found) == 200_000 and time.process_time() - began < 5
+
+
+def test_chance_finds_are_as_many_as_expected():
+    pick = random.Random(12)
+    draw = lambda n: [(i, pick.choice((2.1, 1.3, -1.7, -1.7, -0.6, -0.6))) for i in range(n) if pick.random() < 0.12]
+    own = toxicity.Scorer({})
+    own.suit({2.1: 200, 1.3: 200, -1.7: 400, -0.6: 400, None: 8800})
+    best = lambda scored: max((s.score for s in toxicity.maximal_segments(scored, own.drift)), default=0.0)
+    sizes = [pick.choice((200, 600, 1800)) for _ in range(1500)]
+    k = len(sizes) / sum(n * math.exp(-own.lam * best(draw(n))) for n in sizes)
+    for level in (0.5, 0.1):
+        seen = sum(k * n * math.exp(-own.lam * s.score) <= level for n in sizes for s in toxicity.maximal_segments(draw(n), own.drift))
+        assert level / 2 < seen / len(sizes) < level * 2
+
+
 def test_toxicity_edge_cases(spark, empty):
     none = toxicity.train(empty.select(F.col("doc_id").alias("key"), "text", F.lit(1).alias("toxic")))
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "word " * 50_000), (None, "x")], DOCS)
@@ -380,6 +473,15 @@ def test_languages_with_long_texts_and_rare_ones_are_learned(spark, monkeypatch)
     assert model.predict(list(words.values()))[0] == list(words)
 
 
+def test_language_parse_does_not_depend_on_the_batch():
+    pick = random.Random(6)
+    text = lambda n: " ".join("".join(pick.choice("abcdeé日") for _ in range(pick.randint(1, 6))) for _ in range(n))
+    own = language_id.Model({"x": text(300), "y": text(300), "z": "日" * 50})
+    tries = [text(n) for n in (1, 5000, 30, 2, 700)]
+    assert own.predict(tries) == tuple(list(x) for x in zip(*[(p[0][0], p[1][0]) for p in map(own.predict, [[t] for t in tries])], strict=True))
+    assert len(own.cells) < 40 * sum(map(len, (text(300), text(300))))
+
+
 def test_language_automaton_by_brute_force(spark, empty):
     sample = " abracadabra banana "
     own = language_id.Model({"x": sample})
@@ -394,13 +496,12 @@ def test_language_automaton_by_brute_force(spark, empty):
         return n
 
     pick = random.Random(4)
-    for _ in range(300):
-        t = "".join(pick.choice("abrncdq ") for _ in range(pick.randint(1, 20)))
-        coded = np.array([[own.alphabet.get(c, 0) for c in t] + [-1, -1]], np.int32)
-        assert own.automata[0].phrases(coded)[0] == phrases(t), t
-    docs = spark.createDataFrame([(1, None), (2, "123 ?"), (3, "abra " * 9000), (4, "q" * 5000), (5, "")], DOCS)
-    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, own).collect()}
-    assert got == {1: "und", 2: "und", 3: "x", 4: "x", 5: "und"}
+    tries = [" " + " ".join("".join(pick.choice("abrncdq ") for _ in range(pick.randint(1, 20))).split()) + " " for _ in range(300)]
+    tries = [t for t in tries if t.strip()]
+    assert own.phrases([language_id.running(t) for t in tries])[0].tolist() == [phrases(t) for t in tries]
+    docs = spark.createDataFrame([(1, None), (2, "123 ?"), (3, "abra " * 9000), (4, "q" * 5000), (5, ""), (6, "½ ① ²"), (7, "\u0301"), (7, "É")], DOCS)
+    got = [(r["doc_id"], r["lang_pred"]) for r in language_id.predict(docs, own).collect()]
+    assert sorted(got) == [(1, "und"), (2, "und"), (3, "x"), (4, "x"), (5, "und"), (6, "und"), (7, "und"), (7, "x")]
     assert language_id.predict(empty, language_id.train(empty.select(F.col("doc_id").alias("key"), "text", "lang"))).count() == 0
 
 

@@ -89,3 +89,13 @@ def test_one_row_of_each_group_stays_with_null_and_repeated_ids(spark):
     got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
     assert got.columns == docs.columns
     assert sorted(((r["text"][0], r["doc_id"]) for r in got.collect()), key=str) == [("a", None), ("b", 7), ("c", 3), ("d", 9), ("e", 2)]
+
+
+def test_stages_with_any_column_names(spark):
+    names = ["found", "__found", "row", "count", "k1", "h1", "__k1", "__keep", "__all", "__key", "__drop", "__doc", "__sum", "__lines", "__r1", "a.b", "fp"]
+    docs = spark.createDataFrame([(i, f"some words of document {i}\nand a line {i}", *[f"{n}{i}" for n in names]) for i in range(6)], ["doc_id", "text", *names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names], name
