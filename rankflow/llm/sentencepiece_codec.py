@@ -35,8 +35,8 @@ from .common import map_texts
 from .words import Cut, Kept, map_arrow
 
 MARK = "▁"
-MEMO = 300_000
-PAIR_MEMO = 300_000
+MEMO = 200_000
+PAIR_MEMO = 200_000
 LONGEST_KEPT = 40
 
 

@@ -254,7 +254,7 @@ class WordMemo:
     encode their texts whole.
     """
 
-    SIZE = 300_000
+    SIZE = 200_000
     LONGEST = 48
     PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 

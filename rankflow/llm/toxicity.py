@@ -124,7 +124,7 @@ class Scorer:
         """Score of a word, None for one without a certain feature."""
         if word in self.memo:
             return self.memo[word]
-        if len(self.memo) > 300_000:
+        if len(self.memo) > 150_000:
             self.memo.clear()
         found = [w for f in features_of(word) if (w := self.weights.get(f))]
         score = max(found, key=lambda w: abs(w[1]))[0] if found else None

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 12_000_000
+CHUNK = 8_000_000
 
 
 def slices(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int]]:
@@ -21,6 +21,7 @@ def slices(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         before = int(ends[first - 1]) if first else 0
         last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
         yield first, last - first
+        pa.default_memory_pool().release_unused()  # workers live on, and Arrow would keep what a stretch needed
         first = last
 
 
