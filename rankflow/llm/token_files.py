@@ -41,6 +41,7 @@ from .words import Cut, Kept, slices
 MAGIC = b"RFT1"
 HEAD = struct.Struct("<4sIIQQ")
 BLOCK = 8192
+STRETCH = 12_000_000
 NO_ID = -(1 << 63)
 
 
@@ -160,7 +161,7 @@ def _encoded(rows: DataFrame, bounds: list[tuple[int, int]], encode: Callable[[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, n in slices(batch.column(2)):
+            for first, n in slices(batch.column(2), STRETCH):
                 doc_ids, places, texts = (c.slice(first, n) for c in batch.columns)
                 counts, ids = encode(texts)
                 out = np.full(len(ids) + n, end_id, kind)
@@ -254,7 +255,7 @@ class WordMemo:
     encode their texts whole.
     """
 
-    SIZE = 200_000
+    SIZE = 300_000
     LONGEST = 48
     PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
