@@ -217,7 +217,8 @@ class Codec:
     def digests(self, texts: pa.Array) -> list[pa.Array]:
         """The columns of `digest` for many texts, each distinct word encoded once."""
         cut, known, make = Cut(texts, self.feeds), self.memo.young, self._word
-        found = [known[k] if (k := MARK + w) in known else make(w) if w else ("", 0, "") for w in cut.words]
+        feed = "\n" if self.feeds else ""  # a word that begins with its line feed has no mark before it, and so another part
+        found = [known[k] if (k := w if w[:1] == feed else MARK + w) in known else make(w) if w else ("", 0, "") for w in cut.words]
         counts = cut.sums(np.array([f[1] for f in found], np.int64)) + 1
         end = f" {self.eos}"
         ids = [hashlib.sha256((x + end).encode()).hexdigest() for x in cut.joined([f[0] for f in found], " ")]

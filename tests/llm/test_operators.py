@@ -90,6 +90,23 @@ def test_sentencepiece_many_texts_equal_single_ones():
     assert list(got) == [own.digest(t or "") for t in rows]
 
 
+def test_sentencepiece_batches_equal_library_whatever_came_before():
+    """Blank lines, final feeds and spaces before feeds, in many batches in shuffled order through one codec."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, own = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path)
+    pick = random.Random(6)
+    bits = [" ", " ", "\n", "\n\n", " \n", "\n ", "a", "the", "é", "日", "ing", "\t", ".", "...", "▁", "x1", "😀"]
+    rows = ["x\n\ny", "a \nb", "x\n\ny", "the\n\n", "\n", "\na", *("".join(pick.choice(bits) for _ in range(pick.randint(0, 12))) for _ in range(20_000))]
+    for _ in range(2):
+        for a in range(0, len(rows), 700):
+            batch = rows[a : a + 700]
+            counts, ids, plain = (c.to_pylist() for c in own.digests(pa.array(batch, pa.string())))
+            for t, n, x, y, want in zip(batch, counts, ids, plain, sp.encode(batch, add_eos=True), strict=True):
+                assert n == len(want) and x == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest(), repr(t)
+                assert y == hashlib.sha256(sp.decode(want).encode()).hexdigest(), repr(t)
+        pick.shuffle(rows)
+
+
 def test_sentencepiece_round_trip(docs, texts):
     path = public_tokenizers.path("piece_bpe_32k.model")
     back = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, path), path)
