@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, pii, sentencepiece_codec, simhash, token_files, topk, toxicity, warc
+from . import decontaminate, exact_dedup, language_id, line_dedup, pii, sentencepiece_codec, simhash, token_files, topk, toxicity, warc
 from .common import fold, table
 
 
@@ -73,9 +73,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_sentencepiece, op3_token_files, op4_decontaminate, op5_pii, op6_line_dedup, op7_warc, op8_top_k, op9_language_id, op10_simhash)
+    for f in (op1_toxicity, op2_sentencepiece, op3_token_files, op4_decontaminate, op5_pii, op6_line_dedup, op7_warc, op8_top_k, op9_language_id, op10_simhash, op13_exact_dedup)
 }
 
 _WORDS_SQL = r"regexp_extract_all(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -115,4 +119,8 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op13_exact_dedup": """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)""",
 }
