@@ -62,7 +62,13 @@ def _rows(docs: DataFrame, digest: Digest) -> DataFrame:
 @contextmanager
 def _rocks(spark: SparkSession) -> Iterator[None]:
     """State on disk, with bounded memory, for queries started within."""
-    own = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300"}
+    rocks = "spark.sql.streaming.stateStore.rocksdb"
+    own = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKS,
+        f"{rocks}.boundedMemoryUsage": "true",
+        f"{rocks}.maxMemoryUsageMB": "300",
+        f"{rocks}.allowFAllocate": "false",  # else each partition's store reserves 4 MB, however few keys it has
+    }
     old = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)
