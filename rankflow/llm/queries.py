@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, lexical_search, line_dedup, pii, sentencepiece_codec, simhash, token_files, topk, toxicity, warc
+from . import conversation_trie, decontaminate, exact_dedup, language_id, lexical_search, line_dedup, pii, sentencepiece_codec, simhash, token_files, topk, toxicity, warc
 from .common import fold, table
 
 
@@ -77,13 +77,17 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_sentencepiece, op3_token_files, op4_decontaminate, op5_pii, op6_line_dedup, op7_warc, op8_top_k, op9_language_id, op10_simhash, op11_lexical_search, op13_exact_dedup)
+    for f in (op1_toxicity, op2_sentencepiece, op3_token_files, op4_decontaminate, op5_pii, op6_line_dedup, op7_warc, op8_top_k, op9_language_id, op10_simhash, op11_lexical_search, op12_conversation_trie, op13_exact_dedup)
 }
 
 _WORDS_SQL = r"regexp_extract_all(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -133,6 +137,21 @@ q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'A
 r AS (SELECT item_id, doc_id, CAST(sum(df.w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN tf USING (t) JOIN df USING (t) GROUP BY ALL),
 o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
+    "op12_conversation_trie": """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id AS c, conv_id - conv_id % 100 AS b, list({'role': role, 'text': text} ORDER BY pos) AS v FROM t GROUP BY ALL),
+h AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+  lambda a, s: list_reduce(list_prepend(xor(a, s), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)))) % 6 AS h FROM l),
+w AS (SELECT h.c, list_concat(coalesce(b.v, [])[1:h.h], h.v[h.h + 1:]) AS v FROM h LEFT JOIN l b ON b.c = h.b),
+r AS (SELECT c, unnest(range(0, len(v) + 1)) AS d, v FROM w),
+p AS (SELECT c, d, v[1:d] AS p, d = len(v) AS last FROM r),
+n AS (SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE length(p[d].text) END AS saved, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends_sha256 FROM p GROUP BY d, p),
+a AS (SELECT p.c, d, n.conv_id AS node FROM p JOIN n USING (d, p)),
+u AS (SELECT n.*, a.node AS parent_conv_id FROM n LEFT JOIN a ON a.c = n.conv_id AND a.d = n.d - 1),
+k AS (SELECT parent_conv_id AS conv_id, d - 1 AS d, count(*) AS n_children FROM u WHERE d > 0 GROUP BY ALL),
+s AS (SELECT a.node AS conv_id, a.d, count(*) FILTER (k.n_children IS NULL) AS n_leaves, CAST(sum(u.saved) AS BIGINT) AS saved_tokens FROM u LEFT JOIN k USING (conv_id, d) JOIN a ON a.c = u.conv_id AND a.d <= u.d GROUP BY ALL)
+SELECT u.conv_id, u.d AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
+FROM u LEFT JOIN k USING (conv_id, d) JOIN s USING (conv_id, d)""",
     "op13_exact_dedup": """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
