@@ -13,6 +13,20 @@ def value(p: Column, odds: Column) -> Column:
     return p * odds - 1
 
 
+TICKET = ["race_id", "ticket_type", "selection"]
+
+
+def market_join(fair: DataFrame, market: DataFrame, meta: DataFrame, structure: DataFrame) -> DataFrame:
+    """Offers of a market (three ticket keys, market_odds) with their fair odds (probability, fair_odds), value, edge and profit per 100.
+
+    Both sides meet on all three keys; an offer without a fair ticket is rejected, as is a
+    ticket without an offer. A contest's meta and structure columns are attached where there are any.
+    """
+    met = fair.join(market, TICKET).withColumn("ev", value(F.col("probability"), F.col("market_odds")))
+    met = met.withColumns({"edge_ratio": F.try_divide("market_odds", "fair_odds") - 1, "profit_per_100": 100 * F.col("ev")})
+    return met.join(meta, "race_id", "left").join(structure, "race_id", "left")
+
+
 def opportunity(ev: Column, confidence: Column, runners: Column) -> Column:
     """0..100 from expected value, confidence and field size; a missing size counts as 12."""
     n = F.coalesce(runners, F.lit(12))
@@ -35,7 +49,7 @@ def shape(df: DataFrame, race: str, p: str) -> DataFrame:
         race,
         "size",
         e.alias("entropy"),
-        F.when(e > 0.82, "HIGH").when(e > 0.65, "MEDIUM").otherwise("LOW").alias("uncertainty"),
+        F.when(F.round(e, 9) > 0.82, "HIGH").when(F.round(e, 9) > 0.65, "MEDIUM").otherwise("LOW").alias("uncertainty"),
         F.when(top >= 0.35, "FAVOURITE").when(two >= 0.55, "TWO_HORSE").when(e >= 0.80, "OPEN").otherwise("MIXED").alias("shape"),
         F.when(F.col("size") >= 8, 3).when(F.col("size") >= 4, 2).otherwise(1).alias("place_slots"),
     )

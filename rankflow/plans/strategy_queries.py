@@ -13,6 +13,7 @@ from ..functions.scalars import count_rows
 from ..operators import metrics, rankprob, resample, strategy
 from ..registry import query
 from ..sources.bindings import CONTESTS, ENTRANTS, contests, entrants, table
+from ..sources.readers import stored
 from .rating_queries import LOSS, P1, PL, THREE, base_rates, scored
 
 R = F.round
@@ -100,10 +101,31 @@ def market(spark, sf_dir):
     return m.withColumn("ev", strategy.value(F.col("probability"), F.col("odds")))
 
 
-@query(f"WITH {SCORED}, {TICKETS}, {MARKET} SELECT race_id, ticket_type, selection, venue, round(ev, 6) AS ev FROM ev JOIN c USING (race_id) WHERE ev > 0.15")
+OFFERED = f"""fo AS (SELECT race_id, ticket_type, selection, round(probability, 9) AS probability, round(1 / nullif(round(probability, 9), 0), 4) AS fair_odds FROM tk WHERE ticket_type IN ('WIN', 'QUINELLA', 'TRIO')),
+of0 AS (SELECT *, {U.format(key="race_id || '|' || ticket_type || '|' || selection || '|offer'")} AS u FROM fo),
+of AS (SELECT race_id, ticket_type, selection, round(fair_odds * (0.75 + 0.5 * u), 2) AS market_odds FROM of0 WHERE u >= 0.1 UNION ALL SELECT race_id, ticket_type, selection || '-0', 9.9 FROM of0 WHERE u < 0.02),
+sh AS (SELECT race_id, count(*) AS size, sum(-p * ln(p)) / ln(count(*)) AS h FROM p GROUP BY 1)"""
+
+
+def offered(spark, sf_dir):
+    """Fair tickets, and a market of its own that lacks a tenth of them and offers some that no field can pay."""
+    t = tickets(spark, sf_dir, ("WIN", "QUINELLA", "TRIO")).withColumn("probability", R("probability", 9))
+    fair = stored(t.select(*strategy.TICKET, "probability", R(F.try_divide(F.lit(1.0), "probability"), 4).alias("fair_odds")), "fair")
+    u = resample.uniform(F.col("race_id"), F.col("ticket_type"), F.col("selection"), F.lit("offer"))
+    priced = fair.withColumn("u", u)
+    known = priced.where("u >= 0.1").select(*strategy.TICKET, R(F.col("fair_odds") * (0.75 + 0.5 * F.col("u")), 2).alias("market_odds"))
+    stray = priced.where("u < 0.02").select("race_id", "ticket_type", F.concat("selection", F.lit("-0")).alias("selection"), F.lit(9.9))
+    return fair, known.union(stray)
+
+
+@query(f"""WITH {SCORED}, {TICKETS}, {OFFERED} SELECT race_id, ticket_type, selection, market_odds, round(probability * market_odds - 1, 6) AS ev, round(market_odds / fair_odds - 1, 6) AS edge_ratio, round(100 * (probability * market_odds - 1), 4) AS profit_per_100, venue, domain, size,
+CASE WHEN round(h, 9) > 0.82 THEN 'HIGH' WHEN round(h, 9) > 0.65 THEN 'MEDIUM' ELSE 'LOW' END AS uncertainty FROM fo JOIN of USING (race_id, ticket_type, selection) LEFT JOIN c USING (race_id) LEFT JOIN sh USING (race_id)""")
 def j09_market_join(spark, sf_dir):
-    """Market tickets with expected value and the contest's columns; those without a contest are rejected."""
-    return market(spark, sf_dir).where("ev > 0.15").join(contests(spark, sf_dir).select("race_id", "venue"), "race_id").select("race_id", "ticket_type", "selection", "venue", R("ev", 6).alias("ev"))
+    """All offers that meet a fair ticket on three keys, with value, edge, profit, the contest's columns and its structure."""
+    fair, market = offered(spark, sf_dir)
+    shape = strategy.shape(base_rates(spark, sf_dir), "race_id", "p").select("race_id", "size", "uncertainty")
+    j = strategy.market_join(fair, market, contests(spark, sf_dir).select("race_id", "venue", "domain"), shape)
+    return j.select(*strategy.TICKET, "market_odds", R("ev", 6).alias("ev"), R("edge_ratio", 6).alias("edge_ratio"), R("profit_per_100", 4).alias("profit_per_100"), "venue", "domain", "size", "uncertainty")
 
 
 CHOSEN = """ch AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY round(ev, 9) DESC, round(probability, 9) DESC, ticket_type, selection) AS rn FROM ev WHERE ev >= 0.02),
@@ -210,13 +232,14 @@ def m32_failure_analysis(spark, sf_dir):
     return taken.union(omitted(spark, sf_dir).agg(count_rows().alias("rows")).select(F.lit("PRUNED_HIGH_EV"), F.lit("NONE"), "rows"))
 
 
-@query(f"""WITH {SCORED}, {TICKETS}, {MARKET} SELECT race_id, ticket_type, selection, round(100 * (0.5 * least(greatest(ev, 0), 0.5) / 0.5 + 0.3 * CASE WHEN probability < 0.05 THEN 1.0 WHEN probability < 0.2 THEN 0.7 ELSE 0.4 END + 0.2 * CASE WHEN n <= 8 THEN 1.0 WHEN n <= 12 THEN 0.7 ELSE 0.5 END), 4) AS score
+@query(f"""WITH {SCORED}, {TICKETS}, {MARKET} SELECT race_id, ticket_type, selection, round(100 * (0.5 * least(greatest(ev, 0), 0.5) / 0.5 + 0.3 * CASE WHEN round(probability, 9) < 0.05 THEN 1.0 WHEN round(probability, 9) < 0.2 THEN 0.7 ELSE 0.4 END + 0.2 * CASE WHEN n <= 8 THEN 1.0 WHEN n <= 12 THEN 0.7 ELSE 0.5 END), 6) AS score
 FROM ev JOIN (SELECT race_id, any_value(n) AS n FROM e GROUP BY 1) USING (race_id)""")
 def f21_opportunity_score(spark, sf_dir):
     n = entrants(spark, sf_dir).groupBy("race_id").agg(F.first("n").alias("n"))
     m = market(spark, sf_dir).join(n, "race_id")
-    conf = F.when(F.col("probability") < 0.05, "LOW").when(F.col("probability") < 0.2, "MEDIUM").otherwise("HIGH")
-    return m.select("race_id", "ticket_type", "selection", R(strategy.opportunity(F.col("ev"), conf, F.col("n")), 4).alias("score"))
+    p = R("probability", 9)  # engines differ in the last digits of a sum
+    conf = F.when(p < 0.05, "LOW").when(p < 0.2, "MEDIUM").otherwise("HIGH")
+    return m.select("race_id", "ticket_type", "selection", R(strategy.opportunity(F.col("ev"), conf, F.col("n")), 6).alias("score"))
 
 
 @query(f"WITH {SCORED}, {PL}, w AS (SELECT race_id, horse_id, exp(.60 * ln(p_win) + .25 * ln(p_top2 / 2) + .15 * ln(p_top3 / 3)) AS w FROM m) SELECT race_id, horse_id, round(w / sum(w) OVER (PARTITION BY race_id), 6) AS weight FROM w")

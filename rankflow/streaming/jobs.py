@@ -26,18 +26,28 @@ def run_now(df: DataFrame, checkpoint: str, each=None, mode: str = "append", pat
     started.awaitTermination()
 
 
-def ingest(stream: DataFrame, rules: Mapping[str, Column], good: str, bad: str, checkpoint: str) -> None:
-    """Drop-folder ingest behind a gate: rows without an issue go to `good` once per content, the rest to quarantine.
+def content_hash(columns: list[str]) -> Column:
+    """SHA-256 of a row's values by name."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)])), 256)
 
-    A batch that is repeated after a failure overwrites its own folder.
+
+def ingest(stream: DataFrame, rules: Mapping[str, Column], good: str, bad: str, checkpoint: str, at: str | None = None, within: str | None = None) -> None:
+    """Drop-folder ingest behind a gate: rows without an issue go to `good`, the rest to quarantine, each content once over all batches and runs.
+
+    The hashes of all contents that ever came are kept as state on disk. With an event time
+    `at` and a bound `within`, hashes expire once the watermark has passed them by the bound.
+    Where a batch fails half-way, the next run reads the same files against the same state
+    and overwrites the batch's own folders, so nothing is lost or doubled.
     """
+    hashed = stream.withColumn("content", content_hash(stream.columns))
+    fresh = hashed.dropDuplicates(["content"]) if at is None else hashed.withWatermark(at, within).dropDuplicatesWithinWatermark(["content"])
 
     def each(batch: DataFrame, number: int) -> None:
-        fine, off = gates.split(batch.withColumn("content", F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(batch.columns)])), 256)).dropDuplicates(["content"]), rules)
+        fine, off = gates.split(batch, rules)
         fine.write.mode("overwrite").parquet(f"{good}/batch={number}")
         off.write.mode("overwrite").parquet(f"{bad}/batch={number}")
 
-    run_now(stream, checkpoint, each)
+    with_rocks(stream.sparkSession, lambda: run_now(fresh, checkpoint, each))
 
 
 def poll(stream: DataFrame, ledger: str, out: str, checkpoint: str) -> None:
@@ -142,10 +152,66 @@ def stateful_history(stream: DataFrame, key: str, days: int = 1095) -> DataFrame
     return stream.groupBy(key).transformWithStateInPandas(DayBarrierHistory(days), outputStructType="row_id long, h_n long, h_wins long", outputMode="Append", timeMode="None")
 
 
-def timely(stream: DataFrame, event_day: Column, created: Column, captured: Column) -> tuple[DataFrame, DataFrame]:
-    """Records whose creation isn't after the capture and whose day isn't after their creation; and the others."""
-    ok = F.coalesce((created <= captured) & (event_day <= created), F.lit(False))
-    return stream.where(ok), stream.where(~ok)
+DAY_MS = 86_400_000
+
+
+class ClosingDays(StatefulProcessor):
+    """Per (source, day, salt): counts rows until the watermark passes the day's end, then emits the count once and forgets the day.
+
+    Rows with a reason of their own, and rows of a day that is closed, come out as they are.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getValueState("rows", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        end = (key[1] + 1) * DAY_MS
+        closed, n = timerValues.getCurrentWatermarkInMs() >= end, 0
+        for pdf in rows:
+            reason = pdf["reason"].mask(pdf["reason"].isna() & closed, "LATE")
+            aside = reason.notna()
+            n += int((~aside).sum())
+            if aside.any():
+                yield pd.DataFrame({"source": key[0], "day": key[1], "row_id": pdf["row_id"][aside], "reason": reason[aside], "n": 1})
+        if n:
+            if self.rows.exists():
+                n += self.rows.get()[0]
+            else:
+                self.handle.registerTimer(end)
+            self.rows.update((n,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n = self.rows.get()[0]
+        self.rows.clear()
+        yield pd.DataFrame({"source": [key[0]], "day": [key[1]], "row_id": pd.array([None], dtype="Int64"), "reason": [None], "n": [n]})
+
+    def close(self) -> None:
+        pass
+
+
+def closing_days(stream: DataFrame, row_id: str, at: str, by: str, counts: str, aside: str, checkpoint: str, late: str = "2 days", issues: Mapping[str, Column] | None = None, salts: int = 16) -> None:
+    """Daily counts per source in append mode, and all rows they leave out, from one read of a stream.
+
+    A day's count goes to `counts` (source, day, n; a row per salt that saw rows) once, in
+    the batch in which the watermark (`late` behind the newest event) has passed its end.
+    Rows with an issue, and rows that come for a closed day, go to `aside` (source, day,
+    row_id, reason). Keys are salted, so a source with most rows is spread over tasks;
+    state holds a number per open day, source and salt.
+    """
+    marked = stream.withColumn("reason", gates.first_reason(list(issues.items())) if issues else F.lit(None).cast("string"))
+    keys = [F.col(by).cast("string").alias("source"), F.unix_date(F.to_date(at)).cast("long").alias("day"), F.pmod(F.xxhash64(row_id), F.lit(salts)).alias("salt")]
+    # the watermark's column goes no further, as the operator itself tells rows of closed days
+    rows = marked.withWatermark(at, late).select(*keys, F.col(row_id).cast("long").alias("row_id"), "reason")
+    told = rows.groupBy("source", "day", "salt").transformWithStateInPandas(ClosingDays(), outputStructType="source string, day long, row_id long, reason string, n long", outputMode="Append", timeMode="EventTime")
+
+    def each(batch: DataFrame, number: int) -> None:
+        both = batch.persist()
+        both.where("reason is null").select("source", "day", "n").write.mode("overwrite").parquet(f"{counts}/batch={number}")
+        both.where("reason is not null").select("source", "day", "row_id", "reason").write.mode("overwrite").parquet(f"{aside}/batch={number}")
+        both.unpersist()
+
+    with_rocks(stream.sparkSession, lambda: run_now(told, checkpoint, each))
 
 
 def results_after(predictions: DataFrame, results: DataFrame, key: str, within: str) -> DataFrame:
@@ -155,11 +221,6 @@ def results_after(predictions: DataFrame, results: DataFrame, key: str, within:
     return p.join(r, (F.col(key) == F.col("__key")) & (F.col("r_at") > F.col("p_at")) & (F.col("r_at") <= F.col("p_at") + F.expr(f"INTERVAL {within}"))).drop("__key")
 
 
-def daily_counts(stream: DataFrame, at: str, by: str, late: str = "2 days") -> DataFrame:
-    """Rows per day and source, to be written in update mode: the watermark ends a day's state."""
-    return stream.withWatermark(at, late).groupBy(F.window(at, "1 day"), by).agg(F.count(F.lit(1)).alias("rows")).select(F.to_date("window.start").alias("day"), by, "rows")
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
