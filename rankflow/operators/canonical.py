@@ -108,6 +108,21 @@ def table_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.shiftrightunsigned(h, 32)).alias("high"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("low"))
 
 
+def frozen(df: DataFrame, root: str) -> DataFrame:
+    """`df` written once under its digest below `root`, and read back; fails if what is there reads otherwise."""
+    spark = df.sparkSession
+    draft = f"{root.rstrip('/')}/draft"
+    df.write.mode("errorifexists").parquet(draft)
+    told = spark.read.schema(df.schema).parquet(draft)
+    digest = table_digest(told, told.columns).first()
+    path = f"{root.rstrip('/')}/rows-{digest['rows']}-{digest['high'] % (1 << 64):016x}-{digest['low'] % (1 << 64):016x}"
+    told.write.mode("errorifexists").parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    if table_digest(back, back.columns).first() != digest:
+        raise ValueError("the snapshot changed while it was frozen")
+    return back
+
+
 def lineage(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of events (source, parent, output, step): source -> output and parent -> output."""
     nodes = events.select(F.explode(F.array_compact(F.array("source", "parent", "output"))).alias("node")).distinct()

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 from pyspark.sql.window import Window
 
+from .metrics import log_loss
+
 
 def value(p: Column, odds: Column) -> Column:
     """Expected value of a unit stake."""
@@ -105,3 +107,24 @@ def outcomes(bets: DataFrame) -> DataFrame:
 
 def miss_class(p: Column) -> Column:
     return F.when(p >= 0.5, "SEVERE").when(p >= 0.25, "MAJOR").when(p >= 0.10, "MINOR").otherwise("TAIL")
+
+
+def ensemble(df: DataFrame, by: str, split: str, members: dict[str, tuple[Column, Column, Column]], points: int = 21, least: int = 100) -> DataFrame:
+    """Weight of a special model against the common one per `by` and target, from `members`: target -> (common p, special p, label).
+
+    Of `points` weights the one with the least loss on SELECTION rows counts, the smallest of
+    equals; TEST and OOS only report. Losses of all weights are summed in one pass over the
+    rows. A group without `least` SELECTION rows has no weight.
+    """
+    weights = [i / (points - 1) for i in range(points)]
+    sums = [F.array(*[F.sum(log_loss(w * special + (1 - w) * common, y)) for w in weights]).alias(t) for t, (common, special, y) in members.items()]
+    told = df.groupBy(by, split).agg(F.count(F.lit(1)).alias("rows"), *sums)
+    long = told.select(by, split, "rows", F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("sums")) for t in members])).alias("x")).select(by, split, "rows", "x.*")
+    means = long.select(by, "target", split, "rows", F.transform("sums", lambda x: x / F.col("rows")).alias("means"))
+    chosen = means.where((F.col(split) == "SELECTION") & (F.col("rows") >= least))
+    ranked = F.array_min(F.transform("means", lambda x, i: F.struct(F.round(x, 10).alias("loss"), i.alias("i"))))
+    best = chosen.select(by, "target", ranked["i"].alias("i"), F.get("means", ranked["i"]).alias("selection_logloss"))
+    later = means.where(F.col(split).isin("TEST", "OOS")).join(best.select(by, "target", "i"), [by, "target"])
+    at = lambda name, place: [F.max(F.when(F.col(split) == s, F.get("means", place))).alias(f"{s.lower()}_{name}") for s in ("TEST", "OOS")]
+    judged = later.groupBy(by, "target").agg(*at("logloss", F.col("i")), *at("common", F.lit(0)), *at("special", F.lit(points - 1)))
+    return best.withColumn("weight", F.col("i") / (points - 1)).drop("i").join(judged, [by, "target"], "left")

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import count_rows
-from ..operators import metrics, rankprob, resample, strategy
+from ..operators import canonical, history, metrics, rankprob, resample, splits, strategy
 from ..registry import query
 from ..sources.bindings import CONTESTS, ENTRANTS, contests, entrants, table
-from ..sources.readers import stored
+from ..sources.readers import scratch, stored
+from .feature_queries import PLAN, PLAN_SQL
 from .rating_queries import LOSS, P1, PL, THREE, base_rates, scored
 
 R = F.round
@@ -81,6 +82,37 @@ def m29_rank_sampling(spark, sf_dir):
     return sampled(base_rates(spark, sf_dir)).select("race_id", "horse_id", "wins", "top3")
 
 
+#: Chance of each set of first finishers (as bits of the places in the field), one finisher added a round.
+POSITIONS = f"""{PL}, lw AS (SELECT race_id, horse_id, p_win, p_top2, p_top3, exp(.60 * ln(p_win) + .25 * ln(p_top2 / 2) + .15 * ln(p_top3 / 3)) AS w0 FROM m),
+lk AS (SELECT *, w0 / sum(w0) OVER (PARTITION BY race_id) AS w, row_number() OVER (PARTITION BY race_id ORDER BY horse_id) - 1 AS bit FROM lw),
+fs(race_id, k, mask, chance, used) AS (SELECT DISTINCT race_id, 0::BIGINT, 0::BIGINT, 1::DOUBLE, 0::DOUBLE FROM lk
+ UNION ALL SELECT fs.race_id, any_value(fs.k) + 1, fs.mask | (1::BIGINT << lk.bit), sum(fs.chance * lk.w / (1 - fs.used)), any_value(fs.used + lk.w) FROM fs JOIN lk ON fs.race_id = lk.race_id AND fs.mask & (1::BIGINT << lk.bit) = 0 GROUP BY fs.race_id, fs.mask | (1::BIGINT << lk.bit)),
+ps AS (SELECT lk.race_id, horse_id, CAST(k + 1 AS INTEGER) AS position, sum(chance * w / (1 - used)) AS probability FROM fs JOIN lk ON fs.race_id = lk.race_id AND mask & (1::BIGINT << bit) = 0 GROUP BY 1, 2, 3)"""
+
+
+def finish_positions(spark, sf_dir):
+    """Entrants' source probabilities, and their positions under the latent weights; both written, as the queries read them twice."""
+    m = stored(scored(spark, sf_dir).select("race_id", "horse_id", "p_win", "p_top2", "p_top3"), "scored")
+    w = m.select("race_id", "horse_id", strategy.latent_weight(F.col("p_win"), F.col("p_top2"), F.col("p_top3")).alias("w"))
+    return m, rankprob.positions(w, weight="w")
+
+
+@query(f"WITH RECURSIVE {SCORED}, {POSITIONS} SELECT race_id, horse_id, position, round(probability, 6) AS probability FROM ps")
+def m30_finish_positions(spark, sf_dir):
+    """The whole finish-position distribution of every contest under its latent weights."""
+    return finish_positions(spark, sf_dir)[1].withColumn("probability", R("probability", 6))
+
+
+@query(f"""WITH RECURSIVE {SCORED}, {POSITIONS}, su AS (SELECT race_id, horse_id, sum(probability) FILTER (position = 1) AS s1, sum(probability) FILTER (position <= 2) AS s2, sum(probability) FILTER (position <= 3) AS s3 FROM ps GROUP BY 1, 2)
+SELECT count(*) AS entrants, round(avg(abs(s1 - p_win)), 6) AS mae_win, round(avg(abs(s2 - p_top2)), 6) AS mae_top2, round(avg(abs(s3 - p_top3)), 6) AS mae_top3 FROM su JOIN lk USING (race_id, horse_id)""")
+def m30_source_error(spark, sf_dir):
+    """Mean absolute difference of the first one, two and three positions from the source probabilities."""
+    m, told = finish_positions(spark, sf_dir)
+    first = told.groupBy("race_id", "horse_id").agg(*[F.sum(F.when(F.col("position") <= k, F.col("probability")).otherwise(0.0)).alias(f"s{k}") for k in (1, 2, 3)])
+    off = lambda a, b: R(F.avg(F.abs(F.col(a) - F.col(b))), 6)
+    return first.join(m, ["race_id", "horse_id"]).agg(count_rows().alias("entrants"), off("s1", "p_win").alias("mae_win"), off("s2", "p_top2").alias("mae_top2"), off("s3", "p_top3").alias("mae_top3"))
+
+
 @query()
 def m30_simulation_error(spark, sf_dir):
     """Simulated shares of first and of the first three places against the exact ones."""
@@ -256,32 +288,53 @@ def f23_contest_shape(spark, sf_dir):
     return strategy.shape(p, "race_id", "p").withColumn("entropy", R("entropy", 6))
 
 
-@query(f"WITH {SCORED}, {PL}, {THREE} SELECT k, round(sum(logloss) / sum(rows), 6) AS logloss FROM a5 WHERE positives = least(k, rows) GROUP BY k")
+def frozen_predictions(spark, sf_dir):
+    """Predictions of all contests, frozen under their digest before any result is read; a snapshot is a month of contests."""
+    p = scored(spark, sf_dir).select("race_id", "horse_id", F.date_format("day", "yyyy-MM").alias("snapshot"), *[R(c, 12).alias(c) for c in ("p_win", "p_top2", "p_top3")])
+    return canonical.frozen(p, scratch(spark, "blind"))
+
+
+@query(f"""WITH {SCORED}, {PL}, {THREE}, mo AS (SELECT race_id, any_value(strftime(day, '%Y-%m')) AS snapshot FROM m GROUP BY 1)
+SELECT snapshot, k, count(*) AS races, CAST(sum(rows) AS BIGINT) AS rows, round(sum(logloss) / sum(rows), 6) AS logloss, round(sum(brier) / sum(rows), 6) AS brier FROM a5 JOIN mo USING (race_id) WHERE positives = least(k, rows) GROUP BY 1, 2""")
 def m38_blind_evaluation(spark, sf_dir):
-    """Predictions frozen before their results are joined, then scored."""
-    frozen = scored(spark, sf_dir).select("race_id", "horse_id", *[R(c, 12).alias(c) for c in ("p_win", "p_top2", "p_top3")])
+    """Predictions frozen in snapshots; results are joined afterwards and score each snapshot."""
+    frozen = frozen_predictions(spark, sf_dir)
     results = entrants(spark, sf_dir).select("race_id", "horse_id", "finish")
-    t = metrics.three_targets(frozen.join(results, ["race_id", "horse_id"]), "race_id", "horse_id", "finish", ["p_win", "p_top2", "p_top3"])
-    return t.groupBy("k").agg(R(F.sum("logloss") / F.sum("rows"), 6).alias("logloss"))
+    t = metrics.three_targets(frozen.join(results, ["race_id", "horse_id"]).withColumn("race", F.struct("snapshot", "race_id")), "race", "horse_id", "finish", ["p_win", "p_top2", "p_top3"])
+    return t.groupBy("race.snapshot", "k").agg(count_rows().alias("races"), F.sum("rows").alias("rows"), R(F.sum("logloss") / F.sum("rows"), 6).alias("logloss"), R(F.sum("brier") / F.sum("rows"), 6).alias("brier"))
 
 
-@query(f"WITH {SCORED}, w AS (SELECT race_id, horse_id, p FROM p), rr AS (SELECT race_id, horse_id, finish FROM e) SELECT count(*) AS rows, count(DISTINCT race_id) AS races, count(*) FILTER (finish = 1) AS winners FROM w JOIN rr USING (race_id, horse_id)")
+@query(f"WITH {SCORED}, rr AS (SELECT race_id, horse_id, finish, strftime(day, '%Y-%m') AS snapshot FROM e) SELECT snapshot, count(*) AS rows, count(DISTINCT race_id) AS races, count(*) FILTER (rr.finish = 1) AS winners FROM p JOIN rr USING (race_id, horse_id) GROUP BY 1")
 def j10_frozen_results(spark, sf_dir):
-    frozen = base_rates(spark, sf_dir).select("race_id", "horse_id", "p")
-    j = frozen.join(entrants(spark, sf_dir).select("race_id", "horse_id", "finish"), ["race_id", "horse_id"])
-    return j.agg(count_rows().alias("rows"), F.count_distinct("race_id").alias("races"), F.count_if(F.col("finish") == 1).alias("winners"))
+    """Frozen predictions met with results, per snapshot."""
+    j = frozen_predictions(spark, sf_dir).join(entrants(spark, sf_dir).select("race_id", "horse_id", "finish"), ["race_id", "horse_id"])
+    return j.groupBy("snapshot").agg(count_rows().alias("rows"), F.count_distinct("race_id").alias("races"), F.count_if(F.col("finish") == 1).alias("winners"))
 
 
-WEIGHTS = f"""tw AS (SELECT CAST(i / 20.0 AS DOUBLE) AS w FROM range(21) g(i)), x AS (SELECT w, w * p + (1 - w) / n AS q, label_win FROM p, tw), lw AS (SELECT w, avg({LOSS.format(p="q", y="label_win")}) AS l FROM x GROUP BY 1)"""
+#: The common model's and the domain's own history and probabilities, and 21 weights between them.
+DOMAIN = PL.replace("j AS", "dj AS").replace("pool AS", "dpool AS").replace("s AS (", "ds AS (").replace("m AS", "dm AS").replace("FROM p a JOIN p b", "FROM dp a JOIN dp b").replace("FROM j ", "FROM dj ").replace("JOIN pool", "JOIN dpool").replace("p.*, p.p", "dp.*, dp.p").replace("p.p +", "dp.p +").replace("FROM p LEFT JOIN s", "FROM dp LEFT JOIN ds")
+ENSEMBLE = f"""{PL}, dh AS (SELECT race_id, horse_id, count(*) OVER w AS d_n, coalesce(sum(label_win) OVER w, 0) AS d_wins FROM e WINDOW w AS (PARTITION BY horse_id, domain ORDER BY dn RANGE BETWEEN 1095 PRECEDING AND 1 PRECEDING)),
+dp AS (SELECT race_id, horse_id, (d_wins + 1) / (d_n + 12)::DOUBLE / sum((d_wins + 1) / (d_n + 12)::DOUBLE) OVER (PARTITION BY race_id) AS p FROM dh), {DOMAIN}, {PLAN_SQL},
+x AS (SELECT m.domain, split, target, CASE target WHEN 'label_win' THEN m.p_win WHEN 'label_top2' THEN m.p_top2 ELSE m.p_top3 END AS c, CASE target WHEN 'label_win' THEN dm.p_win WHEN 'label_top2' THEN dm.p_top2 ELSE dm.p_top3 END AS s, CASE target WHEN 'label_win' THEN label_win WHEN 'label_top2' THEN label_top2 ELSE label_top3 END AS y
+ FROM m JOIN dm USING (race_id, horse_id) JOIN pl ON day BETWEEN pl.a AND pl.b, (VALUES ('label_win'), ('label_top2'), ('label_top3')) AS t(target)),
+l AS (SELECT domain, target, split, i, count(*) AS rows, avg({LOSS.format(p="(i / 20.0::DOUBLE * s + (1 - i / 20.0::DOUBLE) * c)", y="y")}) AS loss FROM x, range(21) AS g(i) WHERE split IN ('SELECTION', 'TEST', 'OOS') GROUP BY ALL),
+bw AS (SELECT domain, target, arg_min(i, (round(loss, 10), i)) AS i, arg_min(loss, (round(loss, 10), i)) AS selection_logloss FROM l WHERE split = 'SELECTION' AND rows >= 100 GROUP BY 1, 2)"""
 
 
-@query(f"WITH {SCORED}, {WEIGHTS} SELECT arg_min(w, (round(l, 10), w)) AS weight, round(min(l), 6) AS logloss FROM lw")
+@query(f"""WITH {SCORED}, {ENSEMBLE} SELECT CASE domain WHEN 1 THEN 'JRA' ELSE 'NAR' END AS domain, target, any_value(bw.i) / 20.0::DOUBLE AS weight, round(any_value(selection_logloss), 6) AS selection_logloss,
+{", ".join(f"round(max(loss) FILTER (split = '{s}' AND l.i = {i}), 6) AS {s.lower()}_{n}" for s in ("TEST", "OOS") for n, i in (("logloss", "bw.i"), ("common", "0"), ("special", "20")))} FROM bw JOIN l USING (domain, target) GROUP BY ALL""")
 def m26_ensemble_weight(spark, sf_dir):
-    """Weight of the model against equal chances with the least loss, over 21 points."""
-    p = base_rates(spark, sf_dir).select("p", "n", "label_win")
-    x = p.withColumn("w", F.explode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: i / 20.0)))
-    l = x.groupBy("w").agg(F.avg(metrics.log_loss(F.col("w") * F.col("p") + (1 - F.col("w")) / F.col("n"), F.col("label_win"))).alias("l"))
-    return l.agg(F.min_by("w", F.struct(R("l", 10), F.col("w"))).alias("weight"), R(F.min("l"), 6).alias("logloss"))
+    """Weight of the domain's own model against the common one per domain and target: the least SELECTION loss of 21 points, reported on TEST and OOS."""
+    places = ("p_win", "p_top2", "p_top3")
+    h = history.contexts(entrants(spark, sf_dir), "horse_id", {"h_": [], "d_": ["domain"]}, {"wins": F.col("label_win")})
+    share = lambda x: history.share(history.smoothed(F.col(f"{x}_wins"), F.col(f"{x}_n")), "race_id")
+    rows = h.withColumns({"c": share("h"), "s": share("d")}).select("race_id", "horse_id", "domain", "day", "label_win", "label_top2", "label_top3", "c", "s")
+    common = rankprob.marginals(rows, p="c", keep=rows.columns[2:]).withColumnsRenamed({p: f"c_{p}" for p in places})
+    both = rankprob.marginals(common, p="s", keep=[c for c in common.columns if c not in ("race_id", "horse_id")])
+    named = both.select(F.when(F.col("domain") == 1, "JRA").otherwise("NAR").alias("domain"), splits.assigned(None, PLAN).alias("split"), "label_win", "label_top2", "label_top3", *places, *[f"c_{p}" for p in places])
+    members = {y: (F.col(f"c_{p}"), F.col(p), F.col(y)) for y, p in zip(("label_win", "label_top2", "label_top3"), places, strict=True)}
+    out = strategy.ensemble(named.where("split in ('SELECTION', 'TEST', 'OOS')"), "domain", "split", members)
+    return out.select("domain", "target", "weight", *[R(c, 6).alias(c) for c in out.columns if c.endswith(("_logloss", "_common", "_special"))])
 
 
 LEDGER = """lg AS (SELECT l_partkey % 40 AS experiment, CASE l_returnflag WHEN 'A' THEN 'win' WHEN 'R' THEN 'top2' ELSE 'top3' END AS target, CASE WHEN l_linenumber % 3 = 0 THEN 'SELECTION' WHEN l_linestatus = 'F' THEN 'TEST' ELSE 'OOS' END AS split, 'set' || (l_suppkey % 3) AS feature_set,

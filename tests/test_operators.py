@@ -58,6 +58,47 @@ def test_marginals_by_permutations(spark, size):
         assert [r["p_win"], r["p_top2"], r["p_top3"]] == pytest.approx(want[r["horse_id"]], abs=1e-9)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 6])
+def test_positions_by_permutations(spark, size):
+    pick = random.Random(size)
+    w = [pick.choice([0.001, 0.2, 1.0, 30.0]) * (pick.random() + 0.1) for _ in range(size)]
+    want = [[0.0] * size for _ in w]
+    for order in itertools.permutations(range(size)):
+        left, q = sum(w), 1.0
+        for i in order:
+            q, left = q * w[i] / left, left - w[i]
+        for place, i in enumerate(order):
+            want[i][place] += q
+    df = spark.createDataFrame([(r, i, x) for r in ("a", "b") for i, x in enumerate(w)] + [("c", 0, 0.3), ("c", 1, 0.1)], "race_id string, horse_id int, p double")
+    got = {(r["race_id"], r["horse_id"], r["position"]): r["probability"] for r in rankprob.positions(df).collect()}
+    assert len(got) == 2 * size * size + 4 and got["c", 0, 1] == pytest.approx(0.75, abs=1e-12)
+    for r in ("a", "b"):
+        for i in range(size):
+            assert [got[r, i, k + 1] for k in range(size)] == pytest.approx(want[i], abs=1e-10)
+
+
+def test_positions_of_a_large_field_sum_to_one_both_ways():
+    import numpy as np
+
+    table = rankprob.field_positions(np.random.default_rng(2).dirichlet([0.3] * 18, 5) + 1e-6)
+    assert abs(table.sum(axis=1) - 1).max() < 1e-9 and abs(table.sum(axis=2) - 1).max() < 1e-9
+
+
+def test_ensemble_weight_comes_from_selection_alone(spark):
+    pick = random.Random(8)
+    rows = [(d, s, pick.random(), pick.random(), pick.randint(0, 1)) for d in ("JRA", "NAR") for s in ("SELECTION", "TEST", "OOS") for _ in range(120)] + [("FEW", "SELECTION", 0.5, 0.5, 1)] * 9
+    columns = "domain string, split string, c double, s double, y int"
+    member = {"y": (F.col("c"), F.col("s"), F.col("y"))}
+    got = {r["domain"]: r for r in strategy.ensemble(spark.createDataFrame(rows, columns), "domain", "split", member).collect()}
+    mean = lambda d, part, w: sum(-math.log(q if y else 1 - q) for dd, p, c, s, y in rows if (dd, p) == (d, part) for q in [w * s + (1 - w) * c]) / 120
+    assert set(got) == {"JRA", "NAR"}
+    for d, r in got.items():
+        best = min(range(21), key=lambda i: (round(mean(d, "SELECTION", i / 20), 10), i)) / 20
+        assert r["weight"] == best and r["oos_logloss"] == pytest.approx(mean(d, "OOS", best)) and r["test_special"] == pytest.approx(mean(d, "TEST", 1.0))
+    turned = [(d, s, c, p, 1 - y if s != "SELECTION" else y) for d, s, c, p, y in rows]
+    assert {r["domain"]: r["weight"] for r in strategy.ensemble(spark.createDataFrame(turned, columns), "domain", "split", member).collect()} == {d: r["weight"] for d, r in got.items()}
+
+
 def test_tickets_add_up(spark):
     p = [0.4, 0.3, 0.2, 0.1]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(p)] + [(2, 0, 0.5), (2, 1, 0.5)], "race_id long, horse_id long, p double")
