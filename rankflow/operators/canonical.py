@@ -43,46 +43,87 @@ def merged(frames: Sequence[DataFrame], key: str) -> DataFrame:
     return tagged.withColumn("__rn", first).where("__rn = 1").drop("__rn", "__priority")
 
 
+class Conflict(Exception):
+    """Another publisher took the sequence number first."""
+
+
 class VersionedTable:
-    """Immutable Parquet versions under one folder and a one-row pointer, written last.
+    """Immutable Parquet versions under one folder, and pointers numbered 1, 2, ...; the last one names the current version.
 
-    `check` raises on a bad version, before the pointer moves. Paths may be on any
-    file system that Spark reads; pointers are Parquet too, the newest one counts.
+    A publisher reads the last number, validates, and creates the object of the next one,
+    which fails where it exists: of two publishers that started from the same number one gets
+    a `Conflict`, and readers never see a version that was not validated. `check` raises
+    ValueError on a bad version. A version with fewer rows than the current one is refused
+    unless it is a rollback to one that was current before.
     """
 
     def __init__(self, spark: SparkSession, root: str, check=None):
         self.spark, self.root, self.check = spark, root.rstrip("/"), check
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def path(self, version: str) -> str:
         return f"{self.root}/version={PurePosixPath(version).name}"
 
-    def pointers(self) -> DataFrame:
-        return self.spark.read.schema("seq long, version string").parquet(f"{self.root}/pointer")
+    def _numbers(self) -> list[int]:
+        """All numbers that were taken, also by publishers that ended before they wrote a version's name."""
+        folder = self._path(f"{self.root}/pointer")
+        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
+
+    def _pointers(self) -> list[tuple[int, str]]:
+        if not self._numbers():
+            return []
+        files = self.spark.read.text(f"{self.root}/pointer", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).cast("long").alias("n"), "value")
+        return sorted((r["n"], r["value"]) for r in files.where("value <> ''").collect())  # one short row per publication
+
+    def pointer(self) -> tuple[int, str | None]:
+        """Last sequence number, and the current version; (0, None) before the first."""
+        numbers, named = self._numbers(), self._pointers()
+        return (numbers[-1] if numbers else 0), (named[-1][1] if named else None)
 
     def current(self) -> str:
-        last = self.pointers().orderBy(F.desc("seq")).first()
-        if last is None:
+        version = self.pointer()[1]
+        if version is None:
             raise LookupError("no version is published")
-        return last["version"]
+        return version
 
     def read(self, version: str | None = None) -> DataFrame:
         return self.spark.read.parquet(self.path(version or self.current()))
 
-    def publish(self, df: DataFrame, version: str) -> None:
+    def publish(self, df: DataFrame, version: str, seen: int | None = None) -> None:
+        """Builds a version aside, validates it and makes it current; `seen` is the number the publisher started from."""
+        seen = self.pointer()[0] if seen is None else seen
         df.write.mode("errorifexists").option("compression", "zstd").parquet(self.path(version))
-        self.point(version)
+        self.point(version, seen)
 
-    def point(self, version: str) -> None:
+    def point(self, version: str, seen: int | None = None) -> None:
         """Validates a version and makes it the current one; also how to roll back."""
+        number, current = self.pointer()
+        seen = number if seen is None else seen
+        new = self.read(version)
         if self.check is not None:
-            self.check(self.read(version))
+            self.check(new)
+        if current is not None and version not in {v for _, v in self._pointers()} and new.count() < self.read(current).count():
+            raise ValueError("the new version has fewer rows")
+        self._take(seen + 1, PurePosixPath(version).name)
+
+    def _take(self, seq: int, version: str) -> None:
+        """Creates the pointer of a number, which only one publisher can."""
         try:
-            seq = (self.pointers().agg(F.max("seq")).first()[0] or 0) + 1
-        except Exception as e:  # the first pointer
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            seq = 1
-        self.spark.createDataFrame([(seq, version)], "seq long, version string").coalesce(1).write.mode("append").parquet(f"{self.root}/pointer")
+            out = self._fs.create(self._path(f"{self.root}/pointer/{seq:012d}"), False)
+        except Exception as e:
+            if "exists" in str(e).lower():
+                raise Conflict(f"number {seq} is taken") from e
+            raise
+        out.write(bytearray(version.encode()))
+        out.close()
+
+
+def publish_merge(table: VersionedTable, candidates: Sequence[DataFrame], key: str, version: str) -> DataFrame:
+    """Merges candidates into the current version, which has precedence, and publishes the result unless another publisher came first; returns it as readers see it."""
+    seen, current = table.pointer()
+    table.publish(merged([table.read(current), *candidates], key), version, seen)
+    return table.read()
 
 
 def append_ledger(spark: SparkSession, events: DataFrame, path: str, payload: Sequence[str]) -> int:

@@ -89,3 +89,39 @@ def same_sets(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     left = a.select(*keys).exceptAll(b.select(*keys)).agg(F.count(F.lit(1)).alias("only_left"))
     right = b.select(*keys).exceptAll(a.select(*keys)).agg(F.count(F.lit(1)).alias("only_right"))
     return left.join(right).withColumn("same", (F.col("only_left") == 0) & (F.col("only_right") == 0))
+
+
+OUTCOMES = ("finish", "label_win", "label_top2", "label_top3", "payout_per_100")
+
+
+def result_blind(df: DataFrame, key: Sequence[str], probabilities: tuple[str, str, str], frame: str) -> DataFrame:
+    """Violations of predictions that must not know results; outcome columns or missing ones are an error before any row is read."""
+    seen = {c for c in df.columns if c.lower() in OUTCOMES}
+    if seen:
+        raise ValueError(f"outcome columns are forbidden here: {', '.join(sorted(seen))}")
+    lacking = [c for c in (*key, *probabilities, frame) if c not in df.columns]
+    if lacking:
+        raise ValueError(f"missing columns: {', '.join(lacking)}")
+    counted = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__k")).where("__k > 1").agg(F.coalesce(F.sum("__k"), F.lit(0)).alias("duplicate_key"))
+    told = violations(df, probability_rules(*probabilities) | {"bad_frame": ~F.col(frame).between(1, 8)}).join(counted)
+    return told.withColumn("status", F.when(F.col("duplicate_key") > 0, "BLOCKED").otherwise(F.col("status")))
+
+
+def refresh(conditions: DataFrame, runners: DataFrame, first: str, through: str, observed: str) -> DataFrame:
+    """Gate of a history refresh (race_id, day, created; runners with horse_id) for the days first..through: one row of counts, and status.
+
+    Keys must be unique, both sides name the same contests, all days lie in the interval,
+    which ends before the day of observation, and nothing was created after that day.
+    """
+    repeated = lambda df, keys, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).where("k > 1").agg(F.count(F.lit(1)).alias(name))
+    alone = lambda a, b, name: a.select("race_id").distinct().join(b, "race_id", "left_anti").agg(F.count(F.lit(1)).alias(name))
+    day = lambda x: F.lit(x).cast("date")
+    both = conditions.select("day", "created").union(runners.select("day", "created"))
+    out = F.col("day").isNull() | ~F.col("day").between(day(first), day(through))
+    rows = both.agg(F.count_if(out).alias("outside_interval"), F.count_if(F.col("created") > day(observed)).alias("future_dated"))
+    counts = [repeated(conditions, ["race_id"], "repeated_conditions"), repeated(runners, ["race_id", "horse_id"], "repeated_runners"), alone(conditions, runners, "without_runners"), alone(runners, conditions, "without_conditions")]
+    for c in counts:  # one row each
+        rows = rows.join(c)
+    rows = rows.withColumn("before_observation", (day(first) <= day(through)) & (day(through) < day(observed)))
+    bad = sum((F.col(c) for c in rows.columns if c != "before_observation"), F.lit(0))
+    return rows.withColumn("status", F.when((bad == 0) & F.col("before_observation"), "PASS").otherwise("BLOCKED"))

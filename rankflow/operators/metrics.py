@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ordered
+
 EPS = 1e-15
 
 
@@ -67,25 +69,16 @@ def ece(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return table.groupBy(*by).agg((F.sum(F.col("rows") * F.abs(F.col("mean_p") - F.col("rate"))) / F.sum("rows")).alias("ece"))
 
 
-BUCKETS = 4096
-
-
 def running(hist: DataFrame, value: str, counts: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Adds under_<count> to a histogram: the sum of each count over all smaller values.
 
-    Values are put in order within `BUCKETS` equal stretches of their range; the
-    stretches' totals are summed over each other, so no task holds all values.
+    Values are ordered in ranges of about equally many, whatever their spread, and the
+    ranges' totals are summed over each other, so no task holds all values.
     """
-    edges = hist.groupBy(*by).agg(F.min(value).cast("double").alias("__low"), F.max(value).cast("double").alias("__high"))
-    placed = hist.join(edges, [*by]) if by else hist.crossJoin(F.broadcast(edges))  # else one row
-    share = F.try_divide(F.col(value) - F.col("__low"), F.col("__high") - F.col("__low"))
-    placed = placed.withColumn("__bucket", F.coalesce(F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)), F.lit(0)).cast("int")).drop("__low", "__high")
-    local = Window.partitionBy(*by, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*by, "__bucket").agg(*[F.sum(c).alias(c) for c in counts])
-    before = totals.select(*by, "__bucket", *[F.coalesce(F.sum(c).over(total), F.lit(0)).alias(f"__before_{c}") for c in counts])
-    met = placed.select("*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"__local_{c}") for c in counts]).join(before, [*by, "__bucket"])
-    return met.select(*hist.columns, *[(F.col(f"__before_{c}") + F.col(f"__local_{c}")).alias(f"under_{c}") for c in counts])
+    keys = list(by) or ["__all"]
+    rows = hist if by else hist.withColumn("__all", F.lit(0))
+    told = ordered.sums_before(ordered.placed(rows, keys, [value], "histogram"), keys, {f"under_{c}": c for c in counts})
+    return told.select(*hist.columns, *[f"under_{c}" for c in counts])
 
 
 def auc(df: DataFrame, score: str, y: str, by: Sequence[str] = ()) -> DataFrame:

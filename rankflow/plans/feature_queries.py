@@ -240,10 +240,11 @@ def m13_block_bootstrap(spark, sf_dir):
     return i.select(R("low", 6).alias("low"), R("high", 6).alias("high"))
 
 
-@query(f"""WITH {ENTRANTS}, {P1}, {AGENT.format(key="agent_id")}, {SWAPS}, kb AS (SELECT race_id % 50 AS block, sum(new_hit - old_hit) AS delta, count(*) AS rows FROM k GROUP BY 1), nb AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS unit, count(*) OVER () AS units FROM kb),
+@query(f"""WITH {ENTRANTS}, {P1}, {AGENT.format(key="agent_id")}, {SWAPS}, kb AS (SELECT (dn + 719163) // 28 AS block, sum(new_hit - old_hit) AS delta, count(*) AS rows FROM k GROUP BY 1), nb AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS unit, count(*) OVER () AS units FROM kb),
 {boot(DRAWS, "acc")}, s AS (SELECT list_sort(list(ratio)) AS s FROM rt) SELECT round(s[1 + CAST(floor(0.025 * {DRAWS}) AS INTEGER)], 6) + 0.0 AS low, round(s[1 + CAST(floor(0.975 * {DRAWS}) AS INTEGER)], 6) + 0.0 AS high FROM s""")
 def m15_accuracy_interval(spark, sf_dir):
-    k = swaps(spark, sf_dir).groupBy((F.col("race_id") % 50).alias("block")).agg(F.sum(F.col("new_hit") - F.col("old_hit")).alias("delta"), count_rows().alias("rows"))
+    """Interval of the hit-rate difference from resampled blocks of 28 days."""
+    k = swaps(spark, sf_dir).groupBy(resample.block_of(F.date_from_unix_date("dn")).alias("block")).agg(F.sum(F.col("new_hit") - F.col("old_hit")).alias("delta"), count_rows().alias("rows"))
     i = resample.floor_interval(resample.bootstrap(resample.numbered(k, ["block"]), "delta", "rows", DRAWS, "acc"))
     return i.select((R("low", 6) + 0.0).alias("low"), (R("high", 6) + 0.0).alias("high"))
 

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import count_rows
-from ..operators import canonical, gates, history
+from ..operators import canonical, gates, history, metrics, ordered
 from ..registry import query
 from ..sources.bindings import CONTESTS, ENTRANTS, RUNNERS, contests, entrants, runners, table
+from ..sources.readers import scratch
+from .rating_queries import LOSS, P1, base_rates
 
 
 CANON = f"""{ENTRANTS}, k AS (SELECT CASE WHEN race_id % 211 = 0 THEN NULL WHEN race_id % 223 = 0 THEN CAST(race_id AS VARCHAR) ELSE race_id || '-' || horse_id END AS race_horse_id, race_id, horse_id,
@@ -179,16 +181,20 @@ def p16_domain_normalisation(spark, sf_dir):
     return contests(spark, sf_dir).groupBy(gates.domain(raw).alias("domain")).agg(count_rows().alias("rows"))
 
 
-@query(f"WITH {ENTRANTS} SELECT count(*) AS rows, count(*) FILTER (horse_id % 41 = 0) AS bad_p1, count(*) FILTER (horse_id % 43 = 0) AS not_ascending, CAST(0 AS BIGINT) AS duplicate_key, count(*) FILTER (horse_id % 9 = 8) AS bad_frame FROM e")
+#: Predictions as delivered: some out of range, not ascending, with a frame of 9, or twice.
+BLIND = """bl0 AS (SELECT race_id, horse_id, CASE WHEN horse_id % 41 = 0 THEN 1.5 ELSE 1.0 / (n + 1) END AS p1, CASE WHEN horse_id % 43 = 0 THEN 0.0 ELSE 0.6 END AS p2, CASE WHEN horse_id % 47 = 0 THEN NULL WHEN horse_id % 37 = 0 THEN 0.55 ELSE 0.7 END AS p3, horse_id % 9 + 1 AS frame FROM e),
+bl AS (SELECT *, count(*) OVER (PARTITION BY race_id, horse_id) AS k FROM (SELECT * FROM bl0 UNION ALL SELECT * FROM bl0 WHERE horse_id % 59 = 0))"""
+
+
+@query(f"""WITH {ENTRANTS}, {BLIND} SELECT count(*) AS rows, count(*) FILTER (k > 1) AS duplicate_key, count(*) FILTER (p1 NOT BETWEEN 0 AND 1) AS bad_p1, count(*) FILTER (p2 NOT BETWEEN 0 AND 1) AS bad_p2, count(*) FILTER (p3 IS NULL OR p3 NOT BETWEEN 0 AND 1) AS bad_p3,
+count(*) FILTER (p1 > p2 + 1e-12 OR p2 > p3 + 1e-12) AS not_ascending, count(*) FILTER (frame NOT BETWEEN 1 AND 8) AS bad_frame FROM bl""")
 def p17_result_blind_gate(spark, sf_dir):
-    """Predictions without outcome columns, with ranges, order, keys and frames checked."""
-    e = entrants(spark, sf_dir)
-    d = e.select("race_id", "horse_id", F.when(F.col("horse_id") % 41 == 0, 1.5).otherwise(1 / (F.col("n") + 1)).alias("p1"), F.when(F.col("horse_id") % 43 == 0, 0.0).otherwise(F.lit(1.6)).alias("p2"), (F.col("horse_id") % 9 + 1).alias("frame"))
-    if {"finish", "label_win", "payout_per_100"} & set(d.columns):
-        raise ValueError("outcome columns are forbidden here")
-    again = d.groupBy("race_id", "horse_id").agg(count_rows().alias("k")).where("k > 1").agg(count_rows().alias("duplicate_key"))
-    rules = {"bad_p1": ~F.col("p1").between(0, 1), "not_ascending": F.col("p2") < F.least("p1", F.lit(1.0)), "bad_frame": ~F.col("frame").between(1, 8)}
-    return gates.violations(d, rules).drop("status").join(again)
+    """Predictions that carry no outcome and lack no column; ranges, order of the three targets, keys and frames are counted."""
+    h = F.col("horse_id")
+    d = entrants(spark, sf_dir).select(
+        "race_id", "horse_id", F.when(h % 41 == 0, 1.5).otherwise(1 / (F.col("n") + 1)).alias("p1"), F.when(h % 43 == 0, 0.0).otherwise(0.6).alias("p2"), F.when(h % 47 == 0, None).when(h % 37 == 0, 0.55).otherwise(0.7).alias("p3"), (h % 9 + 1).alias("frame"),
+    )
+    return gates.result_blind(d.union(d.where("horse_id % 59 = 0")), ["race_id", "horse_id"], ("p1", "p2", "p3"), "frame").drop("status")
 
 
 @query(f"WITH {ENTRANTS} SELECT venue, count(*) AS rows FROM e WHERE venue IN ('F', 'O') AND race_class IN ('1', '2') AND domain = 1 GROUP BY 1")
@@ -213,16 +219,25 @@ def w23_group_predicates(spark, sf_dir):
     return delivered(spark, sf_dir).groupBy("race_id").agg(F.bool_and(y.isNotNull()).alias("all_labelled"), F.coalesce(F.sum(y) == 1, F.lit(False)).alias("one_winner"))
 
 
-@query(f"""WITH {ENTRANTS}, l AS (SELECT *, lag(dn) OVER (PARTITION BY horse_id ORDER BY dn, race_id) AS prior FROM e)
-SELECT count(*) AS rows, count(*) FILTER (label_win > label_top2 OR label_top2 > label_top3) AS label_order, count(*) FILTER (prior IS NULL) AS first_starts, count(*) FILTER (prior IS NULL AND prior IS NOT NULL) AS leaking, CAST(0 AS BIGINT) AS overlapping_splits FROM l""")
+#: Entrants with history features as delivered: some labels out of order, some first starts with a history, some rows twice.
+GUARD = """gd0 AS (SELECT race_id, horse_id, dn, CASE WHEN horse_id % 31 = 0 THEN 0 ELSE label_top2 END AS label_top2, label_win, label_top3, lag(dn) OVER (PARTITION BY horse_id ORDER BY dn, race_id) AS prior FROM e),
+gd1 AS (SELECT *, CASE WHEN prior IS NOT NULL THEN dn - prior WHEN horse_id % 7 = 0 THEN 0 END AS history FROM gd0),
+gd AS (SELECT *, count(*) OVER (PARTITION BY race_id, horse_id) AS k FROM (SELECT * FROM gd1 UNION ALL SELECT * FROM gd1 WHERE race_id % 211 = 0)),
+sp AS (SELECT *, lag(stop) OVER (ORDER BY start) AS before FROM (VALUES ('TRAIN', '1992-01-01', '1995-12-31'), ('VALIDATION', '1995-12-31', '1996-12-31'), ('TEST', '1997-01-01', '1998-12-31')) AS t(split, start, stop))"""
+
+
+@query(f"""WITH {ENTRANTS}, {GUARD} SELECT count(*) AS rows, count(*) FILTER (k > 1) AS duplicate_key, count(*) FILTER (label_win > label_top2 OR label_top2 > label_top3) AS label_order, count(*) FILTER (prior IS NULL) AS first_starts,
+count(*) FILTER (prior IS NULL AND history IS NOT NULL) AS leaking, (SELECT count(*) FROM sp WHERE start <= before) AS overlapping_splits FROM gd""")
 def p21_leakage_guard(spark, sf_dir):
-    e = entrants(spark, sf_dir).withColumn("prior", F.lag("dn").over(Window.partitionBy("horse_id").orderBy("dn", "race_id")))
-    history = F.sum("label_win").over(Window.partitionBy("horse_id").orderBy("dn", "race_id").rowsBetween(Window.unboundedPreceding, -1))
-    e = e.withColumn("h", history)
-    plan = spark.createDataFrame([("TRAIN", "1992-01-01", "1995-12-31"), ("VALIDATION", "1996-01-01", "1996-12-31"), ("TEST", "1997-01-01", "1998-12-31")], "split string, start string, stop string")
-    over = plan.withColumn("before", F.lag("stop").over(Window.orderBy("start"))).agg(F.count_if(F.col("start") <= F.col("before")).alias("overlapping_splits"))
-    rules = {"label_order": (F.col("label_win") > F.col("label_top2")) | (F.col("label_top2") > F.col("label_top3")), "first_starts": F.col("prior").isNull(), "leaking": F.col("prior").isNull() & F.col("h").isNotNull()}
-    return gates.violations(e, rules).drop("status").join(over)
+    """Keys, label order, first starts that have a history all the same, and splits that overlap."""
+    e = entrants(spark, sf_dir).select("race_id", "horse_id", "dn", "label_win", "label_top2", "label_top3")
+    own = ordered.previous(ordered.placed(e, ["horse_id"], ["dn", "race_id"], "starts"), ["horse_id"], {"prior": "dn"})
+    d = own.withColumns({"label_top2": F.when(F.col("horse_id") % 31 == 0, 0).otherwise(F.col("label_top2")), "history": F.when(F.col("prior").isNotNull(), F.col("dn") - F.col("prior")).when(F.col("horse_id") % 7 == 0, 0)})
+    d = d.union(d.where("race_id % 211 = 0")).withColumn("k", count_rows().over(Window.partitionBy("race_id", "horse_id")))
+    plan = [("TRAIN", "1992-01-01", "1995-12-31"), ("VALIDATION", "1995-12-31", "1996-12-31"), ("TEST", "1997-01-01", "1998-12-31")]
+    over = spark.createDataFrame(plan, "split string, start string, stop string").withColumn("before", F.lag("stop").over(Window.orderBy("start"))).agg(F.count_if(F.col("start") <= F.col("before")).alias("overlapping_splits"))  # a row per split
+    rules = {"duplicate_key": F.col("k") > 1, "label_order": (F.col("label_win") > F.col("label_top2")) | (F.col("label_top2") > F.col("label_top3")), "first_starts": F.col("prior").isNull(), "leaking": F.col("prior").isNull() & F.col("history").isNotNull()}
+    return gates.violations(d, rules).drop("status").join(over)
 
 
 @query(f"""WITH {CONTESTS}, {RUNNERS}, z AS (SELECT race_id, horse_id, abnormal, row_number() OVER (PARTITION BY race_id ORDER BY price DESC, horse_id) AS f FROM r)
@@ -250,10 +265,22 @@ def p25_market_gate(spark, sf_dir):
     return gates.violations(m, {"missing": F.col("odds").isNull(), "bad_odds": F.col("odds") <= 1}).drop("status").join(again)
 
 
-@query(f"WITH {CONTESTS}, {RUNNERS} SELECT *, only_left = 0 AND only_right = 0 AS same FROM (SELECT (SELECT count(*) FROM (SELECT race_id FROM c EXCEPT SELECT race_id FROM r)) AS only_left, (SELECT count(*) FROM (SELECT race_id FROM r EXCEPT SELECT race_id FROM c)) AS only_right)")
+#: A refresh from 1994-01-01 to 1996-12-31, observed on 1997-01-01, as delivered: conditions or runners lacking, twice, outside the interval, or created later.
+REFRESH = """rf_c AS (SELECT race_id, CASE WHEN race_id % 997 = 0 THEN DATE '1997-06-01' ELSE day END AS day, CASE WHEN race_id % 499 = 0 THEN DATE '1997-02-01' ELSE day END AS created FROM c WHERE day BETWEEN DATE '1994-01-01' AND DATE '1996-12-31' AND race_id % 251 <> 0),
+rf_r AS (SELECT r.race_id, horse_id, day, day AS created FROM r JOIN c USING (race_id) WHERE day BETWEEN DATE '1994-01-01' AND DATE '1996-12-31' AND race_id % 257 <> 0),
+rc AS (SELECT * FROM rf_c UNION ALL SELECT * FROM rf_c WHERE race_id % 263 = 0), rr AS (SELECT * FROM rf_r UNION ALL SELECT * FROM rf_r WHERE horse_id % 269 = 0)"""
+
+
+@query(f"""WITH {CONTESTS}, {RUNNERS}, {REFRESH} SELECT (SELECT count(*) FROM (SELECT race_id FROM rc GROUP BY 1 HAVING count(*) > 1)) AS repeated_conditions, (SELECT count(*) FROM (SELECT race_id, horse_id FROM rr GROUP BY 1, 2 HAVING count(*) > 1)) AS repeated_runners,
+(SELECT count(*) FROM (SELECT race_id FROM rc EXCEPT SELECT race_id FROM rr)) AS without_runners, (SELECT count(*) FROM (SELECT race_id FROM rr EXCEPT SELECT race_id FROM rc)) AS without_conditions,
+(SELECT count(*) FROM rc WHERE day NOT BETWEEN DATE '1994-01-01' AND DATE '1996-12-31') + (SELECT count(*) FROM rr WHERE day NOT BETWEEN DATE '1994-01-01' AND DATE '1996-12-31') AS outside_interval,
+(SELECT count(*) FROM rc WHERE created > DATE '1997-01-01') + (SELECT count(*) FROM rr WHERE created > DATE '1997-01-01') AS future_dated, TRUE AS before_observation, 'BLOCKED' AS status""")
 def p26_refresh_gate(spark, sf_dir):
-    """Conditions and runners must name the same contests."""
-    return gates.same_sets(contests(spark, sf_dir).select("race_id"), runners(spark, sf_dir).select("race_id").distinct(), ["race_id"])
+    """A delivered refresh: unique keys, the same contests on both sides, its interval, no source from the future."""
+    c = contests(spark, sf_dir).select("race_id", "day").where("day between date'1994-01-01' and date'1996-12-31'")
+    conditions = c.where("race_id % 251 <> 0").select("race_id", F.when(F.col("race_id") % 997 == 0, F.lit("1997-06-01").cast("date")).otherwise(F.col("day")).alias("day"), F.when(F.col("race_id") % 499 == 0, F.lit("1997-02-01").cast("date")).otherwise(F.col("day")).alias("created"))
+    rows = runners(spark, sf_dir).select("race_id", "horse_id").join(c, "race_id").where("race_id % 257 <> 0").withColumn("created", F.col("day"))
+    return gates.refresh(conditions.union(conditions.where("race_id % 263 = 0")), rows.union(rows.where("horse_id % 269 = 0")), "1994-01-01", "1996-12-31", "1997-01-01")
 
 
 @query(f"""WITH {ENTRANTS}, d AS (SELECT horse_id, dn, count(*) AS n, sum(label_win) AS w FROM e GROUP BY 1, 2),
@@ -277,23 +304,26 @@ def p27_history_audit(spark, sf_dir):
     return k.join(t, "horse_id", "full_outer").agg(count_rows().alias("keys"), F.count_if(wrong).alias("wrong_totals"), F.count_if(F.col("missing") > 0).alias("not_finite"), F.count_if(F.col("back") > 0).alias("unordered"), F.count_if(F.col("last") > F.unix_date(F.lit("2002-01-01").cast("date"))).alias("future_days"))
 
 
-CHAIN = """s AS (SELECT user_id, event_id, ts, row_number() OVER w AS seq, sha256(user_id || '|' || event_id || '|' || event_type) AS sha FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-h AS (SELECT *, CASE WHEN event_id % 97 = 0 THEN 'broken' ELSE lag(sha) OVER (PARTITION BY user_id ORDER BY seq) END AS previous FROM s),
-a AS (SELECT *, lag(sha) OVER (PARTITION BY user_id ORDER BY seq) AS want, lag(ts) OVER (PARTITION BY user_id ORDER BY seq) AS before FROM h)"""
+CHAIN = """s AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER w AS line, sha256(user_id || '|' || event_id || '|' || event_type) AS sha FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+h AS (SELECT *, CASE WHEN event_id % 97 = 0 THEN 'broken' ELSE lag(sha) OVER w END AS previous, line + CAST(event_id % 89 = 0 AS INTEGER) AS seq, us - CASE WHEN event_id % 83 = 0 THEN 864000000000 ELSE 0 END AS clock FROM s WINDOW w AS (PARTITION BY user_id ORDER BY line)),
+a AS (SELECT *, lag(sha) OVER w AS want, lag(clock) OVER w AS before FROM h WINDOW w AS (PARTITION BY user_id ORDER BY line))"""
 
 
 def chain(spark, sf_dir):
-    """Events as per-user hash chains, some links broken."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    s = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.row_number().over(order).alias("seq"), F.sha2(F.concat_ws("|", "user_id", "event_id", "event_type"), 256).alias("sha"))
-    own = Window.partitionBy("user_id").orderBy("seq")
-    h = s.withColumn("previous", F.when(F.col("event_id") % 97 == 0, "broken").otherwise(F.lag("sha").over(own)))
-    return h.withColumn("want", F.lag("sha").over(own)).withColumn("before", F.lag("ts").over(own))
+    """Events as per-user hash chains in which some links, sequence numbers and clocks are wrong; with what each line's should be."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.sha2(F.concat_ws("|", "user_id", "event_id", "event_type"), 256).alias("sha"))
+    e = e.withColumn("clock", F.col("us") - F.when(F.col("event_id") % 83 == 0, 864_000_000_000).otherwise(0))
+    lines = ordered.placed(e, ["user_id"], ["us", "event_id"], "chain")
+    told = ordered.previous(ordered.numbered(lines, ["user_id"], "line"), ["user_id"], {"want": "sha", "before": "clock"})
+    faults = {"previous": F.when(F.col("event_id") % 97 == 0, "broken").otherwise(F.col("want")), "seq": F.col("line") + (F.col("event_id") % 89 == 0).cast("int")}
+    return told.withColumns(faults)
 
 
-@query(f"WITH {CHAIN} SELECT count(*) AS rows, count(*) FILTER (previous IS DISTINCT FROM want) AS broken, count(*) FILTER (ts < before) AS clock_back FROM a")
+@query(f"WITH {CHAIN} SELECT count(*) AS rows, count(*) FILTER (seq <> line) AS bad_sequence, count(*) FILTER (previous IS DISTINCT FROM want) AS broken, count(*) FILTER (clock < before) AS clock_back FROM a")
 def p28_hash_chain_audit(spark, sf_dir):
-    return gates.violations(chain(spark, sf_dir), {"broken": ~F.col("previous").eqNullSafe(F.col("want")), "clock_back": F.col("ts") < F.col("before")}).drop("status")
+    """Sequence, links and clocks of every chain; a user with most events is audited by many tasks."""
+    rules = {"bad_sequence": F.col("seq") != F.col("line"), "broken": ~F.col("previous").eqNullSafe(F.col("want")), "clock_back": F.col("clock") < F.col("before")}
+    return gates.violations(chain(spark, sf_dir), rules).drop("status")
 
 
 @query(f"WITH {CHAIN} SELECT event_id, want AS predecessor FROM a")
@@ -301,11 +331,29 @@ def w21_chain_predecessor(spark, sf_dir):
     return chain(spark, sf_dir).select("event_id", F.col("want").alias("predecessor"))
 
 
-@query(f"""WITH {ENTRANTS}, m AS (SELECT race_id, day, count(*) AS n FROM e GROUP BY 1, 2) SELECT count(*) AS races, CAST(sum(n) AS BIGINT) AS rows, count(DISTINCT day) AS days, count(*) - count(DISTINCT race_id) AS repeated, CAST(0 AS BIGINT) AS not_increasing FROM m""")
+#: A run's report by day, with faults: days out of order, days twice, deltas that don't add up, populations that differ.
+RUN = f"""g0 AS (SELECT dn, count(DISTINCT race_id) AS races, count(*) AS rows, round(sum({LOSS.format(p="p", y="label_win")}), 6) AS candidate, round(sum({LOSS.format(p="(1.0::DOUBLE / n)", y="label_win")}), 6) AS baseline FROM p GROUP BY 1),
+g1 AS (SELECT *, row_number() OVER (ORDER BY dn) * 10 - CASE WHEN dn % 53 = 0 THEN 25 ELSE 0 END AS line, round(candidate - baseline, 6) + CASE WHEN dn % 61 = 0 THEN 0.5 ELSE 0 END AS delta, rows - CAST(dn % 71 = 0 AS INTEGER) AS baseline_rows FROM g0),
+g AS (SELECT *, lag(dn) OVER (ORDER BY line) AS before FROM (SELECT * FROM g1 UNION ALL SELECT * REPLACE (line + 1 AS line) FROM g1 WHERE dn % 101 = 0))"""
+
+
+@query(f"""WITH {ENTRANTS}, {P1}, {RUN} SELECT unnest(['repeated_days', 'not_increasing', 'delta', 'population', 'races']) AS "check",
+unnest([count(*) - count(DISTINCT dn), count(*) FILTER (dn <= before), count(*) FILTER (abs(delta - (candidate - baseline)) > 1e-5), count(*) FILTER (rows <> baseline_rows), (SELECT count(*) - count(DISTINCT race_id) FROM c)]) AS violations FROM g""")
 def p29_run_integrity(spark, sf_dir):
-    m = entrants(spark, sf_dir).groupBy("race_id", "day").agg(count_rows().alias("n"))
-    days = m.select("day").distinct().withColumn("before", F.lag("day").over(Window.orderBy("day"))).agg(count_rows().alias("days"), F.count_if(F.col("day") <= F.col("before")).alias("not_increasing"))
-    return m.agg(count_rows().alias("races"), F.sum("n").alias("rows"), (count_rows() - F.count_distinct("race_id")).alias("repeated")).join(days)
+    """Invariants of a run's report: unique contests and days, days that increase, deltas of candidate and baseline, equal populations."""
+    y = F.col("label_win")
+    per = base_rates(spark, sf_dir).groupBy("dn", "race_id").agg(count_rows().alias("n"), F.sum(metrics.log_loss(F.col("p"), y)).alias("c"), F.sum(metrics.log_loss(F.lit(1.0) / F.col("n"), y)).alias("b"))
+    days = per.groupBy("dn").agg(F.sum("n").alias("rows"), F.round(F.sum("c"), 6).alias("candidate"), F.round(F.sum("b"), 6).alias("baseline"))
+    own = ordered.numbered(ordered.placed(days.withColumn("run", F.lit(1)), ["run"], ["dn"], "run"), ["run"], "k")
+    fault = lambda k, v: F.when(F.col("dn") % k == 0, v).otherwise(0)
+    run = own.select("run", "dn", "rows", "candidate", "baseline", (F.col("k") * 10 - fault(53, 25)).alias("line"), (F.round(F.col("candidate") - F.col("baseline"), 6) + fault(61, 0.5)).alias("delta"), (F.col("rows") - fault(71, 1)).alias("baseline_rows"))
+    run = run.union(run.where("dn % 101 = 0").withColumn("line", F.col("line") + 1))
+    told = ordered.previous(ordered.placed(run, ["run"], ["line"], "report"), ["run"], {"before": "dn"})
+    found = told.agg(
+        (count_rows() - F.count_distinct("dn")).alias("repeated_days"), F.count_if(F.col("dn") <= F.col("before")).alias("not_increasing"),
+        F.count_if(F.abs(F.col("delta") - (F.col("candidate") - F.col("baseline"))) > 1e-5).alias("delta"), F.count_if(F.col("rows") != F.col("baseline_rows")).alias("population"),
+    ).join(contests(spark, sf_dir).agg((count_rows() - F.count_distinct("race_id")).alias("races")))
+    return found.unpivot([], list(found.columns), "check", "violations")
 
 
 @query(f"WITH {CANON} SELECT count(*) AS rows, count(DISTINCT race_id) AS races, count(*) FILTER (duplicate_key) AS duplicates, count(*) FILTER (not_monotone) AS label_order FROM v")
@@ -373,7 +421,16 @@ def j08_conflicts(spark, sf_dir):
 
 @query(f"WITH {STAGED} SELECT * FROM base UNION ALL SELECT * FROM staged WHERE id NOT IN (SELECT id FROM base)")
 def u07_canonical_merge(spark, sf_dir):
-    return canonical.merged(list(stores(spark, sf_dir)), "id")
+    """Candidates merged into the published version, validated again and published in its place."""
+    base, staged = stores(spark, sf_dir)
+
+    def unique(new):
+        if new.groupBy("id").agg(count_rows().alias("k")).where("id is null or k > 1").limit(1).count():
+            raise ValueError("keys must be there and unique")
+
+    v = canonical.VersionedTable(spark, scratch(spark, "merge"), unique)
+    v.publish(base, "base")
+    return canonical.publish_merge(v, [staged], "id", "merged")
 
 
 @query(f"WITH {STAGED} SELECT 0 AS priority, count(*) AS rows FROM base UNION ALL SELECT 1, count(*) FROM staged")

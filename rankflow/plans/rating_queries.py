@@ -348,7 +348,7 @@ def a13_expected_calibration_error(spark, sf_dir):
 SWAPS = f"""z AS (SELECT p.*, base * (1 - 0.25 * a_n / (a_n + 100.0)) + 0.25 * a_n / (a_n + 100.0) * (a_wins + 10) / (a_n + 120.0) AS v FROM p JOIN a USING (race_id, horse_id)),
 q AS (SELECT *, v / sum(v) OVER (PARTITION BY race_id) AS q FROM z),
 k AS (SELECT race_id, arg_min(horse_id, (-round(p, 12), horse_id)) AS old_id, arg_min(horse_id, (-round(q, 12), horse_id)) AS new_id, arg_min(label_win, (-round(p, 12), horse_id)) AS old_hit, arg_min(label_win, (-round(q, 12), horse_id)) AS new_hit,
- count(*) AS n, sum({LOSS.format(p="q", y="label_win")} - ({LOSS.format(p="p", y="label_win")})) AS delta FROM q GROUP BY race_id)"""
+ any_value(dn) AS dn, count(*) AS n, sum({LOSS.format(p="q", y="label_win")} - ({LOSS.format(p="p", y="label_win")})) AS delta FROM q GROUP BY race_id)"""
 
 
 def swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,6 +358,7 @@ def swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.col("label_win")
     first = lambda c, by: F.min_by(c, F.struct(-F.round(by, 12), F.col("horse_id")))
     return q.groupBy("race_id").agg(
+        F.first("dn").alias("dn"),
         first("horse_id", "p").alias("old_id"),
         first("horse_id", "q").alias("new_id"),
         first("label_win", "p").alias("old_hit"),

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars
 from ..functions.scalars import count_rows
-from ..operators import canonical, gates, history
+from ..operators import canonical, gates, history, sketches
 from ..registry import query
 from ..sources import readers
 from ..sources.readers import scratch
@@ -72,12 +72,12 @@ def s09_catalog_discovery(spark, sf_dir):
     return lists.join(sizes, "table_name").select("table_name", "columns", "rows")
 
 
-@query("""WITH m AS (SELECT quantile_disc(o_orderkey, 0.5) AS half FROM orders) SELECT CASE WHEN o_orderkey <= half THEN 'first' ELSE 'resumed' END AS run, count(*) AS rows, min(o_orderkey) AS low, max(o_orderkey) AS watermark, TRUE AS chunked, TRUE AS ordered FROM orders, m GROUP BY 1""")
+@query("""WITH m AS (SELECT (min(o_orderkey) + max(o_orderkey)) // 2 AS half FROM orders) SELECT CASE WHEN o_orderkey <= half THEN 'first' ELSE 'resumed' END AS run, count(*) AS rows, min(o_orderkey) AS low, max(o_orderkey) AS watermark, TRUE AS chunked, TRUE AS ordered FROM orders, m GROUP BY 1""")
 def s10_keyset_export(spark, sf_dir):
     """Staging resumes behind the stored high-water mark; chunks hold at most 10,000 rows and follow each other in key order."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     path = scratch(spark, "staged")
-    half = o.agg(F.expr("percentile_disc(0.5) within group (order by o_orderkey)")).first()[0]
+    half = o.agg(F.floor((F.min("o_orderkey") + F.max("o_orderkey")) / 2)).first()[0]
     readers.stage_after(o.where(F.col("o_orderkey") <= half), "o_orderkey", path, 10_000)
     readers.stage_after(o, "o_orderkey", path, 10_000)
     readers.stage_after(o, "o_orderkey", path, 10_000)
@@ -167,15 +167,29 @@ def s20_report_sinks(spark, sf_dir):
     return one.intersectAll(two)
 
 
-@query("SELECT 2::BIGINT AS published, (SELECT count(*) FROM supplier WHERE s_suppkey % 2 = 0) AS rows_after_rollback")
+@query("""SELECT unnest(['v1', 'v2', 'v2', 'v2', 'v1']) AS current, unnest(['publish', 'publish', 'shrunk', 'invalid', 'rollback']) AS step, unnest([1, 2, 2, 2, 3])::BIGINT AS seq,
+unnest([h, n, n, n, h]) AS rows FROM (SELECT count(*) FILTER (s_suppkey % 2 = 0) AS h, count(*) AS n FROM supplier)""")
 def s21_versioned_table(spark, sf_dir):
-    """Two versions published, then a rollback by pointer."""
+    """Two versions published, one refused as it shrinks, one as it has a key twice, then a rollback; what readers see after each step."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    v = canonical.VersionedTable(spark, scratch(spark, "canonical"))
-    v.publish(s.where("s_suppkey % 2 = 0"), "v1")
-    v.publish(s, "v2")
-    v.point("v1")
-    return v.read().agg(count_rows().alias("rows_after_rollback")).withColumn("published", F.lit(2).cast("long"))
+
+    def unique(new):
+        if new.groupBy("s_suppkey").agg(count_rows().alias("k")).where("k > 1").limit(1).count():
+            raise ValueError("a key is there twice")
+
+    v = canonical.VersionedTable(spark, scratch(spark, "canonical"), unique)
+    steps = {"publish": lambda: v.publish(s.where("s_suppkey % 2 = 0"), "v1"), "publish again": lambda: v.publish(s, "v2"), "shrunk": lambda: v.publish(s.where("s_suppkey % 3 = 0"), "v3"), "invalid": lambda: v.publish(s.union(s), "v4"), "rollback": lambda: v.point("v1")}
+    seen = None
+    for name, step in steps.items():
+        try:
+            step()
+        except ValueError:
+            if name not in ("shrunk", "invalid"):
+                raise
+        seq, current = v.pointer()
+        own = v.read().agg(F.lit(current).alias("current"), F.lit(name.split()[0]).alias("step"), F.lit(seq).cast("long").alias("seq"), count_rows().alias("rows"))
+        seen = own if seen is None else seen.union(own)
+    return seen
 
 
 @query(f"WITH {ENTRANTS} SELECT count(*) AS rows, count(DISTINCT race_id) AS races, count(DISTINCT horse_id) AS competitors, count(*) FILTER (domain = 1) AS jra, count(*) FILTER (domain = 2) AS nar, CAST(min(day) AS VARCHAR) AS first_day, CAST(max(day) AS VARCHAR) AS last_day FROM e")
@@ -189,6 +203,20 @@ def a09_distinct_counts(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").agg(*[F.count_distinct(c).alias(c) for c in columns])
 
 
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS exact, TRUE AS within_bound, TRUE AS parts_make_the_whole FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")))
+def a09_distinct_sketches(spark, sf_dir):
+    """Sketches kept per status and merged, against exact counts and against sketches of the whole table."""
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"]
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.unix_date(F.to_date("o_orderdate")).alias("o_orderdate"))
+    kept = readers.stored(sketches.sketched(o.withColumn("part", F.col("o_orderstatus")), names, ["part"]), "sketches")
+    parts = sketches.estimates(sketches.merged(kept, names), names).unpivot([], names, "column", "parts")
+    whole = sketches.estimates(sketches.sketched(o, names), names).unpivot([], names, "column", "whole")
+    exact = o.agg(*[F.count_distinct(c).alias(c) for c in names]).unpivot([], names, "column", "exact")
+    met = exact.join(parts, "column").join(whole, "column")
+    near = F.abs(F.col("parts") - F.col("exact")) <= F.greatest(F.lit(1.0), sketches.bound() * F.col("exact"))
+    return met.select("column", "exact", near.alias("within_bound"), (F.abs(F.col("parts") - F.col("whole")) <= 0.02 * F.col("whole")).alias("parts_make_the_whole"))
+
+
 @query(f"WITH {CONTESTS}, {RUNNERS} SELECT CASE domain WHEN 1 THEN 'JRA' ELSE 'NAR' END AS domain, count(*) AS rows, count(DISTINCT race_id) AS races, count(agent_id) AS with_agent FROM r JOIN c USING (race_id) GROUP BY 1")
 def a10_inventory_by_domain(spark, sf_dir):
     j = runners(spark, sf_dir).join(contests(spark, sf_dir).select("race_id", "domain"), "race_id")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankflow.functions import scalars
-from rankflow.operators import canonical, gates, history, metrics, pit, rankprob, resample, strategy
+from rankflow.operators import canonical, gates, history, metrics, ordered, pit, rankprob, resample, sketches, strategy
 from rankflow.operators.features import row_mean
 from rankflow.plans.source_queries import scratch
 from rankflow.streaming import jobs
@@ -162,7 +162,7 @@ def test_classify_merge_and_versions(spark):
             raise ValueError("null key")
 
     v = canonical.VersionedTable(spark, scratch(spark, "test-versions"), check)
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+    with pytest.raises(LookupError):
         v.read()
     v.publish(base, "v1")
     v.publish(merged, "v2")
@@ -174,6 +174,88 @@ def test_classify_merge_and_versions(spark):
     assert v.read().count() == 2
 
 
+def test_of_two_publishers_one_wins(spark):
+    shape = "id string, v int"
+    base = spark.createDataFrame([("a", 1), ("b", 2)], shape)
+    root = scratch(spark, "test-race")
+    one, two = canonical.VersionedTable(spark, root), canonical.VersionedTable(spark, root)
+    one.publish(base, "v1")
+    seen = two.pointer()[0]
+    one.publish(base, "v2")
+    with pytest.raises(canonical.Conflict):
+        two.publish(base, "v3", seen)
+    assert two.current() == "v2" and two.pointer()[0] == 2
+    with pytest.raises(ValueError, match="fewer rows"):
+        two.publish(base.limit(1), "v4")
+    one._fs.create(one._path(f"{root}/pointer/{3:012d}"), False).close()  # a publisher that ended before it named its version
+    assert two.current() == "v2"
+    more = spark.createDataFrame([("b", 9), ("c", 3)], shape)
+    got = canonical.publish_merge(two, [more], "id", "v5")
+    assert {tuple(r) for r in got.collect()} == {("a", 1), ("b", 2), ("c", 3)} and one.pointer() == (4, "v5")
+    one.point("v1")
+    assert two.read().count() == 2
+
+
+def test_ordered_columns_of_a_key_with_most_rows(spark):
+    pick = random.Random(4)
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 else pick.choice("abc"), pick.choice([None, *range(50)]), i, pick.randint(-3, 9)) for i in range(2000)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "k string, t int, i int, x int").repartition(7)
+        p = ordered.placed(df, ["k"], ["t", "i"])
+        assert p.where("k = 'hot'").select("__piece").distinct().count() > 4
+        told = ordered.sums_before(ordered.previous(ordered.numbered(p, ["k"]), ["k"], {"before": "x", "t0": "t"}), ["k"], {"sum": "x"})
+        got = {r["i"]: (r["seq"], r["before"], r["t0"], r["sum"]) for r in told.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want, state = {}, {}
+    for k, t, i, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[2])):
+        n, bx, bt, s = state.get(k, (0, None, None, 0))
+        want[i] = (n + 1, bx, bt, s)
+        state[k] = (n + 1, x, t, s + x)
+    assert got == want
+
+
+def test_auc_with_an_outlier_and_nulls(spark):
+    pick = random.Random(5)
+    rows = [(pick.choice([1e300, -1e300, None, *[pick.random() for _ in range(5)]]), pick.randint(0, 1)) for _ in range(300)]
+    got = metrics.auc(spark.createDataFrame(rows, "s double, y int"), "s", "y").first()
+    pos, neg = [s for s, y in rows if y and s is not None], [s for s, y in rows if not y and s is not None]
+    assert got["auc"] == pytest.approx(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg))
+
+
+def test_sketches_merge_and_stay_within_their_bound(spark):
+    df = spark.range(60_000).select((F.col("id") % 7).alias("part"), (F.col("id") % 20_011).alias("a"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("b"))
+    kept = sketches.sketched(df, ["a", "b"], ["part"])
+    both = sketches.estimates(sketches.merged(kept, ["a", "b"]), ["a", "b"]).first()
+    assert abs(both["a"] - 20_011) <= sketches.bound() * 20_011 and abs(both["b"] - 30_000) <= sketches.bound() * 30_000
+    halves = sketches.merged(sketches.sketched(df.where("part < 3"), ["a"]).union(sketches.sketched(df.where("part >= 3"), ["a"])), ["a"])
+    assert sketches.estimates(halves, ["a"]).first()["a"] == pytest.approx(sketches.estimates(sketches.sketched(df, ["a"]), ["a"]).first()["a"], rel=0.02)
+    assert "Expand" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sketches.estimates(sketches.sketched(df.limit(0), ["a"]), ["a"]).first()["a"] == 0
+
+
+def test_result_blind_and_refresh_gates(spark):
+    shape = "race_id long, horse_id long, p1 double, p2 double, p3 double, frame int"
+    good = spark.createDataFrame([(1, 1, 0.1, 0.2, 0.3, 1), (1, 2, 0.1, 0.2, 0.3, 8)], shape)
+    assert gates.result_blind(good, ["race_id", "horse_id"], ("p1", "p2", "p3"), "frame").first()["status"] == "PASS"
+    with pytest.raises(ValueError, match="outcome"):
+        gates.result_blind(good.withColumn("FINISH", F.lit(1)), ["race_id"], ("p1", "p2", "p3"), "frame")
+    with pytest.raises(ValueError, match="p3"):
+        gates.result_blind(good.drop("p3"), ["race_id"], ("p1", "p2", "p3"), "frame")
+    r = gates.result_blind(good.union(good.limit(1)), ["race_id", "horse_id"], ("p1", "p2", "p3"), "frame").first()
+    assert (r["duplicate_key"], r["status"]) == (2, "BLOCKED")
+    c = spark.createDataFrame([(1, "2024-01-02", "2024-01-02"), (2, "2024-01-03", "2024-01-03")], "race_id long, day string, created string").selectExpr("race_id", "date(day) day", "date(created) created")
+    h = c.selectExpr("race_id", "race_id + 1 horse_id", "day", "created")
+    assert gates.refresh(c, h, "2024-01-01", "2024-01-31", "2024-02-01").first()["status"] == "PASS"
+    assert gates.refresh(c, h, "2024-01-01", "2024-01-31", "2024-01-31").first()["status"] == "BLOCKED"
+    r = gates.refresh(c.union(c.where("race_id = 1")), h.where("race_id = 1").union(h.where("race_id = 1").selectExpr("9L", "1L", "date'2030-01-01'", "date'2030-01-01'")), "2024-01-01", "2024-01-31", "2024-02-01").first()
+    assert (r["repeated_conditions"], r["repeated_runners"], r["without_runners"], r["without_conditions"], r["outside_interval"], r["future_dated"]) == (1, 0, 1, 1, 1, 1)
+
+
 def test_projection_fails_on_missing_targets(spark):
     df = spark.createDataFrame([(1,)], "x int")
     assert canonical.project(df, ["a", "b"], {"a": "x"}, {"b": "z"}).first().asDict() == {"a": 1, "b": "z"}
