@@ -39,6 +39,28 @@ def valid_conditions() -> Column:
     return digits & F.col("track").rlike("^[0-9]{2}$") & (F.col("track") != "00") & (F.trim("race_class") != "")
 
 
+def eligibility(runners: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Per contest of `runners` (race_id, horse_id, abnormal, finish as text): rows, absent, whether more than one won, and `reason`, the first that fails.
+
+    `conditions` has race_id, copies and valid. The reasons, in order: no_conditions,
+    duplicate_conditions, invalid_conditions, duplicate_competitor, unknown_id_or_status,
+    unresolved_result, no_winner; else eligible.
+    """
+    active, finish = ~F.col("abnormal").isin("1", "2", "3"), F.col("finish").try_cast("int")
+    open_ = ~F.col("finish").rlike("^[0-9]+$") | ((finish < 1) & (F.col("abnormal") != "4"))
+    g = runners.groupBy("race_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(~active).alias("absent"), (F.count("horse_id") - F.count_distinct("horse_id")).alias("again"), F.count_if(F.col("horse_id").isNull() | ~F.coalesce(F.col("abnormal").rlike("^[0-7]$"), F.lit(False))).alias("unknown"),
+        F.count_if(active & open_).alias("open"), F.count_if(active & (finish == 1)).alias("winners"),
+    )
+    c = F.col
+    rules = [
+        ("no_conditions", c("copies").isNull()), ("duplicate_conditions", c("copies") > 1), ("invalid_conditions", ~c("valid")), ("duplicate_competitor", c("again") > 0), ("unknown_id_or_status", c("unknown") > 0),
+        ("unresolved_result", (c("absent") == c("rows")) | (c("open") > 0)), ("no_winner", c("winners") == 0),
+    ]
+    told = g.join(conditions, "race_id", "left")
+    return told.select("race_id", "rows", "absent", (c("winners") > 1).alias("tie"), F.coalesce(first_reason(rules), F.lit("eligible")).alias("reason"))
+
+
 def canonical_rules(key_count: Column, day: Column, scope: Column, key: Column, win: Column, top2: Column, top3: Column) -> dict[str, Column]:
     """Rules of a canonical row; values are text as delivered."""
     number = lambda c: c.try_cast("double")

@@ -47,7 +47,7 @@ def three_targets(df: DataFrame, race: str, entrant: str, finish: str, probs: Se
             F.sum("y").alias("positives"),
             F.sum(log_loss(F.col("p"), F.col("y"))).alias("logloss"),
             F.sum(brier(F.col("p"), F.col("y"))).alias("brier"),
-            F.min_by("y", F.struct(-F.col("p"), F.col(entrant))).alias("hit"),
+            F.min_by("y", F.struct(-F.round("p", 12), F.col(entrant))).alias("hit"),
         )
         .where(F.col("positives") == F.least("k", "rows"))
     )

@@ -18,25 +18,26 @@ def uniform(*key: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def numbered(units: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Adds `unit`, 0, 1, ... by order, and `units`; for frames that are aggregated already."""
-    return units.withColumn("unit", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("units", F.count(F.lit(1)).over(Window.partitionBy()))
+def numbered(units: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Adds `unit`, 0, 1, ... by order (per `by`), and `units`; for frames that are aggregated already."""
+    return units.withColumn("unit", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).withColumn("units", F.count(F.lit(1)).over(Window.partitionBy(*by)))
 
 
-def bootstrap(units: DataFrame, num: str, den: str, reps: int, seed: str, by: Sequence[str] = ()) -> DataFrame:
-    """Per repetition: the ratio of sums over as many units as there are, drawn with replacement.
+def bootstrap(units: DataFrame, num: str | Sequence[str], den: str, reps: int, seed: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per repetition: the ratio of sums over as many units as there are, drawn with replacement; for several `num`, ratio_<num> of each from the same draws.
 
     `units` has columns unit and units (see `numbered`). Draws are joined with the
     units; sums are partial before the shuffle.
     """
     draws = units.select(*by, "units", F.col("unit").alias("i")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     picked = draws.withColumn("unit", F.floor(uniform(seed, F.col("rep"), F.col("i")) * F.col("units")).cast("int")).select(*by, "rep", "unit")
-    return picked.join(units.select(*by, "unit", num, den), [*by, "unit"]).groupBy(*by, "rep").agg((F.sum(num) / F.sum(den)).alias("ratio"))
+    names = {"ratio": num} if isinstance(num, str) else {f"ratio_{c}": c for c in num}
+    return picked.join(units.select(*by, "unit", *names.values(), den), [*by, "unit"]).groupBy(*by, "rep").agg(*[(F.sum(c) / F.sum(den)).alias(k) for k, c in names.items()])
 
 
-def interval(reps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def interval(reps: DataFrame, by: Sequence[str] = (), value: str = "ratio") -> DataFrame:
     """Interpolated 2.5 and 97.5 percentiles."""
-    return reps.groupBy(*by).agg(F.percentile("ratio", F.lit(0.025)).alias("low"), F.percentile("ratio", F.lit(0.975)).alias("high"))
+    return reps.groupBy(*by).agg(F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"))
 
 
 def floor_interval(reps: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -305,8 +305,8 @@ cf AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{src}', {d}, '{k}', CAST({c} AS
 mm AS (SELECT race_row, i, cf.source, cf.days, cf.feature, cf.cap, avg(m) AS m FROM mu JOIN cf ON mu.days = cf.days AND mu.feature = cf.feature AND mu.cap = cf.cap AND (cf.source = 'both' OR cf.source = mu.source) GROUP BY race_row, i, cf.source, cf.days, cf.feature, cf.cap)"""
 EXPERIMENTS = f"""{MULTIPLIERS}, st AS (SELECT eb.race_id * 64 + c.i AS race_id, eb.race_row AS horse_id, finish, base * coalesce(m, 1) AS s, eb.dn FROM eb JOIN (SELECT i FROM cf UNION ALL SELECT 63) AS c ON TRUE LEFT JOIN mm ON mm.race_row = eb.race_row AND mm.i = c.i),
 p AS (SELECT race_id, horse_id, finish, s / sum(s) OVER (PARTITION BY race_id) AS p FROM st), {PL.replace("j AS (", "pj AS (").replace("FROM j ", "FROM pj ")}, {THREE},
-ex AS (SELECT race_id // 64 AS race, CAST(race_id % 64 AS INTEGER) AS i, k, rows, logloss, brier FROM a5 WHERE positives = least(k, rows)),
-dl AS (SELECT x.i, x.k, x.race // 1000000000 AS block, x.rows, x.logloss - b.logloss AS dl, x.brier - b.brier AS db, x.logloss AS l FROM ex x JOIN ex b ON b.race = x.race AND b.k = x.k AND b.i = 63 WHERE x.i < 63)"""
+ex AS (SELECT race_id // 64 AS race, CAST(race_id % 64 AS INTEGER) AS i, k, rows, logloss, brier, hit FROM a5 WHERE positives = least(k, rows)),
+dl AS (SELECT x.i, x.k, x.race // 1000000000 AS block, x.rows, x.logloss - b.logloss AS dl, x.brier - b.brier AS db, x.hit - b.hit AS dh, x.logloss AS l FROM ex x JOIN ex b ON b.race = x.race AND b.k = x.k AND b.i = 63 WHERE x.i < 63)"""
 
 
 def evidence_keys(spark, sf_dir):
@@ -345,15 +345,15 @@ def experiments(spark, sf_dir):
     every = b.select("race_row", "race_id", "finish", "base", F.explode(F.array(*[F.lit(i) for i in (*range(len(CONFIGS)), 63)])).alias("i"))
     s = every.join(m, ["race_row", "i"], "left").select((F.col("race_id") * 64 + F.col("i")).alias("race_id"), F.col("race_row").alias("horse_id"), "finish", (F.col("base") * F.coalesce("m", F.lit(1.0))).alias("s"))
     t = three_losses(s.withColumn("p", history.share(F.col("s"), "race_id")).select("race_id", "horse_id", "finish", "p"))
-    return t.select(F.floor(F.col("race_id") / 64).alias("race"), (F.col("race_id") % 64).cast("int").alias("i"), "k", "rows", "logloss", "brier")
+    return t.select(F.floor(F.col("race_id") / 64).alias("race"), (F.col("race_id") % 64).cast("int").alias("i"), "k", "rows", "logloss", "brier", "hit")
 
 
 def deltas(spark, sf_dir):
     """Per contest, configuration and target: loss differences to the strengths without evidence, and the contest's day as block."""
     x = stored(experiments(spark, sf_dir), "experiments")
-    base = x.where("i = 63").select("race", "k", F.col("logloss").alias("l0"), F.col("brier").alias("b0"))
+    base = x.where("i = 63").select("race", "k", F.col("logloss").alias("l0"), F.col("brier").alias("b0"), F.col("hit").alias("h0"))
     y = x.where("i < 63").join(base, ["race", "k"])
-    return y.select("i", "k", F.floor(F.col("race") / 1_000_000_000).alias("block"), "rows", F.col("logloss").alias("l"), (F.col("logloss") - F.col("l0")).alias("dl"), (F.col("brier") - F.col("b0")).alias("db"))
+    return y.select("i", "k", F.floor(F.col("race") / 1_000_000_000).alias("block"), "rows", F.col("logloss").alias("l"), (F.col("logloss") - F.col("l0")).alias("dl"), (F.col("brier") - F.col("b0")).alias("db"), (F.col("hit") - F.col("h0")).alias("dh"))
 
 
 @query(f"WITH {KEYS} SELECT race_row, source, CAST(days AS INTEGER) AS days, feature, key FROM ky")
@@ -384,11 +384,11 @@ def a28_evidence_coverage(spark, sf_dir):
     return x.groupBy(F.col("i").alias("config"), F.year(F.date_from_unix_date("dn")).alias("year")).agg(count_rows().alias("eligible"), F.count_distinct(moved).alias("changed_races"))
 
 
-TESTS = f"""{EXPERIMENTS}, bd AS (SELECT i, k, block, round(sum(dl), 9) AS delta FROM dl GROUP BY 1, 2, 3), nz AS (SELECT * FROM bd WHERE delta <> 0), al AS (SELECT i, k, sum(dl) / sum(rows) AS dl, sum(db) / sum(rows) AS db FROM dl GROUP BY 1, 2),
+TESTS = f"""{EXPERIMENTS}, bd AS (SELECT i, k, block, round(sum(dl), 9) AS delta FROM dl GROUP BY 1, 2, 3), nz AS (SELECT * FROM bd WHERE delta <> 0), al AS (SELECT i, k, round(sum(dl) / sum(rows), 12) AS dl, round(sum(db) / sum(rows), 12) AS db, sum(dh) AS dh FROM dl GROUP BY 1, 2),
 sg AS (SELECT draw, block, CASE WHEN {U.format(key="'evidence|' || draw || '|' || block")} < 0.5 THEN -1 ELSE 1 END AS sign FROM (SELECT DISTINCT block FROM nz), range({DRAWS}) AS g(draw)),
 fl AS (SELECT i, k, draw, sum(delta * sign) AS flipped, sum(delta) AS observed FROM nz JOIN sg USING (block) GROUP BY 1, 2, 3),
 pv AS (SELECT i, k, round(CASE WHEN any_value(observed) >= 0 THEN 1.0 ELSE (count(*) FILTER (flipped <= observed + 1e-9) + 1) / (count(*) + 1.0) END, 9) AS p FROM fl GROUP BY 1, 2),
-te AS (SELECT al.i, al.k, dl, db, coalesce(p, 1.0) AS p FROM al LEFT JOIN pv USING (i, k)), hr AS (SELECT *, row_number() OVER (ORDER BY p, i, k) AS rn, count(*) OVER () AS m FROM te), hh AS (SELECT *, max(least(1.0, (m - rn + 1) * p)) OVER (ORDER BY rn) AS ph FROM hr)"""
+te AS (SELECT al.i, al.k, dl, db, dh, coalesce(p, 1.0) AS p FROM al LEFT JOIN pv USING (i, k)), hr AS (SELECT *, row_number() OVER (ORDER BY p, i, k) AS rn, count(*) OVER () AS m FROM te), hh AS (SELECT *, max(least(1.0, (m - rn + 1) * p)) OVER (ORDER BY rn) AS ph FROM hr)"""
 
 
 def evidence_tests(spark, sf_dir):
@@ -396,7 +396,7 @@ def evidence_tests(spark, sf_dir):
     d = deltas(spark, sf_dir)
     blocks = d.groupBy("i", "k", "block").agg(R(F.sum("dl"), 9).alias("delta")).where("delta <> 0")
     p = resample.sign_flips(blocks, "delta", "block", DRAWS, "evidence", ["i", "k"], slack=1e-9).select("i", "k", R("p", 9).alias("p"))
-    means = d.groupBy("i", "k").agg((F.sum("dl") / F.sum("rows")).alias("dl"), (F.sum("db") / F.sum("rows")).alias("db"))
+    means = d.groupBy("i", "k").agg(R(F.sum("dl") / F.sum("rows"), 12).alias("dl"), R(F.sum("db") / F.sum("rows"), 12).alias("db"), F.sum("dh").alias("dh"))
     return means.join(p, ["i", "k"], "left").fillna(1.0, ["p"])
 
 
@@ -410,12 +410,13 @@ def w18_holm(spark, sf_dir):
     return resample.holm(evidence_tests(spark, sf_dir), "p", ["i", "k"]).select(F.col("i").alias("config"), "k", R("p", 6).alias("p"), R("p_holm", 6).alias("p_holm"))
 
 
-@query(f"WITH {TESTS} SELECT i AS config, CASE WHEN bool_and(dl < 0 AND db < 0 AND ph < 0.05) THEN 'KEEP' ELSE 'REJECT' END AS decision FROM hh GROUP BY 1")
+@query(f"WITH {TESTS} SELECT i AS config, CASE WHEN NOT bool_and(dl < 0 AND db < 0) THEN 'REJECT' WHEN bool_and(dh >= 0) AND bool_and(ph < 0.05) THEN 'PROMOTE' ELSE 'KEEP' END AS decision, count(*) FILTER (dl < 0 AND db < 0) AS improved, count(*) FILTER (dh >= 0) AS safe, count(*) FILTER (ph < 0.05) AS significant FROM hh GROUP BY 1")
 def m16_decision_gate(spark, sf_dir):
-    """A configuration is kept if all three targets' losses are better and all its adjusted tests below one in twenty."""
+    """A configuration is kept if both losses of all three targets are better; promoted if also no target's hit rate falls and every adjusted test lies below one in twenty."""
     h = resample.holm(evidence_tests(spark, sf_dir), "p", ["i", "k"])
-    good = (F.col("dl") < 0) & (F.col("db") < 0) & (F.col("p_holm") < 0.05)
-    return h.groupBy(F.col("i").alias("config")).agg(F.when(F.bool_and(good), "KEEP").otherwise("REJECT").alias("decision"))
+    better, safe, certain = (F.col("dl") < 0) & (F.col("db") < 0), F.col("dh") >= 0, F.col("p_holm") < 0.05
+    decision = F.when(~F.bool_and(better), "REJECT").when(F.bool_and(safe) & F.bool_and(certain), "PROMOTE").otherwise("KEEP")
+    return h.groupBy(F.col("i").alias("config")).agg(decision.alias("decision"), F.count_if(better).alias("improved"), F.count_if(safe).alias("safe"), F.count_if(certain).alias("significant"))
 
 
 @query(f"WITH {WORKOUTS} SELECT count(*) AS rows, count(DISTINCT wid) AS distinct_rows, count(*) FILTER (f1 IS NULL) AS unmeasured, (SELECT count(*) FROM (SELECT 1 FROM w GROUP BY horse_id, clock HAVING count(*) > 1 AND count(DISTINCT center) = 1)) AS repeated, (SELECT count(*) FROM (SELECT 1 FROM w GROUP BY horse_id, clock HAVING count(DISTINCT center) > 1)) AS conflicting FROM w")

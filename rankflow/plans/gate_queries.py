@@ -79,25 +79,26 @@ def p08_payload_gate(spark, sf_dir):
     return gates.violations(e, rules)
 
 
-ELIGIBLE = f"""{CONTESTS}, {RUNNERS}, g AS (SELECT race_id, count(*) AS rows, count(*) FILTER (abnormal NOT IN ('1', '2', '3')) AS active, count(*) FILTER (abnormal IN ('1', '2', '3')) AS absent, count(*) FILTER (agent_id IS NULL) AS unknown,
- count(*) FILTER (price >= 90000 AND abnormal = '0') AS winners FROM r GROUP BY 1),
-q AS (SELECT g.*, c.race_id IS NULL AS no_conditions, NOT coalesce(distance > 0 AND regexp_matches(track, '^[0-9]{{2}}$') AND track <> '00' AND trim(race_class) <> '', FALSE) AS invalid FROM g LEFT JOIN c ON c.race_id = g.race_id AND c.venue <> 'P')"""
+#: Conditions and results as delivered: conditions lacking or twice, runners twice, without an id or with a strange status, results open.
+ELIGIBLE = f"""{CONTESTS}, {RUNNERS}, dc0 AS (SELECT race_id, distance, track, CASE WHEN race_id % 79 = 4 THEN '' ELSE race_class END AS race_class FROM c WHERE race_id % 71 <> 5),
+dc AS (SELECT race_id, count(*) AS copies, bool_and(coalesce(distance > 0 AND regexp_matches(track, '^[0-9]{{2}}$') AND track <> '00' AND trim(race_class) <> '', FALSE)) AS valid FROM (SELECT * FROM dc0 UNION ALL SELECT * FROM dc0 WHERE race_id % 83 = 4) GROUP BY 1),
+rr0 AS (SELECT race_id, CASE WHEN race_id % 97 = 3 AND horse_id % 2 = 0 THEN NULL ELSE horse_id END AS horse_id, CASE WHEN race_id % 103 = 7 THEN '9' ELSE abnormal END AS abnormal, CASE WHEN race_id % 101 = 6 THEN '' WHEN abnormal = '4' THEN '0' WHEN price >= 90000 THEN '1' ELSE '2' END AS finish FROM r),
+g AS (SELECT race_id, count(*) AS rows, count(*) FILTER (horse_id IS NOT NULL) - count(DISTINCT horse_id) AS again, count(*) FILTER (horse_id IS NULL OR abnormal NOT IN ('0', '1', '2', '3', '4', '5', '6', '7')) AS unknown, count(*) FILTER (abnormal NOT IN ('1', '2', '3')) AS active,
+ count(*) FILTER (abnormal NOT IN ('1', '2', '3') AND (NOT regexp_matches(finish, '^[0-9]+$') OR (TRY_CAST(finish AS INTEGER) < 1 AND abnormal <> '4'))) AS unresolved, count(*) FILTER (abnormal NOT IN ('1', '2', '3') AND finish = '1') AS winners FROM (SELECT * FROM rr0 UNION ALL SELECT * FROM rr0 WHERE race_id % 89 = 5) GROUP BY 1)"""
 
 
-@query(f"""WITH {ELIGIBLE} SELECT coalesce(CASE WHEN no_conditions THEN 'no_conditions' WHEN invalid THEN 'invalid_conditions' WHEN unknown > 0 THEN 'unknown_id' WHEN active < 2 THEN 'too_few' WHEN winners = 0 THEN 'no_winner' END, 'eligible') AS reason,
- count(*) AS races, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(absent) AS BIGINT) AS absent, count(*) FILTER (winners > 1) AS ties FROM q GROUP BY 1""")
+@query(f"""WITH {ELIGIBLE} SELECT CASE WHEN copies IS NULL THEN 'no_conditions' WHEN copies > 1 THEN 'duplicate_conditions' WHEN NOT valid THEN 'invalid_conditions' WHEN again > 0 THEN 'duplicate_competitor' WHEN unknown > 0 THEN 'unknown_id_or_status'
+ WHEN active = 0 OR unresolved > 0 THEN 'unresolved_result' WHEN winners = 0 THEN 'no_winner' ELSE 'eligible' END AS reason, count(*) AS races, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(rows - active) AS BIGINT) AS absent, count(*) FILTER (winners > 1) AS ties FROM g LEFT JOIN dc USING (race_id) GROUP BY 1""")
 def p09_eligibility_cascade(spark, sf_dir):
-    """First failing reason per contest; a tie only excludes from scoring."""
-    active = ~F.col("abnormal").isin("1", "2", "3")
-    g = runners(spark, sf_dir).groupBy("race_id").agg(
-        count_rows().alias("rows"), F.count_if(active).alias("active"), F.count_if(~active).alias("absent"), F.count_if(F.col("agent_id").isNull()).alias("unknown"), F.count_if((F.col("price") >= 90000) & (F.col("abnormal") == "0")).alias("winners")
-    )
-    c = contests(spark, sf_dir).where("venue <> 'P'").withColumn("valid", gates.valid_conditions()).select("race_id", "valid")
-    q = g.join(c, "race_id", "left")
-    reason = gates.first_reason(
-        [("no_conditions", F.col("valid").isNull()), ("invalid_conditions", ~F.col("valid")), ("unknown_id", F.col("unknown") > 0), ("too_few", F.col("active") < 2), ("no_winner", F.col("winners") == 0)]
-    )
-    return q.groupBy(F.coalesce(reason, F.lit("eligible")).alias("reason")).agg(count_rows().alias("races"), F.sum("rows").alias("rows"), F.sum("absent").alias("absent"), F.count_if(F.col("winners") > 1).alias("ties"))
+    """First failing reason of seven per contest; a tie (more than one winner) only excludes from scoring."""
+    r = F.col("race_id")
+    c = contests(spark, sf_dir).where("race_id % 71 <> 5").withColumn("race_class", F.when(r % 79 == 4, "").otherwise(F.col("race_class")))
+    told = c.union(c.where("race_id % 83 = 4")).groupBy("race_id").agg(count_rows().alias("copies"), F.bool_and(F.coalesce(gates.valid_conditions(), F.lit(False))).alias("valid"))
+    rows = runners(spark, sf_dir).select(
+        "race_id", F.when(~((r % 97 == 3) & (F.col("horse_id") % 2 == 0)), F.col("horse_id")).alias("horse_id"), F.when(r % 103 == 7, "9").otherwise(F.col("abnormal")).alias("abnormal"),
+        F.when(r % 101 == 6, "").when(F.col("abnormal") == "4", "0").when(F.col("price") >= 90000, "1").otherwise("2").alias("finish"),
+    )
+    return gates.eligibility(rows.union(rows.where("race_id % 89 = 5")), told).groupBy("reason").agg(count_rows().alias("races"), F.sum("rows").alias("rows"), F.sum("absent").alias("absent"), F.count_if("tie").alias("ties"))
 
 
 @query(f"WITH {CONTESTS} SELECT count(*) AS rows, count(*) FILTER (distance > 0 AND track <> '00' AND trim(race_class) <> '') AS valid, count(*) FILTER (grade = '') AS no_grade FROM c")
@@ -120,10 +121,13 @@ rg AS (SELECT race_id, count(*) + CAST(race_id % 31 = 7 AS INTEGER) AS registere
 g AS (SELECT race_id, count(*) AS n, count(DISTINCT number) AS numbers, bool_or(odd_id) AS odd_id, bool_or(agent_id IS NULL) AS no_first, bool_or(no_second) AS no_second, count(*) FILTER (worked) AS eligible FROM ru JOIN wk USING (race_id, horse_id) GROUP BY 1)"""
 
 
-@query(f"""WITH {CARDS} SELECT cd.race_id, concat_ws(',', CASE WHEN copies = 1 AND (course = '00' OR race_class = '') THEN 'bad_conditions' END, CASE WHEN copies = 1 AND metres <= 0 THEN 'bad_distance' END, CASE WHEN odd_id THEN 'bad_identity' END, CASE WHEN numbers < n THEN 'bad_number' END,
+P12 = """SELECT cd.race_id, concat_ws(',', CASE WHEN copies = 1 AND (course = '00' OR race_class = '') THEN 'bad_conditions' END, CASE WHEN copies = 1 AND metres <= 0 THEN 'bad_distance' END, CASE WHEN odd_id THEN 'bad_identity' END, CASE WHEN numbers < n THEN 'bad_number' END,
  CASE WHEN copies = 1 AND coalesce(registered, 0) < 2 THEN 'bad_registered' END, CASE WHEN copies = 1 AND (start_time = '0000' OR start_time >= '24') THEN 'bad_start_time' END, CASE WHEN copies = 1 AND venue NOT IN ('F', 'O') THEN 'bad_venue' END, CASE WHEN copies <> 1 THEN 'conditions_missing_or_repeated' END,
  CASE WHEN no_first THEN 'no_first_agent' END, CASE WHEN n IS NULL THEN 'no_runners' END, CASE WHEN no_second THEN 'no_second_agent' END, CASE WHEN copies = 1 AND registered >= 2 AND registered <> coalesce(n, 0) THEN 'registered_mismatch' END, CASE WHEN past THEN 'same_day_or_past' END, CASE WHEN stale THEN 'stale_capture' END) AS blockers,
- coalesce(eligible, 0) AS eligible, coalesce(eligible < n, FALSE) AS neutral_warning FROM cd LEFT JOIN g USING (race_id) LEFT JOIN rg USING (race_id)""")
+ coalesce(eligible, 0) AS eligible, coalesce(eligible < n, FALSE) AS neutral_warning FROM cd LEFT JOIN g USING (race_id) LEFT JOIN rg USING (race_id)"""
+
+
+@query(f"WITH {CARDS} {P12}")
 def p12_readiness_blockers(spark, sf_dir):
     """Per contest the sorted names of what blocks it, from conditions, roster and capture; entrants with recent work, and a warning if some have none.
 
@@ -154,15 +158,16 @@ def p12_readiness_blockers(spark, sf_dir):
     return gates.issues(rows, rules, "b").select("race_id", F.array_join("b", ",").alias("blockers"), F.coalesce("eligible", F.lit(0)).alias("eligible"), F.coalesce(c("eligible") < c("n"), F.lit(False)).alias("neutral_warning"))
 
 
-@query(f"""WITH {CONTESTS}, {RUNNERS}, g AS (SELECT race_id, count(*) FILTER (abnormal <> '0') AS off FROM r GROUP BY 1)
-SELECT venue, count(*) AS races, count(*) FILTER (coalesce(off, 1) > 0 OR grade = '') AS blocked FROM c LEFT JOIN g USING (race_id) GROUP BY 1""")
+@query(f"""WITH {CARDS}, p12 AS ({P12}), sc AS (SELECT race_id, count(*) AS entered, count(*) FILTER (abnormal <> '0') AS off FROM r WHERE race_id % 43 <> 9 GROUP BY 1), en AS (SELECT race_id, count(*) AS rostered FROM r GROUP BY 1)
+SELECT race_id, concat_ws(',', nullif(blockers, ''), CASE WHEN entered IS DISTINCT FROM rostered THEN 'status_mismatch' END, CASE WHEN off > 0 THEN 'status_not_clear' END) AS blockers FROM p12 LEFT JOIN sc USING (race_id) LEFT JOIN en USING (race_id)""")
 def p14_personal_gate(spark, sf_dir):
-    """Any status but clear blocks the contest, beside the readiness blockers."""
-    g = runners(spark, sf_dir).groupBy("race_id").agg(F.count_if(F.col("abnormal") != "0").alias("off"))
-    rows = contests(spark, sf_dir).join(g, "race_id", "left")
-    ready = F.array_compact(F.array(F.when(F.col("grade") == "", "no_grade")))
-    status = F.array_compact(F.array(F.when(F.coalesce("off", F.lit(1)) > 0, "status_not_clear")))
-    return rows.withColumn("b", F.array_union(ready, status)).groupBy("venue").agg(count_rows().alias("races"), F.count_if(F.size("b") > 0).alias("blocked"))
+    """The readiness blockers, and those of the status list: an entrant without a status, or with any but clear, blocks the contest."""
+    r = runners(spark, sf_dir)
+    status = r.where("race_id % 43 <> 9").groupBy("race_id").agg(count_rows().alias("entered"), F.count_if(F.col("abnormal") != "0").alias("off"))
+    rows = p12_readiness_blockers(spark, sf_dir).join(r.groupBy("race_id").agg(count_rows().alias("rostered")), "race_id", "left").join(status, "race_id", "left")
+    own = gates.issues(rows, {"status_mismatch": ~F.col("entered").eqNullSafe(F.col("rostered")), "status_not_clear": F.col("off") > 0}, "more")
+    ready = F.filter(F.split("blockers", ","), lambda b: b != "")
+    return own.select("race_id", F.array_join(F.array_union(ready, F.col("more")), ",").alias("blockers"))
 
 
 @query("""WITH s AS (SELECT event_id, ts AS captured, ts + INTERVAL 6 HOUR AS now, CASE WHEN event_id % 50 = 0 THEN '0000' ELSE lpad(CAST(event_id % 24 AS VARCHAR), 2, '0') || '30' END AS clock FROM events)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import history, metrics, rankprob
+from ..operators import history, metrics, rankprob, resample
 from ..registry import query
 from ..sources.bindings import CONTESTS, ENTRANTS, contests, entrants
 from ..sources.readers import stored
@@ -408,18 +408,66 @@ def a28_yearly_coverage(spark, sf_dir):
     return t.groupBy("year").agg(F.count_distinct("day").alias("days"), F.count(F.lit(1)).alias("races"), F.sum("n").alias("rows"))
 
 
-@query(f"""WITH {ENTRANTS}, {P1}, t AS (SELECT * FROM p WHERE day >= DATE '1997-01-01'), k AS (SELECT agent_id, count(*) AS n, sum(label_win) AS w FROM e WHERE day < DATE '1997-01-01' GROUP BY 1),
-z AS (SELECT t.*, coalesce(k.n, 0) AS an, coalesce(w, 0) AS aw FROM t LEFT JOIN k USING (agent_id)), v AS (SELECT *, base * (1 - 0.25 * an / (an + 100.0)) + 0.25 * an / (an + 100.0) * (aw + 10) / (an + 120.0) AS v FROM z),
-q AS (SELECT *, v / sum(v) OVER (PARTITION BY race_id) AS q FROM v)
-SELECT venue, CAST(month(day) AS INTEGER) AS month, count(*) AS rows, round(avg({LOSS.format(p="p", y="label_win")}), 6) AS baseline, round(avg({LOSS.format(p="q", y="label_win")}), 6) AS candidate FROM q GROUP BY 1, 2""")
+#: Cutoffs, and the year after each that its counts are judged on.
+CUTOFFS = {"validation": "1996-01-01", "reference": "1997-01-01"}
+CUTOFF = f"""co AS (SELECT * FROM (VALUES {", ".join(f"('{k}', DATE '{d}')" for k, d in CUTOFFS.items())}) AS t(period, cut)),
+gn AS (SELECT period, horse_id, count(*) AS n, sum(label_win) AS w FROM e JOIN co ON day < cut GROUP BY 1, 2), lo AS (SELECT period, horse_id, track, distance // 400 AS band, race_class, count(*) AS n, sum(label_win) AS w FROM e JOIN co ON day < cut GROUP BY ALL),
+st AS (SELECT e.*, period, (coalesce(gn.w, 0) + 1) / (coalesce(gn.n, 0) + 12)::DOUBLE AS base, (coalesce(lo.w, 0) + 1) / (coalesce(lo.n, 0) + 12)::DOUBLE AS own, least(0.5, coalesce(lo.n, 0) / (coalesce(lo.n, 0) + 5)::DOUBLE) AS share
+ FROM e JOIN co ON day >= cut AND day < cut + INTERVAL 1 YEAR LEFT JOIN gn USING (period, horse_id) LEFT JOIN lo ON lo.period = co.period AND lo.horse_id = e.horse_id AND lo.track = e.track AND lo.band = e.distance // 400 AND lo.race_class = e.race_class),
+pq AS (SELECT *, base / sum(base) OVER w AS p, ((1 - share) * base + share * own) / sum((1 - share) * base + share * own) OVER w AS q FROM st WINDOW w AS (PARTITION BY period, race_id)),
+rd AS (SELECT period, race_id, any_value(day) AS day, any_value(venue) AS venue, count(*) AS rows, round(sum({LOSS.format(p="q", y="label_win")} - ({LOSS.format(p="p", y="label_win")})), 9) AS dl, round(sum({BRIER.format(p="q", y="label_win")} - ({BRIER.format(p="p", y="label_win")})), 9) AS db FROM pq GROUP BY 1, 2)"""
+
+
+def cutoff_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per period and contest: rows, and the loss and Brier differences of the context model to the baseline, both counted before the cutoff only."""
+    e = entrants(spark, sf_dir).withColumn("band", F.floor(F.col("distance") / 400))
+    local = ["horse_id", "track", "band", "race_class"]
+    y, out = F.col("label_win"), None
+    for period, cut in CUTOFFS.items():
+        before = e.where(F.col("day") < F.lit(cut).cast("date"))
+        counts = lambda keys, p: before.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{p}n"), F.sum("label_win").alias(f"{p}w"))  # noqa: B023, E731
+        later = e.where((F.col("day") >= F.lit(cut).cast("date")) & (F.col("day") < F.add_months(F.lit(cut).cast("date"), 12)))
+        t = later.join(counts(["horse_id"], "g"), "horse_id", "left").join(counts(local, "c"), local, "left").fillna(0, ["gn", "gw", "cn", "cw"])
+        base, own = history.smoothed(F.col("gw"), F.col("gn")), history.smoothed(F.col("cw"), F.col("cn"))
+        share = F.least(F.lit(0.5), F.col("cn") / (F.col("cn") + 5))
+        t = t.withColumns({"b": base, "m": (1 - share) * base + share * own})
+        t = t.withColumns({"p": history.share(F.col("b"), "race_id"), "q": history.share(F.col("m"), "race_id")})
+        loss, brier = metrics.log_loss(F.col("q"), y) - metrics.log_loss(F.col("p"), y), metrics.brier(F.col("q"), y) - metrics.brier(F.col("p"), y)
+        pairs = t.groupBy("race_id").agg(F.first("day").alias("day"), F.first("venue").alias("venue"), F.count(F.lit(1)).alias("rows"), R(F.sum(loss), 9).alias("dl"), R(F.sum(brier), 9).alias("db")).withColumn("period", F.lit(period))
+        out = pairs if out is None else out.union(pairs)
+    return stored(out, "pairs")
+
+
+@query(f"""WITH {ENTRANTS}, {CUTOFF}, gr AS (SELECT *, unnest(['overall', 'month', 'venue']) AS field, unnest(['all', strftime(day, '%m'), venue]) AS value FROM rd)
+SELECT period, field, value, CAST(sum(rows) AS BIGINT) AS rows, count(*) AS races, count(DISTINCT day) AS days, round(sum(dl) / sum(rows), 7) + 0.0 AS delta_logloss, round(sum(db) / sum(rows), 7) + 0.0 AS delta_brier FROM gr GROUP BY 1, 2, 3""")
 def m39_fixed_cutoff(spark, sf_dir):
-    """Agent rates from before a cutoff only, against the baseline over the later period, by venue and month."""
-    cutoff = F.lit("1997-01-01").cast("date")
-    known = entrants(spark, sf_dir).where(F.col("day") < cutoff).groupBy("agent_id").agg(F.count(F.lit(1)).alias("an"), F.sum("label_win").alias("aw"))
-    t = base_rates(spark, sf_dir).where(F.col("day") >= cutoff).join(known, "agent_id", "left").fillna(0, ["an", "aw"])
-    q = t.withColumn("q", history.share(history.agent_blend(F.col("base"), F.col("aw"), F.col("an"), 0.25), "race_id"))
-    y = F.col("label_win")
-    return q.groupBy("venue", F.month("day").alias("month")).agg(F.count(F.lit(1)).alias("rows"), R(F.avg(metrics.log_loss(F.col("p"), y)), 6).alias("baseline"), R(F.avg(metrics.log_loss(F.col("q"), y)), 6).alias("candidate"))
+    """Counts from before a cutoff alone, candidate against baseline over the year after it: as a whole, by month and by venue."""
+    fields = F.array(*[F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in {"overall": F.lit("all"), "month": F.date_format("day", "MM"), "venue": F.col("venue")}.items()])
+    g = cutoff_pairs(spark, sf_dir).withColumn("g", F.explode(fields)).groupBy("period", "g.field", "g.value")
+    mean = lambda c: R(F.sum(c) / F.sum("rows"), 7) + 0.0
+    return g.agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("races"), F.count_distinct("day").alias("days"), mean("dl").alias("delta_logloss"), mean("db").alias("delta_brier"))
+
+
+_U = "(('0x' || substr(md5('cutoff|' || rep || '|' || i), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+@query(f"""WITH {ENTRANTS}, {CUTOFF}, un AS (SELECT period, 'day' AS kind, CAST(day AS VARCHAR) AS name, sum(rows) AS rows, sum(dl) AS dl, sum(db) AS db FROM rd GROUP BY 1, 3 UNION ALL SELECT period, 'race', lpad(CAST(race_id AS VARCHAR), 20, '0'), rows, dl, db FROM rd),
+nu AS (SELECT *, row_number() OVER (PARTITION BY period, kind ORDER BY name) - 1 AS unit, count(*) OVER (PARTITION BY period, kind) AS units FROM un),
+dr AS (SELECT period, kind, rep, CAST(floor({_U} * units) AS BIGINT) AS unit FROM (SELECT period, kind, unit AS i, units FROM nu), range(2000) AS g(rep)),
+rt AS (SELECT period, kind, rep, sum(dl) / sum(rows) AS rl, sum(db) / sum(rows) AS rb FROM dr JOIN nu USING (period, kind, unit) GROUP BY 1, 2, 3),
+iv AS (SELECT period, kind, metric, quantile_cont(r, 0.025) AS low, quantile_cont(r, 0.975) AS high FROM (SELECT period, kind, unnest(['logloss', 'brier']) AS metric, unnest([rl, rb]) AS r FROM rt) GROUP BY 1, 2, 3)
+SELECT period, kind AS unit, metric, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high, bool_and(kind <> 'day' OR round(high, 9) < 0) OVER () AS improved FROM iv""")
+def m39_cutoff_decision(spark, sf_dir):
+    """Intervals of both differences by resampled days and contests; improved if all by day lie below zero in both periods."""
+    rd = cutoff_pairs(spark, sf_dir)
+    sums = [F.sum(c).alias(c) for c in ("rows", "dl", "db")]
+    units = rd.groupBy("period", F.lit("day").alias("kind"), F.col("day").cast("string").alias("name")).agg(*sums).union(rd.select("period", F.lit("race"), F.lpad(F.col("race_id").cast("string"), 20, "0"), "rows", "dl", "db"))
+    by = ["period", "kind"]
+    reps = resample.bootstrap(resample.numbered(units, ["name"], by), ["dl", "db"], "rows", 2000, "cutoff", by)
+    long = reps.select(*by, F.explode(F.array(F.struct(F.lit("logloss").alias("metric"), F.col("ratio_dl").alias("r")), F.struct(F.lit("brier").alias("metric"), F.col("ratio_db").alias("r")))).alias("x")).select(*by, "x.*")
+    told = resample.interval(long, [*by, "metric"], "r")
+    below = F.bool_and((F.col("kind") != "day") | (R("high", 9) < 0)).over(Window.partitionBy())  # eight rows
+    return told.select("period", F.col("kind").alias("unit"), "metric", (R("low", 6) + 0.0).alias("low"), (R("high", 6) + 0.0).alias("high"), below.alias("improved"))
 
 
 @query(f"""WITH {ENTRANTS}, {H1} SELECT horse_id, dn, count(*) AS n, CAST(sum(label_win) AS BIGINT) AS wins FROM e GROUP BY 1, 2""")

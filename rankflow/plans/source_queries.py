@@ -60,16 +60,19 @@ def s07_csv_to_parquet(spark, sf_dir):
     return spark.read.parquet(dest).groupBy("c_mktsegment").agg(count_rows().alias("rows"))
 
 
-@query("WITH k AS (SELECT 'orders' AS table_name, count(*) AS rows FROM orders UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'nation', count(*) FROM nation) SELECT table_name, string_agg(column_name, ',' ORDER BY column_index) AS columns, any_value(rows) AS rows FROM duckdb_columns() JOIN k USING (table_name) GROUP BY 1")
+STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+WANTED = {"orders": ["o_orderkey", "o_finish"], "events": ["event_id", "ts"], "lineitem": ["l_orderkey", "l_clock", "l_agent"]}
+COUNTED = "k AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in STAR) + ")"
+
+
+@query(f"""WITH {COUNTED}, dc AS (SELECT table_name, column_index, column_name, count(*) OVER (PARTITION BY column_name) AS tables FROM duckdb_columns() WHERE table_name IN ({", ".join(f"'{t}'" for t in STAR)})),
+wa AS (SELECT * FROM (VALUES {", ".join(f"('{t}', '{c}')" for t, cs in WANTED.items() for c in cs)}) AS t(table_name, column_name)), mi AS (SELECT table_name, string_agg(column_name, ',' ORDER BY column_name) AS missing FROM wa ANTI JOIN dc USING (table_name, column_name) GROUP BY 1)
+SELECT table_name, string_agg(column_name, ',' ORDER BY column_index) AS columns, md5(string_agg(column_name, ',' ORDER BY column_index)) AS digest, any_value(rows) AS rows, coalesce(any_value(missing), '') AS missing, count(*) FILTER (tables > 1) AS shared_names, regexp_matches(table_name, 'order|line|event') AS relevant
+FROM dc JOIN k USING (table_name) LEFT JOIN mi USING (table_name) GROUP BY table_name""")
 def s09_catalog_discovery(spark, sf_dir):
-    """Ordered column lists and row counts of all tables."""
-    frames = {n: table(spark, sf_dir, n) for n in ("orders", "part", "events", "nation")}
-    lists = readers.catalog(spark, frames).groupBy("table_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "name"))), lambda x: x["name"]), ",").alias("columns"))
-    sizes = None
-    for n, df in frames.items():
-        own = df.agg(count_rows().alias("rows")).withColumn("table_name", F.lit(n))
-        sizes = own if sizes is None else sizes.union(own)
-    return lists.join(sizes, "table_name").select("table_name", "columns", "rows")
+    """All tables: ordered columns and their digest, rows, wanted columns that lack, names that other tables have too, and whether the table's name fits the keywords."""
+    frames = {n: table(spark, sf_dir, n) for n in STAR}
+    return readers.discovered(spark, frames, WANTED, ["order", "line", "event"])
 
 
 @query("""WITH m AS (SELECT (min(o_orderkey) + max(o_orderkey)) // 2 AS half FROM orders) SELECT CASE WHEN o_orderkey <= half THEN 'first' ELSE 'resumed' END AS run, count(*) AS rows, min(o_orderkey) AS low, max(o_orderkey) AS watermark, TRUE AS chunked, TRUE AS ordered FROM orders, m GROUP BY 1""")
@@ -119,13 +122,14 @@ def s13_part_manifest(spark, sf_dir):
     return found.select("part", status.alias("status")).join(rows, "part", "left").fillna(0, ["rows"])
 
 
-@query("SELECT n AS event_rows, n AS first_append, 0::BIGINT AS second_append FROM (SELECT count(*) AS n FROM region)")
+@query("SELECT count(*) + count(*) FILTER (o_orderkey % 10 = 0) AS event_rows, count(*) AS first_append, count(*) FILTER (o_orderkey % 10 = 0) AS second_append, 0::BIGINT AS third_append FROM orders")
 def s15_append_only_ledger(spark, sf_dir):
+    """Events appended, a tenth of them changed and all appended again, and once more."""
     path = scratch(spark, "ledger")
-    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    a = canonical.append_ledger(spark, r, path, ["r_regionkey", "r_name"])
-    b = canonical.append_ledger(spark, r, path, ["r_regionkey", "r_name"])
-    return spark.read.parquet(path).agg(count_rows().alias("event_rows")).withColumns({"first_append": F.lit(a).cast("long"), "second_append": F.lit(b).cast("long")})
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    changed = o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 10 == 0, "changed").otherwise(F.col("o_orderstatus")))
+    added = [canonical.append_ledger(spark, rows, path, ["o_orderkey", "o_orderstatus"]) for rows in (o, changed, changed)]
+    return spark.read.parquet(path).agg(count_rows().alias("event_rows")).withColumns({f"{k}_append": F.lit(n).cast("long") for k, n in zip(("first", "second", "third"), added, strict=True)})
 
 
 @query("SELECT count(*) AS rows, TRUE AS same FROM orders")
@@ -290,10 +294,11 @@ def j14_semi_join(spark, sf_dir):
     return seen.join(rows.where("dn >= 19730"), "horse_id", "left_semi").agg(count_rows().alias("rows"), F.count_distinct("horse_id").alias("competitors"))
 
 
-@query("SELECT table_name, count(*) AS columns, CASE table_name WHEN 'nation' THEN (SELECT count(*) FROM nation) WHEN 'region' THEN (SELECT count(*) FROM region) END AS rows FROM duckdb_columns() WHERE table_name IN ('nation', 'region', 'part') GROUP BY 1")
+@query(f"""WITH {COUNTED} SELECT table_name, count(*) AS columns, any_value(rows) AS rows FROM duckdb_columns() LEFT JOIN (SELECT * FROM k WHERE table_name <> 'part') USING (table_name) WHERE table_name IN ({", ".join(f"'{t}'" for t in STAR)}) GROUP BY 1""")
 def j15_table_statistics(spark, sf_dir):
-    frames = {n: table(spark, sf_dir, n) for n in ("nation", "region", "part")}
-    stats = frames["nation"].agg(count_rows().alias("rows")).withColumn("table_name", F.lit("nation")).unionByName(frames["region"].agg(count_rows().alias("rows")).withColumn("table_name", F.lit("region")))
+    """Columns of all tables with the statistics there are: one table has none."""
+    frames = {n: table(spark, sf_dir, n) for n in STAR}
+    stats = readers.row_counts({n: df for n, df in frames.items() if n != "part"})
     return readers.catalog(spark, frames).groupBy("table_name").agg(count_rows().alias("columns")).join(stats, "table_name", "left").select("table_name", "columns", "rows")
 
 

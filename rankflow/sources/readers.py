@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for written tables: in the shared folder that the session names in spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -60,6 +60,29 @@ def catalog(spark: SparkSession, frames: Mapping[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, ordinal int, name string, type string")
 
 
+def row_counts(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """table_name and rows of all frames."""
+    out = None
+    for name, df in frames.items():
+        own = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+        out = own if out is None else out.union(own)
+    return out
+
+
+def discovered(spark: SparkSession, frames: Mapping[str, DataFrame], wanted: Mapping[str, Sequence[str]], keywords: Sequence[str]) -> DataFrame:
+    """Per table: columns in order, their MD5 (another one tells of drift), rows, wanted columns that are missing, how many names other tables have too, and whether the table's name holds a keyword."""
+    names = catalog(spark, frames)
+    met = names.join(names.groupBy("name").agg(F.count(F.lit(1)).alias("tables")), "name")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "name"))), lambda x: x["name"]), ",")  # a table's columns
+    told = met.groupBy("table_name").agg(listed.alias("columns"), F.count_if(F.col("tables") > 1).alias("shared_names"))
+    lacking = spark.createDataFrame([(t, ",".join(sorted(set(c) - set(frames[t].columns)))) for t, c in wanted.items() if t in frames] or [("", "")], "table_name string, missing string")
+    return (
+        told.join(row_counts(frames), "table_name")
+        .join(lacking, "table_name", "left")
+        .select("table_name", "columns", F.md5("columns").alias("digest"), "rows", F.coalesce("missing", F.lit("")).alias("missing"), "shared_names", F.col("table_name").rlike("|".join(keywords)).alias("relevant"))
+    )
+
+
 def high_water(spark: SparkSession, path: str, key: str):
     """Largest staged key; None before the first stage."""
     try:
