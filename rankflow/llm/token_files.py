@@ -25,7 +25,6 @@ import re
 import struct
 import uuid
 import zlib
-from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -148,15 +147,29 @@ def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def _bounds(keys: DataFrame) -> list[tuple[int, int]]:
-    """Least (doc_id, row) of each of as many ranges as the table is read in, but the first; from ids alone."""
+class Ranges:
+    """Ranges of (doc_id, row), told by the least of each but the first."""
+
+    def __init__(self, least: list[tuple[int, int]]):
+        self.doc_ids, self.rows = (np.array([x[k] for x in least], np.int64) for k in (0, 1))
+
+    def of(self, doc_ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The range of each row; a range may begin within rows of one doc_id."""
+        low, high = np.searchsorted(self.doc_ids, doc_ids), np.searchsorted(self.doc_ids, doc_ids, "right")
+        for i in np.flatnonzero(low < high).tolist():
+            low[i] += np.searchsorted(self.rows[low[i] : high[i]], rows[i], "right")
+        return low.astype(np.int32)
+
+
+def _bounds(keys: DataFrame) -> Ranges:
+    """As many ranges as the table is read in, from ids alone."""
     n = keys.select(F.spark_partition_id().alias("part")).agg(F.count_distinct("part").alias("n")).first()["n"]
     ranges = keys.repartitionByRange(max(1, n), "doc_id", "row").select(F.spark_partition_id().alias("part"), F.struct("doc_id", "row").alias("key")).groupBy("part").agg(F.min("key").alias("least"))
-    return sorted((NO_ID if r["least"][0] is None else r["least"][0], r["least"][1]) for r in ranges.collect())[1:]
+    return Ranges(sorted((NO_ID if r["least"][0] is None else r["least"][0], r["least"][1]) for r in ranges.collect())[1:])
 
 
-def _encoded(rows: DataFrame, bounds: list[tuple[int, int]], encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], vocabulary: int, end_id: int) -> DataFrame:
-    """Per row (doc_id, row, text): doc_id, row, its range `part` and `ids`, the ids of the whole text and the end id, as bytes."""
+def _encoded(rows: DataFrame, bounds, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], vocabulary: int, end_id: int) -> DataFrame:
+    """Per row (doc_id, row, text): doc_id, row, its range `part` and `ids`, the ids of the whole text and the end id, as bytes. `bounds` is a broadcast of `Ranges`."""
     kind, width = id_type(vocabulary), np.dtype(id_type(vocabulary)).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +181,9 @@ def _encoded(rows: DataFrame, bounds: list[tuple[int, int]], encode: Callable[[p
                 out[np.arange(len(ids)) + np.repeat(np.arange(n), counts)] = ids
                 ends = np.zeros(n + 1, np.int32)
                 np.cumsum((counts + 1) * width, out=ends[1:])
-                parts = [bisect_right(bounds, (NO_ID if i is None else i, p)) for i, p in zip(doc_ids.to_pylist(), places.to_pylist(), strict=True)]
+                parts = bounds.value.of(doc_ids.fill_null(NO_ID).to_numpy(), places.to_numpy())
                 binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(out)])
-                yield pa.RecordBatch.from_arrays([doc_ids, places, pa.array(parts, pa.int32()), binary], ["doc_id", "row", "part", "ids"])
+                yield pa.RecordBatch.from_arrays([doc_ids, places, pa.array(parts), binary], ["doc_id", "row", "part", "ids"])
 
     return rows.mapInArrow(run, "doc_id long, row long, part int, ids binary")
 
@@ -214,8 +227,8 @@ def write_files(docs: DataFrame, encode: Callable[[pa.Array], tuple[np.ndarray,
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
     bounds = _bounds(rows.select("doc_id", "row"))
-    found = _encoded(rows, bounds, encode, vocabulary, end_id)
-    ordered = found.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "row").select("doc_id", "ids")
+    found = _encoded(rows, spark.sparkContext.broadcast(bounds), encode, vocabulary, end_id)
+    ordered = found.repartitionById(len(bounds.doc_ids) + 1, "part").sortWithinPartitions("doc_id", "row").select("doc_id", "ids")
     manifest = written(ordered.mapInArrow(run, "part int, path string, bytes long, docs long, tokens long"), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))).withColumn("root", F.lit(folder))
