@@ -5,7 +5,9 @@ the response, the others are revisits that refer to it. Equality is that of the
 SHA-1 digests. Null html counts as an empty payload. Repeated rows with one page id
 share a payload digest and so a kind: where the id is the largest, each is a
 response. A null page id never is the largest; a group of nulls alone has no id to
-refer to and stays as responses.
+refer to and stays as responses. A very long payload is one member and held whole by the
+task that writes or reads it. An empty table writes no archive and gives no rows. Extra
+columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -86,13 +88,15 @@ def write_archives(pages: DataFrame) -> DataFrame:
     """Writes a record per row (page_id, url, html); returns the manifest of finished files: path, bytes, records, root.
 
     Only digests and ids are shuffled for the grouping: a partial aggregate keeps the
-    largest id of each digest, and a join that Spark can split on a hot digest brings
-    it back to the rows together with their payloads.
+    largest id of each digest that several rows have. Those are written first, so that the
+    join which brings them back to the rows and their payloads has an exchange of its own
+    on either side, and Spark can split a digest that a third of all pages share.
     """
     spark = pages.sparkSession
     folder = shared_dir(spark, "warc")
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("key", F.unhex(F.sha1(F.encode("html", "utf-8"))))
     last = rows.groupBy("key").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "last")
+    last = written(last, "warc-digests")
     marked = rows.join(last, "key", "left").select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("last")), None).otherwise(F.col("last")).alias("refers_to"))
     marked = marked.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})  # ids pass through as text and stay exact
 

@@ -137,6 +137,30 @@ def test_token_words_equal_whole_texts():
         assert own.tolist() == memo.own.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_ranges_cut_within_repeated_ids():
+    least = [(3, 5), (7, 1), (7, 4), (7, 4), (9, 0)]
+    ranges = token_files.Ranges(least)
+    rows = [(d, r) for d in (-9, 3, 5, 7, 8, 9, 10) for r in range(7)]
+    got = ranges.of(np.array([d for d, _ in rows]), np.array([r for _, r in rows])).tolist()
+    assert got == [sum(x <= row for x in least) for row in rows]
+    assert token_files.Ranges([]).of(np.array([1]), np.array([1])).tolist() == [0]
+
+
+def test_token_files_of_repeated_ids(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(7 if i % 3 else None, f"text {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(6)
+    manifest = token_files.write_files(docs, token_files.tokenizer_encoder(path), 50_257, 0)
+    got = token_files.read_files(manifest).collect()
+    assert manifest.count() > 2 and len(got) == 400 and sum(r["doc_id"] is None for r in got) == 134
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    own = Tokenizer.from_file(path)
+    assert sorted(r["ids_crc32"] for r in got) == sorted(zlib.crc32(np.array([*own.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for _, t in rows)
+
+
 def test_packing_round_trip_and_random_access():
     pick = np.random.default_rng(0)
     for size in (2, 3, 200, 257, 50_257, 70_000, 1 << 20):
@@ -316,6 +340,15 @@ def test_warc(spark):
         list(warc.members(io.BytesIO(data[:-5])))
 
 
+def test_warc_splits_a_hot_digest_and_takes_an_empty_table(spark):
+    rows = [(i, f"http://x/{i}", "the same" if i % 3 else f"page {i}") for i in range(600)]
+    got = {r["page_id"]: r for r in warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()}
+    last = max(i for i, _, h in rows if h == "the same")
+    assert all((got[i]["record_type"], got[i]["refers_to"]) == (("response", None) if h != "the same" or i == last else ("revisit", last)) for i, _, h in rows)
+    none = spark.createDataFrame([], "page_id long, url string, html string, path int")
+    assert warc.read_archives(warc.write_archives(none)).count() == 0
+
+
 def test_top_k(spark):
     pick = np.random.default_rng(1)
     rows = [(i, [float(x) for x in pick.normal(size=6)]) for i in range(700)]
