@@ -5,10 +5,13 @@ all its substrings. A text is parsed greedily into longest matches; the language
 needs the fewest phrases per character explains it best.
 
 Texts are parsed as running text: letters (and marks on them) in lower case, anything
-between two words as one space. All automata lie in one table of rows that are put into
-each other's gaps, so its size goes with the sample and not with the alphabet. A batch's
-texts are parsed at once, a character of each and all languages a step; for that, texts
-are laid out in stretches of `STRETCH` characters, and no phrase runs over a stretch's end.
+between two words as one space. Each language's automaton is built in a task of its own
+and laid out there as a table of rows that are put into each other's gaps, so its size
+goes with the sample and not with the alphabet. A batch's texts are parsed at once, a
+character of each and all languages a step. For that, texts are laid out in stretches of
+`STRETCH` characters; a stretch that the one before it enters in the middle of a phrase is
+parsed again from there, until both ways of parsing it meet. So phrases are those of the
+whole text.
 
 Texts that are null or hold no letter get `und` and score 0. If nothing was labelled,
 all texts get `und`. Ties go to the first language by name. Repeated rows each get their
@@ -27,15 +30,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_below, map_texts
+from .common import map_texts, written
 
 UNDETERMINED = "und"
 SAMPLE_DOCS = 120
 SAMPLE_CHARS = 60_000
 TOTAL_CHARS = 2_000_000
-LONGEST_SAMPLE = 20_000
-LANGUAGES = 200
 STRETCH = 2048
+ROUNDS = 3
 BATCH_CHARS = 2_000_000
 _SPACE, _LETTER, _MARK = 0, 1, 2
 
@@ -99,86 +101,149 @@ def _suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return ways
 
 
+def _laid_out(ways: list[dict[int, int]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An automaton as (first, base, cells): a state's way on by code c is at base[state] + c.
+
+    `cells` has the state there (upper half) and where the way leads (lower half), `first`
+    where the start's ways lead. States with most ways are placed first, each in the first
+    gap found. Codes are below `size`.
+    """
+    used, cells, base = bytearray(size), [-1] * size, np.zeros(len(ways), np.int32)
+    low = high = 0
+    for state in sorted(range(len(ways)), key=lambda s: -len(ways[s])):
+        own = ways[state]
+        if not own:
+            continue
+        codes = list(own)
+        at = max(0, low - codes[0])
+        for _ in range(64):
+            if all(at + c >= len(used) or not used[at + c] for c in codes):
+                break
+            at += 1
+        else:
+            at = high
+        while len(used) < at + size + 1:
+            used += bytes(size)
+            cells += [-1] * size
+        base[state] = at
+        for c, to in own.items():
+            used[at + c] = 1
+            cells[at + c] = state << 32 | to
+        high = max(high, at + max(codes))
+        while low < len(used) and used[low]:
+            low += 1
+    first = np.zeros(size, np.int32)
+    for c, to in ways[0].items():
+        first[c] = to
+    return first, base, np.array(cells + [-1] * size, np.int64)
+
+
+def _table(text: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _laid_out(_suffix_automaton((np.searchsorted(alphabet, text) + 1).tolist()), len(alphabet) + 1)
+
+
 class Model:
     """Suffix automata of all languages in one table.
 
-    A state's way on by code c is at base[state] + c: `cells` has the state there (upper
-    half) and where the way leads (lower half). State 0 has no ways on; `first` has, by
-    language and code, where the start's ways lead.
+    State 0 is no language's: it has no ways on, and every text begins there. Other states
+    are numbered through, language by language.
     """
 
     def __init__(self, samples: dict[str, str]):
-        self.languages = sorted(samples)
-        texts = [running(samples[x]) for x in self.languages]
-        self.alphabet = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.uint32)
-        size = len(self.alphabet) + 1
-        self.first = np.zeros((len(texts), size), np.int32)
-        rows: list[tuple[int, dict[int, int]]] = []
-        states = 1
-        for k, text in enumerate(texts):
-            ways = _suffix_automaton((np.searchsorted(self.alphabet, text) + 1).tolist())
-            for c, to in ways[0].items():
-                self.first[k, c] = states + to
-            rows += [(states + s, {c: states + to for c, to in own.items()}) for s, own in enumerate(ways)]
-            states += len(ways)
-        self.base = np.zeros(states, np.int32)
-        self._place(rows, size)
-
-    def _place(self, rows: list[tuple[int, dict[int, int]]], size: int) -> None:
-        """Puts the rows into one array, those with most ways first, each into the first gap found."""
-        used, cells = bytearray(size), [-1] * size
-        low = high = size
-        for state, own in sorted(rows, key=lambda r: -len(r[1])):
-            if not own:
-                continue
-            codes = list(own)
-            at = low - codes[0]
-            for tried in range(64):
-                if all(at + c >= len(used) or not used[at + c] for c in codes):
-                    break
-                at += 1
-            else:
-                at = high
-            while len(used) < at + size + 1:
-                used += bytes(size)
-                cells += [-1] * size
-            self.base[state] = at
-            for c, to in own.items():
-                used[at + c] = 1
-                cells[at + c] = state << 32 | to
-            high = max(high, at + max(codes))
-            while low < len(used) and used[low]:
-                low += 1
-        self.cells = np.array(cells + [-1] * size, np.int64)
+        texts = {k: running(samples[k]) for k in sorted(samples)}
+        alphabet = np.unique(np.concatenate(list(texts.values()))) if texts else np.zeros(0, np.uint32)
+        self._put_together(alphabet, {k: _table(t, alphabet) for k, t in texts.items()})
+
+    @classmethod
+    def of(cls, alphabet: np.ndarray, tables: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
+        model = cls.__new__(cls)
+        model._put_together(alphabet, tables)
+        return model
+
+    def _put_together(self, alphabet: np.ndarray, tables: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        self.languages, self.alphabet = sorted(tables), alphabet
+        size = len(alphabet) + 1
+        first, base, cells = [], [np.zeros(1, np.int32)], [np.full(size, -1, np.int64)]
+        states, places = 1, size
+        for k in self.languages:
+            f, b, c = tables[k]
+            first.append(np.where(f > 0, f + states, 0).astype(np.int32))  # no way leads back to the start
+            base.append((b + places).astype(np.int32))
+            cells.append(np.where(c >= 0, c + (states << 32) + states, -1))
+            states, places = states + len(b), places + len(c)
+        self.first = np.stack(first) if first else np.zeros((0, size), np.int32)
+        self.base, self.cells = np.concatenate(base), np.concatenate(cells)
+
+    def _step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after the next characters, and where a new phrase began with them."""
+        cell = self.cells[self.base[state] + code]
+        on = (cell >> 32) == state
+        return np.where(on, cell.astype(np.int32), self.first[:, code]), ~on
+
+    def _codes(self, flat: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(self.alphabet, flat), len(self.alphabet) - 1)
+        return np.where(self.alphabet[place] == flat, place + 1, 0).astype(np.int32)
+
+    def _whole(self, text: np.ndarray) -> np.ndarray:
+        """Phrases of one text, by language, a character a step."""
+        state = np.zeros((len(self.languages), 1), np.int32)
+        cuts = np.zeros(len(self.languages), np.int64)
+        for c in self._codes(text):
+            state, new = self._step(state, np.array([c]))
+            cuts += new[:, 0]
+        return cuts
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases that running texts are parsed into, a row per language."""
         count = np.zeros((len(self.languages), len(texts)), np.int64)
-        lanes = [(i, t[a : a + STRETCH]) for i, t in enumerate(texts) for a in range(0, len(t), STRETCH)]
-        lanes.sort(key=lambda x: -len(x[1]))
+        lanes = [(i, a, t[a : a + STRETCH]) for i, t in enumerate(texts) for a in range(0, len(t), STRETCH)]
+        lanes.sort(key=lambda x: -len(x[2]))
         if not lanes or not self.languages:
             return count
-        sizes = np.array([len(x[1]) for x in lanes])
-        flat = np.concatenate([x[1] for x in lanes])
-        place = np.minimum(np.searchsorted(self.alphabet, flat), len(self.alphabet) - 1)
-        flat = np.where(self.alphabet[place] == flat, place + 1, 0).astype(np.int32)
+        sizes = np.array([len(x[2]) for x in lanes])
+        flat = self._codes(np.concatenate([x[2] for x in lanes]))
         coded = np.zeros((int(sizes[0]), len(lanes)), np.int32)
         lane, starts = np.repeat(np.arange(len(lanes)), sizes), np.cumsum(sizes) - sizes
         coded[np.arange(len(flat)) - starts[lane], lane] = flat
-        state = np.zeros((len(self.languages), len(lanes)), np.int32)
-        cuts = np.zeros(state.shape, np.int32)
+        end = np.zeros((len(self.languages), len(lanes)), np.int32)
+        cuts = np.zeros(end.shape, np.int64)
         live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0])), "right")
         for c, n in zip(coded, live.tolist(), strict=True):
-            c, own = c[:n], state[:, :n]
-            cell = self.cells[self.base[own] + c]
-            on = (cell >> 32) == own
-            cuts[:, :n] += ~on
-            state[:, :n] = np.where(on, cell.astype(np.int32), self.first[:, c])
+            end[:, :n], new = self._step(end[:, :n], c[:n])
+            cuts[:, :n] += new
         owner = np.array([x[0] for x in lanes])
+        unmet = self._carry(lanes, sizes, coded, end, cuts)
         for k in range(len(count)):
             count[k] = np.bincount(owner, cuts[k], len(texts)).astype(np.int64)
+        for i in np.unique(owner[unmet]).tolist():  # such as one word without end, which never meets
+            count[:, i] = self._whole(texts[i])
         return count
 
+    def _carry(self, lanes: list, sizes: np.ndarray, coded: np.ndarray, end: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Mends `end` and `cuts` of stretches, parsed from the start, for the state in which the one before ends; returns those still open after ROUNDS."""
+        at = {(x[0], x[1]): j for j, x in enumerate(lanes)}
+        later = np.array([j for j, x in enumerate(lanes) if x[1]], np.int64)
+        before = np.array([at[lanes[j][0], lanes[j][1] - STRETCH] for j in later.tolist()], np.int64)
+        begin = np.zeros(end.shape, np.int32)
+        for _ in range(ROUNDS):
+            apart = (end[:, before] != begin[:, later]).any(axis=0)
+            own = later[apart]
+            old, new = begin[:, own], end[:, before[apart]]
+            begin[:, own] = new
+            for i, c in enumerate(coded):
+                done = sizes[own] == i
+                end[:, own[done]] = new[:, done]
+                keep = ~done & (old != new).any(axis=0)
+                if not keep.all():
+                    own, old, new = own[keep], old[:, keep], new[:, keep]
+                if not len(own):
+                    break
+                old, less = self._step(old, c[own])
+                new, more = self._step(new, c[own])
+                cuts[:, own] += more.astype(np.int64) - less
+            end[:, own] = new
+        return later[(end[:, before] != begin[:, later]).any(axis=0)]
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         plain = [running(t) if t else np.zeros(0, np.uint32) for t in texts]
         chars = np.array([len(t) for t in plain])
@@ -191,31 +256,37 @@ class Model:
 
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fits on about `sample_docs` texts per language from (key, text, lang), at most `sample_chars` characters of running text each.
+    """Fits on excerpts of about `sample_docs` texts per language from (key, text, lang), at most `sample_chars` characters each language.
 
-    All languages are learned, asked for LANGUAGES at a time; with many, each has less
-    text, so that all have TOTAL_CHARS together and the model, some 40 bytes a character,
-    a bounded size. The sample is chosen by a hash of `key`; of each sampled text, the
-    first LONGEST_SAMPLE characters reach the driver. Repeated texts count once.
+    All languages are learned; with many, each has less text, so that all have TOTAL_CHARS
+    together and the model, some 40 bytes a character, a bounded size. Texts are chosen by a
+    hash of key and text, and so is the place in a long text where its excerpt begins.
+    Repeated excerpts count once. An automaton is built in its language's task; the driver
+    only puts the finished tables behind one another.
     """
-    known = labelled.where("lang is not null and text is not null")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
-    rows = []
-    for a in range(0, len(sizes), LANGUAGES):
-        picked = F.lit(False)
-        for r in sizes[a : a + LANGUAGES]:
-            picked |= (F.col("lang") == r["lang"]) & hash_below(F.col("key"), min(1.0, sample_docs / r["count"]), 3)
-        rows += known.where(picked).select("key", "lang", F.left("text", F.lit(LONGEST_SAMPLE)).alias("text")).collect()
-    most = max(200, min(sample_chars, TOTAL_CHARS // max(1, len(sizes))))
-    texts: dict[str, dict[str, None]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], str(r["key"]), r["text"])):
-        texts.setdefault(r["lang"], {})[r["text"]] = None
-    samples = {}
-    for lang, own in texts.items():
-        each = max(200, 2 * most // len(own))  # of a long text no more, so that many have their part
-        parts = [t[:each] for t in own]
-        samples[lang] = " ".join(parts)[:most]
-    return Model({lang: t for lang, t in samples.items() if len(running(t))})
+    known = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("key", "text").alias("mark"))
+    sizes = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes")
+    most = max(200, min(sample_chars, TOTAL_CHARS // max(1, sizes.count())))
+    share = F.least(F.lit(1.0), F.lit(sample_docs) / F.col("n"))
+    each = F.greatest(F.lit(200), F.floor(F.lit(2 * most) / F.least("n", F.lit(sample_docs)))).cast("int")
+    places = F.greatest(F.length("text") - each + 1, F.lit(1))
+    picked = known.join(sizes, "lang").where(F.pmod(F.xxhash64("mark", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30))
+    excerpts = picked.select("lang", F.substring("text", F.pmod(F.xxhash64("mark", F.lit(5)), places).cast("int") + 1, each).alias("text"))
+    excerpts = written(excerpts.dropDuplicates(), "language-excerpts")
+
+    def characters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"point": np.unique(np.concatenate([running(t) for t in pdf["text"]])).astype(np.int64)})
+
+    alphabet = np.array([r["point"] for r in excerpts.mapInPandas(characters, "point long").distinct().orderBy("point").collect()], np.uint32)  # no more than there are characters
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        text = running(" ".join(sorted(pdf["text"]))[:most])
+        first, base, cells = _table(text, alphabet) if len(text) else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64))
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "first": [first.tobytes()], "base": [base.tobytes()], "cells": [cells.tobytes()]})
+
+    built = excerpts.groupBy("lang").applyInPandas(build, "lang string, first binary, base binary, cells binary").collect()  # bounded by TOTAL_CHARS
+    return Model.of(alphabet, {r["lang"]: (np.frombuffer(r["first"], np.int32), np.frombuffer(r["base"], np.int32), np.frombuffer(r["cells"], np.int64)) for r in built if len(r["base"])})
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -514,13 +514,46 @@ def test_language_held_out(spark):
     assert (held["lang_pred"] == held["lang"]).mean() > 0.97
 
 
-def test_languages_with_long_texts_and_rare_ones_are_learned(spark, monkeypatch):
+def test_languages_with_long_texts_and_rare_ones_are_learned(spark):
     words = {"aa": "lorem dolor amet", "bb": "quick brown foxes", "cc": "zwölf boxkämpfer jagen"}
-    long = language_id.LONGEST_SAMPLE
-    known = spark.createDataFrame([(i, w + (f" {w}" * long if k == "cc" else ""), k) for i, k in enumerate(["aa", "aa", "aa", "bb", "bb", "cc"]) for w in [words[k]]], "key long, text string, lang string")
-    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    langs = ["aa", "aa", "aa", "bb", "bb", "cc"]
+    known = spark.createDataFrame([(i, words[k] + (f" {words[k]}" * 20_000 if k == "cc" else ""), k) for i, k in enumerate(langs)] + [(9, "123", "dd"), (9, None, "ee"), (None, "", None)], "key long, text string, lang string")
     model = language_id.train(known)
-    assert model.predict(list(words.values()))[0] == list(words)
+    assert model.languages == list(words) and model.predict(list(words.values()))[0] == list(words)
+
+
+def test_language_excerpts_come_from_all_of_a_text(spark):
+    text = "alpha " * 40_000 + "omega " * 40_000
+    known = spark.createDataFrame([(i, text, "xx") for i in range(400)], "key long, text string, lang string")
+    model = language_id.train(known)
+    assert {"a", "l", "p", "h", "o", "m", "e", "g", " "} == {chr(c) for c in model.alphabet}
+    assert model.phrases([language_id.running("omega omega")]).tolist() == [[1]]
+
+
+def test_language_phrases_run_over_stretches(monkeypatch):
+    pick = random.Random(12)
+    word = lambda: "".join(pick.choice("abcde") for _ in range(pick.randint(1, 6)))
+    samples = {k: " ".join(word() for _ in range(400)) for k in "xyz"} | {"w": "a" * 11}
+    own = language_id.Model(samples)
+    texts = [" ".join(word() for _ in range(n)) for n in (3, 900, 4000, 1, 60)] + ["a" * 7000, "a" * 2500 + " " + word(), "日" * 5000, "a" * 2046, "a" * 4094]
+    lines = [language_id.running(t) for t in texts]
+    want = np.array([own._whole(t) for t in lines]).T
+    assert (own.phrases(lines) == want).all()
+    monkeypatch.setattr(language_id, "STRETCH", 7)
+    assert (own.phrases(lines) == want).all()
+
+    def phrases(t, sample):
+        n = i = 0
+        while i < len(t):
+            k = 1
+            while i + k < len(t) and t[i : i + k + 1] in sample:
+                k += 1
+            n, i = n + 1, i + k
+        return n
+
+    for k, lang in enumerate(own.languages):
+        sample = f" {samples[lang]} "
+        assert want[k].tolist() == [phrases(f" {t} ", sample) for t in texts]
 
 
 def test_language_parse_does_not_depend_on_the_batch():
