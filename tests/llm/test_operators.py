@@ -290,6 +290,24 @@ def test_loose_personal_data_is_added(spark, copies):
     assert [(t, got[i]["spans"]) for i, t in wrong + base if got[i]["n_added"]] == []
 
 
+def test_trees_decide_where_views_do_not_agree(spark):
+    taught = [(i, f"please call (030) 123-{4000 + i} now") for i in range(150)] + [(200 + i, f"part 12/345/{6000 + i} in stock") for i in range(150)]
+    both = [(400, "see (040) 555-1234 there"), (401, "see 14/355/6789 there"), (402, "part (040) 555-1234"), (403, "so 10:20:30:40:50:10:20:30 then"), (404, None)]
+    docs = spark.createDataFrame(taught + both, DOCS)
+    found = pii.label(pii.candidates(docs).where("valid or not base"))
+    assert {r["doc_id"]: r["view"] for r in found.where("doc_id >= 400").collect()} == {400: None, 401: None, 402: 0.0, 403: 0.0}
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).collect()}
+    assert [got[i] for i in range(400, 405)] == ["phone:4:18", "", "", "", ""]
+    assert all(bool(got[i]) == (i < 200) for i, _ in taught)
+
+
+@pytest.mark.parametrize(("text", "spans"), [("please call (030) 123-4567", "phone:12:26"), ("part 12/345/6789", ""), ("", "")])
+def test_one_label_or_none_holds_for_open_candidates(spark, text, spans):
+    docs = spark.createDataFrame([(i, text) for i in range(30)] + [(99, "see (040) 555-1234 there")], DOCS)
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).collect()}
+    assert got[0] == spans and got[99] == ("phone:4:18" if spans else "")
+
+
 def test_lines(spark, texts, docs, empty):
     strip = " \t\n\x0b\x0c\r"
     key = lambda s: "".join(c.lower() if "A" <= c <= "Z" else c for c in s.strip(strip))
