@@ -109,13 +109,13 @@ def _laid_out(ways: list[dict[int, int]], size: int) -> tuple[np.ndarray, np.nda
     gap found. Codes are below `size`.
     """
     used, cells, base = bytearray(size), [-1] * size, np.zeros(len(ways), np.int32)
-    low = high = 0
+    low = high = size
     for state in sorted(range(len(ways)), key=lambda s: -len(ways[s])):
         own = ways[state]
         if not own:
             continue
         codes = list(own)
-        at = max(0, low - codes[0])
+        at = low - codes[0]
         for _ in range(64):
             if all(at + c >= len(used) or not used[at + c] for c in codes):
                 break
@@ -230,14 +230,15 @@ class Model:
             own = later[apart]
             old, new = begin[:, own], end[:, before[apart]]
             begin[:, own] = new
+            ends = set(sizes[own].tolist())
             for i, c in enumerate(coded):
-                done = sizes[own] == i
-                end[:, own[done]] = new[:, done]
-                keep = ~done & (old != new).any(axis=0)
-                if not keep.all():
+                if i % 8 == 0 or i in ends:  # those that have met may go on until then, as both sides count alike
+                    done = sizes[own] == i
+                    end[:, own[done]] = new[:, done]
+                    keep = ~done & (old != new).any(axis=0)
                     own, old, new = own[keep], old[:, keep], new[:, keep]
-                if not len(own):
-                    break
+                    if not len(own):
+                        break
                 old, less = self._step(old, c[own])
                 new, more = self._step(new, c[own])
                 cuts[:, own] += more.astype(np.int64) - less
@@ -266,7 +267,8 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int
     """
     known = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("key", "text").alias("mark"))
     sizes = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes")
-    most = max(200, min(sample_chars, TOTAL_CHARS // max(1, sizes.count())))
+    languages = max(1, sizes.count())
+    most = max(200, min(sample_chars, TOTAL_CHARS // languages))
     share = F.least(F.lit(1.0), F.lit(sample_docs) / F.col("n"))
     each = F.greatest(F.lit(200), F.floor(F.lit(2 * most) / F.least("n", F.lit(sample_docs)))).cast("int")
     places = F.greatest(F.length("text") - each + 1, F.lit(1))
@@ -285,7 +287,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int
         first, base, cells = _table(text, alphabet) if len(text) else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64))
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "first": [first.tobytes()], "base": [base.tobytes()], "cells": [cells.tobytes()]})
 
-    built = excerpts.groupBy("lang").applyInPandas(build, "lang string, first binary, base binary, cells binary").collect()  # bounded by TOTAL_CHARS
+    built = excerpts.repartition(min(languages, 2000), "lang").groupBy("lang").applyInPandas(build, "lang string, first binary, base binary, cells binary").collect()  # bounded by TOTAL_CHARS
     return Model.of(alphabet, {r["lang"]: (np.frombuffer(r["first"], np.int32), np.frombuffer(r["base"], np.int32), np.frombuffer(r["cells"], np.int64)) for r in built if len(r["base"])})
 
 
