@@ -86,21 +86,23 @@ def feature_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entrants with the prior-form columns that the feature operators read.
 
     form = place among the field as a share (0 best), gap = log price ratio to the
-    winner. All prior columns come from earlier days of the competitor, whose rows are
-    summed per day first: no row informs another one of its day, and a busy competitor's
-    window holds days.
+    winner. All prior columns come from earlier days of the competitor: no row informs
+    another one of its day. Rows are summed per day and condition first; these sums are
+    brought together by competitor once, numbered by day, and every window runs over them
+    there, so that one join attaches all prior columns.
     """
-    race, day = Window.partitionBy("race_id"), Window.partitionBy("horse_id").orderBy("dn")
+    race, own = Window.partitionBy("race_id"), Window.partitionBy("horse_id")
     e = entrants(spark, sf_dir).withColumn("form", (F.col("finish") - 1) / (F.col("n") - 1)).withColumn("gap", F.log(F.max("price").over(race) / F.col("price")))
     sums = ["label_win", "label_top2", "label_top3", "form", "gap"]
-    daily = e.groupBy("horse_id", "dn").agg(F.count(F.lit(1)).alias("k"), *[F.sum(c).alias(c) for c in sums])
-    every, last3, last5 = day.rowsBetween(Window.unboundedPreceding, -1), day.rowsBetween(-3, -1), day.rowsBetween(-5, -1)
+    keys = ["horse_id", "distance", "track", "dn"]
+    daily = e.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), *[F.sum(c).alias(c) for c in sums]).repartition("horse_id").withColumn("nth", F.dense_rank().over(own.orderBy("dn")))
+    before = lambda days, *like: Window.partitionBy("horse_id", *like).orderBy("nth").rangeBetween(-days if days else Window.unboundedPreceding, -1)
+    every, last3, last5 = before(None), before(3), before(5)
     mean = lambda c, w: F.sum(c).over(w) / F.sum("k").over(w)
     past = daily.select(
-        F.col("horse_id").alias("__horse"),
-        F.col("dn").alias("__day"),
+        *[F.col(c).alias(f"__{c}") for c in keys],
         F.coalesce(F.sum("k").over(every), F.lit(0)).alias("prior_start_count"),
-        (F.col("dn") - F.lag("dn").over(day)).alias("days_since_last_run"),
+        (F.col("dn") - F.max("dn").over(every)).alias("days_since_last_run"),
         mean("label_win", every).alias("prior_win_rate"),
         mean("label_top2", every).alias("prior_top2_rate"),
         mean("label_top3", every).alias("prior_top3_rate"),
@@ -110,14 +112,10 @@ def feature_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         mean("form", last5).alias("recent5_finish_pct_mean"),
         mean("gap", last3).alias("recent3_time_diff_mean"),
         mean("gap", last5).alias("recent5_time_diff_mean"),
+        *[F.coalesce(F.sum("k").over(before(None, c)), F.lit(0)).alias(f"same_{c}_prior_count") for c in ("distance", "track")],
     )
-    e = e.join(past, F.col("horse_id").eqNullSafe(F.col("__horse")) & (F.col("dn") == F.col("__day"))).drop("__horse", "__day")
-    for c in ("distance", "track"):
-        like = e.groupBy("horse_id", c, "dn").agg(F.count(F.lit(1)).alias("k"))
-        own = Window.partitionBy("horse_id", c).orderBy("dn").rowsBetween(Window.unboundedPreceding, -1)
-        like = like.select(F.col("horse_id").alias("__horse"), F.col(c).alias("__like"), F.col("dn").alias("__day"), F.coalesce(F.sum("k").over(own), F.lit(0)).alias(f"same_{c}_prior_count"))
-        e = e.join(like, F.col("horse_id").eqNullSafe(F.col("__horse")) & F.col(c).eqNullSafe(F.col("__like")) & (F.col("dn") == F.col("__day"))).drop("__horse", "__like", "__day")
-    return e
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    return e.join(past, same).drop(*[f"__{c}" for c in keys])
 
 
 FEATURE_BASE = (
