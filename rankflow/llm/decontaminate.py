@@ -9,10 +9,12 @@ bound); then the words are compared one by one over the window's length.
 
 A benchmark of at most `block_bytes` (measured) is collected, and its prefix index
 broadcast; then no row moves. A larger one stays a table of windows. Its prefix shingles
-only leave a filter of bounded size behind, which tells the length and offset of the
-windows that a word may begin the check of; documents write out the stretches that pass,
-and Spark joins these with the windows on all their words. Corpus counts are one partial
-aggregate in either case.
+leave a table of fixed size behind, which tells the length and offset of the windows that
+a word may be the prefix of, and the windows a Bloom filter of at most `BLOOM_BITS` bits
+over hashes of all their words. Documents slide the same hash along; only the stretches
+that pass both are written out, and Spark joins these with the windows on all their
+words. Beyond the filter's size more stretches pass, and none is lost. Corpus counts are
+one partial aggregate in either case.
 
 Null or empty texts have no words. Null items have no windows. Repeated items share
 windows and are each named; repeated documents each get their row. Windows of items
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,10 @@ from .common import columns, judge_texts, written
 WINDOW = 13
 BLOCK_BYTES = 1_000_000
 FILTER = 1 << 20
+BLOOM_BITS = 1 << 27
+_BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2^64
+_BACK = pow(_BASE, -1, 1 << 64)
+_CHUNK_WORDS = 200_000
 
 #: Lower-cases A-Z and turns everything but 0-9, a-z and non-ASCII bytes into spaces.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -176,43 +183,111 @@ def _key(i: int):
     return F.xxhash64(F.coalesce("text", F.lit("")), F.lit(i))
 
 
+class _Slide:
+    """Hashes of all stretches of a list of words, from sums that wrap at 2^64."""
+
+    def __init__(self, words: list[bytes]):
+        n = len(words)
+        power = lambda base: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power(_BASE)[:n])])
+        self.back = power(_BACK)
+
+    def hashes(self, starts: np.ndarray, n: int) -> np.ndarray:
+        h = (self.sums[starts + n] - self.sums[starts]) * self.back[starts] + np.uint64(n)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(_BASE)
+        return h ^ (h >> np.uint64(29))
+
+
+def _slots(hashes: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit slot for each hash, and three bits of it."""
+    at = (hashes >> np.uint64(18)) & np.uint64(slots - 1)
+    one = lambda shift: np.uint64(1) << ((hashes >> np.uint64(shift)) & np.uint64(63))
+    return at.astype(np.int64), one(0) | one(6) | one(12)
+
+
+def _passes(bloom: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at, bits = _slots(hashes, len(bloom))
+    return bloom[at] & bits == bits
+
+
+def _bloom(wins: DataFrame, most_bits: int = BLOOM_BITS) -> np.ndarray:
+    """The windows' hashes in 64-bit slots, about 16 bits a window up to `most_bits` in all."""
+    windows = wins.select("win").distinct()
+    slots = 1 << max(6, min(most_bits // 64, windows.count() // 4).bit_length() - 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words = [w.encode().split(b" ") for w in pdf["win"]]
+            n = np.array([len(w) for w in words], np.int64)
+            starts, slide, hashes = np.cumsum(n) - n, _Slide([x for w in words for x in w]), np.zeros(len(n), np.uint64)
+            for k in np.unique(n).tolist():
+                hashes[n == k] = slide.hashes(starts[n == k], k)
+            at, bits = _slots(hashes, slots)
+            yield pd.DataFrame({"at": at, "bits": bits.view(np.int64)})
+
+    set_ = windows.mapInPandas(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most most_bits / 64 rows
+    bloom = np.zeros(slots, np.uint64)
+    bloom[set_["at"].to_numpy(np.int64)] = set_["bits"].to_numpy(np.int64).view(np.uint64)
+    return bloom
+
+
+def _chunks(pdf: pd.DataFrame) -> Iterator[tuple[list[tuple[int, int]], list[list[bytes]]]]:
+    """Keys and words of the rows, some hundred thousand words at a time; a longer text comes by itself, whole."""
+    ids: list[tuple[int, int]] = []
+    texts: list[list[bytes]] = []
+    total = 0
+    for k1, k2, text in zip(pdf["k1"], pdf["k2"], pdf["text"], strict=True):
+        words = words_of(text)
+        if words:
+            if texts and total + len(words) > _CHUNK_WORDS:
+                yield ids, texts
+                ids, texts, total = [], [], 0
+            ids.append((k1, k2))
+            texts.append(words)
+            total += len(words)
+    if texts:
+        yield ids, texts
+
+
 def _judged_by_join(docs: DataFrame, items: DataFrame, name: str, size: int) -> DataFrame:
     """As `judged`, with the benchmark as a table."""
     wins = written(_windows(items, size), "decontaminate-windows")
-    combos = [(n, o) for n in range(1, size + 1) for o in range(n)]
     marks = _prefixes(docs, wins).select(F.pmod(F.crc32("word"), F.lit(FILTER)).alias("at"), "n", "offset").distinct()
     number = (F.col("n") * (F.col("n") - 1) / 2).cast("int") + F.col("offset")
-    parts = -(-len(combos) // 32)
+    parts = -(-(size * (size + 1) // 2) // 32)
     flags = F.transform(F.array(*[F.lit(k) for k in range(parts)]), lambda k: F.when(F.floor(F.col("number") / 32) == k, F.pow(F.lit(2.0), F.col("number") % 32).cast("long")).otherwise(F.lit(0).cast("long")))
     bits = marks.select("at", number.alias("number")).select("at", flags.alias("flags")).groupBy("at").agg(*[F.bit_or(F.get("flags", F.lit(k))).alias(f"b{k}") for k in range(parts)])
     found = bits.toPandas()  # at most FILTER rows
     table = np.zeros((FILTER, parts), np.uint32)
     table[found["at"].to_numpy(np.int64)] = found[[f"b{k}" for k in range(parts)]].to_numpy(np.uint64).astype(np.uint32)
-    some = docs.sparkSession.sparkContext.broadcast((table, table.any(axis=1)))  # FILTER * parts * 4 bytes
+    some = docs.sparkSession.sparkContext.broadcast((table, _bloom(wins)))  # FILTER * parts * 4 bytes and BLOOM_BITS / 8
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, any_ = some.value
-        out: list[tuple] = []
+        table, bloom = some.value
         for pdf in batches:
-            for k1, k2, text in zip(pdf["k1"], pdf["k2"], pdf["text"], strict=True):
-                words = words_of(text)
-                if not words:
-                    continue
-                at = np.fromiter((zlib.crc32(w) & (FILTER - 1) for w in words), np.int64, len(words))
-                stretches = set()
-                for i in np.flatnonzero(any_[at]).tolist():
-                    for j, m in enumerate(table[at[i]].tolist()):
-                        while m:
-                            n, o = combos[32 * j + (m & -m).bit_length() - 1]
-                            m &= m - 1
-                            if i >= o and i - o + n <= len(words):
-                                stretches.add((i - o, n))
-                out += [(k1, k2, a, n, b" ".join(words[a : a + n]).decode()) for a, n in stretches]
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["k1", "k2", "first", "n", "win"])
-                    out = []
-        if out:
-            yield pd.DataFrame(out, columns=["k1", "k2", "first", "n", "win"])
+            for ids, texts in _chunks(pdf):
+                words = [w for t in texts for w in t]
+                ends = np.cumsum([len(t) for t in texts])
+                own = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+                flags = table[np.fromiter((zlib.crc32(w) & (FILTER - 1) for w in words), np.int64, len(words))]
+                near = np.flatnonzero(flags.any(axis=1))
+                slide = _Slide(words)
+                out: list[tuple] = []
+                for n in range(1, size + 1):
+                    starts = []
+                    for o in range(n):
+                        j, bit = divmod(n * (n - 1) // 2 + o, 32)
+                        at = near[(flags[near, j] >> np.uint32(bit)) & np.uint32(1) == 1]
+                        first = at - o  # the window's place follows from the prefix shingle's
+                        starts.append(first[(first >= (ends - np.diff(ends, prepend=0))[own[at]]) & (first + n <= ends[own[at]])])
+                    starts = np.unique(np.concatenate(starts))
+                    for a in starts[_passes(bloom, slide.hashes(starts, n))].tolist():
+                        k = own[a]
+                        out.append((*ids[k], a - int(ends[k]) + len(texts[k]), n, b" ".join(words[a : a + n]).decode()))
+                for x in range(0, len(out), 20_000):
+                    yield pd.DataFrame(out[x : x + 20_000], columns=["k1", "k2", "first", "n", "win"])
 
     keyed = docs.select(_key(1).alias("k1"), _key(2).alias("k2"), "text")
     stretches = keyed.mapInPandas(run, "k1 long, k2 long, first int, n int, win string")

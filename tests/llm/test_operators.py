@@ -207,6 +207,24 @@ def test_contamination(spark, docs, texts, empty):
     assert not any(r["n_hit"] for r in decontaminate.decontaminate(docs, bench.where("false")).collect())
 
 
+
+@pytest.mark.parametrize("bits", [64, 1 << 12, decontaminate.BLOOM_BITS])
+def test_decontaminate_filter_of_any_size_loses_no_window(spark, monkeypatch, bits):
+    """Few words, so that every word is the prefix of many windows; a full filter lets all through, and results stay."""
+    monkeypatch.setattr(decontaminate._bloom, "__defaults__", (bits,))
+    rng = random.Random(5)
+    text = lambda k: " ".join(rng.choice("abcdefghij") * rng.randint(1, 2) for _ in range(k))
+    items = [(f"i{i}", text(rng.choice((1, 3, 12, 13, 14, 40)))) for i in range(40)]
+    docs = [(i, text(rng.randint(0, 60)) + " " + rng.choice(items)[1] + " " + text(rng.randint(0, 9))) for i in range(120)] + [(900, None), (901, ""), (902, "a " * 5000)]
+    index = decontaminate.prefix_index(items, {}, 13)
+    want = []
+    for i, t in docs:
+        hit, found = decontaminate._covered(decontaminate.words_of(t), index)
+        want.append((i, len(hit), sum(hit), len(found)))
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), block_bytes=10)
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in got.collect()) == sorted(want)
+
+
 def test_contamination_equals_sql_and_large_benchmarks_stay_tables(spark, monkeypatch):
     rng = random.Random(5)
     text = lambda n: " ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(9)) for _ in range(n))
