@@ -172,11 +172,37 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _prefixes(docs: DataFrame, wins: DataFrame) -> DataFrame:
-    """Distinct (word, offset, n): the rarest word of a window, its place in it and the window's length."""
-    words = wins.select("win").distinct().select("win", F.split("win", " ").alias("w")).select("win", F.size("w").alias("size"), F.posexplode("w").alias("offset", "word"))
-    ranked = words.join(_counts(docs), "word", "left").groupBy("win", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("p"))
-    return ranked.select("p.word", "p.offset", F.col("size").alias("n")).distinct()
+def _prefixes(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """Distinct (at, offset, n): of each window the number of its rarest word, that word's place in it and the window's length.
+
+    Words of the items meet the corpus counts one by one and come back to their item, so
+    what is shuffled grows with the items' words, not with their windows' words.
+    """
+    texts = items.select("text").distinct().select(_key(1).alias("k1"), _key(2).alias("k2"), "text")
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k1, k2, text in zip(pdf["k1"], pdf["k2"], pdf["text"], strict=True):
+                words = [w.decode() for w in words_of(text)]
+                for a in range(0, len(words), 10_000):
+                    part = words[a : a + 10_000]
+                    yield pd.DataFrame({"k1": k1, "k2": k2, "pos": range(a, a + len(part)), "word": part})
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            marks = set()
+            for item in pdf["words"]:
+                words = [(w["n"], w["word"], w["pos"]) for w in item]
+                n = min(size, len(words))
+                for a in range(len(words) - n + 1):
+                    _, word, pos = min(words[a : a + n])
+                    marks.add((zlib.crc32(word.encode()) & (FILTER - 1), pos - a, n))
+            yield pd.DataFrame(sorted(marks), columns=["at", "offset", "n"])
+
+    counts = written(_counts(docs), "decontaminate-counts")  # written, so that a frequent word can be split in the join
+    placed = texts.mapInPandas(place, "k1 long, k2 long, pos int, word string").join(counts, "word", "left")
+    whole = placed.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("words"))
+    return whole.select("words").mapInPandas(choose, "at long, offset int, n int").distinct()
 
 
 def _key(i: int):
@@ -214,8 +240,7 @@ def _passes(bloom: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def _bloom(wins: DataFrame, most_bits: int = BLOOM_BITS) -> np.ndarray:
     """The windows' hashes in 64-bit slots, about 16 bits a window up to `most_bits` in all."""
-    windows = wins.select("win").distinct()
-    slots = 1 << max(6, min(most_bits // 64, windows.count() // 4).bit_length() - 1)
+    slots = 1 << max(6, min(most_bits // 64, wins.count() // 4).bit_length() - 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -227,7 +252,7 @@ def _bloom(wins: DataFrame, most_bits: int = BLOOM_BITS) -> np.ndarray:
             at, bits = _slots(hashes, slots)
             yield pd.DataFrame({"at": at, "bits": bits.view(np.int64)})
 
-    set_ = windows.mapInPandas(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most most_bits / 64 rows
+    set_ = wins.select("win").mapInPandas(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most most_bits / 64 rows
     bloom = np.zeros(slots, np.uint64)
     bloom[set_["at"].to_numpy(np.int64)] = set_["bits"].to_numpy(np.int64).view(np.uint64)
     return bloom
@@ -254,7 +279,7 @@ def _chunks(pdf: pd.DataFrame) -> Iterator[tuple[list[tuple[int, int]], list[lis
 def _judged_by_join(docs: DataFrame, items: DataFrame, name: str, size: int) -> DataFrame:
     """As `judged`, with the benchmark as a table."""
     wins = written(_windows(items, size), "decontaminate-windows")
-    marks = _prefixes(docs, wins).select(F.pmod(F.crc32("word"), F.lit(FILTER)).alias("at"), "n", "offset").distinct()
+    marks = _prefixes(docs, items, size)
     number = (F.col("n") * (F.col("n") - 1) / 2).cast("int") + F.col("offset")
     parts = -(-(size * (size + 1) // 2) // 32)
     flags = F.transform(F.array(*[F.lit(k) for k in range(parts)]), lambda k: F.when(F.floor(F.col("number") / 32) == k, F.pow(F.lit(2.0), F.col("number") % 32).cast("long")).otherwise(F.lit(0).cast("long")))
@@ -291,7 +316,7 @@ def _judged_by_join(docs: DataFrame, items: DataFrame, name: str, size: int) ->
 
     keyed = docs.select(_key(1).alias("k1"), _key(2).alias("k2"), "text")
     stretches = keyed.mapInPandas(run, "k1 long, k2 long, first int, n int, win string")
-    met = written(stretches.join(wins.select("win").distinct(), "win", "left_semi"), "decontaminate-met")
+    met = written(stretches.join(wins.select("win"), "win", "left_semi"), "decontaminate-met")
     ends = F.array_sort(F.collect_set(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n")).alias("z"))))
     step = lambda acc, x: F.struct(
         F.greatest(acc["end"], x["z"]).alias("end"), (acc["sum"] + F.greatest(x["z"] - F.greatest(acc["end"], x["a"]), F.lit(0))).cast("long").alias("sum")
