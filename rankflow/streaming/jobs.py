@@ -50,24 +50,43 @@ def ingest(stream: DataFrame, rules: Mapping[str, Column], good: str, bad: str,
     with_rocks(stream.sparkSession, lambda: run_now(fresh, checkpoint, each))
 
 
+class Deliveries(StatefulProcessor):
+    """Per content: the delivery with the smallest path of the batch that brings it is taken, all others are skipped."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "there boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best = None  # one delivery at a time is held back, however many bring the content
+        for pdf in rows:
+            both = pdf if best is None else pd.concat([best, pdf])
+            both = both.sort_values("path")
+            best, rest = both.head(1), both.iloc[1:]
+            if len(rest):
+                yield rest.assign(skipped=True)
+        if best is not None:
+            yield best.assign(skipped=self.seen.exists())
+            self.seen.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
 def poll(stream: DataFrame, ledger: str, out: str, checkpoint: str) -> None:
-    """Deliveries (path, content), each content taken once whatever its name: rows to `out`, every delivery to `ledger`.
+    """Deliveries (path, content), each content taken once over all batches and runs whatever its name: rows to `out`, every delivery to `ledger`.
 
-    The ledger is read up to the batch before, so a repeated batch comes to the same end.
+    Digests of contents are kept as state on disk, so a batch reads its own deliveries
+    alone; a repeated batch starts from the same state and overwrites its own folders.
     """
+    keyed = stream.withColumn("sha256", F.sha2("content", 256)).select("path", "sha256", "content")
+    marked = keyed.groupBy("sha256").transformWithStateInPandas(Deliveries(), outputStructType="path string, sha256 string, content string, skipped boolean", outputMode="Append", timeMode="None")
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("sha256", F.sha2("content", 256))
-        first = rows.groupBy("sha256").agg(F.min("path").alias("taken"))
-        if number:
-            known = spark.read.schema("sha256 string").parquet(*[f"{ledger}/batch={i}" for i in range(number)]).distinct()
-            first = first.join(known, "sha256", "left_anti")
-        marked = rows.join(first, "sha256", "left").withColumn("skipped", ~F.col("path").eqNullSafe(F.col("taken")))
-        marked.select("path", "sha256", "skipped", "content").write.mode("overwrite").parquet(f"{ledger}/batch={number}")
-        spark.read.parquet(f"{ledger}/batch={number}").where("not skipped").select("path", F.explode(F.split(F.regexp_replace("content", "\n+$", ""), "\n")).alias("line")).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    run_now(stream, checkpoint, each)
+        batch.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+        taken = batch.sparkSession.read.schema(batch.schema).parquet(f"{ledger}/batch={number}").where("not skipped")
+        taken.select("path", F.explode(F.split(F.regexp_replace("content", "\n+$", ""), "\n")).alias("line")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    with_rocks(stream.sparkSession, lambda: run_now(marked, checkpoint, each))
 
 
 class FirstVersion(StatefulProcessor):

@@ -91,3 +91,19 @@ def test_market_meets_fair_tickets_on_three_keys(spark):
     structure = spark.createDataFrame([(2, 9)], "race_id long, size long")
     got = {tuple(r) for r in strategy.market_join(fair, market, meta, structure).select("race_id", "ticket_type", "ev", "edge_ratio", "profit_per_100", "venue", "size").collect()}
     assert got == {(1, "WIN", 0.25, 0.25, 25.0, "F", None), (2, "WIN", -1.0, None, -100.0, None, 9)}
+
+
+def test_a_content_is_taken_once_over_polls_whatever_its_name(spark, tmp_path):
+    src, ledger, out, check = (str(tmp_path / n) for n in ("src", "ledger", "out", "check"))
+    schema = "path string, content string"
+    hot = [(f"p{i:03}", "1,a\n2,b\n") for i in range(300)]
+    polls = [[*hot[5:], ("q", "3,c")], [], [*hot[:5], ("q2", "3,c"), ("r", "4,d\n\n"), ("s", ""), ("t", None)]]
+    for rows in polls:
+        drop(spark, src, rows, schema)
+        jobs.poll(spark.readStream.schema(schema).parquet(src), ledger, out, check)
+    jobs.poll(spark.readStream.schema(schema).parquet(src), ledger, out, check)  # nothing new
+    seen = spark.read.option("basePath", ledger).parquet(ledger)
+    assert seen.count() == sum(map(len, polls))
+    assert {r["path"] for r in seen.where("not skipped").collect()} == {"p005", "q", "r", "s", "t"}
+    lines = spark.read.option("basePath", out).parquet(out).select("path", "line").collect()
+    assert sorted(map(tuple, lines)) == [("p005", "1,a"), ("p005", "2,b"), ("q", "3,c"), ("r", "4,d"), ("s", "")]
