@@ -21,3 +21,8 @@ def test_unaltered_parts_keep_their_bytes_however_rows_come(spark, monkeypatch):
     monkeypatch.setattr(source_queries, "table", mixed)
     got = {r["part"]: r["status"] for r in source_queries.s13_part_manifest(spark, SF).collect()}
     assert got == {0: "OK", 1: "ALTERED", 2: "OK", 3: "UNLISTED", 4: "OK", 5: "ALTERED", 6: "OK", 7: "OK", 8: "MISSING"}
+
+
+def test_calibration_bins_do_not_hang_on_last_digits(spark):
+    df = spark.createDataFrame([(0.29999999999999993, 1), (0.30000000000000004, 0), (0.2999, 0)], "p double, y int")
+    assert {r["bin"]: r["rows"] for r in metrics.calibration(df, "p", "y", 10).where("rows > 0").collect()} == {2: 1, 3: 2}
