@@ -26,3 +26,8 @@ def test_unaltered_parts_keep_their_bytes_however_rows_come(spark, monkeypatch):
 def test_calibration_bins_do_not_hang_on_last_digits(spark):
     df = spark.createDataFrame([(0.29999999999999993, 1), (0.30000000000000004, 0), (0.2999, 0)], "p double, y int")
     assert {r["bin"]: r["rows"] for r in metrics.calibration(df, "p", "y", 10).where("rows > 0").collect()} == {2: 1, 3: 2}
+
+
+def test_shape_takes_favourites_at_the_threshold(spark):
+    p = spark.createDataFrame([(1, 0.3499999999999999), (1, 0.1500000000000001), *[(1, 0.125)] * 4, (2, 0.3), (2, 0.2499999999999999), *[(2, 0.09)] * 5], "race_id long, p double")
+    assert {r["race_id"]: r["shape"] for r in strategy.shape(p, "race_id", "p").collect()} == {1: "FAVOURITE", 2: "TWO_HORSE"}
