@@ -31,3 +31,15 @@ def test_calibration_bins_do_not_hang_on_last_digits(spark):
 def test_shape_takes_favourites_at_the_threshold(spark):
     p = spark.createDataFrame([(1, 0.3499999999999999), (1, 0.1500000000000001), *[(1, 0.125)] * 4, (2, 0.3), (2, 0.2499999999999999), *[(2, 0.09)] * 5], "race_id long, p double")
     assert {r["race_id"]: r["shape"] for r in strategy.shape(p, "race_id", "p").collect()} == {1: "FAVOURITE", 2: "TWO_HORSE"}
+
+
+def test_profiles_and_their_sql_take_tickets_at_the_threshold(spark):
+    offers = [(1, "WIN", "a", 0.25, 4.08, 0.25 * 4.08 - 1), (1, "WIN", "b", 0.25, 4.08, 0.0199999999999998), (1, "WIN", "c", 0.25, 4.08, 0.0200000000000002), (1, "WIN", "d", 0.25, 4.0, 0.01)]
+    shape = "race_id long, ticket_type string, selection string, probability double, odds double, ev double"
+    own = spark.createDataFrame(offers, shape).withColumns({"ev": F.round("ev", 9), "probability": F.round("probability", 9)})
+    got = sorted((r["strategy"], r["selection"]) for r in strategy.profiles(own).collect())
+    c = duckdb.connect()
+    c.execute("CREATE TABLE ev (race_id BIGINT, ticket_type VARCHAR, selection VARCHAR, probability DOUBLE, odds DOUBLE, ev DOUBLE)")
+    c.executemany("INSERT INTO ev VALUES (?, ?, ?, ?, ?, ?)", offers)
+    assert sorted(c.sql(f"WITH {strategy_queries.CHOSEN} SELECT strategy, selection FROM pf").fetchall()) == got
+    assert [s for k, s in got if k == "TOP_3"] == ["a", "b", "c"]
