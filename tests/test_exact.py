@@ -43,3 +43,11 @@ def test_profiles_and_their_sql_take_tickets_at_the_threshold(spark):
     c.executemany("INSERT INTO ev VALUES (?, ?, ?, ?, ?, ?)", offers)
     assert sorted(c.sql(f"WITH {strategy_queries.CHOSEN} SELECT strategy, selection FROM pf").fetchall()) == got
     assert [s for k, s in got if k == "TOP_3"] == ["a", "b", "c"]
+
+
+def test_omitted_tickets_at_the_threshold_count(spark, monkeypatch):
+    offers = [(1, "WIN", "a", 0.0999999999999998), (1, "WIN", "b", 0.1000000000000002), (1, "WIN", "c", 0.09), (1, "WIN", "d", 0.3)]
+    m = spark.createDataFrame(offers, "race_id long, ticket_type string, selection string, ev double")
+    monkeypatch.setattr(strategy_queries, "market", lambda spark, sf_dir: m)
+    monkeypatch.setattr(strategy_queries, "chosen", lambda spark, sf_dir: m.where("selection = 'd'"))
+    assert sorted(r["selection"] for r in strategy_queries.omitted(spark, SF).collect()) == ["a", "b"]
