@@ -51,3 +51,10 @@ def test_omitted_tickets_at_the_threshold_count(spark, monkeypatch):
     monkeypatch.setattr(strategy_queries, "market", lambda spark, sf_dir: m)
     monkeypatch.setattr(strategy_queries, "chosen", lambda spark, sf_dir: m.where("selection = 'd'"))
     assert sorted(r["selection"] for r in strategy_queries.omitted(spark, SF).collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("column", ["prior_avg_finish_pct", "recent3_finish_pct_mean", "recent5_finish_pct_mean"])
+def test_prior_form_is_the_same_to_the_last_digit(spark, duck, column):  # noqa: F811
+    got = bindings.feature_base(spark, SF).select("race_id", "horse_id", column).collect()
+    want = duck.sql(f"WITH {bindings.FEATURE_BASE} SELECT race_id, horse_id, {column} FROM f").fetchall()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
