@@ -1,8 +1,10 @@
 """Thresholds, ties and sums that must not hang on the last digits or on the order of rows."""
 
+import itertools
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +60,12 @@ def test_prior_form_is_the_same_to_the_last_digit(spark, duck, column):  # noqa:
     got = bindings.feature_base(spark, SF).select("race_id", "horse_id", column).collect()
     want = duck.sql(f"WITH {bindings.FEATURE_BASE} SELECT race_id, horse_id, {column} FROM f").fetchall()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_draws_of_a_contest_cost_no_more_the_more_there_are():
+    p = np.array([0.4, 0.3, 0.2, 0.1])
+    wins, top3 = strategy_queries.drawn(np.random.Generator(np.random.Philox(key=5)), p, 10**9)
+    last = [sum(p[a] * p[b] / (1 - p[a]) * p[c] / (1 - p[a] - p[b]) for a, b, c in itertools.permutations(set(range(4)) - {d}, 3)) for d in range(4)]
+    assert (wins.sum(), top3.sum()) == (10**9, 3 * 10**9)
+    assert wins / 1e9 == pytest.approx(p, abs=1e-4)
+    assert top3 / 1e9 == pytest.approx(1 - np.array(last), abs=1e-4)
