@@ -1,14 +1,17 @@
 """Thresholds, ties and sums that must not hang on the last digits or on the order of rows."""
 
+import contextlib
+import io
 import itertools
 import os
+import re
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankflow.operators import metrics, strategy
+from rankflow.operators import metrics, rankprob, strategy
 from rankflow.plans import source_queries, strategy_queries
 from rankflow.sources import bindings
 
@@ -69,3 +72,26 @@ def test_draws_of_a_contest_cost_no_more_the_more_there_are():
     assert (wins.sum(), top3.sum()) == (10**9, 3 * 10**9)
     assert wins / 1e9 == pytest.approx(p, abs=1e-4)
     assert top3 / 1e9 == pytest.approx(1 - np.array(last), abs=1e-4)
+
+
+def test_tickets_are_pooled_within_the_row(spark):
+    fields = {3: [0.6, 0.4], 4: [0.5, 0.3, 0.2], 9: [0.2, 0.15, 0.15, 0.1, 0.1, 0.1, 0.1, 0.1]}
+    p = spark.createDataFrame([(r, 7 * h + 1, x) for r, own in fields.items() for h, x in enumerate(own)], "race_id long, horse_id long, p double")
+    told = rankprob.tickets(p, types=("WIN", "TOP2", "TOP3", "QUINELLA", "FRAME", "WIDE", "TRIO"))
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        told.explain()
+    assert not re.search(r"Aggregate\(keys=\[[^\]]*type", plan.getvalue())  # no task keeps tickets of many contests
+    want = {}
+    for race, own in fields.items():
+        ids, n = [7 * h + 1 for h in range(len(own))], len(own)
+        for x in itertools.permutations(range(n), min(3, n)):
+            chance, left = 1.0, 1.0
+            for i in x:
+                chance, left = chance * own[i] / left if left > 1e-12 else chance, left - own[i]
+            text = lambda *y: "-".join(sorted(str(ids[i]) for i in y))  # noqa: B023, E731
+            a, b = x[:2]
+            hit = [("WIN", text(a)), *[("TOP2", text(i)) for i in (a, b)], *[("TOP3", text(i)) for i in x], ("QUINELLA", text(a, b)), ("FRAME", "-".join(map(str, sorted(ids[i] % 8 + 1 for i in (a, b))))), ("WIDE_PROXY" if n < 4 else "WIDE", text(a, b))]
+            hit += [("WIDE", text(i, x[2])) for i in (a, b) if n >= 8] + ([("TRIO", text(*x))] if n > 2 else [])
+            for h in hit:
+                want[race, *h] = want.get((race, *h), 0.0) + chance
+    assert {tuple(r)[:3]: r["probability"] for r in told.collect()} == pytest.approx(want)
