@@ -11,7 +11,7 @@ from ..operators import canonical, gates, history, sketches
 from ..registry import query
 from ..sources import readers
 from ..sources.readers import scratch, stored
-from ..sources.bindings import CONTESTS, ENTRANTS, RUNNERS, WORKOUTS, contests, entrants, runners, table, workouts
+from ..sources.bindings import CONTESTS, ENTRANTS, RUNNERS, WORKOUTS, contests, entrants, runners, table, tasks, workouts
 
 R = F.round
 
@@ -321,7 +321,7 @@ x AS (SELECT a.race_id, a.horse_id, a.base / sum(a.base) OVER (PARTITION BY a.ra
 def j21_score_alignment(spark, sf_dir):
     """The champion's rate model and the domain's own one score the same rows; scores need no join."""
     e = entrants(spark, sf_dir).select("race_id", "horse_id", "domain", "dn", "label_win")
-    c = history.contexts(e, "horse_id", {"a_": [], "b_": ["domain"]}, {"wins": F.col("label_win")})
+    c = history.contexts(e, "horse_id", {"a_": [], "b_": ["domain"]}, {"wins": F.col("label_win")}, tasks=tasks(spark, sf_dir))
     x = c.withColumns({"p": history.share(history.smoothed(F.col("a_wins"), F.col("a_n")), "race_id"), "q": history.share(history.smoothed(F.col("b_wins"), F.col("b_n")), "race_id")})
     return x.select("race_id", "horse_id", R("p", 6).alias("champion"), R("q", 6).alias("specialist"), R(0.7 * F.col("p") + 0.3 * F.col("q"), 6).alias("score"))
 
