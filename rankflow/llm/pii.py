@@ -9,8 +9,8 @@ Two views of a loose candidate are independent: whether its normalised form pass
 check of its kind (`fits`), and what the words before it speak of (`speaks`). Where both
 say yes, it is added; where the words name something else, or no view says yes, it is not.
 These and the base spans are the labels. All others, such as a number that fits without
-a word before it, are open, and boosted trees decide: they learn from a bounded sample of
-each kind's labels, by format and context; the checks are no features. An open candidate
+a word before it, are open, and boosted trees decide: they learn from all labels but
+those held out, by format and context, and each kind, pattern and label weighs alike; the checks are no features. An open candidate
 that overlaps no base span is added if its score reaches its kind's threshold, halfway
 between the score that `RECALL` of the held-out positives reach and that which as many
 held-out negatives stay below. A kind's threshold is drawn to that of all kinds, and this
@@ -34,10 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import hash_below, written
+from .common import written
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 20_000
 RECALL = 0.98
 PRIOR = 20
 
@@ -159,21 +158,20 @@ def features(rows: DataFrame) -> DataFrame:
     return rows.withColumns({f"f_{n}": F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in number.items()})
 
 
-def judged(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def judged(rows: DataFrame) -> DataFrame:
     """Adds `added`: whether a loose candidate is selected, by both views or by the trees. `rows` has columns `view` and `overlaps`."""
     ready = VectorAssembler(inputCols=[f"f_{n}" for n in FEATURES], outputCol="vector").transform(features(rows))
     free = ~F.col("base") & ~F.col("overlaps")
     key = F.struct("doc_id", "sum", "kind", "start", "base")
-    strata = ["kind", "base", "view"]
-    groups = rows.where("view is not null").groupBy(*strata).count().collect()  # three a kind at most; each gets an equal share, so that rare ones stay
-    share = sample / (3 * len(KINDS))
-    chosen = F.coalesce(*[F.when((F.col("kind") == g["kind"]) & (F.col("base") == g["base"]) & (F.col("view") == g["view"]), hash_below(F.xxhash64(key), min(1.0, share / g["count"]), 13)) for g in groups], F.lit(False))
-    part = ready.where(chosen).withColumn("held", F.pmod(F.xxhash64(key, F.lit(17)), F.lit(3)) == 0)
-    part = written(part.select("kind", "vector", "held", F.col("view").alias("label")), "pii-sample")
+    groups = rows.where("view is not null").groupBy("kind", "base", "view").count().collect()  # three a kind at most; each weighs alike, so that rare ones count
+    total = sum(g["count"] for g in groups)
+    weight = F.coalesce(*[F.when((F.col("kind") == g["kind"]) & (F.col("base") == g["base"]) & (F.col("view") == g["view"]), F.lit(total / len(groups) / g["count"])) for g in groups], F.lit(1.0))
+    part = ready.where("view is not null").withColumn("held", F.pmod(F.xxhash64(key, F.lit(17)), F.lit(3)) == 0)
+    part = written(part.select("kind", "vector", "held", weight.alias("weight"), F.col("view").alias("label")), "pii-labels")
     taught = {r["label"] for r in part.where("not held").select("label").distinct().collect()}
     if len(taught) < 2:
         return rows.withColumn("added", free & F.coalesce("view", F.lit(max(taught, default=0.0))).eqNullSafe(1.0))
-    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=12, maxDepth=4, seed=7, stepSize=0.3).fit(part.where("not held").repartition(2))
+    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=12, maxDepth=4, seed=7, stepSize=0.3, weightCol="weight").fit(part.where("not held"))
     p = vector_to_array("probability")[1]
     seen = model.transform(part.where("held")).select("kind", "label", p.alias("p"))
     halfway = (F.coalesce(F.expr(f"percentile(p, {1 - RECALL}) FILTER (WHERE label = 1)"), F.lit(1.0)) + F.coalesce(F.expr(f"percentile(p, {RECALL}) FILTER (WHERE label = 0)"), F.lit(0.0))) / 2
@@ -188,7 +186,7 @@ def _of(kind: int):
     return lambda s: s["k"] == kind
 
 
-def find_personal_data(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def find_personal_data(docs: DataFrame) -> DataFrame:
     """Per row (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added."""
     found = written(candidates(docs).where("valid or not base"), "pii-candidates")
     whole = Window.partitionBy("doc_id", "sum").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
@@ -200,7 +198,7 @@ def find_personal_data(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         (F.coalesce(F.max(base_end).over(whole) > F.col("start"), F.lit(False)) | F.coalesce(F.min(base_start).over(later) < F.col("end"), F.lit(False)) | F.max("base").over(ties)).alias("overlaps"),
     )
     marked = written(label(marked), "pii-marked")
-    added = judged(marked, sample)
+    added = judged(marked)
     chosen = added.where(F.col("base") | F.col("added"))
     order = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)])
     span = F.struct(order.alias("k"), "start", F.concat_ws(":", "kind", "start", "end").alias("s"), "base", F.col("end").alias("e"))
