@@ -2,10 +2,12 @@
 
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankflow.operators import history
+from rankflow.operators import history, metrics
 from rankflow.sources import bindings
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +39,19 @@ def test_running_sums_equal_sliding_frames(spark):
     got = history.running(sums, ["k"], ["n", "v"], 30, "dn", "h_").select(*want.columns)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
     assert "rangeframe, -30" not in plan(history.history(df, ["k"], {"v": F.col("v")}, days=30)).lower()
+
+
+def test_redundancy_moves_rows_by_value_and_not_by_pair(spark):
+    pick = np.random.default_rng(5)
+    names = ["a", "b", "c", "d"]
+    data = [tuple(None if pick.random() < 0.2 else float(x) for x in row) for row in np.round(pick.normal(size=(900, 4)) @ pick.normal(size=(4, 4)), 1)]
+    told = metrics.redundancy(spark.createDataFrame(data, ", ".join(f"{c} double" for c in names)), ["a", "b"], ["b", "c", "d"])
+    assert "hashpartitioning(feature" not in plan(told)
+
+    def rho(i, j):
+        both = np.array([(r[i], r[j]) for r in data if r[i] is not None and r[j] is not None])
+        ranks = [[(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v] for v in both.T]
+        return abs(np.corrcoef(*ranks)[0, 1])
+
+    want = {"a": max(rho(0, j) for j in (1, 2, 3)), "b": max(rho(1, j) for j in (2, 3))}
+    assert {r["feature"]: r["redundancy"] for r in told.collect()} == pytest.approx(want)
