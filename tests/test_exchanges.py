@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankflow.operators import history, metrics
+from rankflow.plans import feature_queries, rating_queries
 from rankflow.sources import bindings
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +56,23 @@ def test_redundancy_moves_rows_by_value_and_not_by_pair(spark):
 
     want = {"a": max(rho(0, j) for j in (1, 2, 3)), "b": max(rho(1, j) for j in (2, 3))}
     assert {r["feature"]: r["redundancy"] for r in told.collect()} == pytest.approx(want)
+
+
+def test_configurations_of_evidence_move_no_rows(spark):
+    e = spark.createDataFrame([(100, 1, 2, 0.1, [None, 2.0]), (100, 2, 1, 0.2, [0.5, None]), (100, 3, 3, 0.2, None), (200, 4, 1, 0.3, [1.5, 1.5]), (200, 5, 2, 0.3, [1.5, 1.5])], "race_id long, race_row long, finish int, base double, m array<double>")
+    told = metrics.factor_differences(e, "race_id", "race_row", "finish", "base", "m", F.floor(F.col("race_id") / 100).alias("block"), 2)
+    assert plan(told).count("hashpartitioning(race_id") == 1 and "Generate" not in plan(told)
+    ways = e.select("race_id", "race_row", "finish", F.posexplode(F.array(F.lit(1.0), *[F.coalesce(F.get("m", F.lit(i)), F.lit(1.0)) for i in (0, 1)])).alias("way", "x"), "base").withColumn("s", F.col("base") * F.col("x"))
+    p = ways.select((F.col("race_id") * 3 + F.col("way")).alias("race_id"), F.col("race_row").alias("horse_id"), "finish", (F.col("s") / F.sum("s").over(Window.partitionBy("race_id", "way"))).alias("p"))
+    one = {(r["race_id"] // 3, r["race_id"] % 3, r["k"]): r for r in rating_queries.three_losses(p).collect()}
+    got = {(r["block"] * 100, r["i"] + 1, r["k"]): r for r in told.collect()}
+    assert set(got) == {key for key in one if key[1]}
+    for (race, way, k), r in got.items():
+        a, b = one[race, way, k], one[race, 0, k]
+        assert (r["rows"], r["dh"]) == (a["rows"], a["hit"] - b["hit"])
+        assert [r["l"], r["dl"], r["db"]] == pytest.approx([a["logloss"], a["logloss"] - b["logloss"], a["brier"] - b["brier"]], abs=1e-9)
+
+
+def test_evidence_moves_once_per_entrant(spark):
+    told = plan(feature_queries.multipliers(feature_queries.evidence_keys(spark, SF)))
+    assert len(re.findall(r"hashpartitioning\(race_row|hashpartitioning\([^)]*(?:source|days|feature)", told)) == 0
