@@ -1,5 +1,6 @@
 """What moves between tasks, and how much of it one task gets."""
 
+import hashlib
 import re
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankflow.operators import history, metrics
+from rankflow.operators import history, metrics, resample
 from rankflow.plans import feature_queries, rating_queries
 from rankflow.sources import bindings
 
@@ -76,3 +77,15 @@ def test_configurations_of_evidence_move_no_rows(spark):
 def test_evidence_moves_once_per_entrant(spark):
     told = plan(feature_queries.multipliers(feature_queries.evidence_keys(spark, SF)))
     assert len(re.findall(r"hashpartitioning\(race_row|hashpartitioning\([^)]*(?:source|days|feature)", told)) == 0
+
+
+def test_sign_flips_are_dealt_by_draw(spark):
+    blocks = spark.createDataFrame([(t, b, (b - 3.2 - t) / 7) for t in (0, 1) for b in range(6)], "t int, block long, delta double")
+    told = resample.sign_flips(blocks, "delta", "block", 500, "seed", ["t"])
+    moved = re.findall(r"hashpartitioning\(([a-z_]+)[^)]*\)", re.sub(r"#\d+L?", "", plan(told)))
+    assert moved.count("draw") == 1 and set(moved) <= {"draw", "block", "t"}
+    sign = lambda draw, b: -1 if int(hashlib.md5(f"seed|{draw}|{b}".encode()).hexdigest()[:13], 16) / (1 << 52) < 0.5 else 1
+    for r in told.collect():
+        deltas = [(b - 3.2 - r["t"]) / 7 for b in range(6)]
+        low = sum(sum(sign(draw, b) * x for b, x in enumerate(deltas)) <= sum(deltas) + 1e-12 for draw in range(500))
+        assert r["p"] == pytest.approx(1.0 if sum(deltas) >= 0 else (low + 1) / 501)
