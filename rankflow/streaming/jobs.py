@@ -60,10 +60,11 @@ class Deliveries(StatefulProcessor):
         best = None  # one delivery at a time is held back, however many bring the content
         for pdf in rows:
             both = pdf if best is None else pd.concat([best, pdf])
-            both = both.sort_values("path")
-            best, rest = both.head(1), both.iloc[1:]
-            if len(rest):
-                yield rest.assign(skipped=True)
+            best = both
+            if len(both) > 1:
+                both = both.sort_values("path")
+                best = both.head(1)
+                yield both.iloc[1:].assign(skipped=True)
         if best is not None:
             yield best.assign(skipped=self.seen.exists())
             self.seen.update((True,))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankflow.operators import strategy
+from rankflow.plans import stream_queries
 from rankflow.streaming import jobs
 
 SCHEMA = "event_id long, value double, kind string"
@@ -107,3 +108,13 @@ def test_a_content_is_taken_once_over_polls_whatever_its_name(spark, tmp_path):
     assert {r["path"] for r in seen.where("not skipped").collect()} == {"p005", "q", "r", "s", "t"}
     lines = spark.read.option("basePath", out).parquet(out).select("path", "line").collect()
     assert sorted(map(tuple, lines)) == [("p005", "1,a"), ("p005", "2,b"), ("q", "3,c"), ("r", "4,d"), ("s", "")]
+
+
+def test_parcels_are_files_of_many_tasks(spark, tmp_path):
+    c = spark.range(450).select((449 - F.col("id")).alias("c_custkey"), F.floor((449 - F.col("id")) / 100).alias("parcel"), F.concat(F.lit("a,"), F.col("id").cast("string")).alias("c_name"))
+    rows = stream_queries.parcels(c, 7)
+    assert rows.rdd.getNumPartitions() > 1  # however few bytes there are
+    path = str(tmp_path / "inbox")
+    rows.write.option("maxRecordsPerFile", 1).text(path)
+    files = sorted((tmp_path / "inbox").glob("part-*"), key=lambda f: int(f.read_text().split(",")[1]))
+    assert [f.read_text() for f in files] == ["".join(f'{k},{p},"a,{449 - k}"\n' for k in range(100 * p, min(450, 100 * p + 100))) for p in range(5)]
