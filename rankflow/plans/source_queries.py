@@ -321,9 +321,14 @@ x AS (SELECT a.race_id, a.horse_id, a.base / sum(a.base) OVER (PARTITION BY a.ra
 def j21_score_alignment(spark, sf_dir):
     """The champion's rate model and the domain's own one score the same rows; scores need no join."""
     e = entrants(spark, sf_dir).select("race_id", "horse_id", "domain", "dn", "label_win")
-    c = history.contexts(e, "horse_id", {"a_": [], "b_": ["domain"]}, {"wins": F.col("label_win")}, tasks=tasks(spark, sf_dir))
+    return aligned(history.contexts(e, "horse_id", {"a_": [], "b_": ["domain"]}, {"wins": F.col("label_win")}, tasks=tasks(spark, sf_dir)))
+
+
+def aligned(c):
+    """Both shares and their blend, of twelve digits before they get six, so that a tie of the sixth does not hang on the order in which a contest is summed."""
     x = c.withColumns({"p": history.share(history.smoothed(F.col("a_wins"), F.col("a_n")), "race_id"), "q": history.share(history.smoothed(F.col("b_wins"), F.col("b_n")), "race_id")})
-    return x.select("race_id", "horse_id", R("p", 6).alias("champion"), R("q", 6).alias("specialist"), R(0.7 * F.col("p") + 0.3 * F.col("q"), 6).alias("score"))
+    told = {"champion": F.col("p"), "specialist": F.col("q"), "score": 0.7 * F.col("p") + 0.3 * F.col("q")}
+    return x.select("race_id", "horse_id", *[R(R(v, 12), 6).alias(k) for k, v in told.items()])
 
 
 @query("SELECT count(*) AS rows, count(*) FILTER (o_orderkey % 103 = 9 OR o_orderkey % 107 = 8) AS only_left, count(*) FILTER (o_orderkey % 103 = 9 AND o_orderkey % 107 <> 8) AS only_right, count(*) FILTER (o_orderkey % 103 = 9 OR o_orderkey % 107 = 8) = 0 AS same FROM orders")

@@ -95,3 +95,11 @@ def test_tickets_are_pooled_within_the_row(spark):
             for h in hit:
                 want[race, *h] = want.get((race, *h), 0.0) + chance
     assert {tuple(r)[:3]: r["probability"] for r in told.collect()} == pytest.approx(want)
+
+
+def test_shares_on_a_tie_do_not_hang_on_the_order_of_entrants(spark):
+    rows = [(1201, 86, 3, 6), (1201, 19, 15, 83), (1201, 93, 2, 7), (1201, 37, 2, 3)]  # 93 has 0.2109375, 37 has 0.2671875
+    for order in ((0, 1, 2, 3), (1, 2, 3, 0)):
+        c = spark.createDataFrame([(*rows[i], *rows[i][2:]) for i in order], "race_id long, horse_id long, a_wins long, a_n long, b_wins long, b_n long").coalesce(1)
+        got = {r["horse_id"]: (r["champion"], r["specialist"], r["score"]) for r in source_queries.aligned(c).collect()}
+        assert got == {86: (0.296875,) * 3, 19: (0.225,) * 3, 93: (0.210938,) * 3, 37: (0.267188,) * 3}
