@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankflow.operators import history, metrics, resample
-from rankflow.plans import feature_queries, rating_queries
+from rankflow.plans import feature_queries, rating_queries, strategy_queries  # noqa: F401
+from rankflow.registry import QUERIES
 from rankflow.sources import bindings
 
 SF = "/root/testdata/sf0.001"
@@ -89,3 +90,21 @@ def test_sign_flips_are_dealt_by_draw(spark):
         deltas = [(b - 3.2 - r["t"]) / 7 for b in range(6)]
         low = sum(sum(sign(draw, b) * x for b, x in enumerate(deltas)) <= sum(deltas) + 1e-12 for draw in range(500))
         assert r["p"] == pytest.approx(1.0 if sum(deltas) >= 0 else (low + 1) / 501)
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["m11_calibration_comparison"],
+)
+def test_what_a_contest_makes_stays_in_its_row(spark, name):
+    moved = lambda df: re.findall(r"hashpartitioning\((?:race_id|ticket_type|horse_id)[^)]*\)", re.sub(r"#\d+L?", "", plan(df)))
+    alone = moved(rating_queries.base_rates(spark, SF).select("race_id", "horse_id", "p"))
+    assert len(moved(QUERIES[name](spark, SF))) == len(alone)
+
+
+def test_power_calibration_leaves_out_dead_heats(spark):
+    e = spark.createDataFrame([(1, 1, 1, 0.5), (1, 2, 1, 0.3), (1, 3, 3, 0.2), (2, 4, 1, 0.6), (2, 5, 2, 0.4)], "race_id long, horse_id long, finish int, p double")
+    got = {(r["stage"], r["k"]): r for r in metrics.power_calibration(e, "race_id", "horse_id", "finish", "p", [1.0, 2.0], [10]).collect()}
+    assert got[0, 1]["logloss"] == pytest.approx(-np.log(0.6)) and got[0, 1]["ece10"] == pytest.approx(0.4)  # the second contest alone
+    assert got[1, 1]["brier"] == pytest.approx((0.16 / 0.52) ** 2) and got[0, 1]["hit_rate"] == 1.0
+    assert got[0, 2]["hit_rate"] == 1.0 and len(got) == 6
