@@ -94,7 +94,7 @@ def test_sign_flips_are_dealt_by_draw(spark):
 
 @pytest.mark.parametrize(
     "name",
-    ["m11_calibration_comparison", "m30_finish_positions", "m30_source_error"],
+    ["m11_calibration_comparison", "m30_finish_positions", "m30_source_error", "m30_simulation_error"],
 )
 def test_what_a_contest_makes_stays_in_its_row(spark, name):
     moved = lambda df: re.findall(r"hashpartitioning\((?:race_id|ticket_type|horse_id)[^)]*\)", re.sub(r"#\d+L?", "", plan(df)))
