@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankflow.operators import history, metrics, resample
+from rankflow.operators import history, metrics, resample, strategy
 from rankflow.plans import feature_queries, rating_queries, strategy_queries  # noqa: F401
 from rankflow.registry import QUERIES
 from rankflow.sources import bindings
@@ -94,7 +94,7 @@ def test_sign_flips_are_dealt_by_draw(spark):
 
 @pytest.mark.parametrize(
     "name",
-    ["m11_calibration_comparison", "m30_finish_positions", "m30_source_error", "m30_simulation_error"],
+    ["j09_market_join", "m32_failure_analysis", "m28_ticket_probabilities", "m30_finish_positions", "j11_payout_completeness", "j18_omitted_opportunities", "m30_simulation_error", "m11_calibration_comparison", "m30_source_error"],
 )
 def test_what_a_contest_makes_stays_in_its_row(spark, name):
     moved = lambda df: re.findall(r"hashpartitioning\((?:race_id|ticket_type|horse_id)[^)]*\)", re.sub(r"#\d+L?", "", plan(df)))
@@ -102,6 +102,15 @@ def test_what_a_contest_makes_stays_in_its_row(spark, name):
     assert len(moved(QUERIES[name](spark, SF))) == len(alone)
 
 
+def test_sides_meet_in_the_row_as_in_a_join(spark):
+    fair = [(1, [("WIN", "7", 0.25, 4.0), ("TOP2", "7", 0.5, 2.0)]), (2, [("WIN", "7", 0.0, None)]), (3, [])]
+    market = {1: [("WIN", "7", 5.0), ("WIN", "7", 6.0), ("TOP3", "7", 5.0), ("WIN", "8", 5.0)], 2: [("WIN", "7", 3.0)], 3: [("WIN", "7", 3.0)]}
+    shape = "race_id long, fair array<struct<ticket_type:string,selection:string,probability:double,fair_odds:double>>, market array<struct<ticket_type:string,selection:string,market_odds:double>>"
+    rows = spark.createDataFrame([(r, f, market[r]) for r, f in fair], shape)
+    got = {tuple(r) for r in strategy.market_met(rows).select("race_id", "ticket_type", "selection", "market_odds", "ev", "edge_ratio").collect()}
+    assert got == {(1, "WIN", "7", 5.0, 0.25, 0.25), (1, "WIN", "7", 6.0, 0.5, 0.5), (2, "WIN", "7", 3.0, -1.0, None)}
+
+
 def test_power_calibration_leaves_out_dead_heats(spark):
     e = spark.createDataFrame([(1, 1, 1, 0.5), (1, 2, 1, 0.3), (1, 3, 3, 0.2), (2, 4, 1, 0.6), (2, 5, 2, 0.4)], "race_id long, horse_id long, finish int, p double")
     got = {(r["stage"], r["k"]): r for r in metrics.power_calibration(e, "race_id", "horse_id", "finish", "p", [1.0, 2.0], [10]).collect()}
