@@ -65,6 +65,12 @@ def test_prior_form_is_the_same_to_the_last_digit(spark, duck, column):  # noqa:
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_gaps_are_the_same_to_the_last_digit(spark, duck):  # noqa: F811
+    got = bindings.feature_base(spark, SF).select("race_id", "horse_id", "gap").collect()
+    want = duck.sql(f"WITH {bindings.FEATURE_BASE} SELECT race_id, horse_id, gap FROM f").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_draws_of_a_contest_cost_no_more_the_more_there_are():
     p = np.array([0.4, 0.3, 0.2, 0.1])
     wins, top3 = strategy_queries.drawn(np.random.Generator(np.random.Philox(key=5)), p, 10**9)
